@@ -45,6 +45,7 @@ FIRST_LEVEL = 10  # l is this per cent of the set in the first pass
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 VERIFY_COST = 4.0  # of one verification, in postings read, per 16 elements of the set
+_SHARED = np.iinfo(np.int64).min  # in place of the id of an element that its task knows to be shared
 _PACK = "bucket int, kind int, a binary, b binary, c binary"
 
 
@@ -69,7 +70,7 @@ def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int) -> Da
         d, k = np.unique(doc[own], return_counts=True)
         if len(d):
             rows.append((int(d[0]) % n_buckets, 2, packed.small(d), packed.small(k), b""))
-        tok, doc = tok[first], np.where(length > 1, -1, doc[first])
+        tok, doc = tok[first], np.where(length > 1, _SHARED, doc[first])
         at = packed.edges(tok, n_buckets)
         rows += [(b, 0, packed.planes(tok[at[b] : at[b + 1]]), packed.small(doc[at[b] : at[b + 1]]), b"") for b in range(n_buckets) if at[b + 1] > at[b]]
         yield _pack(rows)
@@ -114,7 +115,7 @@ def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int) -> Da
             order = np.argsort(tok, kind="stable")
             tok, doc = tok[order], doc[order]
             _, length = packed.runs(tok)
-            d, k = np.unique(doc[np.repeat(length > 1, length) & (doc >= 0)], return_counts=True)
+            d, k = np.unique(doc[np.repeat(length > 1, length) & (doc != _SHARED)], return_counts=True)
             ids.append(d)
             counts.append(k)
         d = np.concatenate([*ids, *(x[0] for x in info)]) if ids or info else np.zeros(0, np.int64)
@@ -125,8 +126,7 @@ def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int) -> Da
         k = np.concatenate([*counts, np.zeros(len(d) - m, np.int64)]).astype(np.int64)
         return pa.table({"doc_id": pa.array(d), "n": pa.array(n, mask=nulls), "sig": pa.array(sig, mask=nulls), "shared": pa.array(k)})
 
-    # the -1 of a locally shared element must not meet a document id
-    rows = docs.where("doc_id is not null and doc_id >= 0").mapInArrow(scan, _PACK)
+    rows = docs.where("doc_id is not null").mapInArrow(scan, _PACK)
     found = rows.groupBy("bucket").applyInArrow(gather, "doc_id long, n long, sig long, shared long")
     out = found.groupBy("doc_id").agg(F.max(F.struct("n", "sig")).alias("s"), F.sum("shared").alias("shared")).select("doc_id", F.col("s.n").alias("n"), F.col("s.sig").alias("sig"), "shared")
     least = F.ceil(F.col("n") * percent / 100)

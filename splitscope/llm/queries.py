@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, tokens, warc
+from . import ngram_join, quality, suffix_dedup, tokens, warc
 from .common import table
 
 
@@ -29,8 +29,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op3_token_counts, op4_warc, op7_quality_rules)
+    for f in (op1_ngram_jaccard, op3_token_counts, op4_warc, op7_quality_rules, op9_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
