@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, suffix_dedup, tokens, warc
+from . import brown_lm, ngram_join, quality, suffix_dedup, tokens, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +39,6 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op3_token_counts, op4_warc, op7_quality_rules, op9_suffix_dedup)
+    for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op7_quality_rules, op9_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
