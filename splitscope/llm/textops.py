@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 18
+_ROWS = 512
 _SEGMENT = 1 << 20
 _MASK64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -60,23 +61,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield ``(first row, row after the last, bytes, offsets)`` over a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
-    if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    n = len(column)
-    if not n:
+        at = 0
+        for chunk in column.chunks:
+            for i, j, buf, offs in blocks(chunk, limit):
+                yield at + i, at + j, buf, offs
+            at += len(chunk)
         return
-    _, raw_offs, raw = column.buffers()
-    offs = np.frombuffer(raw_offs, dtype=np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
-        j = min(j, n)
-        yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        i = j
+    for at in range(0, len(column), _ROWS):
+        part = column.slice(at, _ROWS)
+        if part.null_count:
+            part = part.fill_null("")
+        n = len(part)
+        wide = pa.types.is_large_string(part.type)
+        _, raw_offs, raw = part.buffers()
+        offs = np.frombuffer(raw_offs, dtype=np.int64 if wide else np.int32)[part.offset : part.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        i = 0
+        while i < n:
+            j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1))
+            yield at + i, at + j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            i = j
 
 
 def lower(buf: np.ndarray) -> np.ndarray:

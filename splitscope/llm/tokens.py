@@ -18,9 +18,11 @@ encoded once; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import importlib.metadata
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,8 @@ from . import textops as T
 from .common import cut, scratch_path
 
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
-MEMO = 400_000
+MEMO = 200_000
+ENCODE_AT_ONCE = 4096  # an encoding holds some kilobytes until its ids are counted
 _CACHE = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -54,8 +57,9 @@ class Counter:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             with open(path, encoding="utf-8") as f:
@@ -67,7 +71,8 @@ class Counter:
             model.no_truncation()
             model.no_padding()
             batch = getattr(model, "encode_batch_fast", model.encode_batch)
-            self.encode = lambda texts: [len(x) for x in batch(texts, add_special_tokens=False)]
+            count = lambda texts: [len(x) for x in batch(texts, add_special_tokens=False)]
+        self.encode = lambda texts: [k for i in range(0, len(texts), ENCODE_AT_ONCE) for k in count(texts[i : i + ENCODE_AT_ONCE])]
 
     def block(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         n = len(offs) - 1
@@ -93,6 +98,12 @@ class Counter:
         return np.bincount(doc, weights=counts[inverse], minlength=n).astype(np.int64)
 
 
+@functools.cache
+def _counter(path: str) -> Counter:
+    """One model per Python worker: workers outlive tasks, and a model is tens of megabytes."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, doc_id: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row; ``cache`` is the folder of the stored counts (created
     when missing; a fresh one in the shared scratch space by default)."""
@@ -119,7 +130,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, doc_
             chosen = plain.join(ids, "doc_id", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counter = Counter(tokenizer)
+            counter = _counter(tokenizer)
+            counter.memo.clear()
             for batch in batches:
                 column = batch.column(0)
                 for i, j, buf, offs in T.blocks(column):
