@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, ngram_join, quality, suffix_dedup, tokens, warc
+from . import brown_lm, decontaminate, mixing, ngram_join, quality, suffix_dedup, tokens, warc
 from .common import table
 
 
@@ -33,12 +33,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op7_quality_rules, op9_suffix_dedup)
+    for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op7_quality_rules, op8_mixing, op9_suffix_dedup, op10_decontamination)
 }
 ORACLES: dict[str, str] = {}
