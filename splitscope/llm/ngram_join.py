@@ -15,7 +15,9 @@ costs more postings but demands more matches before a pair is verified.
 4. *Links.*  First every document is verified with the leader of the posting lists that most of its prefix elements
    vote for: a star, not all pairs, so a group of thousands of copies costs one verification each.  Components of these
    links contract the postings; what is left are pairs of *different* components that share at least
-   l = min(l_x, l_y) prefix elements.  They are all counted and verified, so no link between components is lost.
+   l = min(l_x, l_y) prefix elements.  Where few pairs meet in an element they are joined, counted and verified; pairs that
+   meet in a hot element (many sets, several components) are verified in tiles of sets, where only links leave the task.  So no
+   link between components is lost, and a group's failed pairs are never rows.
 
 Links inside a component change nothing in the result (component and set sizes), hence are not spelled out.
 
@@ -44,6 +46,8 @@ WIDTH = 5
 FIRST_LEVEL = 10  # l is this per cent of the set in the first pass
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+HOT_PAIRS = 2048  # an element at which more pairs meet is counted in tiles
+TILE = 1 << 18  # elements on each side of a tile
 VERIFY_COST = 4.0  # of one verification, in postings read, per 16 elements of the set
 _SHARED = np.iinfo(np.int64).min  # in place of the id of an element that its task knows to be shared
 _PACK = "bucket int, kind int, a binary, b binary, c binary"
@@ -235,14 +239,107 @@ def _levels(f: np.ndarray, length: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _postings(ranked: DataFrame, percent: int) -> DataFrame:
-    """``token, ent, n, level, lv``: lv is the level from which the element is in the prefix.
+    """``token, ent, n, level, lv, at, s``: lv is the level from which the element is in the prefix, at its place in the order, s
+    the number of the set's elements that other sets hold.
 
     Elements of one document only come first in the order and are not in the list: they take prefix places."""
     base = F.col("n") - F.ceil(F.col("n") * percent / 100)
     alone = F.col("n") - F.size("tokens")
     take = F.greatest(F.lit(0), F.least(F.size("tokens").cast("long"), base + F.col("level") - alone)).cast("int")
-    rows = ranked.select("ent", "n", "level", alone.alias("alone"), base.alias("base"), F.posexplode(F.slice("tokens", F.lit(1), take)).alias("pos", "token"))
-    return rows.select("token", "ent", "n", "level", F.greatest(F.lit(1), F.col("alone") + F.col("pos") + 1 - F.col("base")).cast("long").alias("lv"))
+    rows = ranked.select("ent", "n", "level", F.size("tokens").cast("long").alias("s"), alone.alias("alone"), base.alias("base"), F.posexplode(F.slice("tokens", F.lit(1), take)).alias("pos", "token"))
+    at = (F.col("alone") + F.col("pos") + 1).cast("long")
+    return rows.select("token", "ent", "n", "level", F.greatest(F.lit(1), at - F.col("base")).cast("long").alias("lv"), at.alias("at"), "s")
+
+
+def _met(left: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of different labels that share as many prefix elements as their level demands.
+
+    A pair that links shares at least ``need`` elements, so it does within the first ``n - need + l`` places of both sets, and
+    each of the two has that many elements that are not its own alone."""
+    cols = ("ent", "n", "level", "lv", "at", "label", "s")
+    minor = left.where("label <> major").select("token", *(F.col(c).alias(f"{c}_x") for c in cols))
+    rival = left.select("token", "major", *(F.col(c).alias(f"{c}_y") for c in cols))
+    level = F.least("level_x", "level_y")
+    both = F.col("n_x") + F.col("n_y")
+    need = F.ceil(both * percent / (100 + percent))
+    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.least("s_x", "s_y") >= need)
+    inside = (F.greatest("lv_x", "lv_y") <= level) & (F.greatest(F.col("at_x") - F.col("n_x"), F.col("at_y") - F.col("n_y")) + need <= level)
+    met = minor.join(rival, "token").where("label_x <> label_y and (label_y = major or ent_x < ent_y)").where(fits & inside)
+    pairs = met.groupBy(F.least("ent_x", "ent_y").alias("a"), F.greatest("ent_x", "ent_y").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(level).alias("l"))
+    return pairs.where("k >= l").select("a", "b")
+
+
+def _hot_links(left: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Links between labels among the sets that meet in a hot element.
+
+    Every set outside the element's largest component is a query against all sets that hold an element of that kind.  Both sides are
+    dealt to tiles of at most about ``TILE`` elements each; a tile counts the common elements of its pairs exactly and
+    returns a spanning forest of the labels that it found linked, so no more rows than labels."""
+    met = left.groupBy(F.col("major").alias("g"), "ent", "label").agg(F.max(F.col("label") != F.col("major")).alias("asks"), F.first("n").alias("n"), F.first("s").alias("s"))
+    # a set none of whose partners can reach the need (even the smallest allowed) asks nothing
+    asks = F.col("asks") & (F.col("s") >= F.ceil((F.col("n") + F.ceil(F.col("n") * percent / 100)) * percent / (100 + percent)))
+    met = cut(met.withColumn("asks", asks), "ngram-hot")
+    size = met.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("s") / TILE)).cast("int").alias("tiles_y"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("asks"), F.col("s")).otherwise(0)) / TILE)).cast("int").alias("tiles_x"), F.max("asks").alias("any")).where("any")
+    dealt = met.join(size, "g")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n, salt: F.pmod(F.xxhash64("ent", F.lit(salt)), F.col(n)).cast("int")
+    x = dealt.where("asks").select("g", mine("tiles_x", 1).alias("tx"), every("tiles_y").alias("ty"), F.lit(True).alias("asks"), "ent", "label", "n")
+    y = dealt.select("g", every("tiles_x").alias("tx"), mine("tiles_y", 2).alias("ty"), F.lit(False).alias("asks"), "ent", "label", "n")
+    rows = x.unionByName(y).join(ranked.select("ent", "tokens"), "ent")
+
+    def tile(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        found = _tile_links(group.filter(pa.array(asks)), group.filter(pa.array(~asks)), percent)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return cut(rows.groupBy("g", "tx", "ty").applyInArrow(tile, "a long, b long"), "ngram-hot-links")
+
+
+def _tile_links(x: pa.Table, y: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the linked labels, as pairs of sets."""
+    if not x.num_rows or not y.num_rows:
+        return []
+    tx, lx, ex = _flat(x)
+    ty, ly, ey = _flat(y)
+    vocabulary = np.intersect1d(tx, ty)
+    nx, ny = x.column("n").to_numpy(), y.column("n").to_numpy()
+    gx, gy = x.column("label").to_numpy(), y.column("label").to_numpy()
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    step = max(1, (1 << 22) // max(1, len(vocabulary)))
+    out = []
+    for i in range(0, len(ex), step):
+        a = _matrix(tx, lx, i, i + step, vocabulary)
+        for j in range(0, len(ey), step):
+            common = np.rint(a @ _matrix(ty, ly, j, j + step, vocabulary).T).astype(np.int64)
+            linked = (common * 100 >= (nx[i : i + step, None] + ny[None, j : j + step] - common) * percent) & (gx[i : i + step, None] != gy[None, j : j + step])
+            r, c = np.nonzero(linked)
+            _, first = np.unique(np.stack((gx[i + r], gy[j + c])), axis=1, return_index=True)
+            for k in first.tolist():
+                u, v = find(int(gx[i + r[k]])), find(int(gy[j + c[k]]))
+                if u != v:
+                    root[u] = v
+                    out.append((int(ex[i + r[k]]), int(ey[j + c[k]])))
+    return out
+
+
+def _matrix(tok: np.ndarray, length: np.ndarray, i: int, j: int, vocabulary: np.ndarray) -> np.ndarray:
+    """Sets i to j as rows of zeros and ones over the vocabulary."""
+    begin = np.concatenate(([0], np.cumsum(length)))
+    j = min(j, len(length))
+    t = tok[begin[i] : begin[j]]
+    row = np.repeat(np.arange(j - i), length[i:j])
+    at = np.minimum(np.searchsorted(vocabulary, t), len(vocabulary) - 1) if len(vocabulary) else np.zeros(0, np.int64)
+    out = np.zeros((j - i, len(vocabulary)), dtype=np.float32)
+    if len(vocabulary):
+        hit = vocabulary[at] == t
+        out[row[hit], at[hit]] = 1
+    return out
 
 
 def _verify(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
@@ -266,8 +363,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     posts = cut(_postings(ranked, percent), "ngram-postings")
 
     # stars: the leader of a posting list is its member with most shared elements
-    central = ranked.select("ent", F.size("tokens").alias("c"))
-    heads = posts.join(central, "ent").groupBy("token").agg(F.max_by("ent", F.struct("c", -F.col("ent"))).alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "a")
+    heads = posts.groupBy("token").agg(F.max_by("ent", F.struct("s", -F.col("ent"))).alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "a")
     heads = cut(heads, "ngram-heads")
     votes = posts.join(heads, "token").where("a <> ent").groupBy("ent", "a").agg(F.count(F.lit(1)).alias("votes"))
     star = votes.groupBy("ent").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", F.col("ent").alias("b"))
@@ -275,17 +371,14 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     labels = cut(components(links), "ngram-labels")
 
     # the rest: pairs of different components with enough common prefix elements
-    lab = posts.join(labels, posts.ent == labels.node, "left").select("token", "ent", "n", "level", "lv", F.coalesce("root", "ent").alias("label"))
+    lab = posts.join(labels, posts.ent == labels.node, "left").select("token", "ent", "n", "level", "lv", "at", "s", F.coalesce("root", "ent").alias("label"))
     lab = cut(lab, "ngram-labelled")
     by_label = lab.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = cut(by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", -F.col("label"))).alias("major")).where("labels > 1").select("token", "major"), "ngram-mixed")
-    left = lab.join(mixed, "token")
-    minor = left.where("label <> major").select("token", *(F.col(c).alias(f"{c}_x") for c in ("ent", "n", "level", "lv", "label")))
-    rival = left.select("token", "major", *(F.col(c).alias(f"{c}_y") for c in ("ent", "n", "level", "lv", "label")))
-    level = F.least("level_x", "level_y")
-    met = minor.join(rival, "token").where("label_x <> label_y and (label_y = major or ent_x < ent_y)").where(F.greatest("lv_x", "lv_y") <= level).where(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-    pairs = met.groupBy(F.least("ent_x", "ent_y").alias("a"), F.greatest("ent_x", "ent_y").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(level).alias("l")).where("k >= l").select("a", "b")
-    more = _verify(cut(pairs, "ngram-pairs"), ranked, percent)
+    mixed = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", -F.col("label"))).alias("major"), F.sum("k").alias("k"), F.max("k").alias("most")).where("labels > 1")
+    mixed = cut(mixed.select("token", "major", (F.col("k") * (F.col("k") - F.col("most")) > HOT_PAIRS).alias("hot")), "ngram-mixed")
+    left = cut(lab.join(mixed, "token"), "ngram-meeting")
+    met = _met(left.where("not hot"), percent)
+    more = _verify(cut(met, "ngram-pairs"), ranked, percent).unionByName(_hot_links(left.where("hot"), ranked, percent))
     roots = cut(components(links.unionByName(more)), "ngram-roots")
 
     again = copies.where("k > 1").select(F.col("n").alias("n2"), F.col("sig").alias("s2"), "rep")
