@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, decontaminate, mixing, ngram_join, quality, suffix_dedup, tokens, warc
+from . import brown_lm, decontaminate, license_scan, mixing, ngram_join, quality, secret_scan, suffix_dedup, tokens, warc
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(table(spark, sf_dir, "documents"), ["doc_id", "source"])
     return quality.judge(measured, "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,6 +55,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op7_quality_rules, op8_mixing, op9_suffix_dedup, op10_decontamination)
+    for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op5_secret_scan, op6_license_scan, op7_quality_rules, op8_mixing, op9_suffix_dedup, op10_decontamination)
 }
 ORACLES: dict[str, str] = {}
