@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
@@ -384,3 +384,24 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     again = copies.where("k > 1").select(F.col("n").alias("n2"), F.col("sig").alias("s2"), "rep")
     out = scanned.join(again, (F.col("n") == F.col("n2")) & (F.col("sig") == F.col("s2")), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return out.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that are linked, directly or through others, with one of a smaller id.
+
+    Rows with a null id stay; of rows that repeat an id one stays (the first by text).  Only ids take part in shuffles while
+    their counted number allows a broadcast."""
+    cols = docs.columns
+    names = [f"c{i}" for i in range(len(cols))]
+    key, body = names[cols.index(doc_id)], names[cols.index(text)]
+    plain = docs.toDF(*names)
+    found = cut(similar_components(plain, key, body, width, percent), "ngram-groups")
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost"))
+    ids = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers
+    kept = plain.join(ids, F.col(key) == F.col("lost"), "left_anti")
+    twice = cut(plain.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("twice")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("twice"), "ngram-repeated")
+    if twice.isEmpty():
+        return kept.toDF(*cols)
+    first = Window.partitionBy(key).orderBy(F.sha2(F.col(body).cast("string").cast("binary"), 256), *(F.to_json(F.struct(*names)),))
+    again = kept.join(twice, F.col(key) == F.col("twice"), "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    return kept.join(twice, F.col(key) == F.col("twice"), "left_anti").unionByName(again).toDF(*cols)
