@@ -92,7 +92,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, span: int = SPAN, k: int = K) ->
     end = np.minimum(end, offs[doc + 1] - span + 1)  # strings that would leave the text
     ok = end > start
     start, end, doc = start[ok], end[ok], doc[ok]
-    return x[at[start]], doc, start, end - start
+    return T.mix(x[at[start]]), doc, start, end - start  # least hashes are low ones: mixed again, they fill all ranges evenly
 
 
 def _long_anchors(buf, offs, span, k):
