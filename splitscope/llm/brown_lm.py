@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import packed
+from . import lean, packed
 from . import textops as T
 from .common import cut, shuffle_width
 
@@ -99,7 +99,7 @@ def _vocabulary(docs: DataFrame, n_buckets: int) -> DataFrame:
         u, inverse = np.unique(h, return_inverse=True)
         return _rows([(group.column("bucket")[0].as_py(), 0, packed.planes(u), packed.small(np.bincount(inverse, weights=k).astype(np.int64)), b"", b"")])
 
-    return cut(docs.mapInArrow(scan, _ROW).groupBy("bucket").applyInArrow(total, _ROW), "lm-vocabulary")
+    return cut(docs.mapInArrow(lean.batches(scan), _ROW).groupBy("bucket").applyInArrow(lean.group(total), _ROW), "lm-vocabulary")
 
 
 class Head:
@@ -126,7 +126,7 @@ def _statistics(vocabulary: DataFrame, n_docs: int) -> tuple[int, int, int, Head
                 k = packed.unsmall(b.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([int(k.sum())]), pa.array([len(k)]), pa.array([int((k == 1).sum())])], names=["n", "v", "once"])
 
-    r = vocabulary.select("b").mapInArrow(sums, "n long, v long, once long").agg(F.sum("n"), F.sum("v"), F.sum("once")).first()
+    r = vocabulary.select("b").mapInArrow(lean.batches(sums), "n long, v long, once long").agg(F.sum("n"), F.sum("v"), F.sum("once")).first()
     n, v, once = (x or 0 for x in r)
     n, v = n + n_docs, v + (n_docs > 0)
     least = max(2, -(-n // HEAD))
@@ -138,7 +138,7 @@ def _statistics(vocabulary: DataFrame, n_docs: int) -> tuple[int, int, int, Head
                 m = k >= least
                 yield pa.RecordBatch.from_arrays([pa.array(packed.unplanes(a.as_py())[m].view(np.int64)), pa.array(k[m])], names=["h", "k"])
 
-    rows = vocabulary.select("a", "b").mapInArrow(frequent, "h long, k long").collect()  # at most HEAD rows
+    rows = vocabulary.select("a", "b").mapInArrow(lean.batches(frequent), "h long, k long").collect()  # at most HEAD rows
     return n, v, once, Head(np.array([x[0] for x in rows], dtype=np.int64).view(np.uint64), np.array([x[1] for x in rows], dtype=np.int64))
 
 
@@ -190,7 +190,7 @@ def _bigrams(docs: DataFrame, head: Head, n_buckets: int) -> DataFrame:
             out.append((group.column("bucket")[0].as_py(), kind, packed.small(u // n_ids), packed.small(u % n_ids), packed.small(np.bincount(inverse, weights=c).astype(np.int64)), b""))
         return _rows(out)
 
-    return cut(docs.mapInArrow(scan, _ROW).groupBy("bucket").applyInArrow(merge, _ROW), "lm-bigrams")
+    return cut(docs.mapInArrow(lean.batches(scan), _ROW).groupBy("bucket").applyInArrow(lean.group(merge), _ROW), "lm-bigrams")
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def _matrix(bigrams: DataFrame, classes: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total.ravel()[i])], names=["i", "n"])
 
     out = np.zeros((CLASSES + 2) ** 2)
-    for i, n in bigrams.mapInArrow(run, "i long, n double").groupBy("i").agg(F.sum("n")).collect():  # one row per class pair at most
+    for i, n in bigrams.mapInArrow(lean.batches(run), "i long, n double").groupBy("i").agg(F.sum("n")).collect():  # one row per class pair at most
         out[i] = n
     return out.reshape(CLASSES + 2, CLASSES + 2)
 
@@ -254,7 +254,7 @@ def exchange(bigrams: DataFrame, head: Head) -> tuple[np.ndarray, np.ndarray]:
                     best.append(int(gain.argmax()))
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int64())], names=["w", "c"])
 
-        got = bigrams.mapInArrow(moves, "w long, c long").collect()  # at most the head
+        got = bigrams.mapInArrow(lean.batches(moves), "w long, c long").collect()  # at most the head
         classes = classes.copy()
         moved = 0
         for w, c in got:
@@ -334,7 +334,7 @@ def _tail(docs: DataFrame, head: Head, classes: np.ndarray, m: np.ndarray, n_buc
             rows.append((int(g[f]), 0, packed.small(doc[s]), key[s].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), packed.small(k[s]), b""))
         return _rows(rows)
 
-    return cut(docs.mapInArrow(scan, _ROW).groupBy("bucket").applyInArrow(words, _ROW), "lm-tail")
+    return cut(docs.mapInArrow(lean.batches(scan), _ROW).groupBy("bucket").applyInArrow(lean.group(words), _ROW), "lm-tail")
 
 
 def doc_group(doc: np.ndarray, n: int) -> np.ndarray:
@@ -363,7 +363,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # class bigrams with the tail's words in their classes: one row per (history, class) at most
     full = m[:, : CLASSES + 1].copy()
-    for i, k in tail.where("kind = 1").select("a").mapInArrow(add, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
+    for i, k in tail.where("kind = 1").select("a").mapInArrow(lean.batches(add), "i long, n long").groupBy("i").agg(F.sum("n")).collect():
         full[i // CLASSES, i % CLASSES] += k
     unseen = min(0.5, once / n) if n and once else (0.5 if not n else 0.5 / n)
     move = np.log10(_smooth(full)) + np.log10(1 - unseen)
@@ -425,5 +425,5 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             "train_tokens": pa.array(np.full(len(u), n)), "base_score": pa.array(add(base)), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(300, -score / np.maximum(tokens, 1))),
         })
 
-    both = plain.mapInArrow(heads, _ROW).unionByName(tail.where("kind = 0"))
-    return both.groupBy("bucket").applyInArrow(merge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    both = plain.mapInArrow(lean.batches(heads), _ROW).unionByName(tail.where("kind = 0"))
+    return both.groupBy("bucket").applyInArrow(lean.group(merge), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lean
 from . import textops as T
 
 PERCENT = 9
@@ -174,7 +175,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     among the places verified."""
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<long>").alias("distances"))
     for block in _blocks(items, item_id, item_text):
-        out = out.mapInArrow(_finder(block, percent), "doc_id long, text string, item_ids array<long>, distances array<long>")
+        out = out.mapInArrow(lean.batches(_finder(block, percent)), "doc_id long, text string, item_ids array<long>, distances array<long>")
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "distances")
 
 
@@ -212,5 +213,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_
                     bad |= {i + k for k in matcher.block(buf, offs)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)])) if bad else batch
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean.batches(run), schema)
     return out.toDF(*cols)

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lean
 from . import textops as T
 
 BITS = 14
@@ -278,4 +279,4 @@ def scan_licences(docs: DataFrame, classifier: Classifier | None = None, doc_id:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(paragraphs), pa.array(doubt), pa.array(names, pa.list_(pa.string())), pa.array(held, pa.list_(item))], names=["doc_id", "n_paragraphs", "n_unconfirmed", "families", "findings"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_paragraphs long, n_unconfirmed long, families array<string>, findings array<struct<start:bigint,end:bigint,family:string,probability:double,cover:double>>")
+    return rows.mapInArrow(lean.batches(run), f"doc_id {kind}, n_paragraphs long, n_unconfirmed long, families array<string>, findings array<struct<start:bigint,end:bigint,family:string,probability:double,cover:double>>")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import packed
+from . import lean, packed
 from . import textops as T
 from .common import cut, shuffle_width
 from .components import components
@@ -130,8 +130,8 @@ def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int) -> Da
         k = np.concatenate([*counts, np.zeros(len(d) - m, np.int64)]).astype(np.int64)
         return pa.table({"doc_id": pa.array(d), "n": pa.array(n, mask=nulls), "sig": pa.array(sig, mask=nulls), "shared": pa.array(k)})
 
-    rows = docs.where("doc_id is not null").mapInArrow(scan, _PACK)
-    found = rows.groupBy("bucket").applyInArrow(gather, "doc_id long, n long, sig long, shared long")
+    rows = docs.where("doc_id is not null").mapInArrow(lean.batches(scan), _PACK)
+    found = rows.groupBy("bucket").applyInArrow(lean.group(gather), "doc_id long, n long, sig long, shared long")
     out = found.groupBy("doc_id").agg(F.max(F.struct("n", "sig")).alias("s"), F.sum("shared").alias("shared")).select("doc_id", F.col("s.n").alias("n"), F.col("s.sig").alias("sig"), "shared")
     least = F.ceil(F.col("n") * percent / 100)
     return cut(out.withColumn("demand", F.greatest(F.lit(1), F.ceil(least * FIRST_LEVEL / 100))), "ngram-docs")
@@ -153,7 +153,7 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int, n_groups: int) -> DataFr
                 h, at = T.shingle_sets(buf, offs, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["ent", "tokens"])
 
-    sets = chosen.select("doc_id", "text").mapInArrow(run, "ent long, tokens array<long>")
+    sets = chosen.select("doc_id", "text").mapInArrow(lean.batches(run), "ent long, tokens array<long>")
     gid = F.pmod(F.xxhash64("ent"), F.lit(n_groups)).cast("int")
     return cut(sets.withColumn("gid", gid).repartition(n_groups, "gid"), "ngram-sets")
 
@@ -209,9 +209,9 @@ def _frequencies(sets: DataFrame, n_buckets: int, percent: int) -> DataFrame:
         lists = lambda x: pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(x))
         return pa.table({"ent": pa.array(ents[good]), "n": pa.array(length[good]), "level": pa.array(level[good]), "tokens": lists(tok[keep].view(np.int64)), "df": lists(f[keep])}, schema=schema)
 
-    counts = sets.groupBy("gid").applyInArrow(local, _PACK)
-    shared = counts.groupBy("bucket").applyInArrow(total, _PACK)
-    ranked = sets.groupBy("gid").cogroup(shared.groupBy("kind")).applyInArrow(rank, "ent long, n long, level long, tokens array<long>, df array<long>")
+    counts = sets.groupBy("gid").applyInArrow(lean.group(local), _PACK)
+    shared = counts.groupBy("bucket").applyInArrow(lean.group(total), _PACK)
+    ranked = sets.groupBy("gid").cogroup(shared.groupBy("kind")).applyInArrow(lean.groups(rank), "ent long, n long, level long, tokens array<long>, df array<long>")
     return cut(ranked, "ngram-ranked")
 
 
@@ -292,7 +292,7 @@ def _hot_links(left: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
         found = _tile_links(group.filter(pa.array(asks)), group.filter(pa.array(~asks)), percent)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return cut(rows.groupBy("g", "tx", "ty").applyInArrow(tile, "a long, b long"), "ngram-hot-links")
+    return cut(rows.groupBy("g", "tx", "ty").applyInArrow(lean.group(tile), "a long, b long"), "ngram-hot-links")
 
 
 def _tile_links(x: pa.Table, y: pa.Table, percent: int) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def planes(x: np.ndarray) -> bytes:

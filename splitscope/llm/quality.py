@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lean
 from . import textops as T
 
 WINDOW_WORDS = 8
@@ -107,7 +108,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 got = block_measures(buf, offs)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in held), *(pa.array(got[m]) for m in MEASURES)], names=[*keep, *MEASURES])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(lean.batches(run), schema)
 
 
 def host_verdicts(measured: DataFrame, host: str, limit: float = 0.3, z: float = 1.645) -> DataFrame:
@@ -186,4 +187,4 @@ def _with_measures(docs: DataFrame, text: str) -> DataFrame:
                 got = block_measures(buf, offs)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *(pa.array(got[m]) for m in MEASURES)], names=[*batch.schema.names, *MEASURES])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean.batches(run), schema)

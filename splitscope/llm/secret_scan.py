@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packed
+from . import lean, packed
 from . import textops as T
 from .common import cut, scratch_path
 
@@ -115,7 +115,7 @@ def corpus_statistics(texts: DataFrame, dictionary: int = DICTIONARY) -> Corpus:
                 words, pairs = {}, np.zeros(1 << 16, dtype=np.int64)
         yield emit(words, pairs)
 
-    counted = cut(texts.mapInArrow(scan, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "secret-corpus")
+    counted = cut(texts.mapInArrow(lean.batches(scan), "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "secret-corpus")
     total = counted.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // dictionary))
     words = [bytes(r["key"]) for r in counted.where((F.col("kind") == 1) & (F.col("n") >= least)).collect()]  # at most `dictionary`
@@ -428,7 +428,7 @@ def find_secrets(docs: DataFrame, scanner: Scanner | None = None, doc_id: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(total), pa.array([len(x) for x in held], pa.int64()), pa.array(held, pa.list_(item))], names=["doc_id", "n_candidates", "n_secrets", "secrets"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(path).cast("string").alias("path"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_candidates long, n_secrets long, secrets array<struct<start:bigint,end:bigint,score:double,value:string>>")
+    return rows.mapInArrow(lean.batches(run), f"doc_id {kind}, n_candidates long, n_secrets long, secrets array<struct<start:bigint,end:bigint,score:double,value:string>>")
 
 
 def redact(docs: DataFrame, scanner: Scanner | None = None, text: str = "text", path: str = "source", n_chars: str | None = "n_chars", threshold: float = THRESHOLD, mark: str = MARK) -> DataFrame:
@@ -464,7 +464,7 @@ def redact(docs: DataFrame, scanner: Scanner | None = None, text: str = "text",
                 columns[size] = _replaced(batch.column(size), {k: len(v) for k, v in new.items()})
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return plain.mapInArrow(run, schema).toDF(*cols)
+    return plain.mapInArrow(lean.batches(run), schema).toDF(*cols)
 
 
 def _replaced(column: pa.Array, new: dict) -> pa.Array:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import packed
+from . import lean, packed
 from . import textops as T
 from .common import cut, shuffle_width
 from .induced import suffix_order
@@ -150,7 +150,7 @@ def _shared_anchors(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame
         keep = np.repeat(low != high, length) & (doc != _NONE)
         return _row(list(_by_group(doc[keep], h[keep], n_groups, n_buckets)))
 
-    return docs.select("doc_id", "text").mapInArrow(scan, _ROW).groupBy("bucket").applyInArrow(gather, _ROW).withColumn("bucket", F.col("bucket") - n_buckets)
+    return docs.select("doc_id", "text").mapInArrow(lean.batches(scan), _ROW).groupBy("bucket").applyInArrow(lean.group(gather), _ROW).withColumn("bucket", F.col("bucket") - n_buckets)
 
 
 def _by_group(doc: np.ndarray, h: np.ndarray, n_groups: int, offset: int) -> Iterator[tuple]:
@@ -207,7 +207,7 @@ def _contexts(docs: DataFrame, flags: DataFrame, n_buckets: int, n_groups: int)
         return _row(rows)
 
     grouped = docs.withColumn("gid", group_of(F.col("doc_id"), n_groups)).groupBy("gid")
-    return grouped.cogroup(flags.groupBy("bucket")).applyInArrow(run, _ROW)
+    return grouped.cogroup(flags.groupBy("bucket")).applyInArrow(lean.groups(run), _ROW)
 
 
 def _sort_shard(group: pa.Table, memory: int) -> list[tuple]:
@@ -291,7 +291,7 @@ def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
             return none
         return _merge(doc[hit], start[hit] + r_off[which], start[hit] + r_off[which] + r_count[which] - 1 + SPAN)
 
-    done = rows.groupBy("bucket").applyInArrow(shard, _ROW).groupBy("bucket").applyInArrow(spans, "doc_id long, n_removed long, n_spans long, spans binary")
+    done = rows.groupBy("bucket").applyInArrow(lean.group(shard), _ROW).groupBy("bucket").applyInArrow(lean.group(spans), "doc_id long, n_removed long, n_spans long, spans binary")
     return cut(done, "suffix-spans")
 
 
@@ -367,4 +367,4 @@ def _apply(plain: DataFrame, spans: DataFrame, of, column: str) -> DataFrame:
                     out.append(of(b"".join(parts)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(out, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", column.split()[0]])
 
-    return joined.select("doc_id", "text", "hit", "spans").mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {column}")
+    return joined.select("doc_id", "text", "hit", "spans").mapInArrow(lean.batches(run), f"doc_id long, n_bytes long, n_removed long, n_spans long, {column}")

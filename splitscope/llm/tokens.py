@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lean
 from . import textops as T
 from .common import cut, scratch_path
 
@@ -140,7 +141,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, doc_
                     digests = [hashlib.sha256(raw[offs[k] : offs[k + 1]]).digest() for k in range(j - i)]
                     yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([version] * (j - i)), pa.array(counts)], names=["digest", "tokenizer", "n_tokens"])
 
-        chosen.select("text").mapInArrow(run, _CACHE).write.mode("append").parquet(cache)
+        chosen.select("text").mapInArrow(lean.batches(run), _CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = cut(counts, "token-counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -30,6 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lean
 from .common import cut, scratch_path
 
 MIN_REVISIT = 100
@@ -175,7 +176,7 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, shard_by
 
     spark_fs, base = pafs.FileSystem.from_uri(root)
     spark_fs.create_dir(base, recursive=True)
-    manifest = cut(sorted_rows.mapInArrow(run, _MANIFEST), "warc-manifest")
+    manifest = cut(sorted_rows.mapInArrow(lean.batches(run), _MANIFEST), "warc-manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
@@ -188,7 +189,7 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, shard_by
                     raise OSError(f"{x['name']} holds {got.size} bytes, the manifest says {x['bytes']}")
             yield batch
 
-    manifest.mapInArrow(commit, _MANIFEST).write.mode("overwrite").parquet(f"{root}/_manifest")
+    manifest.mapInArrow(lean.batches(commit), _MANIFEST).write.mode("overwrite").parquet(f"{root}/_manifest")
     if spark_fs.get_file_info(f"{base}/_temporary").type == pafs.FileType.Directory:
         spark_fs.delete_dir(f"{base}/_temporary")
     return spark.read.schema(_MANIFEST).parquet(f"{root}/_manifest")
@@ -240,7 +241,7 @@ def read_warc(spark: SparkSession, root: str, payload: bool = True) -> DataFrame
                     yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     # names of the manifest are few and the join keeps whole files, so the small side is the manifest
-    return files.join(listed, "name", "left_semi").select("content").mapInArrow(run, schema)
+    return files.join(listed, "name", "left_semi").select("content").mapInArrow(lean.batches(run), schema)
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = 16 << 20, shard_bytes: int = 32 << 20) -> DataFrame:
