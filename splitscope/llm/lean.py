@@ -1,7 +1,8 @@
 """Task functions that hand their memory back.
 
 A Python worker outlives its tasks and keeps the pages of what it has freed.  Wrapped functions take large blocks from the system
-one by one, and return free pages at their end, so idle workers of earlier stages stay small beside the one at work.
+one by one, and return free pages at their end, so idle workers of earlier stages stay small beside the one at work.  Arrow batches
+of the session are kept to ``_ROWS`` rows where the default of ten thousand stands.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
-_LARGE = 4 << 20
+_LARGE = 32 << 20
+_ROWS = 1000  # of an Arrow batch: texts are long, and a batch has copies on both sides of the pipe
 
 
 @functools.cache
@@ -29,6 +32,13 @@ def _libc():
         return None
 
 
+def small_batches() -> None:
+    """Set the session's Arrow batches to ``_ROWS`` rows, unless they are set already."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and int(spark.conf.get(key)) > 5 * _ROWS:
+        spark.conf.set(key, str(_ROWS))
+
+
 def settle() -> None:
     _libc()
     pa.set_memory_pool(pa.system_memory_pool())
@@ -42,6 +52,7 @@ def release() -> None:
 
 def batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """For ``mapInArrow``."""
+    small_batches()
 
     def run(rows):
         settle()
