@@ -38,7 +38,7 @@ from .induced import suffix_order
 SPAN = 50
 K = 20
 BROADCAST_BYTES = 64 << 20
-SHARDS = 8  # per shuffle partition: sorting holds some seventy bytes for each byte of a shard
+SHARDS = 4  # per shuffle partition: sorting holds some seventy bytes for each byte of a shard
 _NONE = np.iinfo(np.int64).min
 _ROW = "bucket int, kind int, base long, a binary, b binary, c binary, d binary"
 _TEXTS, _HITS, _FLAGS = 0, 1, 2
@@ -260,7 +260,7 @@ def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
     """``doc_id, n_removed, n_spans, spans``: maximal removed runs of each document that has any (spans: int64 starts, then
     ends).  ``docs``: ``doc_id, text`` without nulls and without copies of whole texts."""
     width = shuffle_width(docs.sparkSession)
-    n_buckets, n_groups = SHARDS * width, 2 * width
+    n_buckets, n_groups = SHARDS * width, width
     rows = _contexts(docs, _shared_anchors(docs, n_buckets, n_groups), n_buckets, n_groups)
 
     def shard(group: pa.Table) -> pa.Table:
