@@ -29,15 +29,17 @@ def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = twins.six_digits(sql)
         return f
 
     return add
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, without a negative zero: engines add in different orders."""
-    return df.select(*((F.round(finite(F.col(f"`{f.name}`")), 6) + 0.0).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields))
+    """Doubles to six digits, without a negative zero: engines add in different orders.  Nine digits first, then steps that every engine
+    takes alike, so a value between two sixth digits goes the same way."""
+    six = lambda c: F.floor(F.round(finite(c), 9) * 1000000 + 0.5) / 1000000 + 0.0
+    return df.select(*(six(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields))
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +47,11 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basic descriptors and the irregularity components that are aggregates."""
+    """Basic descriptors and the irregularity components that are aggregates.  The components go to six digits here: z-scores of a component
+    that hardly varies would blow up the engines' last bits."""
     sr = inputs.train_splits(spark, sf_dir)
     profile = descriptors.profiles(sr.cells())
-    return descriptors.basic(sr).join(irregularity.profile_components(profile), SPLIT, "left").select(*SPLIT, *BASIC, *PARTS)
+    return descriptors.basic(sr).join(irregularity.profile_components(profile), SPLIT, "left").select(*SPLIT, *BASIC, *(F.round(c, 6).alias(c) for c in PARTS))
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +190,8 @@ _NUMBERS = ("discount", "price", "quantity", "tax")
 _EACH = " UNION ALL ".join(f"SELECT dataset, repeat, fold, '{a}{b}' AS pair, {a} AS x, {b} AS y FROM train WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a in _NUMBERS for b in _NUMBERS if a < b)
 
 
-@query(f"""WITH {twins.ROWS}, both AS ({_EACH}),
-r AS (SELECT dataset, repeat, fold, pair, abs({twins.correlation("x", "y")}) AS r FROM both GROUP BY ALL),
+@query(f"""WITH {twins.ROWS}, met AS ({_EACH}),
+r AS (SELECT dataset, repeat, fold, pair, abs({twins.correlation("x", "y")}) AS r FROM met GROUP BY ALL),
 s AS (SELECT dataset, repeat, fold, avg(r) AS mean_abs_corr, max(r) AS max_abs_corr, avg(CASE WHEN r > 0.9 THEN 1.0 ELSE 0.0 END) AS high_corr_pair_fraction FROM r WHERE r IS NOT NULL GROUP BY ALL)
 SELECT dataset, repeat, fold, {twins.r6("mean_abs_corr max_abs_corr high_corr_pair_fraction")} FROM s""")
 def corr_summary(spark, sf_dir):
@@ -283,8 +286,8 @@ def missing_by_dataset(spark, sf_dir):
 
 
 _MATRIX = f"""{twins.OBSERVATIONS},
-both AS (SELECT l.feature AS a, r.feature AS b, l.x AS va, r.x AS vb FROM obs l JOIN obs r USING (dataset) WHERE l.feature < r.feature AND l.x IS NOT NULL AND r.x IS NOT NULL),
-rk AS (SELECT a, b, {twins.average_rank("va", "a, b")} AS ra, {twins.average_rank("vb", "a, b")} AS rb FROM both),
+met AS (SELECT l.feature AS a, r.feature AS b, l.x AS va, r.x AS vb FROM obs l JOIN obs r USING (dataset) WHERE l.feature < r.feature AND l.x IS NOT NULL AND r.x IS NOT NULL),
+rk AS (SELECT a, b, {twins.average_rank("va", "a, b")} AS ra, {twins.average_rank("vb", "a, b")} AS rb FROM met),
 matrix AS (SELECT a, b, count(*) AS n, {twins.correlation("ra", "rb")} AS r FROM rk GROUP BY ALL HAVING count(*) >= 3)"""
 
 

@@ -96,7 +96,7 @@ d_irreg AS (
          CASE WHEN count(hmean) >= 2 THEN quantile_cont(hmean, 0.75) - quantile_cont(hmean, 0.25) END AS irreg_iqr_hmean, stddev_samp(kurt) AS irreg_kurtosis_std
   FROM profile WHERE kind = 'num' AND n_distinct > 1 GROUP BY ALL),
 described AS (
-  SELECT * FROM d_size JOIN d_target USING ({_K}) JOIN d_card USING ({_K}) JOIN d_missing USING ({_K}) JOIN d_shape USING ({_K}) JOIN d_info USING ({_K}) LEFT JOIN d_irreg USING ({_K}))"""
+  SELECT * FROM d_size JOIN d_target USING ({_K}) JOIN d_card USING ({_K}) JOIN d_missing USING ({_K}) JOIN d_shape USING ({_K}) JOIN d_info USING ({_K}) LEFT JOIN (SELECT {_K}, round(irreg_std_skew, 6) AS irreg_std_skew, round(irreg_range_skew, 6) AS irreg_range_skew, round(irreg_iqr_hmean, 6) AS irreg_iqr_hmean, round(irreg_kurtosis_std, 6) AS irreg_kurtosis_std FROM d_irreg) USING ({_K}))"""
 
 PARTS = [c for c in IRREGULARITY if c != "irreg_min_cov_eig"]
 FEATURES = [*BASIC, *PARTS]
@@ -179,3 +179,17 @@ def r6(columns: str | list[str]) -> str:
 
 
 GAP_NAMES = ", ".join(GAP_COLUMNS[:9])
+
+
+def six_digits(sql: str) -> str:
+    """Every ``round(x, 6) + 0.0`` as the steps of the queries: nine digits, then half up at the sixth."""
+    end = ", 6) + 0.0"
+    while end in sql:
+        stop = sql.index(end)
+        depth, at = 1, stop
+        while depth:
+            at -= 1
+            depth += {")": 1, "(": -1}.get(sql[at], 0)
+        inner = sql[at + 1 : stop]
+        sql = f"{sql[: at - len('round')]}floor(round({inner}, 9) * 1000000 + 0.5) / 1000000 + 0.0{sql[stop + len(end) :]}"
+    return sql
