@@ -35,6 +35,7 @@ from .common import cut, scratch_path
 
 MIN_REVISIT = 100
 CELLS = 1 << 14
+_STEP = 1 << 12
 _DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 _MANIFEST = "shard long, seq long, temp string, name string, records long, bytes long, sha256 string"
@@ -157,8 +158,7 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, shard_by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, same, refers, copy = _Files(root, roll_bytes), None, None, 0
         for batch in batches:
-            for x in range(batch.num_rows):
-                page_id, digest, kind, url, html, to, at = (batch.column(k)[x].as_py() for k in range(7))
+            for page_id, digest, kind, url, html, to, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (page_id, digest) != same:
                     same, refers, copy = (page_id, digest), None, 0
                 if kind == 0:
@@ -204,11 +204,16 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def records_of(blob: bytes) -> Iterator[dict]:
     """The records of one archive file."""
-    view = memoryview(blob)
-    while len(view):
-        z = zlib.decompressobj(31)
-        data = z.decompress(view) + z.flush()
-        view = view[len(view) - len(z.unused_data) :]
+    view, at = memoryview(blob), 0
+    while at < len(view):
+        z, parts, step = zlib.decompressobj(31), [], _STEP
+        while not z.eof:  # in steps: what follows a member is copied each time, so it must stay small
+            if at >= len(view):
+                raise ValueError("an archive ends within a record")
+            parts.append(z.decompress(view[at : at + step]))
+            at, step = min(len(view), at + step), 2 * step
+        at -= len(z.unused_data)
+        data = b"".join(parts)
         f, block = _parse(data)
         if f["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
             raise ValueError(f"block digest of {f['WARC-Record-ID']} differs")
