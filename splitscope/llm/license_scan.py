@@ -2,8 +2,8 @@
 
 1. *Training paragraphs*: variants of the templates of every licence family (other versions, names, years, case, dropped
    words, ordinary words around) and, as the class *unknown*, paragraphs of the corpus that hold no licence word, plus
-   ordinary sentences about licences.  Corpus paragraphs are a sample of at most ``MAX_UNKNOWN``, chosen by hash: the only bounded
-   sample of the operator.
+   ordinary sentences about licences.  Corpus paragraphs are a sample of at most ``MAX_UNKNOWN`` from about as many documents,
+   chosen by hash: the only bounded sample of the operator.
 2. *Classifier*: hashed word 1- to 3-grams, Spark's multinomial logistic regression.
 3. *Calibration*: on paragraphs held out of the fit, a temperature makes the probabilities honest (least log loss), and the
    least probability is chosen at which no more than ``FALSE_SHARE`` of the accepted paragraphs are wrong; below it a
@@ -222,10 +222,11 @@ def train(spark: SparkSession, rows: list[tuple[str, str]], seed: int = SEED) ->
 
 def default_classifier(docs: DataFrame, text: str = "text") -> Classifier:
     """A classifier for this corpus: its unknown class is learnt from paragraphs of the corpus."""
-    lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("p")).where(F.length(F.trim("p")) > 0).where(~F.col("p").rlike(_LICENCE_WORD))
-    key = F.xxhash64("p")
-    share = lines.where(F.octet_length("p") <= MAX_PARAGRAPH).select("p", key.alias("k"))
-    rows = share.orderBy("k", "p").limit(MAX_UNKNOWN).collect()
+    body = F.col(text).cast("string")
+    every = max(1, docs.count() // MAX_UNKNOWN)  # about MAX_UNKNOWN documents by the hash of their text, of however many
+    some = docs.select(body.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+    lines = some.select(F.explode(F.split("t", "\n")).alias("p")).where((F.length(F.trim("p")) > 0) & (F.octet_length("p") <= MAX_PARAGRAPH) & ~F.col("p").rlike(_LICENCE_WORD))
+    rows = lines.orderBy(F.xxhash64("p"), "p").limit(MAX_UNKNOWN).collect()
     return train(docs.sparkSession, examples([r["p"] for r in rows]))
 
 
