@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, decontaminate, license_scan, mixing, ngram_join, quality, secret_scan, suffix_dedup, tokens, warc
+from . import brown_lm, decontaminate, license_scan, mixing, ngram_join, oracles, quality, secret_scan, suffix_dedup, tokens, warc
 from .common import table
 
 
@@ -57,4 +57,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op5_secret_scan, op6_license_scan, op7_quality_rules, op8_mixing, op9_suffix_dedup, op10_decontamination)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": oracles.JACCARD, "op4_warc": oracles.WARC, "op7_quality_rules": oracles.QUALITY}
