@@ -50,6 +50,12 @@ def release() -> None:
         _libc().malloc_trim(0)
 
 
+def _named(run, f):
+    """``run`` under the name of ``f``, which plans show."""
+    run.__name__ = run.__qualname__ = f.__name__
+    return run
+
+
 def batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """For ``mapInArrow``."""
     small_batches()
@@ -61,7 +67,7 @@ def batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         finally:
             release()
 
-    return run
+    return _named(run, f)
 
 
 def group(f: Callable[[pa.Table], pa.Table]):
@@ -74,7 +80,7 @@ def group(f: Callable[[pa.Table], pa.Table]):
         finally:
             release()
 
-    return run
+    return _named(run, f)
 
 
 def groups(f: Callable[[tuple, pa.Table, pa.Table], pa.Table]):
@@ -87,4 +93,4 @@ def groups(f: Callable[[tuple, pa.Table, pa.Table], pa.Table]):
         finally:
             release()
 
-    return run
+    return _named(run, f)

@@ -220,39 +220,56 @@ def _sort_shard(group: pa.Table, memory: int) -> list[tuple]:
         low.append(packed.unsmall(a))
         high.append(packed.unsmall(b))
     index, low, high, size = map(np.concatenate, (index, low, high, size))
-    n = int(size.sum()) + len(size)
+    # groups of documents hold the same texts: each distinct one is sorted once
+    data = np.frombuffer(b"".join(group.column("d").to_pylist()), np.uint8)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    _, rep, copy = np.unique(T.span_hash(data, start, start + size), return_index=True, return_inverse=True)
+    by_text = np.argsort(copy, kind="stable")
+    edge = np.concatenate(([0], np.cumsum(np.bincount(copy, minlength=len(rep)))))
+    one_low, one_high = np.minimum.reduceat(low[by_text], edge[:-1]), np.maximum.reduceat(high[by_text], edge[:-1])
+    length = size[rep]
+    n = int(length.sum()) + len(rep)
     text = np.ones(n + 1, dtype=np.uint16)  # 1 ends a text, 0 the shard
     text[n] = 0
-    begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    inner = np.ones(n, dtype=bool)
-    inner[begin + size] = False
-    text[:n][inner] = np.frombuffer(b"".join(group.column("d").to_pylist()), np.uint8).astype(np.uint16) + 2
-    sa, lcp = suffix_order(text, 258, SPAN, memory)
-    run = np.cumsum(lcp < SPAN)
+    begin = np.concatenate(([0], np.cumsum(length + 1)[:-1])).astype(np.int32)
+    owner = np.repeat(np.arange(len(rep), dtype=np.int32), length + 1)
+    place = np.arange(n, dtype=np.int32) - begin[owner]
+    inner = place < length[owner]
+    text[:n][inner] = data[(start[rep][owner] + place)[inner]].astype(np.uint16) + 2
+    del data
     room = np.zeros(n + 1, dtype=bool)  # strings that end inside their text
-    room[:n] = np.arange(n) - begin[owner] <= size[owner] - SPAN
+    room[:n] = place <= length[owner] - SPAN
+    del place, inner
+    sa, lcp = suffix_order(text, 258, SPAN, memory)
+    run = np.cumsum(lcp < SPAN, dtype=np.int32)
     ok = room[sa]
     sa, run = sa[ok], run[ok]
-    first, length = packed.runs(run)
+    first, many = packed.runs(run)
     if not len(first):
         return []
     least = np.empty(n + 1, dtype=np.int64)
-    least[sa] = np.repeat(np.minimum.reduceat(low[owner[sa]], first), length)
+    least[sa] = np.repeat(np.minimum.reduceat(one_low[owner[sa]], first), many)
     at = np.flatnonzero(room)
     who, least = owner[at], least[at]
-    hit = least < high[who]
+    hit = least < one_high[who]
     at, who, least = at[hit], who[hit], least[hit]
     if not len(at):
         return []
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (who[1:] != who[:-1]))))
     count = np.diff(np.append(new, len(at)))
-    at, who, least = at[new], who[new], least[new]
+    at, who, least = at[new] - begin[who[new]], who[new], least[new]
+    # back to every copy that has a document after the least
+    times = edge[who + 1] - edge[who]
+    which = np.repeat(np.arange(len(who)), times)
+    who = by_text[np.repeat(edge[who] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
+    at, count, least = at[which], count[which], least[which]
+    hit = least < high[who]
+    at, who, least, count = at[hit], who[hit], least[hit], count[hit]
     out = []
     for g in np.unique(gid[who]).tolist():
         m = gid[who] == g
         w = who[m]
-        out.append((int(g), packed.small(index[w]), (at[m] - begin[w]).astype(np.uint8).tobytes(), count[m].astype(np.uint8).tobytes(), packed.small(least[m])))
+        out.append((int(g), packed.small(index[w]), at[m].astype(np.uint8).tobytes(), count[m].astype(np.uint8).tobytes(), packed.small(least[m])))
     return out
 
 
