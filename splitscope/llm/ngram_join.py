@@ -62,7 +62,7 @@ def first_level(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, (n * FIRST_LEVEL + 99) // 100)
 
 
-def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int) -> DataFrame:
+def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int, n_groups: int) -> DataFrame:
     """``doc_id, n, sig, shared, demand``: set size, signature, shared prefix elements, and how many a link demands."""
 
     def emit(tok: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -122,21 +122,45 @@ def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int) -> Da
             d, k = np.unique(doc[np.repeat(length > 1, length) & (doc != _SHARED)], return_counts=True)
             ids.append(d)
             counts.append(k)
-        d = np.concatenate([*ids, *(x[0] for x in info)]) if ids or info else np.zeros(0, np.int64)
-        m = sum(map(len, ids))
-        nulls = np.arange(len(d)) < m
-        n = np.concatenate([np.zeros(m, np.int64), *(x[1] for x in info)])
-        sig = np.concatenate([np.zeros(m, np.int64), *(x[2] for x in info)])
-        k = np.concatenate([*counts, np.zeros(len(d) - m, np.int64)]).astype(np.int64)
-        return pa.table({"doc_id": pa.array(d), "n": pa.array(n, mask=nulls), "sig": pa.array(sig, mask=nulls), "shared": pa.array(k)})
+        out = []
+        if ids:
+            d, k = np.concatenate(ids), np.concatenate(counts)
+            out += [(g, 0, packed.small(d[m]), packed.small(k[m]), b"") for g, m in _by_group(d, n_groups)]
+        if info:
+            d, n, sig = (np.concatenate([x[c] for x in info]) for c in range(3))
+            out += [(g, 1, packed.small(d[m]), packed.small(n[m]), packed.small(sig[m])) for g, m in _by_group(d, n_groups)]
+        return pa.Table.from_batches([_pack(out)])
+
+    def add(group: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {0: [], 1: []}
+        for kind, a, b, c in zip(*(group.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
+            parts[kind].append((packed.unsmall(a), packed.unsmall(b), packed.unsmall(c)))
+        d, n, sig = (np.concatenate([x[c] for x in parts[1]]) if parts[1] else np.zeros(0, np.int64) for c in range(3))
+        order = np.lexsort((sig, n, d))  # of rows that share an id the largest (size, signature) stands for it
+        d, n, sig = d[order], n[order], sig[order]
+        last = np.flatnonzero(np.append(d[1:] != d[:-1], True)) if len(d) else np.zeros(0, np.int64)
+        d, n, sig = d[last], n[last], sig[last]
+        shared = np.zeros(len(d), dtype=np.int64)
+        for x, k, _ in parts[0]:
+            np.add.at(shared, np.searchsorted(d, x), k)
+        return pa.table({"doc_id": pa.array(d), "n": pa.array(n), "sig": pa.array(sig), "shared": pa.array(shared)})
 
     rows = docs.where("doc_id is not null").mapInArrow(lean.batches(scan), _PACK)
-    found = rows.groupBy("bucket").applyInArrow(lean.group(gather), "doc_id long, n long, sig long, shared long")
-    out = found.groupBy("doc_id").agg(F.max(F.struct("n", "sig")).alias("s"), F.sum("shared").alias("shared")).select("doc_id", F.col("s.n").alias("n"), F.col("s.sig").alias("sig"), "shared")
+    found = rows.groupBy("bucket").applyInArrow(lean.group(gather), _PACK)
+    out = found.groupBy("bucket").applyInArrow(lean.group(add), "doc_id long, n long, sig long, shared long")
     least = F.ceil(F.col("n") * percent / 100)
     return cut(out.withColumn("demand", F.greatest(F.lit(1), F.ceil(least * FIRST_LEVEL / 100))), "ngram-docs")
 
 
+def _by_group(doc: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The hash groups of documents that occur, with the places of their members."""
+    g = ((doc ^ (doc >> 7) ^ (doc >> 17) ^ (doc >> 31)) % n).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    first, length = packed.runs(g[order])
+    for f, k in zip(first.tolist(), length.tolist(), strict=True):
+        yield int(g[order[f]]), order[f : f + k]
+
+
 def _pack(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "a", "b", "c"])
@@ -356,7 +380,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     width_of = shuffle_width(spark)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scanned = _first_pass(plain, width, percent, 4 * width_of)
+    scanned = _first_pass(plain, width, percent, 4 * width_of, width_of)
     copies = cut(scanned.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k"), F.max("shared").alias("shared"), F.max("demand").alias("demand")).select("rep", "n", "sig", "k", (F.col("shared") >= F.col("demand")).alias("alive")), "ngram-copies")
     sets = _sets(plain, copies.where("alive").select(F.col("rep").alias("ent")), width, 2 * width_of)
     ranked = _frequencies(sets, 2 * width_of, percent)
