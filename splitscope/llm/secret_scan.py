@@ -9,7 +9,9 @@
    Nothing is shuffled.
 
 A candidate is a run of ``[A-Za-z0-9+/_=.-]`` of at least ``MIN_LENGTH`` characters that has a digit or mixed case, or the value (8 characters
-at least) of an assignment whose name speaks of a secret.  Runs are never cut: a run of any length is one candidate.
+at least) of an assignment whose name speaks of a secret.  Runs of any length are one candidate, but for a name and ``=`` before a value.  An
+assigned value wins over the runs that it overlaps: it is one candidate to its end, whatever signs it holds, scored as the likeliest
+of itself and the runs and values inside it.
 
 The corpus holds no labelled findings; :func:`labelled_findings` makes them from public token formats and from shapes that are
 often mistaken for secrets, with neighbouring words from the corpus dictionary.  Real findings can be passed instead.
@@ -21,6 +23,7 @@ gives an empty result and an empty dictionary; extra columns pass through :func:
 from __future__ import annotations
 
 import base64
+import bisect
 import math
 import random
 import re
@@ -66,6 +69,7 @@ CONFIG_ENDS = (".env", ".yml", ".yaml", ".json", ".cfg", ".ini", ".pem", ".toml"
 
 _NAME = re.compile(rb"(?:key|secret|token|password|passwd|pwd|auth|credential)[\w.-]{0,24}[\"']?[ \t]{0,3}$", re.I)
 _VALUE = re.compile(rb"[:=>]{0,2}[ \t]{0,3}[\"']?([^\s\"'<>,;]{8,})")
+_HEAD = re.compile(rb"[A-Za-z_][\w.-]{0,39}=+")
 _UUID = re.compile(rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+[0-9]*")
 
@@ -183,45 +187,58 @@ def features(before: bytes, word: bytes, after: bytes, path: bytes, corpus: Corp
 
 def block_candidates(buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     """``(text index, start, end)`` of the candidates of a block, in order, without overlaps."""
+    return [c for c, _ in _with_parts(buf, offs)]
+
+
+def _with_parts(buf: np.ndarray, offs: np.ndarray) -> list[tuple[tuple[int, int, int], list[tuple[int, int, int]]]]:
+    """The candidates, each with the shaped runs and values that lie inside an assigned value: they are judged too, and any of them speaks
+    for the whole value."""
+    raw = buf.tobytes()
+    out = _assigned(buf, offs, raw)
+    begins = [v[1] for v, _ in out]
     s, e, doc = T.spans(~_TOKEN[buf], offs)
     fit = e - s >= MIN_LENGTH
-    s, e, doc = s[fit], e[fit], doc[fit]
-    out: list[tuple[int, int, int]] = []
-    raw = buf.tobytes()
-    for a, z, d in zip(s.tolist(), e.tolist(), doc.tolist(), strict=True):
-        a += len(raw[a:z]) - len(raw[a:z].lstrip(b"./_-="))
-        z = a + len(raw[a:z].rstrip(b"./_-"))
-        if z - a < MIN_LENGTH:
-            continue
-        x = buf[a:z]
-        if _DIGIT[x].any() or (_UPPER[x[1:]].any() and _LOW[x].any()):
-            out.append((d, a, z))
-    at = np.flatnonzero((buf == 0x3D) | (buf == 0x3A))
-    if len(at):
-        held = np.searchsorted(offs, at, side="right") - 1
-        edges = set()
-        for p, d in zip(at.tolist(), held.tolist(), strict=True):
-            lo, hi = int(offs[d]), int(offs[d + 1])
-            if _NAME.search(raw[max(lo, p - 40) : p]):
-                m = _VALUE.match(raw, p + 1, hi)
-                if m:
-                    edges.add((d, m.start(1), m.end(1)))
-        if edges:
-            out = _without_overlaps(out, sorted(edges))
-    return out
+    for a, z, d in zip(s[fit].tolist(), e[fit].tolist(), doc[fit].tolist(), strict=True):
+        k = bisect.bisect_left(begins, z) - 1  # a value ends at no byte of a run, so the last one that begins before the run's end decides
+        if k >= 0 and out[k][0][2] > a:
+            value, parts = out[k]
+            parts += [c for c in _shaped(buf, raw, d, max(a, value[1]), z) if c != value]
+            edge = value[1]
+        else:
+            m = _HEAD.match(raw, a, z)
+            edge = m.end() if m and _shaped(buf, raw, d, m.end(), z) else a
+            out += [(c, []) for c in _shaped(buf, raw, d, edge, z)]
+        if edge > a:  # a name is judged by itself if it has the shape of a secret
+            out += [(c, []) for c in _shaped(buf, raw, d, a, a + len(raw[a:edge].rstrip(b"=")))]
+    return sorted(out)
+
+
+def _shaped(buf: np.ndarray, raw: bytes, d: int, a: int, z: int) -> list[tuple[int, int, int]]:
+    """The run as a candidate, if it is long enough and has a digit or mixed case."""
+    a += len(raw[a:z]) - len(raw[a:z].lstrip(b"./_-="))
+    z = a + len(raw[a:z].rstrip(b"./_-"))
+    x = buf[a:z]
+    return [(d, a, z)] if z - a >= MIN_LENGTH and (_DIGIT[x].any() or (_UPPER[x[1:]].any() and _LOW[x].any())) else []
 
 
-def _without_overlaps(shaped: list, assigned: list) -> list:
-    """Assigned values that touch no shaped candidate, and all shaped ones."""
-    begins = np.array([x[1] for x in shaped], dtype=np.int64)
-    ends = np.array([x[2] for x in shaped], dtype=np.int64)
-    last, more = -1, []
-    for d, a, z in assigned:
-        k = int(np.searchsorted(ends, a, side="right"))
-        if a >= last and (k >= len(begins) or begins[k] >= z):
-            more.append((d, a, z))
-            last = z
-    return sorted(shaped + more)
+def _assigned(buf: np.ndarray, offs: np.ndarray, raw: bytes) -> list[tuple[tuple[int, int, int], list[tuple[int, int, int]]]]:
+    """The values of assignments in order, each with the values of assignments inside it."""
+    at = np.flatnonzero((buf == 0x3D) | (buf == 0x3A))
+    held = np.searchsorted(offs, at, side="right") - 1
+    edges = set()
+    for p, d in zip(at.tolist(), held.tolist(), strict=True):
+        lo, hi = int(offs[d]), int(offs[d + 1])
+        if _NAME.search(raw[max(lo, p - 40) : p]):
+            m = _VALUE.match(raw, p + 1, hi)
+            if m:
+                edges.add((d, m.start(1), m.end(1)))
+    out: list = []
+    for v in sorted(edges):
+        if out and v[1] < out[-1][0][2]:
+            out[-1][1].append(v)
+        else:
+            out.append((v, []))
+    return out
 
 
 # --- labelled findings ----------------------------------------------------------------------------------------
@@ -347,13 +364,15 @@ class Scanner:
 
     def scan(self, buf: np.ndarray, offs: np.ndarray, paths: list[str | None]) -> list[tuple[int, int, int, float]]:
         """``(text index, start, end, score)`` of every candidate of a block."""
-        found = block_candidates(buf, offs)
-        out = []
-        for at in range(0, len(found), 1024):
-            part = found[at : at + 1024]
-            x = np.array([self._features(buf, offs, *c, paths[c[0]]) for c in part])
-            out += [(*c, float(v)) for c, v in zip(part, self.forest.score(x), strict=True)]
-        return out
+        found = _with_parts(buf, offs)
+        judged = [(k, c) for k, (whole, parts) in enumerate(found) for c in (whole, *parts)]
+        best = [0.0] * len(found)
+        for at in range(0, len(judged), 1024):
+            part = judged[at : at + 1024]
+            x = np.array([self._features(buf, offs, *c, paths[c[0]]) for _, c in part])
+            for (k, _), v in zip(part, self.forest.score(x).tolist(), strict=True):
+                best[k] = max(best[k], v)
+        return [(*c, v) for (c, _), v in zip(found, best, strict=True)]
 
     def _features(self, buf: np.ndarray, offs: np.ndarray, d: int, a: int, z: int, path: str | None) -> list[float]:
         lo, hi = max(int(offs[d]), a - _NEAR), min(int(offs[d + 1]), z + _NEAR)

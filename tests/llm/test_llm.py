@@ -315,6 +315,30 @@ def test_secrets(spark, docs, texts, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_secrets_assigned_values_are_whole(spark, docs):
+    """A value with other signs than a run's, with or without spaces and quotes, is one candidate without its name, and goes whole."""
+
+    def candidates(t):
+        b = t.encode()
+        return [b[a:z].decode() for _, a, z in secret_scan.block_candidates(np.frombuffer(b, np.uint8), np.array([0, len(b)]))]
+
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    values = ["Ab3!kT9#mQ2$", "s3cr!etPartWith16charsX1", "q7@Zk%4*Lm?9&Xt!", key, "aB3" * 8 + "#x!Y2"]
+    forms = ["client_secret={}", "password = \"{}\"", "api_key='{}'", "auth_token: {}", "token:{}"]
+    for form in forms:
+        for v in values:
+            assert candidates("ka lo " + form.format(v) + " mi") == [v], (form, v)
+    assert candidates(f"sha256={key} mi") == [key] and candidates(f"x={key[:12]}Abcd") == [f"x={key[:12]}Abcd"[2:]]
+    assert candidates(f"{key}token=abcdefgh!1") == [key + "token", "abcdefgh!1"]  # nothing before a value is lost
+    scanner = secret_scan.default_scanner(docs)
+    rows = [(i, f"ka lo mi {f.format(v)} tu re sa", "config/prod.env") for i, (f, v) in enumerate((f, v) for f in forms for v in values)]
+    clean = [r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string"), scanner).orderBy("doc_id").collect()]
+    want = [f"ka lo mi {f.format(secret_scan.MARK)} tu re sa" for f in forms for _ in values]
+    for got, right, (_, t, _) in zip(clean, want, rows, strict=True):
+        assert got in (right, t)  # all of the value or nothing
+    assert sum(g == w for g, w in zip(clean, want, strict=True)) >= 0.9 * len(want)
+
+
 def test_licences(spark, docs, empty):
     c = license_scan.default_classifier(docs)
     test = license_scan.examples(["ka lo mi tu"], seed=99)
