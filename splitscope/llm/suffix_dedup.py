@@ -10,7 +10,8 @@ suffix tuples would not fit the disk, so strings are *routed* before they are so
 3. Around each shared anchor the text of the strings it owns (at most ``2 * SPAN - K`` bytes) goes, once per group of
    documents, to the shard of the anchor's hash range.  A shard sorts the suffixes of its texts by external induced
    sorting (:mod:`.induced`); runs of suffixes whose common prefix is at least ``SPAN`` are equal strings, and the least
-   id of a run tells which of its strings are removed.
+   id of a run tells which of its strings are removed.  An anchor with more than ``HOT`` occurrences is split: each of its strings goes by
+   itself to the shard of the hash of all its bytes, which equal strings share.
 4. The verdicts return to the groups, where they become spans of documents, and the spans meet the texts.
 
 Broadcast: only the spans, and only while their measured size is below ``BROADCAST_BYTES``; beyond it they are joined by a shuffle.
@@ -38,10 +39,13 @@ from .induced import suffix_order
 SPAN = 50
 K = 20
 BROADCAST_BYTES = 64 << 20
-SHARDS = 4  # per shuffle partition: sorting holds some seventy bytes for each byte of a shard
+SHARDS = 4  # per shuffle partition: sorting holds some hundred bytes for each byte of a shard
+HOT = 1 << 14
+MANY = 4  # occurrences within a flush from which they are counted
+CHUNK = 1 << 22  # bytes of contexts that are cut out at once
 _NONE = np.iinfo(np.int64).min
 _ROW = "bucket int, kind int, base long, a binary, b binary, c binary, d binary"
-_TEXTS, _HITS, _FLAGS = 0, 1, 2
+_TEXTS, _HITS, _FLAGS, _HOT = 0, 1, 2, 3
 
 
 def _row(rows: list[tuple]) -> pa.Table:
@@ -108,11 +112,17 @@ def _long_anchors(buf, offs, span, k):
 
 
 def _shared_anchors(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
-    """Rows ``bucket (= group of documents), a: ids, b: hashes`` of the anchors that several documents hold."""
+    """Rows ``bucket (= group of documents), a: ids, b: hashes`` of the anchors that several documents hold, and rows of the kind ``_HOT``
+    (a: hashes, b: occurrences) of those with more than ``HOT`` occurrences."""
+    hot = HOT
 
     def emit(h: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
+        first, length = packed.runs(h)
+        many, times = h[first[length >= MANY]], length[length >= MANY]
+        at = packed.edges(many, n_buckets)
+        counts = [(n_buckets + n_groups + b, _HOT, 0, packed.planes(many[at[b] : at[b + 1]]), packed.small(times[at[b] : at[b + 1]]), b"", b"") for b in range(n_buckets) if at[b + 1] > at[b]]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
         h, doc = h[new], doc[new]
         first, length = packed.runs(h)
@@ -121,7 +131,7 @@ def _shared_anchors(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame
         h, doc = h[first], np.where(length > 1, _NONE, doc[first])
         at = packed.edges(h, n_buckets)
         rows += [(b, _TEXTS, 0, packed.planes(h[at[b] : at[b + 1]]), packed.small(doc[at[b] : at[b + 1]]), b"", b"") for b in range(n_buckets) if at[b + 1] > at[b]]
-        yield from _row(rows).to_batches()
+        yield from _row(rows + counts).to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, owners, size = [], [], 0
@@ -139,7 +149,13 @@ def _shared_anchors(docs: DataFrame, n_buckets: int, n_groups: int) -> DataFrame
             yield from emit(np.concatenate(hashes), np.concatenate(owners))
 
     def gather(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() >= n_buckets:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket >= n_buckets + n_groups:
+            h, place = np.unique(np.concatenate([packed.unplanes(x) for x in group.column("a").to_pylist()]), return_inverse=True)
+            times = np.zeros(len(h), np.int64)
+            np.add.at(times, place, np.concatenate([packed.unsmall(x) for x in group.column("b").to_pylist()]))
+            return _row([(bucket, _HOT, 0, packed.planes(h[times > hot]), packed.small(times[times > hot]), b"", b"")] if (times > hot).any() else [])
+        if bucket >= n_buckets:
             return group
         h = np.concatenate([packed.unplanes(x) for x in group.column("a").to_pylist()])
         doc = np.concatenate([packed.unsmall(x) for x in group.column("b").to_pylist()])
@@ -163,7 +179,31 @@ def _by_group(doc: np.ndarray, h: np.ndarray, n_groups: int, offset: int) -> Ite
         yield (offset + int(g[f]), _FLAGS, 0, packed.small(doc[f : f + n][o]), packed.planes(h[f : f + n][o]), b"", b"")
 
 
-def _contexts(docs: DataFrame, flags: DataFrame, n_buckets: int, n_groups: int) -> DataFrame:
+def _cut_out(buf: np.ndarray, h: np.ndarray, start: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    """The contexts of anchors in chunks: number of the anchor, hash that routes it, hash of the context, start, size, where its text begins
+    in the chunk's distinct texts, and these."""
+    if not len(h):
+        return
+    heated = np.isin(h, hot)
+    cost = np.cumsum(np.where(heated, n * SPAN, n + SPAN - 1))
+    edge = np.flatnonzero(np.concatenate(([True], np.diff((cost - 1) // CHUNK) > 0)))
+    for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(h)).tolist(), strict=True):
+        which, route, s, size = np.arange(lo, hi), h[lo:hi], start[lo:hi], n[lo:hi] + SPAN - 1
+        if heated[lo:hi].any():  # every string of a hot anchor is a context of its own
+            own = np.where(heated[lo:hi], n[lo:hi], 1)
+            step = np.arange(own.sum()) - np.repeat(np.concatenate(([0], np.cumsum(own)[:-1])), own)
+            which, s = np.repeat(which, own), np.repeat(s, own) + step
+            one = heated[which]
+            route, size = h[which], np.where(one, SPAN, n[which] + SPAN - 1)
+            route[one] = T.mix(T.span_hash(buf, s[one], s[one] + SPAN))
+        content = T.span_hash(buf, s, s + size)
+        _, first, copy = np.unique(content, return_index=True, return_inverse=True)
+        width = size[first]
+        begin = np.concatenate(([0], np.cumsum(width)[:-1]))
+        yield which, route, content, s, size, begin[copy], buf[np.repeat(s[first] - begin, width) + np.arange(width.sum())]
+
+
+def _contexts(docs: DataFrame, flags: DataFrame, hot: np.ndarray, n_buckets: int, n_groups: int) -> DataFrame:
     """Per group of documents: the distinct texts around its shared anchors, by shard, and where they stand."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -172,20 +212,18 @@ def _contexts(docs: DataFrame, flags: DataFrame, n_buckets: int, n_groups: int)
         shared = np.unique(np.concatenate([packed.unplanes(x) for x in right.column("b").to_pylist()]))
         gid = left.column("gid")[0].as_py()
         ids = left.column("doc_id").to_numpy()
-        parts = []
+        parts, room = [], 0
         for i, _, buf, offs in T.blocks(left.column("text")):
             h, d, start, n = anchors(buf, offs)
             at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
             hit = shared[at] == h
             h, d, start, n = h[hit], d[hit], start[hit], n[hit]
-            size = n + SPAN - 1
-            pick = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            parts.append((h, T.span_hash(buf, start, start + size), ids[i + d], start - offs[d], size, buf[pick]))
-        h, content, doc, start, size = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        data = np.concatenate([p[5] for p in parts])
-        if not len(h):
+            for which, route, content, s, size, begin, data in _cut_out(buf, h, start, n, hot):
+                parts.append((route, content, ids[i + d[which]], s - offs[d[which]], size, begin + room, data))
+                room += len(data)
+        if not parts:
             return _row([])
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        h, content, doc, start, size, begin, data = (np.concatenate([p[k] for p in parts]) for k in range(7))
         order = np.lexsort((content, h))  # by anchor, then content: shards are slices
         hs, cs = h[order], content[order]
         new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])))
@@ -278,7 +316,11 @@ def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
     ends).  ``docs``: ``doc_id, text`` without nulls and without copies of whole texts."""
     width = shuffle_width(docs.sparkSession)
     n_buckets, n_groups = SHARDS * width, width
-    rows = _contexts(docs, _shared_anchors(docs, n_buckets, n_groups), n_buckets, n_groups)
+    found = cut(_shared_anchors(docs, n_buckets, n_groups), "suffix-anchors")
+    flags = found.where(F.col("kind") == _FLAGS)
+    heated = found.where(F.col("kind") == _HOT).select("a").collect()  # one anchor of more than HOT
+    hot = np.concatenate([np.zeros(0, np.uint64), *(packed.unplanes(r["a"]) for r in heated)])
+    rows = _contexts(docs, flags, hot, n_buckets, n_groups)
 
     def shard(group: pa.Table) -> pa.Table:
         b = group.column("bucket")[0].as_py()

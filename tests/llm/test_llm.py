@@ -246,6 +246,37 @@ def test_suffix_dedup(spark, docs, texts, empty):
     assert suffix_dedup.dedup_report(empty).count() == 0
 
 
+def _phrase_rows():
+    """A phrase of 45 bytes between differing neighbours, some of them alike, and a long run of one byte."""
+    r = random.Random(6)
+    phrase = "all rights to this text are with its authors."
+    some = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    rows = [(i, some(r.randint(40, 90)) + phrase + some(r.randint(40, 90))) for i in range(200)]
+    rows += [(200 + i, some(30) + t[20:] + some(9)) for i, t in rows[::9]] + [(300, "=" * 4000), (301, some(20) + "=" * 300), (302, (some(40) + phrase) * 9)]
+    return rows
+
+
+def test_suffix_dedup_hot_anchor(spark, monkeypatch):
+    """The strings of a hot anchor are dealt to all shards, and the result is the same."""
+    rows = _phrase_rows()
+    some = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    flags = suffix_dedup._shared_anchors(some, 8, 2).where(f"kind = {suffix_dedup._FLAGS}")
+
+    def largest(hot):
+        load = Counter()
+        for r in suffix_dedup._contexts(some, flags, hot, 8, 2).where("bucket < 8").collect():
+            load[r.bucket] += len(r.d)
+        return max(load.values()) / sum(load.values())
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    found = suffix_dedup._shared_anchors(some, 8, 2).where(f"kind = {suffix_dedup._HOT}").collect()
+    hot = np.concatenate([suffix_dedup.packed.unplanes(r.a) for r in found])
+    assert largest(np.zeros(0, np.uint64)) > 0.4 and largest(hot) < 0.25
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_report(some).collect()}
+    assert got == plain_dedup(rows) and any(v[1] for v in got.values())
+
+
 @pytest.mark.parametrize("memory", [1 << 20, 64])  # the second spills every queue
 def test_induced_order(memory):
     r = np.random.default_rng(2)
