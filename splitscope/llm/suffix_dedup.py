@@ -11,7 +11,7 @@ suffix tuples would not fit the disk, so strings are *routed* before they are so
    documents, to the shard of the anchor's hash range.  A shard sorts the suffixes of its texts by external induced
    sorting (:mod:`.induced`); runs of suffixes whose common prefix is at least ``SPAN`` are equal strings, and the least
    id of a run tells which of its strings are removed.  An anchor with more than ``HOT`` occurrences is split: each of its strings goes by
-   itself to the shard of the hash of all its bytes, which equal strings share.
+   itself to the shard of the hash of all its bytes, which equal strings share.  The number of shards follows the counted contexts.
 4. The verdicts return to the groups, where they become spans of documents, and the spans meet the texts.
 
 Broadcast: only the spans, and only while their measured size is below ``BROADCAST_BYTES``; beyond it they are joined by a shuffle.
@@ -39,7 +39,8 @@ from .induced import suffix_order
 SPAN = 50
 K = 20
 BROADCAST_BYTES = 64 << 20
-SHARDS = 4  # per shuffle partition: sorting holds some hundred bytes for each byte of a shard
+SHARDS = 4  # per shuffle partition, at least: sorting holds some hundred bytes for each byte of a shard
+SHARD_BYTES = 8 << 20  # bytes of contexts for which a further shard is made
 HOT = 1 << 14
 MANY = 4  # occurrences within a flush from which they are counted
 CHUNK = 1 << 22  # bytes of contexts that are cut out at once
@@ -318,8 +319,11 @@ def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
     n_buckets, n_groups = SHARDS * width, width
     found = cut(_shared_anchors(docs, n_buckets, n_groups), "suffix-anchors")
     flags = found.where(F.col("kind") == _FLAGS)
-    heated = found.where(F.col("kind") == _HOT).select("a").collect()  # one anchor of more than HOT
+    heated = found.where(F.col("kind") == _HOT).select("a", "b").collect()  # one anchor of more than HOT
     hot = np.concatenate([np.zeros(0, np.uint64), *(packed.unplanes(r["a"]) for r in heated)])
+    shared = (flags.agg(F.sum(F.octet_length("a"))).first()[0] or 0) // 8
+    n_bytes = shared * (2 * SPAN - K) + sum(int(packed.unsmall(r["b"]).sum()) for r in heated) * SPAN * (SPAN - K + 1)
+    n_buckets = max(n_buckets, -(-n_bytes // SHARD_BYTES))
     rows = _contexts(docs, flags, hot, n_buckets, n_groups)
 
     def shard(group: pa.Table) -> pa.Table:

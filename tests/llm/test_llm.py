@@ -277,6 +277,19 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     assert got == plain_dedup(rows) and any(v[1] for v in got.values())
 
 
+def test_suffix_dedup_shards_follow_the_data(spark, monkeypatch):
+    """More contexts make more shards at the same shuffle width."""
+    rows, counts = _phrase_rows(), []
+    plain = suffix_dedup._contexts
+    monkeypatch.setattr(suffix_dedup, "_contexts", lambda docs, flags, hot, n, groups: counts.append(n) or plain(docs, flags, hot, n, groups))
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (8 << 20, 1000):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_report(some).collect()}
+        assert got == plain_dedup(rows)
+    assert counts[0] == 8 and counts[1] > 16
+
+
 @pytest.mark.parametrize("memory", [1 << 20, 64])  # the second spills every queue
 def test_induced_order(memory):
     r = np.random.default_rng(2)
