@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import sample_kurtosis, sample_skewness
 from ..schemas import SPLIT
 from ..sources.splits import SplitRows
+from .descriptors import value_counts
 
 PREFIX = "pymfe__"
 # Names of external descriptors that need a class target.
@@ -99,8 +100,9 @@ def summarise(values: DataFrame, summaries: Sequence[str]) -> DataFrame:
 
 
 def general(sr: SplitRows, cells: DataFrame) -> DataFrame:
-    """``split, column, value`` of counts and ratios."""
-    binary = cells.groupBy(*SPLIT, "feature", "kind").agg(F.approx_count_distinct(F.coalesce("cat", F.col("num").cast("string"))).alias("u"))
+    """``split, column, value`` of counts and ratios; a binary feature has exactly two values."""
+    distinct = value_counts(cells).groupBy(*SPLIT, "feature").agg(F.count(F.lit(1)).alias("u"))
+    binary = cells.groupBy(*SPLIT, "feature", "kind").agg(F.count(F.lit(1)).alias("k")).join(distinct, [*SPLIT, "feature"], "left").fillna(0, ["u"])
     one = binary.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_attr"), F.sum((F.col("u") == 2).cast("double")).alias("nr_bin"), F.sum((F.col("kind") == "cat").cast("double")).alias("nr_cat"), F.sum((F.col("kind") == "num").cast("double")).alias("nr_num"))
     rows = sr.rows.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_inst")).join(one, SPLIT)
     div = lambda a, b: F.try_divide(F.col(a), F.col(b))

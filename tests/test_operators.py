@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitscope.functions.expressions import two_sided_p, with_step_down, with_step_up
-from splitscope.operators import associations, features, predictive, sensitivity
+from splitscope.operators import associations, external, features, predictive, sensitivity
 from splitscope.operators.analysis import assert_unique, dataset_level
 from splitscope.operators.descriptors import basic, profiles
 from splitscope.operators.irregularity import composite, irregularity
@@ -69,6 +69,18 @@ def test_profiles_do_not_depend_on_partitions(splits):
     assert one == {tuple(r) for r in profiles(many.cells()).select("feature", "n_values", "n_distinct", "top").collect()}
 
 
+def test_binary_features_are_counted_exactly(spark):
+    """A thousand features of two values and as many of one and three: an estimate of distinct values misses some."""
+    n = 3000
+    cell = lambda f, v: ("s", 0, 0, f"f{f}", "num", float(v), None) if f % 2 else ("s", 0, 0, f"f{f}", "cat", None, str(v))
+    rows = [cell(f, v * 7919 + f) for f in range(n) for v in range(f % 3 + 1)] + [("s", 0, 0, "empty", "num", None, None)]
+    cells = spark.createDataFrame(rows, "dataset string, repeat int, fold int, feature string, kind string, num double, cat string")
+    sr = SplitRows(spark.createDataFrame([("s", 0, 0)], "dataset string, repeat int, fold int"), [])
+    got = {r.column: r.value for r in external.general(sr, cells).collect()}
+    assert got["pymfe__nr_bin"] == n / 3 and got["pymfe__nr_attr"] == n + 1
+    assert (got["pymfe__nr_num"], got["pymfe__nr_cat"]) == (n / 2 + 1, n / 2)
+
+
 def test_composite_weights_pass_on(spark):
     t = spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.0, 4.0), ("c", 3.0, None)], "dataset string, irreg_std_skew double, irreg_range_skew double")
     got = {r.dataset: r.irregularity for r in composite(t).collect()}
