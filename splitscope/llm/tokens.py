@@ -6,14 +6,14 @@ each, and their counts are appended to the store.
 
 Encoding happens where the document is read: the ids that must be encoded (or, if they are fewer, those that must
 not) are broadcast when their measured number is at most ``BROADCAST_IDS``; beyond it a shuffle join picks
-the documents.  Within a task a byte-level vocabulary is applied to distinct pieces of text: such a
+the documents.  Texts that only rows without an id hold are picked by their digest, one row for each.  Within a task a byte-level vocabulary is applied to distinct pieces of text: such a
 tokenizer splits before every space that follows a visible character, so the counts of the pieces add up to the
 count of the text.  Other tokenizers get whole texts.
 
 Normalisation must not change the count, so it is the identity here, but for null, which is the empty text.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows each get the count; equal texts are
-encoded once; an empty table gives an empty result; extra columns are ignored.
+Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows, repeated ids and rows with a
+null id each get the count of their text; equal texts are encoded once (or once for each row that repeats the chosen id); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,13 +122,19 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, doc_
 
     n_rows, n_miss = keyed.count(), misses.count()
     if n_miss:
-        ids = misses.select("doc_id")
+        ids = misses.select("doc_id").where("doc_id is not null")
+        named = plain.where("doc_id is not null")
         if n_miss <= BROADCAST_IDS:
-            chosen = plain.join(F.broadcast(ids), "doc_id", "left_semi")
+            chosen = named.join(F.broadcast(ids), "doc_id", "left_semi")
         elif n_rows - n_miss <= BROADCAST_IDS:
-            chosen = plain.join(F.broadcast(keyed.select("doc_id").join(ids, "doc_id", "left_anti")), "doc_id", "left_anti")
+            chosen = named.join(F.broadcast(keyed.select("doc_id").join(ids, "doc_id", "left_anti")), "doc_id", "left_anti")
         else:
-            chosen = plain.join(ids, "doc_id", "left_semi")
+            chosen = named.join(ids, "doc_id", "left_semi")
+        nameless = misses.where("doc_id is null").select("digest")
+        if not nameless.isEmpty():
+            digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+            rest = plain.where("doc_id is null").withColumn("digest", digest).join(nameless, "digest", "left_semi")
+            chosen = chosen.select("text").unionByName(rest.dropDuplicates(["digest"]).select("text"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counter = _counter(tokenizer)

@@ -145,6 +145,25 @@ def test_token_counts(docs, texts, empty, spark, tmp_path):
     assert tokens.count_tokens(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("branch", ["broadcast", "anti", "shuffle"])
+def test_token_counts_without_ids(spark, tmp_path, monkeypatch, branch):
+    """Null and repeated ids count alike, whichever join picks the rows to encode."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, cache = public.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    rows = [(None, "no id here"), (None, "no id here"), (None, "with and without"), (1, "with and without"), (2, "one"), (2, "two words"), (None, None), (3, "one")]
+    if branch == "shuffle":
+        rows += [(k, "one") for k in range(10, 14)]
+    monkeypatch.setattr(tokens, "BROADCAST_IDS", {"broadcast": 100, "anti": 4, "shuffle": 4}[branch])
+    t = Tokenizer.from_file(path)
+    got = tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, cache)
+    want = [(i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False))) for i, x in rows]
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == Counter(want)
+    stored = spark.read.parquet(cache)
+    assert stored.select("digest").distinct().count() == len({x or "" for _, x in rows}) == stored.count()
+
+
 def test_warc(spark, tmp_path):
     rows = [(i, f"http://x/{i}", h) for i, h in enumerate([None, "", "kurz", "kurz", "<p>lang</p>" * 20, "<p>lang</p>" * 20, "é" * 60, "é" * 60, "z" * 100000])]
     rows += [(4, "http://x/4", "<p>lang</p>" * 20), (None, None, "x")]
