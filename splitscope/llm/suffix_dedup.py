@@ -17,8 +17,8 @@ suffix tuples would not fit the disk, so strings are *routed* before they are so
 Broadcast: only the spans, and only while their measured size is below ``BROADCAST_BYTES``; beyond it they are joined by a shuffle.
 
 Defined results: rows with a null id are left out; null text is the empty text; texts below ``SPAN`` bytes keep all bytes; rows that repeat an
-id are one document (strings shared by two texts of the same id are no duplicates) and spans apply to each of its rows; an empty table gives an
-empty result; extra columns are ignored; matches never cross documents.
+id are texts of one document, each judged by itself against all texts of smaller ids (strings shared by two texts of the same id are no
+duplicates); an empty table gives an empty result; extra columns are ignored; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -212,7 +212,7 @@ def _contexts(docs: DataFrame, flags: DataFrame, hot: np.ndarray, n_buckets: int
             return _row([])
         shared = np.unique(np.concatenate([packed.unplanes(x) for x in right.column("b").to_pylist()]))
         gid = left.column("gid")[0].as_py()
-        ids = left.column("doc_id").to_numpy()
+        ids, tags = left.column("doc_id").to_numpy(), left.column("tag").to_numpy()
         parts, room = [], 0
         for i, _, buf, offs in T.blocks(left.column("text")):
             h, d, start, n = anchors(buf, offs)
@@ -220,11 +220,11 @@ def _contexts(docs: DataFrame, flags: DataFrame, hot: np.ndarray, n_buckets: int
             hit = shared[at] == h
             h, d, start, n = h[hit], d[hit], start[hit], n[hit]
             for which, route, content, s, size, begin, data in _cut_out(buf, h, start, n, hot):
-                parts.append((route, content, ids[i + d[which]], s - offs[d[which]], size, begin + room, data))
+                parts.append((route, content, ids[i + d[which]], s - offs[d[which]], size, begin + room, data, tags[i + d[which]]))
                 room += len(data)
         if not parts:
             return _row([])
-        h, content, doc, start, size, begin, data = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        h, content, doc, start, size, begin, data, tag = (np.concatenate([p[k] for p in parts]) for k in range(8))
         order = np.lexsort((content, h))  # by anchor, then content: shards are slices
         hs, cs = h[order], content[order]
         new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])))
@@ -242,7 +242,7 @@ def _contexts(docs: DataFrame, flags: DataFrame, hot: np.ndarray, n_buckets: int
                 pick = np.repeat(begin[r] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())
                 rows.append((b, gid, int(at[b]), packed.small(low[at[b] : at[b + 1]]), packed.small(high[at[b] : at[b + 1]]), s.astype(np.uint8).tobytes(), data[pick].tobytes()))
         o = np.argsort(index, kind="stable")
-        rows.append((n_buckets + gid, _HITS, 0, packed.small(index[o]), packed.small(doc[o]), packed.small(start[o]), b""))
+        rows.append((n_buckets + gid, _HITS, 0, packed.small(index[o]), packed.small(doc[o]), packed.small(start[o]), packed.small(tag[o])))
         return _row(rows)
 
     grouped = docs.withColumn("gid", group_of(F.col("doc_id"), n_groups)).groupBy("gid")
@@ -313,8 +313,8 @@ def _sort_shard(group: pa.Table, memory: int) -> list[tuple]:
 
 
 def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
-    """``doc_id, n_removed, n_spans, spans``: maximal removed runs of each document that has any (spans: int64 starts, then
-    ends).  ``docs``: ``doc_id, text`` without nulls and without copies of whole texts."""
+    """``doc_id, tag, n_removed, n_spans, spans``: maximal removed runs of each text that has any (spans: int64 starts, then
+    ends).  ``docs``: ``doc_id, tag, text`` without nulls and without copies of whole texts; ``tag`` tells the texts of an id apart."""
     width = shuffle_width(docs.sparkSession)
     n_buckets, n_groups = SHARDS * width, width
     found = cut(_shared_anchors(docs, n_buckets, n_groups), "suffix-anchors")
@@ -333,13 +333,13 @@ def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
         return _row([(g, _TEXTS, 0, a, o, c, m) for g, a, o, c, m in _sort_shard(group, memory)])
 
     def spans(group: pa.Table) -> pa.Table:
-        none = pa.table({"doc_id": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
+        none = pa.table({"doc_id": pa.array([], pa.int64()), "tag": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
         kind = group.column("kind").to_pylist()
         part = lambda k, col, f: [f(x) for x, y in zip(group.column(col).to_pylist(), kind, strict=True) if y == k]
         byte = lambda x: np.frombuffer(x, np.uint8).astype(np.int64)
         if _TEXTS not in kind or _HITS not in kind:
             return none
-        index, doc, start = (np.concatenate(part(_HITS, c, packed.unsmall)) for c in "abc")
+        index, doc, start, tag = (np.concatenate(part(_HITS, c, packed.unsmall)) for c in "abcd")
         r_index, r_least = (np.concatenate(part(_TEXTS, c, packed.unsmall)) for c in "ad")
         r_off, r_count = (np.concatenate(part(_TEXTS, c, byte)) for c in "bc")
         order = np.argsort(r_index, kind="stable")
@@ -352,24 +352,25 @@ def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
         which, hit = which[ok], hit[ok]
         if not len(hit):
             return none
-        return _merge(doc[hit], start[hit] + r_off[which], start[hit] + r_off[which] + r_count[which] - 1 + SPAN)
+        return _merge(doc[hit], tag[hit], start[hit] + r_off[which], start[hit] + r_off[which] + r_count[which] - 1 + SPAN)
 
-    done = rows.groupBy("bucket").applyInArrow(lean.group(shard), _ROW).groupBy("bucket").applyInArrow(lean.group(spans), "doc_id long, n_removed long, n_spans long, spans binary")
+    done = rows.groupBy("bucket").applyInArrow(lean.group(shard), _ROW).groupBy("bucket").applyInArrow(lean.group(spans), "doc_id long, tag long, n_removed long, n_spans long, spans binary")
     return cut(done, "suffix-spans")
 
 
-def _merge(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
-    order = np.lexsort((begin, doc))
-    doc, begin, end = doc[order], begin[order], end[order]
-    rank = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))).astype(np.int64) << 40
+def _merge(doc: np.ndarray, tag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
+    order = np.lexsort((begin, tag, doc))
+    doc, tag, begin, end = doc[order], tag[order], begin[order], end[order]
+    text = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))).astype(np.int64)
+    rank = text << 40
     far = np.maximum.accumulate(rank + end)
     new = np.flatnonzero(np.concatenate(([True], (rank + begin)[1:] > far[:-1])))
     b, e = begin[new], np.append(far[new[1:] - 1], far[-1]) & ((1 << 40) - 1)
-    d = doc[new]
-    first, length = packed.runs(d)
+    d, g = doc[new], tag[new]
+    first, length = packed.runs(text[new])
     last = first + length
     return pa.table({
-        "doc_id": pa.array(d[first]), "n_removed": pa.array(np.add.reduceat(e - b, first)), "n_spans": pa.array(length.astype(np.int64)),
+        "doc_id": pa.array(d[first]), "tag": pa.array(g[first]), "n_removed": pa.array(np.add.reduceat(e - b, first)), "n_spans": pa.array(length.astype(np.int64)),
         "spans": pa.array([np.concatenate((b[i:j], e[i:j])).tobytes() for i, j in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
     })
 
@@ -388,21 +389,22 @@ def dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keyed = cut(plain.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"), F.octet_length("text").cast("long").alias("n")), "suffix-keys")
+    plain = plain.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    keyed = cut(plain.select("doc_id", "tag", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"), F.octet_length("text").cast("long").alias("n")), "suffix-keys")
     twice = cut(keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h").alias("hh"), "first"), "suffix-twice")
-    copies = cut(keyed.join(twice, F.col("h") == F.col("hh")).where("doc_id > first").groupBy("doc_id").agg(F.max("n").alias("n")), "suffix-copies")
-    few = copies.count() * 8 <= BROADCAST_BYTES
-    ids = copies.select("doc_id")
-    distinct = plain.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").where(F.octet_length("text") >= SPAN)
+    copies = cut(keyed.join(twice, F.col("h") == F.col("hh")).where("doc_id > first").select("doc_id", "tag", "n").distinct(), "suffix-copies")
+    few = copies.count() * 16 <= BROADCAST_BYTES
+    ids = copies.select("doc_id", "tag")
+    distinct = plain.join(F.broadcast(ids) if few else ids, ["doc_id", "tag"], "left_anti").where(F.octet_length("text") >= SPAN)
     spans = duplicate_spans(distinct)
-    whole = copies.where(F.col("n") >= SPAN).select("doc_id", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("spans"))
+    whole = copies.where(F.col("n") >= SPAN).select("doc_id", "tag", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("spans"))
     return plain, spans.unionByName(whole)
 
 
 def _apply(plain: DataFrame, spans: DataFrame, of, column: str) -> DataFrame:
-    size = spans.agg(F.sum(F.coalesce(F.octet_length("spans"), F.lit(0)) + 40)).first()[0] or 0
-    right = spans.select("doc_id", F.lit(True).alias("hit"), "spans")
-    joined = plain.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, "doc_id", "left")
+    size = spans.agg(F.sum(F.coalesce(F.octet_length("spans"), F.lit(0)) + 48)).first()[0] or 0
+    right = spans.select("doc_id", "tag", F.lit(True).alias("hit"), "spans")
+    joined = plain.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, ["doc_id", "tag"], "left")
     kind = pa.string() if column.endswith("string") else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
