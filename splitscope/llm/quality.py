@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 
 from . import lean
 from . import textops as T
+from .common import cut
 
 WINDOW_WORDS = 8
+BROADCAST_BYTES = 16 << 20
+SALTS = 32
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -140,41 +143,62 @@ def host_verdicts(measured: DataFrame, host: str, limit: float = 0.3, z: float =
     return out.select(host, "n_docs", *(f"rate_{r}" for r in rules), *(f"bad_{r}" for r in rules))
 
 
-def judge(measured: DataFrame, host: str, limit: float = 0.3) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``.  Hosts are far fewer than documents and the join side of a hot
-    host is split by AQE; Spark broadcasts the host table when its measured size allows."""
+def condemned(measured: DataFrame, host: str, limit: float = 0.3) -> tuple[DataFrame, bool]:
+    """``__host, bad_...`` of the hosts that a soft rule condemns, written once, and whether their counted bytes allow a broadcast."""
+    bad = [f"bad_{r}" for r in soft_rules()]
+    hosts = cut(host_verdicts(measured, host, limit).where(" or ".join(bad)).select(F.col(host).alias("__host"), *bad), "quality-hosts")
+    size = hosts.agg(F.sum(F.octet_length(F.col("__host").cast("string")) + 16)).first()[0] or 0
+    return hosts, size <= BROADCAST_BYTES
+
+
+def _by_host(measured: DataFrame, host: str, hosts: DataFrame, small: bool) -> DataFrame:
+    """``measured`` with the column ``__condemned``: a soft rule fails and its host is condemned for that rule.
+
+    A broadcast where the condemned hosts are small.  Beyond it only documents that fail a soft rule look for their host, by a join on
+    host and salt: every condemned host comes ``SALTS`` times and its documents are dealt over the salts, so a hot host is no
+    task's work; the other documents pass by without a shuffle."""
     soft = soft_rules()
-    bad = [f"bad_{r}" for r in soft]
-    verdicts = host_verdicts(measured, host, limit).select(F.col(host).alias("__host"), *bad)
-    failed = base_rules()
+    fails, found = F.lit(False), F.lit(False)
+    for r, f in soft.items():
+        fails = fails | F.coalesce(f, F.lit(False))
+        found = found | (f & F.coalesce(F.col(f"bad_{r}"), F.lit(False)))
+    drop = ["__host", "__salt", *(f"bad_{r}" for r in soft)]
+    if small:
+        return measured.join(F.broadcast(hosts), F.col(host) == F.col("__host"), "left").withColumn("__condemned", found).drop(*drop)
+    salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told_apart = [f.name for f in measured.schema.fields if f.name != host and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    deal = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in told_apart)), F.lit(SALTS)).cast("int")  # of the row alone: the same in every attempt
+    doubt = measured.where(fails).withColumn("__deal", deal)
+    joined = doubt.join(salted, (F.col(host) == F.col("__host")) & (F.col("__deal") == F.col("__salt")), "left").withColumn("__condemned", found).drop("__deal", *drop)
+    return measured.where(~fails).withColumn("__condemned", F.lit(False)).unionByName(joined)
+
+
+def judge(measured: DataFrame, host: str, limit: float = 0.3) -> DataFrame:
+    """``measured`` with ``base_failed`` and ``kept``.  ``measured`` is read twice: write it first where it is costly."""
     base = F.lit(False)
-    for f in failed.values():
+    for f in base_rules().values():
         base = base | f
-    by_host = F.lit(False)
-    for r, f in soft.items():
-        by_host = by_host | (f & F.coalesce(F.col(f"bad_{r}"), F.lit(False)))
-    joined = measured.join(verdicts, F.col(host) == F.col("__host"), "left")
-    return joined.withColumn("base_failed", base).withColumn("kept", ~(F.col("base_failed") | by_host)).drop("__host", *bad)
+    joined = _by_host(measured, host, *condemned(measured, host, limit))
+    return joined.withColumn("base_failed", base).withColumn("kept", ~(F.col("base_failed") | F.col("__condemned"))).drop("__condemned")
+
+
+def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Measures and verdict of every document.  The texts are scanned once; only measures are written and read again."""
+    return judge(cut(measure(docs, [doc_id, host], text), "quality-measures"), host)
 
 
-def quality_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def quality_filter(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that pass, with the columns they came with.
 
-    Only (host, measures) take part in the host statistics; the texts are scanned twice but never shuffled: the
-    host verdicts, one row each, meet the documents by a join on the host.
-    """
-    soft = soft_rules()
-    verdicts = host_verdicts(measure(docs, [host], text), host).where(" or ".join(f"bad_{r}" for r in soft)).select(F.col(host).alias("__host"), *(f"bad_{r}" for r in soft))
+    Only (host, measures) take part in the host statistics.  The texts are scanned twice; they are not shuffled as long as the condemned hosts
+    are small enough for a broadcast, and beyond that only the texts that fail a soft rule are."""
+    found = condemned(measure(docs, [host], text), host)
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
-    plain = docs.toDF(*names)
-    measured = _with_measures(plain, names[cols.index(text)])
-    keep = F.lit(True)
+    measured = _with_measures(docs.toDF(*names), names[cols.index(text)])
     for f in base_rules().values():
-        keep = keep & ~f
-    for r, f in soft.items():
-        keep = keep & ~(f & F.coalesce(F.col(f"bad_{r}"), F.lit(False)))
-    return measured.join(verdicts, F.col(names[cols.index(host)]) == F.col("__host"), "left").where(keep).select(*names).toDF(*cols)
+        measured = measured.where(~f)
+    return _by_host(measured, names[cols.index(host)], *found).where(~F.col("__condemned")).select(*names).toDF(*cols)
 
 
 def _with_measures(docs: DataFrame, text: str) -> DataFrame:
