@@ -14,8 +14,9 @@ of a source (at most ``MAX_BLOCKS``) and within blocks, so a source that holds m
 the target weights in every stretch.
 
 Defined results: null texts have no tokens; null and empty sources are one source; a source without tokens has weight 0
-and is left out; documents without tokens in other sources are taken with their block; repeated rows are taken each; ids may be null; an empty table
-gives an empty result; extra columns are ignored.
+and is left out; documents without tokens in other sources are taken with their block; repeated rows are taken each; ids may be null; documents of one
+source that tie in the order of a block (equal ids) are ordered by their tokens; a budget that needs more than ``max_repeats`` of every token is
+an error; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -88,6 +89,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     kinds = "doc_id " + docs.schema[doc_id].dataType.simpleString() + ", source string, epoch int, block long, n_tokens long, weight double, position double"
     if not n_sources:
         return docs.sparkSession.createDataFrame([], kinds)
+    least = budget / total if budget is not None else 1.0  # weights equal to the shares repeat least: every source alike
+    if least > max_repeats:
+        raise ValueError(f"{total} tokens, each at most {max_repeats} times, cannot fill a budget of {budget if budget is not None else total}")
     a = find_exponent(sources, total, budget, entropy_gain, max_repeats)
     x = F.exp(F.lit(a) * F.log(F.col("tokens") / F.lit(float(total))))
     z, cover = sources.agg(F.sum(x), F.max(F.col("tokens") / x)).first()
