@@ -8,11 +8,13 @@ pieces; distances are Myers' bit-parallel ones.  Chance hits end at the first no
 
 Normalised: A-Z lower-cased, every run of ASCII bytes that are neither letters nor digits is one space, none at the ends; other bytes stay.
 
-Items are read in blocks of at most about ``BLOCK_BYTES``, one pass over the documents each; the driver and the tasks
-never hold more than that many bytes of items per pass, and nothing is shuffled.
+The items are written to the shared folder in blocks of about ``BLOCK_BYTES``.  A task gathers the texts of about ``TEXT_BYTES`` and takes the blocks in
+turn, so it holds one block's automaton beside them, however large the benchmark is (with one block the automaton stays); the driver
+sees no item, and documents are not shuffled.
 
-Defined results: null texts hold nothing; items that are null or empty once normalised are ignored; items below ``MIN_BYTES`` must occur without
-edits, between word borders; rows of one id are judged each by itself; repeated items count by their ids; empty tables give empty or clean results; extra columns are ignored.
+Defined results: null texts hold nothing; items that are null or empty once normalised are ignored; an item too short for an edit (below 100 / ``PERCENT``
+bytes) must stand between word borders; rows of one id are judged each by itself; items that repeat an id are one item with several texts, the nearest
+counts; empty tables give empty or clean results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lean
 from . import textops as T
+from .common import scratch_path
 
 PERCENT = 9
-MIN_BYTES = 32
 BLOCK_BYTES = 4 << 20
+TEXT_BYTES = 32 << 20
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = [ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(128)]
@@ -87,7 +92,7 @@ class _Pattern:
 class _Item:
     def __init__(self, item_id: int, text: str, percent: int):
         self.item_id, self.text = item_id, text
-        self.edits = len(text) * percent // 100 if len(text) >= MIN_BYTES else 0
+        self.edits = len(text) * percent // 100
         k = self.edits + 1
         self.at = [len(text) * i // k for i in range(k + 1)]
         self.nodes: dict[tuple[int, int], _Pattern] = {}
@@ -140,6 +145,7 @@ class Matcher:
     def block(self, buf: np.ndarray, offs: np.ndarray) -> dict[int, dict[int, int]]:
         """Text index -> item id -> least distance found."""
         found: dict[int, dict[int, int]] = {}
+        seen: set[tuple[int, int, int]] = set()
         if not self.items:
             return found
         x, at = normalise_block(buf, offs)
@@ -152,66 +158,84 @@ class Matcher:
                 continue
             for n, leaf in owners:
                 item = self.items[n]
-                if item.item_id in found.get(doc, ()):
+                known = found.setdefault(int(doc), {})
+                diagonal = (doc, n, start - item.at[leaf])
+                if known.get(item.item_id) == 0 or diagonal in seen:
                     continue
                 distance = item.verify(leaf, text, start, lo, hi)
                 if distance is not None:
-                    found.setdefault(int(doc), {})[item.item_id] = distance
-        return found
+                    seen.add(diagonal)
+                    known[item.item_id] = min(distance, known.get(item.item_id, distance))
+        return {doc: ids for doc, ids in found.items() if ids}
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The normalised items in blocks of at most about ``BLOCK_BYTES``; the driver holds one at a time."""
+def write_blocks(items: DataFrame, item_id: str, text: str) -> tuple[str, int]:
+    """The folder of the items' blocks and the number of these."""
     plain = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    size = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for b in range(n):
-        rows = plain.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        yield [(i, t) for i, t in ((r["i"], normalise(r["t"])) for r in rows) if t]
+    n = max(1, -(-(plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES))
+    path = scratch_path(items.sparkSession, "benchmark-blocks")
+    plain.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int")).repartition(n, "block").write.partitionBy("block").parquet(path)
+    return path, n
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``doc_id, contaminated, item_ids, distances`` of every row: the items found, by id, with their least edit distance
-    among the places verified."""
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<long>").alias("distances"))
-    for block in _blocks(items, item_id, item_text):
-        out = out.mapInArrow(lean.batches(_finder(block, percent)), "doc_id long, text string, item_ids array<long>, distances array<long>")
-    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "distances")
+def _read_block(path: str, block: int, percent: int) -> Matcher:
+    fs, base = pafs.FileSystem.from_uri(path)
+    files = fs.get_file_info(pafs.FileSelector(f"{base}/block={block}", allow_not_found=True))
+    rows = [r for f in sorted(files, key=lambda f: f.path) if f.path.endswith(".parquet") for r in pq.ParquetFile(fs.open_input_file(f.path)).read(["i", "t"]).to_pylist()]
+    return Matcher(sorted({(r["i"], t) for r in rows if (t := normalise(r["t"]))}), percent)
 
 
-def _finder(block: list[tuple[int, str]], percent: int):
-    """Appends what one block of items finds."""
+def _findings(path: str, n_blocks: int, percent: int, at: int):
+    """For ``mapInArrow``: batches with the items that each row holds (id -> least distance)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block, percent)
+    def judged(held: list[pa.RecordBatch], matcher: Matcher | None) -> Iterator[tuple[pa.RecordBatch, list[dict[int, int]]]]:
+        found: list[list[dict[int, int]]] = [[{} for _ in range(b.num_rows)] for b in held]
+        for block in range(n_blocks):
+            one = matcher or _read_block(path, block, percent)
+            for batch, rows in zip(held, found, strict=True):
+                for i, _, buf, offs in T.blocks(batch.column(at)):
+                    for k, ids in one.block(buf, offs).items():
+                        for item, distance in ids.items():
+                            rows[i + k][item] = min(distance, rows[i + k].get(item, distance))
+        yield from zip(held, found, strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[dict[int, int]]]]:
+        matcher = _read_block(path, 0, percent) if n_blocks == 1 else None
+        held, size = [], 0
         for batch in batches:
-            for i, j, buf, offs in T.blocks(batch.column(1)):
-                part = batch.slice(i, j - i)
-                ids, distances = part.column(2), part.column(3)
-                if found := matcher.block(buf, offs):
-                    rows = [sorted([*zip(a, d, strict=True), *found.get(k, {}).items()]) for k, (a, d) in enumerate(zip(ids.to_pylist(), distances.to_pylist(), strict=True))]
-                    ids, distances = (pa.array([[x[c] for x in r] for r in rows], pa.list_(pa.int64())) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids, distances], names=["doc_id", "text", "item_ids", "distances"])
+            held.append(batch)
+            size += batch.nbytes
+            if matcher or size >= TEXT_BYTES:
+                yield from judged(held, matcher)
+                held, size = [], 0
+        if held:
+            yield from judged(held, matcher)
 
     return run
 
 
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``doc_id, contaminated, item_ids, distances`` of every row: the items found, by id, with their least edit distance."""
+    find = _findings(*write_blocks(items, item_id, item_text), percent, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in find(batches):
+            rows = [sorted(x.items()) for x in found]
+            ids, distances = (pa.array([[x[c] for x in r] for r in rows], pa.list_(pa.int64())) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(r) for r in rows]), ids, distances], names=["doc_id", "contaminated", "item_ids", "distances"])
+
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return plain.mapInArrow(lean.batches(run), "doc_id long, contaminated boolean, item_ids array<long>, distances array<long>")
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents in which no item occurs, with the columns they came with; nothing is shuffled."""
     cols = docs.columns
-    names = [f"c{i}" for i in range(len(cols))]
-    out = docs.toDF(*names)
-    at = cols.index(text)
-    schema = out.schema
-    for block in _blocks(items, item_id, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, percent)
-            for batch in batches:
-                bad: set[int] = set()
-                for i, _, buf, offs in T.blocks(batch.column(at)):
-                    bad |= {i + k for k in matcher.block(buf, offs)}
-                yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)])) if bad else batch
+    out = docs.toDF(*(f"c{i}" for i in range(len(cols))))
+    find = _findings(*write_blocks(items, item_id, item_text), percent, cols.index(text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in find(batches):
+            yield batch.filter(pa.array([not x for x in found])) if any(found) else batch
 
-        out = out.mapInArrow(lean.batches(run), schema)
-    return out.toDF(*cols)
+    return out.mapInArrow(lean.batches(run), out.schema).toDF(*cols)
