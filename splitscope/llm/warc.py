@@ -1,9 +1,9 @@
 """Operator 4 - deterministic sharded WARC writer and reader.
 
-Pages are range-sorted by id into shards, each shard is written by one task as gzip members (one per record),
+Pages are range-sorted by id into shards, each shard is written by one task of its own as gzip members (one per record),
 and a file rolls when its compressed size reaches the limit.  Headers and digests are made anew
-from the payload.  Shard borders come from an exact histogram of the ids, so the same pages give the same files
-byte for byte, wherever and however often tasks run.
+from the payload.  Shard borders come from exact prefix sums over the sorted ids and digests, so the same pages give the same files
+byte for byte, wherever and however often tasks run.  Tasks look up the shard of a row among the borders, one for each shard.
 
 Commit: a task attempt writes only under names of its own; the names that the successful attempts report form
 the manifest, which Spark writes; then each file is renamed to its final name (again a Spark job, safe to
@@ -14,27 +14,28 @@ Of records with equal payloads of at least ``MIN_REVISIT`` bytes the smallest id
 revisits that keep the HTTP head and refer to it.
 
 Defined results: null html is the empty payload (a response); a null url is written as the empty target; rows with a null
-id are written first, in a shard of their own order; of repeated rows with equal id and payload one is the
+id are written first, each as a response; of repeated rows with equal id and payload one is the
 response and the others revisit it under the same id; an empty table gives no files and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lean
-from .common import cut, scratch_path
+from .common import cut, scratch_path, shuffle_width
 
 MIN_REVISIT = 100
-CELLS = 1 << 14
 _STEP = 1 << 12
 _DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -103,43 +104,46 @@ class _Files:
             self.out, self.seq = None, self.seq + 1
 
 
-def shard_column(sized: DataFrame, key: str, n_bytes: str, shard_bytes: int) -> tuple[F.Column, int]:
-    """A shard number that rises with ``key``: ids are counted in at most ``CELLS`` equal ranges, and a range that
-    holds more than one shard's bytes is cut again into ``CELLS``; runs of ranges make up shards."""
-    lo, hi = sized.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return F.lit(0), 1
-    width = max(1, -(-(hi - lo + 1) // CELLS))
-    cell = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("int") if width > 1 else (F.col(key) - F.lit(lo)).cast("int")
-    counted = {r[0]: r[1] for r in sized.where(F.col(key).isNotNull()).groupBy(cell.alias("c")).agg(F.sum(n_bytes).alias("b")).collect()}
-    heavy = [c for c, b in counted.items() if b > shard_bytes and width > 1]
-    fine = max(1, -(-width // CELLS))
-    sub = F.floor((F.col(key) - F.lit(lo) - F.col("c") * F.lit(width)) / F.lit(fine)).cast("int")
-    inner: dict[int, list[tuple[int, int]]] = {}
-    if heavy:  # each holds at least a shard of bytes, so they are no more than the shards
-        rows = sized.where(F.col(key).isNotNull()).withColumn("c", cell).where(F.col("c").isin(heavy)).groupBy("c", sub.alias("s")).agg(F.sum(n_bytes).alias("b"))
-        for r in rows.collect():
-            inner.setdefault(r["c"], []).append((r["s"], r["b"]))
-    shard, filled, first = 0, 0, [0] * CELLS
-    cuts: dict[int, list[int]] = {}
-    for c in range(CELLS):
-        if c in inner:
-            first[c] = shard
-            for s, b in sorted(inner[c]):
-                if filled and filled + b > shard_bytes:
-                    shard, filled = shard + 1, 0
-                    cuts.setdefault(c, []).append(s)
-                filled += b
-            continue
-        b = counted.get(c, 0)
-        if filled and filled + b > shard_bytes:
-            shard, filled = shard + 1, 0
-        first[c] = shard
-        filled += b
-    out = F.element_at(F.array(*map(F.lit, first)) if shard else F.array(F.lit(0)), (cell + 1) if shard else F.lit(1))
-    for c, at in cuts.items():
-        out = out + F.when(cell == c, F.size(F.filter(F.array(*map(F.lit, at)), lambda x: x <= F.floor((F.col(key) - F.lit(lo + c * width)) / F.lit(fine)).cast("int")))).otherwise(0)
-    return F.coalesce(out, F.lit(0)), shard + 1
+def shard_borders(metas: DataFrame, shard_bytes: int) -> list[tuple[int | None, bytes]]:
+    """The first ``(page_id, d)`` of every shard of about ``shard_bytes``, in order (null ids come first).
+
+    The keys are sorted by range and their bytes summed up: in each range by a window, over the ranges by one row each.  A border depends on the
+    data alone, not on how it is partitioned, and even rows without an id are cut, by digest."""
+    width = shuffle_width(metas.sparkSession)
+    keys = metas.groupBy("page_id", "d").agg(F.sum("n").alias("n")).repartitionByRange(width, F.asc_nulls_first("page_id"), "d")
+    keys = cut(keys.withColumn("part", F.spark_partition_id()), "warc-keys")
+    order = keys.groupBy("part").agg(F.min(F.struct("page_id", "d")).alias("first"), F.sum("n").alias("n")).orderBy("first").collect()  # a row per range
+    before, total = [], 0
+    for r in order:
+        before.append((r["part"], total))
+        total += r["n"]
+    if not before:
+        return []
+    starts = metas.sparkSession.createDataFrame(before, "part int, before long")
+    up = Window.partitionBy("part").orderBy(F.asc_nulls_first("page_id"), "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = keys.join(F.broadcast(starts), "part").withColumn("at", F.col("before") + F.sum("n").over(up) - F.col("n"))
+    first = at.groupBy(F.floor(F.col("at") / F.lit(shard_bytes)).alias("shard")).agg(F.min(F.struct("page_id", "d")).alias("first"))
+    return [(r["first"]["page_id"], bytes(r["first"]["d"])) for r in first.orderBy("shard").collect()]  # a row per shard
+
+
+def shard_of(borders: list[tuple[int | None, bytes]]):
+    """A column function: the shard of (page_id, hex digest)."""
+    digests = [d for _, d in borders]
+    nulls = sum(i is None for i, _ in borders)
+    ids = np.array([i for i, _ in borders if i is not None], dtype=np.int64)
+
+    @F.arrow_udf("int")
+    def shard(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        missing = page_id.is_null().to_numpy(zero_copy_only=False)
+        key = page_id.fill_null(0).to_numpy()
+        lo, hi = np.searchsorted(ids, key, side="left") + nulls, np.searchsorted(ids, key, side="right") + nulls
+        lo[missing], hi[missing] = 0, nulls
+        out = lo - 1  # the shard that begins before this id
+        for k in np.flatnonzero(hi > lo).tolist():  # shards that begin at this id: its digest decides
+            out[k] = bisect.bisect_right(digests, bytes.fromhex(digest[k].as_py()), int(lo[k]), int(hi[k])) - 1
+        return pa.array(np.maximum(out, 0), pa.int32())
+
+    return shard
 
 
 def write_warc(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, shard_bytes: int = 128 << 20, level: int = 6) -> DataFrame:
@@ -150,10 +154,11 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, shard_by
     metas = cut(rows.select("page_id", F.unhex("digest").alias("d"), "n"), "warc-meta")
     first = cut(metas.where(F.col("n") >= MIN_REVISIT).groupBy("d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("d").alias("fd"), "first"), "warc-first")
     revisits = metas.where(F.col("n") >= MIN_REVISIT).join(first, F.col("d") == F.col("fd")).where("page_id > first").select("page_id", F.lower(F.hex("d")).alias("digest"), F.col("first").alias("refers_to")).distinct()
-    shard, n_shards = shard_column(metas, "page_id", "n", shard_bytes)
+    borders = shard_borders(metas, shard_bytes)
+    shard, n_shards = shard_of(borders)("page_id", "digest"), max(1, len(borders))
     null = lambda kind: F.lit(None).cast(kind)
     both = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", null("long").alias("refers_to")).unionByName(revisits.select("page_id", "digest", F.lit(0).alias("kind"), null("string").alias("url"), null("string").alias("html"), "refers_to"))
-    sorted_rows = both.withColumn("shard", shard).repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    sorted_rows = both.withColumn("shard", shard).repartitionById(n_shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, same, refers, copy = _Files(root, roll_bytes), None, None, 0
