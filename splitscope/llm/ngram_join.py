@@ -16,8 +16,8 @@ costs more postings but demands more matches before a pair is verified.
    vote for: a star, not all pairs, so a group of thousands of copies costs one verification each.  Components of these
    links contract the postings; what is left are pairs of *different* components that share at least
    l = min(l_x, l_y) prefix elements.  Where few pairs meet in an element they are joined, counted and verified; pairs that
-   meet in a hot element (many sets, several components) are verified in tiles of sets, where only links leave the task.  So no
-   link between components is lost, and a group's failed pairs are never rows.
+   meet in a hot element (many sets, several components) are counted and verified by the same rule in tiles of sets, where only links leave the
+   task.  So no link between components is lost, and a group's failed pairs are never rows.
 
 Links inside a component change nothing in the result (component and set sizes), hence are not spelled out.
 
@@ -47,7 +47,7 @@ FIRST_LEVEL = 10  # l is this per cent of the set in the first pass
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 HOT_PAIRS = 2048  # an element at which more pairs meet is counted in tiles
-TILE = 1 << 18  # elements on each side of a tile
+TILE = 1 << 16  # elements on each side of a tile
 VERIFY_COST = 4.0  # of one verification, in postings read, per 16 elements of the set
 _SHARED = np.iinfo(np.int64).min  # in place of the id of an element that its task knows to be shared
 _PACK = "bucket int, kind int, a binary, b binary, c binary"
@@ -297,8 +297,8 @@ def _hot_links(left: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     """Links between labels among the sets that meet in a hot element.
 
     Every set outside the element's largest component is a query against all sets that hold an element of that kind.  Both sides are
-    dealt to tiles of at most about ``TILE`` elements each; a tile counts the common elements of its pairs exactly and
-    returns a spanning forest of the labels that it found linked, so no more rows than labels."""
+    dealt to tiles of at most about ``TILE`` elements each; a tile counts the common prefix elements of its pairs, verifies those that share as
+    many as their level demands, and returns a spanning forest of the labels that it found linked, so no more rows than labels."""
     met = left.groupBy(F.col("major").alias("g"), "ent", "label").agg(F.max(F.col("label") != F.col("major")).alias("asks"), F.first("n").alias("n"), F.first("s").alias("s"))
     # a set none of whose partners can reach the need (even the smallest allowed) asks nothing
     asks = F.col("asks") & (F.col("s") >= F.ceil((F.col("n") + F.ceil(F.col("n") * percent / 100)) * percent / (100 + percent)))
@@ -309,7 +309,7 @@ def _hot_links(left: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     mine = lambda n, salt: F.pmod(F.xxhash64("ent", F.lit(salt)), F.col(n)).cast("int")
     x = dealt.where("asks").select("g", mine("tiles_x", 1).alias("tx"), every("tiles_y").alias("ty"), F.lit(True).alias("asks"), "ent", "label", "n")
     y = dealt.select("g", every("tiles_x").alias("tx"), mine("tiles_y", 2).alias("ty"), F.lit(False).alias("asks"), "ent", "label", "n")
-    rows = x.unionByName(y).join(ranked.select("ent", "tokens"), "ent")
+    rows = x.unionByName(y).join(ranked.select("ent", "level", "tokens"), "ent")
 
     def tile(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False)
@@ -325,8 +325,13 @@ def _tile_links(x: pa.Table, y: pa.Table, percent: int) -> list[tuple[int, int]]
         return []
     tx, lx, ex = _flat(x)
     ty, ly, ey = _flat(y)
-    vocabulary = np.intersect1d(tx, ty)
     nx, ny = x.column("n").to_numpy(), y.column("n").to_numpy()
+    vx, vy = x.column("level").to_numpy(), y.column("level").to_numpy()
+    px, py = _prefix(lx, nx, vx, percent), _prefix(ly, ny, vy, percent)
+    starts = np.intersect1d(tx[_first_of(lx, px)], ty[_first_of(ly, py)])
+    if not len(starts):
+        return []
+    vocabulary = np.intersect1d(tx, ty)
     gx, gy = x.column("label").to_numpy(), y.column("label").to_numpy()
     root: dict[int, int] = {}
 
@@ -338,9 +343,13 @@ def _tile_links(x: pa.Table, y: pa.Table, percent: int) -> list[tuple[int, int]]
     step = max(1, (1 << 22) // max(1, len(vocabulary)))
     out = []
     for i in range(0, len(ex), step):
-        a = _matrix(tx, lx, i, i + step, vocabulary)
+        a, head = _matrix(tx, lx, lx, i, i + step, vocabulary), _matrix(tx, lx, px, i, i + step, starts)
         for j in range(0, len(ey), step):
-            common = np.rint(a @ _matrix(ty, ly, j, j + step, vocabulary).T).astype(np.int64)
+            met = np.rint(head @ _matrix(ty, ly, py, j, j + step, starts).T)
+            wanted = met >= np.minimum(vx[i : i + step, None], vy[None, j : j + step])
+            if not wanted.any():
+                continue
+            common = np.where(wanted, np.rint(a @ _matrix(ty, ly, ly, j, j + step, vocabulary).T), 0).astype(np.int64)
             linked = (common * 100 >= (nx[i : i + step, None] + ny[None, j : j + step] - common) * percent) & (gx[i : i + step, None] != gy[None, j : j + step])
             r, c = np.nonzero(linked)
             _, first = np.unique(np.stack((gx[i + r], gy[j + c])), axis=1, return_index=True)
@@ -352,12 +361,23 @@ def _tile_links(x: pa.Table, y: pa.Table, percent: int) -> list[tuple[int, int]]
     return out
 
 
-def _matrix(tok: np.ndarray, length: np.ndarray, i: int, j: int, vocabulary: np.ndarray) -> np.ndarray:
-    """Sets i to j as rows of zeros and ones over the vocabulary."""
+def _prefix(length: np.ndarray, n: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the shared elements of each set its prefix holds: those of one document only come first in it."""
+    return np.clip(n - _need(n, percent) + level - (n - length), 0, length)
+
+
+def _first_of(length: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Places of the first ``take`` elements of each set."""
+    begin = np.concatenate(([0], np.cumsum(length)))[:-1]
+    return np.arange(take.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(take)[:-1])), take)
+
+
+def _matrix(tok: np.ndarray, length: np.ndarray, take: np.ndarray, i: int, j: int, vocabulary: np.ndarray) -> np.ndarray:
+    """The first ``take`` elements of sets i to j as rows of zeros and ones over the vocabulary."""
     begin = np.concatenate(([0], np.cumsum(length)))
     j = min(j, len(length))
-    t = tok[begin[i] : begin[j]]
-    row = np.repeat(np.arange(j - i), length[i:j])
+    t = tok[begin[i] : begin[j]][_first_of(length[i:j], take[i:j])]
+    row = np.repeat(np.arange(j - i), take[i:j])
     at = np.minimum(np.searchsorted(vocabulary, t), len(vocabulary) - 1) if len(vocabulary) else np.zeros(0, np.int64)
     out = np.zeros((j - i, len(vocabulary)), dtype=np.float32)
     if len(vocabulary):
