@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,9 +21,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "star-min")
         large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star-large")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "star-min")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star-small")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "star-min")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        last, e = e, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star-small")
+        discard(last, low, large, least)
         new = _state(e)
         if new == state:
             break

@@ -1,8 +1,8 @@
 """Task functions that hand their memory back.
 
 A Python worker outlives its tasks and keeps the pages of what it has freed.  Wrapped functions take large blocks from the system
-one by one, and return free pages at their end, so idle workers of earlier stages stay small beside the one at work.  Arrow batches
-of the session are kept to ``_ROWS`` rows where the default of ten thousand stands.
+one by one, and return free pages at their end, so idle workers of earlier stages stay small beside the one at work.  Queries ask for Arrow batches of
+``_ROWS`` rows where the session has the default of ten thousand; operators give the same results with any.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ def _libc():
         return None
 
 
-def small_batches() -> None:
-    """Set the session's Arrow batches to ``_ROWS`` rows, unless they are set already."""
-    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark is not None and int(spark.conf.get(key)) > 5 * _ROWS:
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``_ROWS`` rows, unless they are smaller already.  For queries: operators leave the session as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 5 * _ROWS:
         spark.conf.set(key, str(_ROWS))
 
 
@@ -58,7 +58,6 @@ def _named(run, f):
 
 def batches(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """For ``mapInArrow``."""
-    small_batches()
 
     def run(rows):
         settle()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, decontaminate, license_scan, mixing, ngram_join, oracles, quality, secret_scan, suffix_dedup, tokens, warc
+from . import brown_lm, decontaminate, lean, license_scan, mixing, ngram_join, oracles, quality, secret_scan, suffix_dedup, tokens, warc
 from .common import table
 
 
@@ -37,8 +38,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.measure(table(spark, sf_dir, "documents"), ["doc_id", "source"])
-    return quality.judge(measured, "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.quality_report(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _small_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lean.small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _small_batches(f)
     for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op5_secret_scan, op6_license_scan, op7_quality_rules, op8_mixing, op9_suffix_dedup, op10_decontamination)
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard": oracles.JACCARD, "op4_warc": oracles.WARC, "op7_quality_rules": oracles.QUALITY}

@@ -211,12 +211,24 @@ def test_quality(spark, docs, texts, empty):
     assert quality.quality_filter(empty).count() == 0
 
 
-def test_quality_condemns_a_bad_host(spark):
+def test_quality_texts_stay_where_they_are(spark, docs):
+    """No exchange carries a text while the condemned hosts are few."""
+    plan = quality.quality_filter(docs.limit(5).coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan
+    physical = quality.quality_filter(spark.range(5).selectExpr("id doc_id", "'x y' text", "'h' source"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical and "BroadcastHashJoin" in physical and "Exchange hashpartitioning" not in physical
+
+
+@pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, 0])
+def test_quality_condemns_a_bad_host(spark, monkeypatch, limit):
     words = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
     rows = [(i, words(i) + " ###### ||||||" * (i % 10 != 0), "bad", "", 1) for i in range(40)] + [(100 + h * 20 + i, words(i + 99) + (" ######" if i == 0 else ""), f"good{h}", "", 1) for h in range(8) for i in range(20)]
-    kept = {r.doc_id for r in quality.quality_filter(spark.createDataFrame(rows, KINDS)).collect()}
-    assert {i for i in range(40) if i in kept} == {0, 10, 20, 30}  # clean pages of a bad host stay
-    assert {r[0] for r in rows if r[0] >= 100} <= kept  # a noisy page of a good host stays
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", limit)
+    pages = spark.createDataFrame(rows, KINDS).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    kept = [r.doc_id for r in quality.quality_filter(pages).collect()]
+    assert len(kept) == len(set(kept)) and [i for i in range(40) if i in kept] == [0, 10, 20, 30]  # clean pages of a bad host stay
+    assert {r[0] for r in rows if r[0] >= 100} <= set(kept)  # a noisy page of a good host stays
+    assert {r.doc_id for r in quality.quality_report(pages).where("kept").collect()} == set(kept)
 
 
 def test_mixing(spark, docs, texts, empty):
@@ -241,30 +253,53 @@ def test_mixing(spark, docs, texts, empty):
 
 
 def plain_dedup(rows, span=50):
-    data = {i: (t or "").encode() for i, t in rows}
+    """The result of each row; rows that repeat an id give lists."""
+    data = [(i, (t or "").encode()) for i, t in rows]
     first = {}
-    for i in sorted(data):
-        for k in range(len(data[i]) - span + 1):
-            first.setdefault(data[i][k : k + span], i)
+    for i, b in sorted(data):
+        for k in range(len(b) - span + 1):
+            first.setdefault(b[k : k + span], i)
     out = {}
-    for i, b in data.items():
+    for i, b in data:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - span + 1):
             if first[b[k : k + span]] < i:
                 gone[k : k + span] = True
         edge = np.diff(np.concatenate(([0], gone.astype(int), [0])))
-        out[i] = (len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
-    return out
+        out.setdefault(i, []).append((len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def dedup_rows(df):
+    out = {}
+    for r in suffix_dedup.dedup_report(df).collect():
+        out.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    return {i: sorted(x) for i, x in out.items()}
 
 
 def test_suffix_dedup(spark, docs, texts, empty):
     rows = [(i, t) for i, t, _ in texts if t is None or len(t) < 20000]
     some = spark.createDataFrame([(i, t, None, "c", 1) for i, t in rows], KINDS)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_report(some).collect()}
-    assert got == plain_dedup(rows) and any(v[1] for v in got.values())
+    got = dedup_rows(some)
+    assert got == plain_dedup(rows) and any(v[0][1] for v in got.values())
     assert suffix_dedup.dedup_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [suffix_dedup.BROADCAST_BYTES, 0])
+def test_suffix_dedup_repeated_ids(spark, monkeypatch, limit):
+    """Rows of one id are judged one by one, with broadcast spans and with shuffled ones; ``deduplicate`` returns the bytes that stay."""
+    r = random.Random(12)
+    some = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    a, b = some(200), some(204)
+    rows = [(1, a), (5, a), (5, b), (5, b), (9, some(20) + b + some(20)), (9, a[:60] + b[50:150]), (5, None), (5, "kurz"), (7, "kurz"), (1, b[:70]), (None, a)]
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", limit)
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_dedup([x for x in rows if x[0] is not None])
+    assert dedup_rows(some) == want
+    kept = Counter((x.doc_id, hashlib.sha256(x.kept).hexdigest()) for x in suffix_dedup.deduplicate(some).collect())
+    assert kept == Counter((i, x[3]) for i, xs in want.items() for x in xs)
+
+
 def _phrase_rows():
     """A phrase of 45 bytes between differing neighbours, some of them alike, and a long run of one byte."""
     r = random.Random(6)
@@ -278,7 +313,7 @@ def _phrase_rows():
 def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     """The strings of a hot anchor are dealt to all shards, and the result is the same."""
     rows = _phrase_rows()
-    some = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    some = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.xxhash64("text")).coalesce(1)
     flags = suffix_dedup._shared_anchors(some, 8, 2).where(f"kind = {suffix_dedup._FLAGS}")
 
     def largest(hot):
@@ -292,8 +327,8 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     found = suffix_dedup._shared_anchors(some, 8, 2).where(f"kind = {suffix_dedup._HOT}").collect()
     hot = np.concatenate([suffix_dedup.packed.unplanes(r.a) for r in found])
     assert largest(np.zeros(0, np.uint64)) > 0.4 and largest(hot) < 0.25
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_report(some).collect()}
-    assert got == plain_dedup(rows) and any(v[1] for v in got.values())
+    got = dedup_rows(some)
+    assert got == plain_dedup(rows) and any(v[0][1] for v in got.values())
 
 
 def test_suffix_dedup_shards_follow_the_data(spark, monkeypatch):
@@ -304,8 +339,7 @@ def test_suffix_dedup_shards_follow_the_data(spark, monkeypatch):
     some = spark.createDataFrame(rows, "doc_id long, text string")
     for size in (8 << 20, 1000):
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_report(some).collect()}
-        assert got == plain_dedup(rows)
+        assert dedup_rows(some) == plain_dedup(rows)
     assert counts[0] == 8 and counts[1] > 16
 
 
@@ -334,7 +368,7 @@ def least_distance(p, t):
     return best
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     r = random.Random(8)
     item = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(12))
     broken = list(item)
@@ -350,14 +384,19 @@ def test_decontamination(spark, docs, empty):
     for i, t in texts:
         want = []
         m = norm(item)
-        if t and least_distance(m, norm(t)) <= len(m) * 9 // 100:
-            want.append(10)
-        if t and f" {norm('Kurz und gut')} " in f" {norm(t)} ":
-            want.append(11)
-        assert found[i][0] == want
+        for k, x in ((10, m), (11, norm("Kurz und gut"))):
+            if t and (d := least_distance(x, norm(t))) <= len(x) * 9 // 100:
+                want.append((k, d))
+        assert list(zip(*found[i], strict=True)) == want
     assert found[1] == ([10], [0])
     kept = decontaminate.clean_documents(spark.createDataFrame(texts, "doc_id long, text string"), items)
     assert sorted(x.doc_id for x in kept.collect()) == [3, 4, 5, 7, 8]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)  # several blocks, taken in turn over parts of the texts
+    monkeypatch.setattr(decontaminate, "TEXT_BYTES", 200)
+    more = items.unionByName(spark.createDataFrame([(10, "x" * 50, 1), (11, "Kurz und gut", 1)], items.schema))
+    assert decontaminate.write_blocks(more, "item_id", "text")[1] > 2
+    again = {x.doc_id: (x.item_ids, x.distances) for x in decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), more).collect()}
+    assert again == found
     assert decontaminate.clean_documents(docs, items.where("false")).count() == docs.count() and decontaminate.clean_documents(empty, items).count() == 0
 
 
