@@ -110,7 +110,7 @@ def rank_stability(obs: DataFrame, tested: DataFrame, min_n: int = MIN_N, repeat
     return tracked.join(out, "feature", "left")
 
 
-def associations(table: DataFrame, name: str, features: Sequence[str] | None = None, target: str = "delta_norm", unit: str = "dataset", min_n: int = MIN_N, repeats: int = REPEATS, ci_top_k: int | None = None, top_k: int = TOP_K, alpha: float = ALPHA, seed: int = SEED, method: str = "spearman", check: bool = True) -> DataFrame:
+def associations(table: DataFrame, name: str, features: Sequence[str] | None = None, target: str = "delta_norm", unit: str = "dataset", min_n: int = MIN_N, repeats: int = REPEATS, ci_top_k: int | None = None, top_k: int = TOP_K, alpha: float = ALPHA, seed: int = SEED, method: str = "spearman", check: bool = True, ci_alpha: float | None = None) -> DataFrame:
     """The whole association table.  ``check`` runs the guard of one row per unit first."""
     if target not in table.columns:
         raise KeyError(f"{name} has no column {target}")
@@ -123,13 +123,13 @@ def associations(table: DataFrame, name: str, features: Sequence[str] | None = N
     obs = observations(table, features, target, unit)
     tested = test_associations(obs, features, name, min_n, method, alpha)
     chosen = tested if ci_top_k is None else tested.where(F.col("effect_rank") <= ci_top_k)
-    out = tested.join(bootstrap_intervals(obs, chosen, repeats, alpha, seed, method), "feature", "left").fillna(0, ["bootstrap_repeats_used"])
+    out = tested.join(bootstrap_intervals(obs, chosen, repeats, alpha if ci_alpha is None else ci_alpha, seed, method), "feature", "left").fillna(0, ["bootstrap_repeats_used"])
     return out.join(rank_stability(obs, tested, min_n, repeats, top_k, seed + 100_000, method), "feature", "left")
 
 
-def robust_associations(table: DataFrame, name: str, q_limit: float = Q_LIMIT, sign_limit: float = SIGN_LIMIT, top_n: int = TOP_K) -> DataFrame:
-    """The strongest associations that pass the corrected test with a stable sign (a report of ``top_n`` rows)."""
-    kept = table.where((F.col("p_value_bh") < q_limit) & (F.col("bootstrap_sign_consistency") >= sign_limit))
+def robust_associations(table: DataFrame, name: str, q_limit: float = Q_LIMIT, sign_limit: float = SIGN_LIMIT, top_n: int = TOP_K, q: str = "p_value_bh") -> DataFrame:
+    """The strongest associations that pass the corrected test (column ``q``) with a stable sign (a report of ``top_n`` rows)."""
+    kept = table.withColumn("p_value_bh", F.col(q)).where((F.col("p_value_bh") < q_limit) & (F.col("bootstrap_sign_consistency") >= sign_limit))
     top = kept.orderBy(F.desc(F.round("abs_spearman_r", 12)), F.desc("bootstrap_sign_consistency"), "feature").limit(top_n)
     columns = ["feature", "n", "spearman_r", "abs_spearman_r", "p_value_bh", "ci_low", "ci_high", "bootstrap_sign_consistency", "bootstrap_rank_median", "bootstrap_rank_q05", "bootstrap_rank_q95", "bootstrap_top_k_frequency"]
     return top.select(F.lit(name).alias("analysis_table"), *columns).withColumnsRenamed(ROBUST_NAMES)

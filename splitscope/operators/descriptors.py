@@ -5,12 +5,9 @@ One row per (split, feature) - the profile - is aggregated from the cells; descr
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import sample_kurtosis, sample_skewness
 from ..schemas import CLASS_FEATURES, CLASSIFICATION, SPLIT
 from ..sources.splits import SplitRows
 
@@ -19,23 +16,53 @@ NEAR_CONSTANT = 0.95
 
 
 def value_counts(cells: DataFrame) -> DataFrame:
-    """``split, feature, num, cat, k``: how often each value of a feature occurs."""
-    return cells.where("num is not null or cat is not null").groupBy(*SPLIT, "feature", "num", "cat").agg(F.count(F.lit(1)).alias("k"))
+    """``split, feature, kind, num, cat, k``: how often each value of a feature occurs, missing values included (both columns NULL)."""
+    return cells.groupBy(*SPLIT, "feature", "kind", "num", "cat").agg(F.count(F.lit(1)).alias("k"))
+
+
+def _weighted(values: DataFrame) -> DataFrame:
+    """Value counts with the totals of their feature: rows, values, mean, and the quartiles read off running counts.
+
+    All windows share one partitioning by (split, feature).  Running counts stream over sorted values and spill: no aggregate
+    holds the values of a feature."""
+    known = F.col("num").isNotNull() | F.col("cat").isNotNull()
+    whole = Window.partitionBy(*SPLIT, "feature")
+    up = whole.orderBy(F.asc_nulls_first("num")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbers = F.when(F.col("num").isNotNull(), F.col("k")).otherwise(0)
+    out = values.withColumns({"known": F.when(known, F.col("k")).otherwise(0), "after": F.sum(numbers).over(up)})
+    out = out.withColumns({"n_rows": F.sum("k").over(whole), "n_values": F.sum("known").over(whole), "mean": F.try_divide(F.sum(F.col("k") * F.col("num")).over(whole), F.sum(numbers).over(whole))})
+    held = lambda at: F.max(F.when(F.col("num").isNotNull() & (F.col("after") > at) & (F.col("after") - F.col("k") <= at), F.col("num"))).over(whole)
+
+    def quartile(p: float) -> Column:
+        """Between the two values around place p (n - 1)."""
+        place = (F.col("n_values") - 1) * p
+        low, high = held(F.floor(place)), held(F.ceil(place))
+        return low + (high - low) * (place - F.floor(place))
+
+    return out.withColumns({"q1": quartile(0.25), "mid": quartile(0.5), "q3": quartile(0.75)})
 
 
 def profiles(cells: DataFrame) -> DataFrame:
-    """One row per split and feature.  Distinct and most frequent values come from value counts, so no aggregate holds sets."""
-    x = F.col("num")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-    moments = cells.groupBy(*SPLIT, "feature", "kind").agg(
-        F.count(F.lit(1)).alias("n_rows"), (F.count(x) + F.count("cat")).alias("n_values"), sample_skewness(x).alias("skew"), sample_kurtosis(x).alias("kurt"),
-        F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum((x == 0).cast("long")).alias("zeros"),
-        q.alias("q"), F.sum(F.when(x > 0, 1 / x)).alias("inverse"),
+    """One row per split and feature, all from the value counts: two shuffles, of the cells (partly added up before) and of the counts."""
+    values = _weighted(value_counts(cells))
+    x, k = F.col("num"), F.col("k")
+    known, d = F.col("known") > 0, x - F.col("mean")
+    wide = 1.5 * (F.col("q3") - F.col("q1"))
+    one = values.groupBy(*SPLIT, "feature", "kind").agg(
+        F.max("n_rows").alias("n_rows"), F.max("n_values").alias("n_values"), F.count(F.when(known, F.lit(1))).alias("n_distinct"), F.max(F.when(known, k)).alias("top"),
+        F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.when(x == 0, k).otherwise(0)).alias("zeros"), F.max("q1").alias("q1"), F.max("mid").alias("mid"), F.max("q3").alias("q3"), F.max("mean").alias("mean"),
+        F.sum(k * d * d).alias("m2"), F.sum(k * d * d * d).alias("m3"), F.sum(k * d * d * d * d).alias("m4"), F.sum(F.when(x > 0, k / x)).alias("inverse"),
+        F.sum(F.when((x < F.col("q1") - wide) | (x > F.col("q3") + wide), k).otherwise(0)).alias("outside"),
+    )
+    n, m2 = F.col("n_values").cast("double"), F.col("m2")
+    flat = F.col("low") == F.col("high")
+    skew = F.when(flat, F.lit(0.0)).otherwise(F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)) * F.try_divide(F.col("m3") * F.sqrt(n), F.pow(m2, 1.5)))
+    kurt = F.when(flat, F.lit(0.0)).otherwise(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * (F.try_divide(F.col("m4") * n, m2 * m2) - 3) + 6))
+    return one.select(
+        *SPLIT, "feature", "kind", "n_rows", "n_values", F.when(F.col("kind") == "num", F.when(n >= 3, skew)).alias("skew"), F.when(F.col("kind") == "num", F.when(n >= 4, kurt)).alias("kurt"),
+        F.when(n >= 2, F.sqrt(m2 / (n - 1))).alias("std"), F.when(n >= 1, F.sqrt(m2 / n)).alias("std_pop"), "mean", "low", "high", "zeros", "n_distinct", "top", (1 - F.col("n_values") / F.col("n_rows")).alias("missing"),
+        "q1", "mid", "q3", F.when(F.col("low") > 0, F.col("n_values") / F.col("inverse")).alias("hmean"), "outside",
     )
-    distinct = value_counts(cells).groupBy(*SPLIT, "feature").agg(F.count(F.lit(1)).alias("n_distinct"), F.max("k").alias("top"))
-    out = moments.join(distinct, [*SPLIT, "feature"], "left")
-    missing = 1 - F.col("n_values") / F.col("n_rows")
-    return out.withColumns({"n_distinct": F.coalesce("n_distinct", F.lit(0)), "missing": missing, "q1": F.col("q")[0], "q3": F.col("q")[1], "hmean": F.when(F.col("low") > 0, F.col("n_values") / F.col("inverse"))}).drop("q", "inverse")
 
 
 def _num(x: Column) -> Column:
@@ -52,10 +79,32 @@ def split_rows(sr: SplitRows) -> DataFrame:
     return sr.rows.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("n"), any_missing.alias("row_missing_fraction"))
 
 
-def size(sr: SplitRows, rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """Counts, logarithms, ratios and composition."""
-    p = profile.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("d"), F.count(_num(F.lit(1))).alias("n_num_features"), F.count(_cat(F.lit(1))).alias("n_cat_features"), F.avg("missing").alias("missing_fraction"))
-    out = rows.select(*SPLIT, "n").join(p, SPLIT, "left").fillna(0, ["d", "n_num_features", "n_cat_features"])
+def of_profile(profile: DataFrame) -> DataFrame:
+    """Every descriptor that is an aggregate over the features of a split, in one aggregation."""
+    m, k, s = F.col("missing"), _cat(F.col("n_distinct")), F.abs(_num(F.col("skew")))
+    least, share = HIGH_CARDINALITY
+    high = _cat((F.col("n_distinct") >= F.greatest(F.lit(float(least)), share * F.col("n_rows"))).cast("double"))
+    constant = F.col("n_distinct") <= 1
+    near = constant | (F.try_divide(F.col("top"), F.col("n_values")) >= NEAR_CONSTANT)
+    values = F.sum(_num(F.col("n_values")))
+    return profile.groupBy(*SPLIT).agg(
+        F.count(F.lit(1)).alias("d"), F.count(_num(F.lit(1))).alias("n_num_features"), F.count(_cat(F.lit(1))).alias("n_cat_features"), F.avg(m).alias("missing_fraction"),
+        F.avg(k).alias("mean_cat_cardinality"), F.max(k).cast("double").alias("max_cat_cardinality"), F.avg(high).alias("high_cardinality_fraction"),
+        F.avg((m > 0).cast("double")).alias("feature_missing_fraction"), F.avg(_num(m)).alias("num_missing_fraction"), F.avg(_cat(m)).alias("cat_missing_fraction"), F.max(m).alias("max_feature_missing_fraction"),
+        F.avg(s).alias("mean_abs_skew"), F.max(s).alias("max_abs_skew"), F.avg(_num(F.col("kurt"))).alias("mean_kurtosis"),
+        F.try_divide(F.sum(_num(F.col("outside"))), F.nullif(values, F.lit(0))).alias("outlier_fraction_iqr"), F.try_divide(F.sum(_num(F.col("zeros"))), F.nullif(values, F.lit(0))).alias("zero_fraction"),
+        F.avg(constant.cast("double")).alias("constant_feature_fraction"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("near_constant_feature_fraction"),
+    )
+
+
+def size(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Counts, logarithms, ratios and composition.  ``found``: see :func:`of_profile`."""
+    out = rows.select(*SPLIT, "n").join(found.select(*SPLIT, "d", "n_num_features", "n_cat_features", "missing_fraction"), SPLIT, "left")
+    return _ratios(out)
+
+
+def _ratios(table: DataFrame) -> DataFrame:
+    out = table.fillna(0, ["d", "n_num_features", "n_cat_features"])
     n, d = F.col("n"), F.col("d")
     log = lambda x: F.when(x > 0, F.log10(x))
     return out.withColumns({"log_n": log(n), "log_d": log(d), "n_over_d": F.try_divide(n, d), "d_over_n": F.try_divide(d, n), "num_fraction": F.try_divide(F.col("n_num_features"), d), "cat_fraction": F.try_divide(F.col("n_cat_features"), d)})
@@ -79,46 +128,8 @@ def target(sr: SplitRows) -> DataFrame:
     )
 
 
-def cardinality(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """Distinct values of the categorical features."""
-    k = _cat(F.col("n_distinct"))
-    least, share = HIGH_CARDINALITY
-    high = _cat((F.col("n_distinct") >= F.greatest(F.lit(float(least)), share * F.col("n_rows"))).cast("double"))
-    p = profile.groupBy(*SPLIT).agg(F.avg(k).alias("mean_cat_cardinality"), F.max(k).cast("double").alias("max_cat_cardinality"), F.avg(high).alias("high_cardinality_fraction"))
-    out = rows.select(*SPLIT, "n").join(p, SPLIT, "left")
-    return out.withColumn("cat_cardinality_to_n_ratio", F.try_divide(F.col("mean_cat_cardinality"), F.col("n"))).drop("n")
-
-
-def missingness(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    m = F.col("missing")
-    p = profile.groupBy(*SPLIT).agg(F.avg((m > 0).cast("double")).alias("feature_missing_fraction"), F.avg(_num(m)).alias("num_missing_fraction"), F.avg(_cat(m)).alias("cat_missing_fraction"), F.max(m).alias("max_feature_missing_fraction"))
-    return rows.select(*SPLIT, "row_missing_fraction").join(p, SPLIT, "left")
-
-
-def shape(rows: DataFrame, profile: DataFrame, counts: DataFrame) -> DataFrame:
-    """Moments over numeric features, outliers beyond 1.5 quartile ranges, zeros."""
-    fences = profile.where("kind = 'num'").select(*SPLIT, "feature", "q1", "q3")
-    wide = 1.5 * (F.col("q3") - F.col("q1"))
-    out = (F.col("num") < F.col("q1") - wide) | (F.col("num") > F.col("q3") + wide)
-    outside = counts.where("num is not null").join(fences, [*SPLIT, "feature"]).groupBy(*SPLIT).agg(F.sum(F.when(out, F.col("k")).otherwise(0)).alias("outside"))
-    s = F.abs(_num(F.col("skew")))
-    p = profile.groupBy(*SPLIT).agg(F.avg(s).alias("mean_abs_skew"), F.max(s).alias("max_abs_skew"), F.avg(_num(F.col("kurt"))).alias("mean_kurtosis"), F.sum(_num(F.col("n_values"))).alias("values"), F.sum(_num(F.col("zeros"))).alias("zeros"))
-    both = rows.select(*SPLIT).join(p, SPLIT, "left").join(outside, SPLIT, "left")
-    v = F.nullif(F.col("values"), F.lit(0))
-    return both.select(*SPLIT, "mean_abs_skew", "max_abs_skew", "mean_kurtosis", F.try_divide(F.col("outside"), v).alias("outlier_fraction_iqr"), F.try_divide(F.coalesce("zeros", F.lit(0)), v).alias("zero_fraction"))
-
-
-def information(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """Shares of constant and nearly constant features."""
-    constant = F.col("n_distinct") <= 1
-    near = constant | (F.try_divide(F.col("top"), F.col("n_values")) >= NEAR_CONSTANT)
-    p = profile.groupBy(*SPLIT).agg(F.avg(constant.cast("double")).alias("constant_feature_fraction"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("near_constant_feature_fraction"))
-    return rows.select(*SPLIT).join(p, SPLIT, "left")
-
-
-def basic(sr: SplitRows) -> DataFrame:
-    """All basic descriptors of each split."""
-    cells = sr.cells()
-    profile, rows = profiles(cells), split_rows(sr)
-    parts = [size(sr, rows, profile), target(sr), cardinality(rows, profile), missingness(rows, profile), shape(rows, profile, value_counts(cells)), information(rows, profile)]
-    return reduce(lambda a, b: a.join(b, SPLIT, "left"), parts)
+def basic(sr: SplitRows, profile: DataFrame | None = None) -> DataFrame:
+    """All basic descriptors of each split: one pass over the cells, one over the rows, one over the targets."""
+    profile = profiles(sr.cells()) if profile is None else profile
+    out = _ratios(split_rows(sr).join(of_profile(profile), SPLIT, "left").join(target(sr), SPLIT, "left"))
+    return out.withColumn("cat_cardinality_to_n_ratio", F.try_divide(F.col("mean_cat_cardinality"), F.col("n")))

@@ -1,7 +1,7 @@
 """Cross products of the numeric features of a split, summed over partitions.
 
-A task turns each block of rows into the moments of every feature pair (over rows where both are present) and Spark adds
-the blocks: a split of any number of rows is never gathered in one place.
+A task adds the moments of every feature pair (over rows where both are present) split by split, emits each split once (or more often, where their
+matrices outgrow ``HELD_BYTES``), and Spark adds these parts: a split of any number of rows is never gathered in one place.
 """
 
 from __future__ import annotations
@@ -17,20 +17,34 @@ from ..schemas import SPLIT
 from ..sources.splits import SplitRows
 
 MAX_FEATURES = 512
+HELD_BYTES = 64 << 20
 _OUT = "dataset string, repeat int, fold int, whole boolean, i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double"
 
 
-def block_moments(x: np.ndarray) -> list[np.ndarray]:
-    """``i, j, n, mean i, mean j, sum of squares i, j, and of products`` for all i <= j of one block (NaN: missing)."""
-    m = ~np.isnan(x)
-    count = m.sum(0)
-    mu = np.where(count > 0, np.where(m, x, 0).sum(0) / np.maximum(count, 1), 0.0)
-    z, w = np.where(m, x - mu, 0.0), m.astype(float)
-    n, s, q, c = w.T @ w, z.T @ w, (z * z).T @ w, z.T @ z
-    i, j = np.triu_indices(x.shape[1])
-    k = np.maximum(n, 1)
-    cxx, cxy = q - s * s / k, c - s * s.T / k
-    return [i, j, n[i, j], mu[i] + (s / k)[i, j], mu[j] + (s / k)[j, i], cxx[i, j], cxx[j, i], cxy[i, j]]
+class Moments:
+    """Sums over rows, about a fixed centre near the data so that nothing is lost to cancellation."""
+
+    def __init__(self, x: np.ndarray):
+        seen = ~np.isnan(x)
+        count = seen.sum(0)
+        self.centre = np.where(count > 0, np.where(seen, x, 0).sum(0) / np.maximum(count, 1), 0.0)
+        p = x.shape[1]
+        self.n, self.s, self.q, self.c = np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
+
+    def add(self, x: np.ndarray) -> None:
+        w = ~np.isnan(x)
+        z, w = np.where(w, x - self.centre, 0.0), w.astype(float)
+        self.n += w.T @ w
+        self.s += z.T @ w
+        self.q += (z * z).T @ w
+        self.c += z.T @ z
+
+    def pairs(self) -> list[np.ndarray]:
+        """``i, j, n, mean i, mean j, sum of squares i, j, and of products`` for all i <= j."""
+        i, j = np.triu_indices(len(self.centre))
+        k = np.maximum(self.n, 1)
+        cxx, cxy = self.q - self.s * self.s / k, self.c - self.s * self.s.T / k
+        return [i, j, self.n[i, j], self.centre[i] + (self.s / k)[i, j], self.centre[j] + (self.s / k)[j, i], cxx[i, j], cxx[j, i], cxy[i, j]]
 
 
 def moments(sr: SplitRows, whole: bool = False) -> DataFrame:
@@ -40,23 +54,42 @@ def moments(sr: SplitRows, whole: bool = False) -> DataFrame:
     spark = sr.rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Moments] = {}
+        most = max(1, HELD_BYTES // (32 * max(1, len(names)) ** 2))
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for (dataset, repeat, fold), m in held.items():
+                got = m.pairs()
+                size = len(got[0])
+                head = [pa.array([dataset] * size, pa.string()), pa.array([repeat] * size, pa.int32()), pa.array([fold] * size, pa.int32()), pa.array([whole] * size)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(got[0], pa.int32()), pa.array(got[1], pa.int32()), *map(pa.array, got[2:])], names=[c.split()[0] for c in _OUT.split(", ")])
+            held.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            x = np.column_stack([batch.column(3 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))])
-            place: dict[tuple, int] = {}
-            at = np.array([place.setdefault(k, len(place)) for k in keys])
-            order = np.argsort(at, kind="stable")
-            edge = np.searchsorted(at[order], np.arange(len(place) + 1))
-            for key, a, b in zip(place, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                part = x[order[a:b]]
+            # rows of a batch, split by split
+            coded = batch.column(0).dictionary_encode()
+            labels = [*coded.dictionary.to_pylist(), None]
+            first = coded.indices.fill_null(len(labels) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            rest = [batch.column(k).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2)]
+            order = np.lexsort((rest[1], rest[0], first))
+            key = np.stack((first, *rest))[:, order]
+            edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
+            x = np.column_stack([batch.column(3 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))])[order]
+            for a, b in zip(edge.tolist(), np.append(edge[1:], len(x)).tolist(), strict=True):
+                part = x[a:b]
                 if whole:
                     part = part[~np.isnan(part).any(1)]
-                got = block_moments(part)
-                size = len(got[0])
-                head = [pa.array([key[0]] * size, pa.string()), *(pa.array([k] * size, pa.int32()) for k in key[1:]), pa.array([whole] * size)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(got[0], pa.int32()), pa.array(got[1], pa.int32()), *map(pa.array, got[2:])], names=[c.split()[0] for c in _OUT.split(", ")])
+                    if not len(part):
+                        continue
+                split = (labels[key[0, a]], int(key[1, a]), int(key[2, a]))
+                if split not in held:
+                    if len(held) >= most:
+                        yield from emit()
+                    held[split] = Moments(part)
+                held[split].add(part)
+        yield from emit()
 
     parts = sr.numbers().select(F.col("dataset").cast("string"), F.col("repeat").cast("int"), F.col("fold").cast("int"), *names).mapInArrow(run, _OUT)
     n, a, b = F.sum("n"), F.sum(F.col("n") * F.col("mx")), F.sum(F.col("n") * F.col("my"))

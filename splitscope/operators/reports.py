@@ -47,13 +47,21 @@ def booktabs(rows: Sequence[Sequence[object]], header: Sequence[str], caption: s
     return "\n".join([r"\begin{table}", rf"\caption{{{latex(caption)}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{l{'r' * (len(header) - 1)}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
 
 
+def _report_rows(report: DataFrame) -> list:
+    """The rows of a report; one too long to print is an error, not a cut."""
+    rows = report.limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise ValueError(f"a printed table holds at most {MAX_ROWS} rows")
+    return rows
+
+
 def robust_table(robust: DataFrame, name: str) -> str:
-    rows = robust.orderBy(F.desc("abs_spearman_rho"), "feature").limit(MAX_ROWS).collect()
+    rows = _report_rows(robust.orderBy(F.desc("abs_spearman_rho"), "feature"))
     body = [(feature_label(r["feature"]), r["n"], decimal(r["spearman_rho"]), p_text(r["bh_q_value"]), interval(r["bootstrap_ci_low"], r["bootstrap_ci_high"]), decimal(r["bootstrap_sign_consistency"], 2)) for r in rows]
     return booktabs(body, ["feature", "n", "rho", "q", "interval", "sign"], f"Robust associations: {name}", f"tab:robust_{slug(name)}")
 
 
 def nominal_table(tested: DataFrame, name: str, alpha: float = 0.05) -> str:
-    rows = tested.where(F.col("p_value") < alpha).orderBy("p_value", "feature").limit(MAX_ROWS).collect()
+    rows = _report_rows(tested.where(F.col("p_value") < alpha).orderBy("p_value", "feature"))
     body = [(feature_label(r["feature"]), r["n"], decimal(r["spearman_r"]), p_text(r["p_value"]), p_text(r["p_value_bh"])) for r in rows]
     return booktabs(body, ["feature", "n", "rho", "p", "q"], f"Nominal associations: {name}", f"tab:nominal_{slug(name)}")

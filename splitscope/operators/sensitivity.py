@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_number, average_rank, resample_index
+from ..functions.expressions import as_number, average_rank, correlation, resample_index
 from .associations import ALPHA, LEAST_REPLICATES, MIN_N, REPEATS, SEED, SIGN_LIMIT, assert_one_row_per_unit
 from .features import complete_cases
 from .kernels import fit_rank_ols
@@ -20,6 +20,7 @@ GENERAL_CONTROLS = (("n_samples", ("n_samples", "n_instances", "n_rows", "n")),
 CLASS_CONTROLS = (("n_classes", ("n_classes", "nr_classes")), ("class_imbalance_ratio", ("class_imbalance_ratio", "imbalance_ratio", "majority_minority_ratio")))
 LOG_CONTROLS = (("log_n", ("log_n",)), ("log_d", ("log_d",)), ("d_over_n", ("d_over_n",)), ("cat_fraction", ("cat_fraction",)), ("feature_missing_fraction", ("feature_missing_fraction",)))
 _CONTROL = "control string, source_column string, model_column string, included boolean, reason string"
+_PARTIAL = "feature string, n long, rho double, partial_rho double"
 RESULT = "analysis_table string, feature string, feature_family string, n int, univariate_spearman_rho double, adjusted_rank_coefficient double, adjusted_ci_low double, adjusted_ci_high double, adjusted_bootstrap_sign_consistency double, adjusted_bootstrap_repeats long, adjusted_direction_matches_univariate boolean, adjusted_direction_stable boolean, predictors_in_model int, controls_in_model string, condition_number double"
 
 
@@ -87,9 +88,12 @@ def bootstrap_fits(rows: DataFrame, predictors: Sequence[str], target: str, seed
 def sensitivity(table: DataFrame, robust: DataFrame, name: str, target: str = "delta_norm", controls_from: DataFrame | None = None, classification: bool = False, candidates=GENERAL_CONTROLS, repeats: int = REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The adjusted coefficients of the chosen features, the feature report and the control report."""
     spark = table.sparkSession
+    # tables of one row per dataset or feature that several jobs read: kept so that the plan below them runs once
+    table, robust = table.persist(), robust.persist()
+    source = table if controls_from is None else controls_from.persist()
     assert_one_row_per_unit(table, name)
-    source = table if controls_from is None else controls_from
-    assert_one_row_per_unit(source, f"{name} controls")
+    if controls_from is not None:
+        assert_one_row_per_unit(source, f"{name} controls")
     controls = available_controls(source, (*candidates, *(CLASS_CONTROLS if classification else ())))
     used = [(a, m) for _, a, m, ok, _ in controls if ok]
     room = max(0, min(MAX_FEATURES, MAX_PREDICTORS - len(used)))
@@ -105,7 +109,7 @@ def sensitivity(table: DataFrame, robust: DataFrame, name: str, target: str = "d
     extra = source.select("dataset", *(as_number(source.schema[a]).alias(m) for a, m in used))
     predictors = [*chosen, *(m for _, m in used)]
     clean = complete_cases(table.select("dataset", target, *chosen).join(extra, "dataset", "left"), [target, *predictors])
-    fits = bootstrap_fits(clean, predictors, target, seed + sum((k + 1) * ord(c) for k, c in enumerate(name)), repeats)
+    fits = bootstrap_fits(clean, predictors, target, seed + sum((k + 1) * ord(c) for k, c in enumerate(name)), repeats).persist()
     whole = fits.where("rep = -1").select("predictor", F.col("coefficient").alias("observed"), "n", "predictors", "condition")
     if whole.isEmpty():
         raise ValueError(f"{name}: too few complete cases for the model")
@@ -126,17 +130,18 @@ def sensitivity(table: DataFrame, robust: DataFrame, name: str, target: str = "d
 def residual_rank_correlation(table: DataFrame, feature: str, controls: Sequence[str], target: str = "delta_norm") -> DataFrame:
     """``feature, n, rho, partial_rho``: the rank correlation before and after both sides lose what the controls' ranks explain."""
     clean = complete_cases(table, [target, feature, *controls]).select("dataset", target, feature, *controls)
-    names = list(controls)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .kernels import rank_z, spearman
-
-        x, y = rank_z(pdf[feature].to_numpy(float)), rank_z(pdf[target].to_numpy(float))
-        cols = [z for c in names if (z := rank_z(pdf[c].to_numpy(float))) is not None]
-        m = np.column_stack([np.ones(len(pdf)), *cols])
-        rest = [v - m @ np.linalg.lstsq(m, v, rcond=None)[0] if v is not None else None for v in (x, y)]
-        rho = None if x is None or y is None else spearman(x, y)
-        part = None if rho is None else spearman(*rest)
-        return pd.DataFrame([[feature, len(pdf), rho, part]], columns=["feature", "n", "rho", "partial_rho"])
-
-    return clean.groupBy(F.lit(1)).applyInPandas(run, "feature string, n int, rho double, partial_rho double")  # one row per dataset
+    names = [target, feature, *controls]
+    z = rank_zscores(clean, names)
+    # all sums of products are one row: the residuals of both sides come from the normal equations of the controls' ranks
+    sums = z.agg(*(F.avg(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j), F.count(F.lit(1)).alias("n")).first()
+    s = lambda i, j: sums[f"s{min(i, j)}_{max(i, j)}"]
+    live = [k for k in range(2, len(names)) if s(k, k)]  # constant controls explain nothing
+    flat = not s(0, 0) or not s(1, 1)
+    solve = lambda k: np.linalg.lstsq(np.array([[s(i, j) for j in live] for i in live]), np.array([s(i, k) for i in live]), rcond=None)[0] if live else []
+    rest = lambda k: F.round(F.col(names[k]) - sum((F.lit(float(b)) * F.col(names[c]) for c, b in zip(live, solve(k), strict=True)), F.lit(0.0)), 12)
+    spark = table.sparkSession
+    if flat:
+        return spark.createDataFrame([(feature, sums["n"], None, None)], _PARTIAL)
+    left = z.select(rest(0).alias("x"), rest(1).alias("y")).select(average_rank("x").alias("rx"), average_rank("y").alias("ry"))  # one row per dataset
+    varies = F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), correlation(F.col("rx"), F.col("ry")))
+    return left.agg(varies.alias("partial_rho")).select(F.lit(feature).alias("feature"), F.lit(sums["n"]).cast("long").alias("n"), F.lit(float(s(0, 1))).alias("rho"), "partial_rho")

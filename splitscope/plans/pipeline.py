@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import Config, ConfigError
 from ..operators.analysis import analysis_table
-from ..operators.associations import associations, robust_associations
+from ..operators.associations import associations, corrected, robust_associations
 from ..operators.descriptors import basic, profiles
-from ..operators.external import external
+from ..operators.external import external, external_columns
 from ..operators.features import predictors, preprocess, reduce_redundant
 from ..operators.gaps import pairwise_gaps
 from ..operators.irregularity import irregularity
 from ..operators.redundancy import redundancy
 from ..operators.sensitivity import sensitivity
-from ..schemas import SPLIT
+from ..schemas import BASIC, IRREGULARITY, REDUNDANCY, SPLIT
 from ..sources.metadata import problem_types_payload, without_problem_types
 from ..sources.results import select_results
 from ..sources.splits import SplitRows
-from .store import Store, content_hash, stage_hash
+from .store import Store, content_hash, stage_hash, with_identity
 
+log = logging.getLogger("splitscope")
 FEATURE_SETS = ("basic", "redundancy", "irregularity", "pymfe")
 SCHEMA_VERSIONS = {"basic": 1, "redundancy": 1, "irregularity": 1, "pymfe": 1}
 
@@ -34,17 +38,76 @@ def check_feature_sets(names) -> None:
         raise ValueError(f"unknown feature sets {wrong}; there are {FEATURE_SETS}")
 
 
-def describe(sr: SplitRows, config: Config) -> DataFrame:
-    """The configured descriptors, one row per split; profiles are shared by the sets that need them."""
-    settings = config.descriptors
-    check_feature_sets(settings.feature_sets)
-    profile = profiles(sr.cells())
+def set_columns(name: str, config: Config) -> dict[str, str]:
+    """The columns of a feature set and their types."""
+    d = config.descriptors
+    fixed = {"basic": BASIC, "redundancy": REDUNDANCY, "irregularity": list(IRREGULARITY)}
+    counts = {"n", "d", "n_num_features", "n_cat_features", "n_classes"}
+    return {c: "long" if c in counts else "double" for c in (external_columns(d.external_groups, d.external_summary) if name == "pymfe" else fixed[name])}
+
+
+def build_set(name: str, sr: SplitRows, config: Config, profile: DataFrame) -> DataFrame:
+    """One feature set, one row per split."""
+    d = config.descriptors
     build = {
-        "basic": lambda: basic(sr), "redundancy": lambda: redundancy(sr, profile), "irregularity": lambda: irregularity(sr, profile),
-        "pymfe": lambda: external(sr, settings.external_groups, settings.external_summary),
+        "basic": lambda: basic(sr, profile), "redundancy": lambda: redundancy(sr, profile), "irregularity": lambda: irregularity(sr, profile),
+        "pymfe": lambda: external(sr, d.external_groups, d.external_summary, profile),
     }
+    return build[name]().select(*SPLIT, *(F.col(f"`{c}`").cast(t).alias(c) for c, t in set_columns(name, config).items()))
+
+
+def describe(sr: SplitRows, config: Config) -> DataFrame:
+    """The configured descriptors, one row per split, as one lazy plan: an error in any set is an error of the whole."""
+    check_feature_sets(config.descriptors.feature_sets)
+    profile = profiles(sr.cells())
     keys = sr.rows.select(*SPLIT).distinct()
-    return reduce(lambda a, b: a.join(b, SPLIT, "left"), (build[s]() for s in settings.feature_sets), keys)
+    return reduce(lambda a, b: a.join(b, SPLIT, "left"), (build_set(s, sr, config, profile) for s in config.descriptors.feature_sets), keys)
+
+
+def describe_stored(sr: SplitRows, config: Config, store: Store, key: str) -> DataFrame:
+    """The descriptors with ``failed_sets``, one stored row per split and feature set.
+
+    Only splits without a stored row of the same identity (settings of the set, features, problem type) are computed; ``retry_failed`` also computes
+    those whose set failed before.  Sets other than the irregularity are best effort: if one fails, its row holds NULLs and the reason, and the
+    others are kept.  Rows are appended, the newest of an identity counts, so a broken run loses nothing."""
+    check_feature_sets(config.descriptors.feature_sets)
+    d, spark = config.descriptors, store.spark
+    kind = sr.problem_type
+    keys = sr.rows.groupBy(*SPLIT).agg(F.min(kind).alias("kind") if kind else F.lit(None).cast("string").alias("kind"))
+    tables = []
+    for name in d.feature_sets:
+        columns = set_columns(name, config)
+        settings = {"set": name, "schema": SCHEMA_VERSIONS[name], "features": sr.features, "external": [d.external_groups, d.external_summary] if name == "pymfe" else None}
+        wanted = with_identity(keys, settings, "kind").drop("kind")
+        table = store.table(2, f"splits_{name}", key)
+        schema = ", ".join(["dataset string", "repeat int", "fold int", "identity string", "failure string", "attempt int", *(f"`{c}` {t}" for c, t in columns.items())])
+        stored = newest(table.read(schema))
+        held = stored.where("failure is null") if d.retry_failed else stored
+        targets = wanted.join(held.select(*SPLIT, "identity"), [*SPLIT, "identity"], "left_anti").withColumn("attempt", F.lit(table.appends()))
+        n = targets.count()
+        log.info("feature set %s: %d splits to compute", name, n)
+        if n:
+            part = SplitRows(sr.rows.join(targets.select(*SPLIT), SPLIT, "left_semi"), sr.features, sr.target, sr.problem_type)
+            try:
+                fresh = build_set(name, part, config, profiles(part.cells()))
+                table.append(targets.join(fresh, SPLIT, "left").withColumn("failure", F.lit(None).cast("string")), schema)
+            except Exception as e:
+                if name == "irregularity":
+                    raise
+                reason = f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
+                log.warning("feature set %s failed: %s", name, reason)
+                table.append(targets.withColumns({"failure": F.lit(reason)} | {c: F.lit(None).cast(t) for c, t in columns.items()}), schema)
+        rows = newest(table.read(schema)).join(wanted, [*SPLIT, "identity"], "left_semi")
+        tables.append(rows.select(*SPLIT, *(F.col(f"`{c}`") for c in columns), F.col("failure").alias(f"__failure_{name}")))
+    out = reduce(lambda a, b: a.join(b, SPLIT, "left"), tables, keys.select(*SPLIT))
+    failed = F.filter(F.array(*(F.struct(F.lit(s).alias("key"), F.col(f"__failure_{s}").alias("value")) for s in d.feature_sets)), lambda x: x["value"].isNotNull())
+    return out.withColumn("failed_sets", F.to_json(F.map_from_entries(failed))).drop(*(f"__failure_{s}" for s in d.feature_sets))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The last attempt of each split and identity."""
+    last = F.row_number().over(Window.partitionBy(*SPLIT, "identity").orderBy(F.desc("attempt")))
+    return rows.withColumn("__nth", last).where("__nth = 1").drop("__nth")
 
 
 @dataclass
@@ -60,31 +123,40 @@ class Result:
 
 
 def run_analysis(config: Config, results: DataFrame, splits: SplitRows, metadata: DataFrame | None = None, store: Store | None = None, statistics: bool = False, repeats: int | None = None) -> Result:
-    """Nothing runs before a table of the result is asked for, unless a store keeps the stages.
+    """Nothing runs before a table of the result is asked for, unless a store keeps the stages or statistics are wanted.
 
-    Statistics settings take no part in the identity of earlier stages: changing them rebuilds nothing upstream."""
+    With a store, raw results and gaps are kept whole under content hashes; descriptors are kept and repaired split by split and feature set by
+    feature set.  Statistics settings take no part in the identity of earlier stages: changing them rebuilds nothing upstream."""
     a = config.analysis
-    key = content_hash({"version": config.version, "schemas": {s: SCHEMA_VERSIONS.get(s) for s in config.descriptors.feature_sets}})
+    began = time.perf_counter()
+    key = content_hash({"version": config.version})
     keep = lambda name: store is not None and config.cache.enabled and name in config.cache.stages
-    stage = lambda number, name, h, build: store.once(number, name, h, build) if keep(name) else build()
+
+    def stage(number: int, name: str, h: str, build: Callable[[], DataFrame]) -> DataFrame:
+        out = store.once(number, name, h, build) if keep(name) else build()
+        log.info("stage %d %s (%s): ready after %.1f s", number, name, h, time.perf_counter() - began)
+        return out
 
     scope = {"excluded": a.exclude_problem_types}
     if metadata is not None and a.exclude_problem_types:
         scope["types"] = [tuple(r) for r in problem_types_payload(metadata).collect()] if store is not None else None  # one row per dataset
         wanted = without_problem_types(results.select("dataset").distinct(), metadata, a.exclude_problem_types)
-        splits = SplitRows(splits.rows.join(wanted, "dataset", "left_semi"), splits.features, splits.target, splits.problem_type)
+        kept_splits = without_problem_types(splits.rows.select("dataset").distinct(), metadata, a.exclude_problem_types)
+        splits = SplitRows(splits.rows.join(kept_splits, "dataset", "left_semi"), splits.features, splits.target, splits.problem_type)
     else:
         wanted = None
     raw_hash = stage_hash("raw_results", key, {"metrics": a.metrics, "variants": a.method_variant, "without": a.exclude_methods_containing, "scope": scope})
     rows = stage(1, "raw_results", raw_hash, lambda: select_results(results, a, wanted))
-    desc_hash = stage_hash("metafeatures", key, {"sets": config.descriptors, "features": splits.features, "scope": scope})
-    described = stage(2, "metafeatures", desc_hash, lambda: describe(splits, config))
-    gap_hash = stage_hash("gaps", raw_hash, {"comparisons": config.comparisons, "folds": a.folds_per_repeat})
+    described = describe_stored(splits, config, store, key) if keep("metafeatures") else describe(splits, config)
+    log.info("stage 2 metafeatures: ready after %.1f s", time.perf_counter() - began)
+    gap_hash = stage_hash("gaps", raw_hash, {"comparisons": config.comparisons, "errors": [a.error_column, a.selection], "folds": a.folds_per_repeat})
     gaps = stage(3, "gaps", gap_hash, lambda: pairwise_gaps(rows, config.comparisons, a.error_column, a.selection, a.folds_per_repeat))
-    table = analysis_table(gaps, described, a.unit, config.descriptors.irregularity_components)
+    table = analysis_table(gaps, described.drop("failed_sets"), a.unit, config.descriptors.irregularity_components)
     out = Result(key, rows, gaps, described, table)
     if statistics and a.unit == "dataset":
         s = config.statistics
+        if s.multivariate and s.multivariate_method != "ols":
+            raise ConfigError(f"statistics.multivariate_method: {s.multivariate_method!r} is not available, only 'ols'")
         n = repeats or (s.ci_bootstrap_samples if s.confidence_interval else 0)
         for c in config.comparisons:
             one = table.where(F.col("comparison_name") == c.name)
@@ -92,8 +164,9 @@ def run_analysis(config: Config, results: DataFrame, splits: SplitRows, metadata
             cleaned, _ = preprocess(one, features, c.name, ["dataset", "delta_norm"])
             kept = [f for f in cleaned.columns if f not in ("dataset", "delta_norm")]
             reduced, _ = reduce_redundant(cleaned, kept, c.name, ["dataset", "delta_norm"])
-            found = associations(reduced, c.name, alpha=s.alpha, method=s.correlation_method, repeats=max(1, n))
-            out.associations[c.name], out.robust[c.name] = found, robust_associations(found, c.name, s.alpha)
+            found = corrected(associations(reduced, c.name, alpha=s.alpha, ci_alpha=1 - s.ci_confidence_level, method=s.correlation_method, repeats=max(1, n)), s.fdr_method, c.expected_direction)
+            out.associations[c.name], out.robust[c.name] = found, robust_associations(found, c.name, s.alpha, q="p_adjusted")
+            log.info("statistics of %s: planned after %.1f s", c.name, time.perf_counter() - began)
             if s.multivariate:
                 out.sensitivity[c.name] = sensitivity(reduced, out.robust[c.name], c.name, controls_from=one)[0]
     return out

@@ -39,6 +39,34 @@ def stage_hash(name: str, upstream: str, settings: Any = None) -> str:
     return content_hash({"stage": name, "upstream": upstream, "settings": settings})
 
 
+class Appended:
+    """A stored table that grows by appends, each a folder of its own that counts once it is whole."""
+
+    def __init__(self, store: Store, path: str):
+        self.store, self.path = store, path
+
+    def _parts(self) -> list[str]:
+        fs, root = self.store._fs(self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(f"{self.path}/{n}" for n in names if n.startswith("part=") and self.store.has(f"{self.path}/{n}"))
+
+    def appends(self) -> int:
+        """How many parts there are, and so the number of the next attempt."""
+        return len(self._parts())
+
+    def read(self, schema: str) -> DataFrame:
+        """All rows so far; columns that older rows lack are NULL."""
+        parts = self._parts()
+        return self.store.spark.read.schema(schema).parquet(*parts) if parts else self.store.spark.createDataFrame([], schema)
+
+    def append(self, rows: DataFrame, schema: str) -> None:
+        fields = self.store.spark.createDataFrame([], schema).schema.fields
+        path = f"{self.path}/part={self.appends():06d}"
+        rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -72,6 +100,9 @@ class Store:
         found = self.read(stage, name, key)
         return self.write(build(), stage, name, key) if found is None else found
 
+    def table(self, stage: int, name: str, key: str) -> Appended:
+        return Appended(self, self.path(stage, name, key))
+
     def write_json(self, x: Any, stage: int, name: str, key: str) -> None:
         text = json.dumps(plain(x), sort_keys=True)
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self.path(stage, name, key, "json"))
@@ -102,32 +133,11 @@ def with_identity(table: DataFrame, settings: Any, problem_type: str | None = No
     return table.withColumn("identity", F.sha2(F.concat_ws("|", F.lit(content_hash(settings)), F.coalesce(F.col(problem_type).cast("string"), F.lit("")) if problem_type else F.lit("")), 256))
 
 
-def with_failures(table: DataFrame, sets: dict[str, Sequence[str]], errors: dict[str, str] | None = None) -> DataFrame:
-    """Adds ``failed_sets``: JSON of the feature sets without any value in the row, with the reason."""
-    entry = [F.when(F.coalesce(*cols).isNull(), F.struct(F.lit(s).alias("key"), F.lit((errors or {}).get(s, "no value")).alias("value"))) for s, names in sets.items() if (cols := [F.col(c).cast("string") for c in names if c in table.columns])]
-    return table.withColumn("failed_sets", F.to_json(F.map_from_entries(F.filter(F.array(*entry), lambda x: x.isNotNull()))) if entry else F.lit("{}"))
-
-
 def failures(table: DataFrame) -> DataFrame:
     """``feature_set, reason, n``: how often each set failed."""
     return table.select(F.explode(F.from_json("failed_sets", "map<string,string>"))).groupBy(F.col("key").alias("feature_set"), F.col("value").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def repair_targets(wanted: DataFrame, stored: DataFrame | None, columns: Sequence[str]) -> DataFrame:
-    """Splits whose stored row is absent, of another identity, or lacks a column.  A column that is present but NULL is not repaired."""
-    if stored is None or any(c not in stored.columns for c in columns):
-        return wanted
-    return wanted.join(stored.select(*SPLIT, "identity"), [*SPLIT, "identity"], "left_anti")
-
-
-def repaired(wanted: DataFrame, stored: DataFrame | None, build: Callable[[DataFrame], DataFrame], columns: Sequence[str]) -> DataFrame:
-    """The stored rows that still hold, and fresh ones for the rest."""
-    fresh = build(repair_targets(wanted, stored, columns))
-    if stored is None or any(c not in stored.columns for c in columns):
-        return fresh
-    return stored.join(wanted.select(*SPLIT, "identity"), [*SPLIT, "identity"], "left_semi").select(*fresh.columns).unionByName(fresh)
-
-
 def patch_absent_categories(table: DataFrame, columns: Sequence[str] = ("mean_cat_cardinality", "max_cat_cardinality", "high_cardinality_fraction", "cat_cardinality_to_n_ratio", "cat_missing_fraction")) -> DataFrame:
     """Descriptors of categorical columns become 0 where a split has none."""
     return table.withColumns({c: F.when(F.col("n_cat_features") == 0, F.lit(0.0)).otherwise(F.col(c)) for c in columns if c in table.columns})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +11,17 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import finite
 from ..operators import analysis, associations, descriptors, external, features, followups, gaps, irregularity, predictive, redundancy, sensitivity
-from ..plans.store import patch_absent_categories
+from ..plans.store import content_hash, failures, patch_absent_categories, with_identity
 from ..schemas import BASIC, GROUP, SPLIT
-from ..sources.metadata import splits_of, without_problem_types
-from ..sources.results import decode_splits
+from ..sources.metadata import metadata_of, problem_types_payload, sample_datasets, splits_of, without_problem_types
+from ..sources.results import decode_splits, select_results
+from ..sources.splits import SplitRows, repeated_samples
 from . import inputs, twins
 from .inputs import COMPARISONS, FAMILIES, MAIN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-REPEATS = 200
+REPEATS = associations.REPEATS
 PARTS = twins.PARTS
 
 
@@ -51,7 +53,7 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     that hardly varies would blow up the engines' last bits."""
     sr = inputs.train_splits(spark, sf_dir)
     profile = descriptors.profiles(sr.cells())
-    return descriptors.basic(sr).join(irregularity.profile_components(profile), SPLIT, "left").select(*SPLIT, *BASIC, *(F.round(c, 6).alias(c) for c in PARTS))
+    return descriptors.basic(sr, profile).join(irregularity.profile_components(profile), SPLIT, "left").select(*SPLIT, *BASIC, *(F.round(c, 6).alias(c) for c in PARTS))
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +89,17 @@ def decoded_splits(spark, sf_dir):
     return decode_splits(inputs.results(spark, sf_dir)).groupBy("dataset", "split_id", "repeat", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {twins.GAPS},
-sides AS (SELECT comparison_name, any_value(group_a_name) AS ga, any_value(group_b_name) AS gb, dataset, repeat, fold, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM candidates GROUP BY comparison_name, dataset, repeat, fold),
-gone AS (SELECT comparison_name, CASE WHEN na = 0 THEN ga ELSE gb END AS group_name, dataset, repeat, fold, row_number() OVER (PARTITION BY comparison_name, na = 0 ORDER BY dataset, repeat, fold) AS nth FROM sides WHERE na = 0 OR nb = 0)
-SELECT comparison_name, group_name, count(*) AS n_missing, string_agg(dataset || '/r' || repeat || '/f' || fold, ', ' ORDER BY nth) FILTER (nth <= 3) AS examples FROM gone GROUP BY ALL""")
+SPARSE = 15  # results of fewer rows count as imputed here, so that whole families are missing in some splits
+
+
+@query(f"""WITH {twins.GAPS.replace("k >= 5", f"k >= {SPARSE}").replace("k < 5", f"k < {SPARSE}")},
+every AS (SELECT DISTINCT s.dataset, s.repeat, s.fold, m.comparison_name, m.group_a_name AS ga, m.group_b_name AS gb FROM scaled s, members m),
+sides AS (SELECT e.*, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM every e LEFT JOIN candidates c USING (comparison_name, dataset, repeat, fold) GROUP BY ALL),
+gone AS (SELECT comparison_name, ga AS group_name, dataset, repeat, fold FROM sides WHERE na = 0 AND nb > 0 UNION ALL SELECT comparison_name, gb, dataset, repeat, fold FROM sides WHERE nb = 0 AND na > 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY comparison_name, group_name ORDER BY dataset, repeat, fold) AS nth FROM gone)
+SELECT comparison_name, group_name, count(*) AS n_missing, string_agg(dataset || '/r' || repeat || '/f' || fold, ', ' ORDER BY nth) FILTER (nth <= 3) AS examples FROM numbered GROUP BY ALL""")
 def missing_family(spark, sf_dir):
-    return gaps.missing_families(inputs.results(spark, sf_dir), COMPARISONS, inputs.ANALYSIS.error_column, inputs.ANALYSIS.selection)
+    return gaps.missing_families(inputs.results(spark, sf_dir, SPARSE), COMPARISONS, inputs.ANALYSIS.error_column, inputs.ANALYSIS.selection)
 
 
 @query(f"WITH {twins.RESULTS}, {twins.FAMILY} SELECT group_name, config_type FROM families WHERE config_type NOT IN (SELECT config_type FROM results)")
@@ -123,6 +130,53 @@ def split_dimensions(spark, sf_dir):
     return splits_of(inputs.metadata(spark, sf_dir))
 
 
+@query("SELECT 'd' || p_size AS dataset, CAST(p_size AS BIGINT) AS tid FROM (SELECT DISTINCT p_size FROM part) WHERE p_size IN (3, 7, 50)")
+def named_metadata(spark, sf_dir):
+    return metadata_of(inputs.metadata(spark, sf_dir), ["d3", "d7", "d50", "none"]).select("dataset", "tid")
+
+
+@query("SELECT dataset FROM (SELECT DISTINCT 'd' || p_size AS dataset FROM part) WHERE dataset <> 'd1' ORDER BY md5('4|' || dataset), dataset LIMIT 12")
+def sampled_datasets(spark, sf_dir):
+    """The limit is the operator: a sample of twelve datasets."""
+    return sample_datasets(inputs.metadata(spark, sf_dir), 12, 4, ["d1"])
+
+
+@query("SELECT DISTINCT 'd' || p_size AS dataset, CASE p_size % 3 WHEN 0 THEN 'multiclass' WHEN 1 THEN 'binary' ELSE 'regression' END AS problem_type FROM part")
+def problem_types(spark, sf_dir):
+    return problem_types_payload(inputs.metadata(spark, sf_dir))
+
+
+@query("""SELECT 'd' || (l_suppkey % 5) AS dataset, 0 AS repeat, CAST(l_linenumber AS INTEGER) AS fold, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+def repeated_rows(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("d"), (F.col("l_suppkey") % 5).cast("string")).alias("dataset"), F.lit(0).alias("repeat"), F.col("l_linenumber").cast("int").alias("fold"), "l_partkey")
+    return repeated_samples(rows, "l_partkey")
+
+
+@query(f"WITH {twins.RESULTS} SELECT dataset, fold, method, {twins.r6('metric_error metric_error_val')} FROM results WHERE method NOT LIKE '%m1%' AND dataset IN ('d1', 'd2', 'd3')")
+def excluded_methods(spark, sf_dir):
+    chosen = replace(inputs.ANALYSIS, exclude_methods_containing=("m1",))
+    return select_results(inputs.raw_results(spark, sf_dir), chosen, ["d1", "d2", "d3"]).select("dataset", "fold", "method", "metric_error", "metric_error_val")
+
+
+@query(f"WITH {twins.RESULTS} SELECT dataset, fold, method, {twins.r6('metric_error')} FROM results WHERE method IN ('m0', 'm4')")
+def results_by_method(spark, sf_dir):
+    kept = select_results(inputs.raw_results(spark, sf_dir), inputs.ANALYSIS, methods=["m0", "m4"])
+    return kept.select("dataset", "fold", "method", "metric_error")
+
+
+@query(f"""WITH {twins.ROWS} SELECT dataset, repeat, fold, sha2 AS identity FROM (SELECT DISTINCT dataset, repeat, fold, sha256('{content_hash({"set": "basic"})}|' || problem_type) AS sha2 FROM train)""")
+def split_identity(spark, sf_dir):
+    rows = inputs.train_splits(spark, sf_dir).rows.select(*SPLIT, "problem_type").distinct()
+    return with_identity(rows, {"set": "basic"}, "problem_type").drop("problem_type")
+
+
+@query("""SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'basic' ELSE 'pymfe' END AS feature_set, CASE WHEN l_linenumber % 2 = 0 THEN 'no value' ELSE 'timeout' END AS reason, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL""")
+def failed_set_counts(spark, sf_dir):
+    n = F.col("l_linenumber")
+    text = F.when(n > 4, F.lit("{}")).when(n % 2 == 0, F.lit('{"basic": "no value"}')).otherwise(F.lit('{"pymfe": "timeout"}'))
+    return failures(inputs.table(spark, sf_dir, "lineitem").select(text.alias("failed_sets")))
+
+
 # --- descriptors ----------------------------------------------------------------------------------------------
 
 
@@ -138,7 +192,7 @@ _COUNTS = ("n", "d", "n_num_features", "n_cat_features", "n_classes")
 @query(_described_sql("d_size", _SIZE, _COUNTS))
 def desc_size(spark, sf_dir):
     sr = inputs.train_splits(spark, sf_dir)
-    return descriptors.size(sr, descriptors.split_rows(sr), descriptors.profiles(sr.cells())).select(*SPLIT, *_SIZE)
+    return descriptors.size(descriptors.split_rows(sr), descriptors.of_profile(descriptors.profiles(sr.cells()))).select(*SPLIT, *_SIZE)
 
 
 @query(_described_sql("d_target", ["n_classes", "class_entropy", "majority_class_fraction", "minority_class_fraction", "class_imbalance_ratio"], _COUNTS))
@@ -146,29 +200,34 @@ def desc_target(spark, sf_dir):
     return descriptors.target(inputs.train_splits(spark, sf_dir))
 
 
-@query(_described_sql("d_card", ["mean_cat_cardinality", "max_cat_cardinality", "high_cardinality_fraction", "cat_cardinality_to_n_ratio"]))
+def _found(spark, sf_dir, *columns: str) -> DataFrame:
+    return descriptors.of_profile(descriptors.profiles(inputs.train_splits(spark, sf_dir).cells())).select(*SPLIT, *columns)
+
+
+_CARD = ["mean_cat_cardinality", "max_cat_cardinality", "high_cardinality_fraction"]
+_MISSING = ["feature_missing_fraction", "num_missing_fraction", "cat_missing_fraction", "max_feature_missing_fraction"]
+_SHAPE = ["mean_abs_skew", "max_abs_skew", "mean_kurtosis", "outlier_fraction_iqr", "zero_fraction"]
+_INFO = ["constant_feature_fraction", "near_constant_feature_fraction"]
+
+
+@query(_described_sql("d_card", _CARD))
 def desc_cardinality(spark, sf_dir):
-    sr = inputs.train_splits(spark, sf_dir)
-    return descriptors.cardinality(descriptors.split_rows(sr), descriptors.profiles(sr.cells()))
+    return _found(spark, sf_dir, *_CARD)
 
 
-@query(_described_sql("d_missing", ["row_missing_fraction", "feature_missing_fraction", "num_missing_fraction", "cat_missing_fraction", "max_feature_missing_fraction"]))
+@query(_described_sql("d_missing", ["row_missing_fraction", *_MISSING]))
 def desc_missing(spark, sf_dir):
-    sr = inputs.train_splits(spark, sf_dir)
-    return descriptors.missingness(descriptors.split_rows(sr), descriptors.profiles(sr.cells()))
+    return descriptors.split_rows(inputs.train_splits(spark, sf_dir)).drop("n").join(_found(spark, sf_dir, *_MISSING), SPLIT)
 
 
-@query(_described_sql("d_shape", ["mean_abs_skew", "max_abs_skew", "mean_kurtosis", "outlier_fraction_iqr", "zero_fraction"]))
+@query(_described_sql("d_shape", _SHAPE))
 def desc_shape(spark, sf_dir):
-    sr = inputs.train_splits(spark, sf_dir)
-    cells = sr.cells()
-    return descriptors.shape(descriptors.split_rows(sr), descriptors.profiles(cells), descriptors.value_counts(cells))
+    return _found(spark, sf_dir, *_SHAPE)
 
 
-@query(_described_sql("d_info", ["constant_feature_fraction", "near_constant_feature_fraction"]))
+@query(_described_sql("d_info", _INFO))
 def desc_low_info(spark, sf_dir):
-    sr = inputs.train_splits(spark, sf_dir)
-    return descriptors.information(descriptors.split_rows(sr), descriptors.profiles(sr.cells()))
+    return _found(spark, sf_dir, *_INFO)
 
 
 @query(_described_sql("described", BASIC, _COUNTS))
@@ -209,9 +268,13 @@ def external_descriptors(spark, sf_dir):
     return external.external(inputs.train_splits(spark, sf_dir), summaries=external.SUMMARIES)
 
 
-@query(_described_sql("(SELECT *, 0 AS z FROM described)", ["n_cat_features", "mean_cat_cardinality", "cat_missing_fraction"], _COUNTS))
+@query(f"""WITH {twins.DESCRIPTORS} SELECT {", ".join(SPLIT)}, CAST(0 AS BIGINT) AS n_cat_features, 0.0::DOUBLE AS mean_cat_cardinality, 0.0::DOUBLE AS cat_missing_fraction, round(avg(missing), 6) + 0.0 AS missing_fraction
+FROM profile WHERE kind = 'num' GROUP BY ALL""")
 def cat_absence_patch(spark, sf_dir):
-    return patch_absent_categories(descriptors.basic(inputs.train_splits(spark, sf_dir))).select(*SPLIT, "n_cat_features", "mean_cat_cardinality", "cat_missing_fraction")
+    """Splits without a categorical column."""
+    sr = inputs.train_splits(spark, sf_dir)
+    numbers = SplitRows(sr.rows, sr.numeric, sr.target, sr.problem_type)
+    return patch_absent_categories(descriptors.basic(numbers)).select(*SPLIT, "n_cat_features", "mean_cat_cardinality", "cat_missing_fraction", "missing_fraction")
 
 
 # --- the analysis table ---------------------------------------------------------------------------------------
@@ -301,6 +364,29 @@ def redundant_pairs(spark, sf_dir):
     return features.strong_pairs(features.rank_correlations(features.long_form(_main(spark, sf_dir), twins.TESTED, "dataset")))
 
 
+@query(f"WITH {twins.OBSERVATIONS} SELECT feature FROM obs WHERE x IS NOT NULL GROUP BY feature HAVING count(*) >= 3 AND min(x) < max(x)")
+def usable_features(spark, sf_dir):
+    return features.usable(features.long_form(_main(spark, sf_dir), twins.TESTED))
+
+
+_WHOLE = ["class_entropy", "irreg_iqr_hmean", "delta_norm"]
+
+
+@query(f"WITH {twins.OBSERVATIONS} SELECT dataset, {twins.r6(_WHOLE)} FROM main WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _WHOLE))
+def whole_rows(spark, sf_dir):
+    return features.complete_cases(_main(spark, sf_dir), _WHOLE).select("dataset", *_WHOLE)
+
+
+@query(f"""WITH {_COUNTED.replace(twins.OBSERVATIONS, twins.OBSERVATIONS.replace("FROM main", "FROM main_kinds").replace("obs AS (", "main_kinds AS (SELECT m.* FROM main m JOIN (SELECT DISTINCT 'd' || p_size AS dataset FROM part WHERE p_size % 3 <> 2) USING (dataset)), obs AS ("))}
+SELECT feature, CASE WHEN missing_fraction > 0.2 THEN 'high_missingness' ELSE 'near_constant' END AS stage FROM stats WHERE missing_fraction > 0.2 OR n_non_missing = 0 OR n_unique <= 1 OR span <= 1e-12 * scale OR top_share >= 0.95""")
+def filter_by_population(spark, sf_dir):
+    """Features judged on the classification datasets only, and dropped from the whole table."""
+    main = _main(spark, sf_dir)
+    typed = analysis.with_task_type(main, inputs.metadata(spark, sf_dir))
+    _, report = features.preprocess(main, twins.TESTED, MAIN, ["dataset"], filter_table=typed.where(F.col("task_type").isin("binary", "multiclass")))
+    return report.select("feature", "stage")
+
+
 @query()
 def redundancy_report(spark, sf_dir):
     return features.reduce_redundant(_main(spark, sf_dir), twins.TESTED, MAIN, ["dataset", "delta_norm"])[1]
@@ -380,6 +466,35 @@ def robust(spark, sf_dir):
     return associations.robust_associations(found, MAIN, 0.6, 0.6).select("feature", "n", "spearman_rho", "bh_q_value", "bootstrap_sign_consistency")
 
 
+_SKEW = _BOOT.replace("round(delta_norm, 9) AS y", "round(max_abs_skew, 9) AS y")
+
+
+@query(f"""WITH {_SKEW}, j AS (SELECT * FROM tested JOIN ci USING (feature))
+SELECT feature, n, round(spearman_r, 6) + 0.0 AS spearman_rho, round(p_value_bh, 6) + 0.0 AS bh_q_value, round(bootstrap_sign_consistency, 6) + 0.0 AS bootstrap_sign_consistency
+FROM j WHERE p_value_bh < 0.05 AND bootstrap_sign_consistency >= 0.9 ORDER BY round(abs_spearman_r, 12) DESC, j.bootstrap_sign_consistency DESC, feature LIMIT 25""")
+def robust_published(spark, sf_dir):
+    """The published thresholds, on a target with strong associations: a descriptor of the splits."""
+    table = _main(spark, sf_dir)
+    obs = associations.observations(table, twins.TESTED, "max_abs_skew")
+    tested = associations.test_associations(obs, twins.TESTED, MAIN)
+    found = tested.join(associations.bootstrap_intervals(obs, tested), "feature", "left").withColumns({c: F.lit(None).cast("double") for c in ("bootstrap_rank_median", "bootstrap_rank_q05", "bootstrap_rank_q95", "bootstrap_top_k_frequency")})
+    return associations.robust_associations(found, MAIN).select("feature", "n", "spearman_rho", "bh_q_value", "bootstrap_sign_consistency")
+
+
+@query(f"WITH {twins.associated()} SELECT feature, round(p_value, 6) + 0.0 AS p_value FROM tested WHERE p_value < 0.2")
+def nominal_associations(spark, sf_dir):
+    return followups.nominal(_tested(spark, sf_dir), 0.2).select("feature", "p_value")
+
+
+@query(f"""WITH {twins.associated()}, h(feature, expected_sign) AS (VALUES ('log_n', 1), ('missing_fraction', -1), ('mean_abs_skew', 1), ('class_entropy', -1), ('mean_kurtosis', 1), ('nothing', 1)),
+j AS (SELECT h.feature, expected_sign, spearman_r, p_value, p_value_bh, sign(spearman_r) = expected_sign AS agrees FROM h LEFT JOIN tested USING (feature))
+SELECT feature, expected_sign, CASE WHEN spearman_r IS NULL THEN 'not_tested' WHEN agrees AND p_value_bh < 0.05 THEN 'supported' WHEN agrees AND p_value < 0.05 THEN 'nominally_supported' WHEN agrees THEN 'same_direction'
+WHEN p_value_bh < 0.05 THEN 'contradicted' ELSE 'opposite_direction' END AS verdict FROM j""")
+def hypothesis_verdicts(spark, sf_dir):
+    expected = spark.createDataFrame([("log_n", 1), ("missing_fraction", -1), ("mean_abs_skew", 1), ("class_entropy", -1), ("mean_kurtosis", 1), ("nothing", 1)], "feature string, expected_sign int")
+    return followups.hypothesis_verdicts(expected, _tested(spark, sf_dir)).select("feature", "expected_sign", "verdict")
+
+
 @query(f"""WITH {twins.associated()}, wo AS (SELECT DISTINCT feature, dataset AS without FROM pairs),
 l AS (SELECT p.feature, without, x, y FROM pairs p JOIN wo ON p.feature = wo.feature AND p.dataset <> without),
 rk AS (SELECT feature, without, {twins.average_rank("x", "feature, without")} AS cx, {twins.average_rank("y", "feature, without")} AS cy FROM l),
@@ -417,7 +532,9 @@ def family_representatives(spark, sf_dir):
 
 @query()
 def sensitivity_model(spark, sf_dir):
-    return sensitivity.sensitivity(_main(spark, sf_dir), _loose(spark, sf_dir), MAIN, repeats=REPEATS)[0]
+    main = _main(spark, sf_dir).persist()  # one row per dataset, read by several jobs
+    found = associations.associations(main, MAIN, twins.TESTED, check=False)
+    return sensitivity.sensitivity(main, associations.robust_associations(found, MAIN, 0.6, 0.6), MAIN)[0]
 
 
 _RZ = ["delta_norm", "log_n", "missing_fraction"]
@@ -472,6 +589,35 @@ def baseline_delta(spark, sf_dir):
     return predictive.with_baseline_delta(predictive.metrics(both, "model")).select("model", "delta_mae_vs_baseline", "delta_rmse_vs_baseline")
 
 
+@query(f"""WITH {_MAINROWS}, p AS (SELECT dataset, y_true, y_pred * 8 AS y_pred FROM ({_SINGLE})), q AS (SELECT dataset, y_true, greatest(-0.5, least(0.5, y_pred)) AS y_pred, greatest(-0.5, least(0.5, y_pred)) <> y_pred AS clipped FROM p)
+SELECT 'single' AS model, count(*) AS n, round(avg(abs(y_true - y_pred)), 6) + 0.0 AS mae, round({twins.correlation("y_true", "y_pred")}, 6) + 0.0 AS pearson_pred_obs, CAST(sum(CAST(clipped AS INTEGER)) AS BIGINT) AS n_clipped FROM q""")
+def clipped_metrics(spark, sf_dir):
+    """Predictions blown up, so that some leave the bounds."""
+    p = predictive.single_ols(_main(spark, sf_dir), "log_n").select(F.lit("single").alias("model"), "dataset", "y_true", (F.col("y_pred") * 8).alias("y_pred"))
+    return predictive.metrics(predictive.clip(p, -0.5, 0.5), "model").select("model", "n", "mae", "pearson_pred_obs", "n_clipped")
+
+
+_TWO = f"SELECT 'mean_baseline' AS model, * FROM ({_MEAN}) UNION ALL SELECT 'single', * FROM ({_SINGLE})"
+
+
+def _two_models(spark, sf_dir) -> DataFrame:
+    main = _main(spark, sf_dir)
+    return predictive.mean_baseline(main).withColumn("model", F.lit("mean_baseline")).unionByName(predictive.single_ols(main, "log_n").withColumn("model", F.lit("single")))
+
+
+@query(f"""WITH {_MAINROWS}, p AS ({_TWO}), m AS (SELECT model, round(avg(abs(y_true - y_pred)), 12) AS mae, round(avg(CASE WHEN y_true <> 0 THEN CASE WHEN sign(y_true) = sign(y_pred) THEN 1.0 ELSE 0.0 END END), 12) AS acc FROM p GROUP BY ALL)
+SELECT 'all' AS grp, (SELECT model FROM m ORDER BY mae, model LIMIT 1) AS model, 'mae' AS criterion UNION ALL SELECT 'all', (SELECT model FROM m ORDER BY acc DESC NULLS LAST, mae, model LIMIT 1), 'sign_accuracy'""")
+def best_models(spark, sf_dir):
+    scored = predictive.metrics(_two_models(spark, sf_dir), "model").withColumn("grp", F.lit("all"))
+    return predictive.best_models(scored, "grp").select("grp", "model", "criterion")
+
+
+@query(f"""WITH {_MAINROWS}, p AS ({_TWO}), m AS (SELECT model, row_number() OVER (ORDER BY round(avg(abs(y_true - y_pred)), 12), model) AS place FROM p GROUP BY model)
+SELECT model, CAST(place AS INTEGER) AS place, dataset, {twins.r6("y_true y_pred")}, round(abs(y_true - y_pred), 6) + 0.0 AS abs_error, CASE WHEN y_true <> 0 THEN sign(y_true) = sign(y_pred) END AS sign_correct FROM p JOIN m USING (model)""")
+def error_table(spark, sf_dir):
+    return followups.error_table(_two_models(spark, sf_dir))
+
+
 _COEFS = "SELECT 'm' || (l_suppkey % 3) AS model, 'p' || (l_linenumber) AS predictor, round((l_discount - 0.05) * 100) + (l_partkey % 7 - 3) AS coefficient FROM lineitem"
 
 
@@ -486,12 +632,12 @@ def coef_summary(spark, sf_dir):
 
 
 @query(f"""WITH {_MAINROWS}, v AS (SELECT dataset, abs(y) AS v, row_number() OVER (ORDER BY dataset) - 1 AS pos, count(*) OVER () AS size FROM main),
-d AS (SELECT rep, {twins.index("size", "0", "rep", "pos")} AS pos FROM v, range(0, 1000) g(rep)),
+d AS (SELECT rep, {twins.index("size", "0", "rep", "pos")} AS pos FROM v, range(0, 5000) g(rep)),
 m AS (SELECT rep, avg(v) AS m FROM d JOIN v USING (pos) GROUP BY ALL)
 SELECT 'all' AS grp, (SELECT count(*) FROM v) AS n, round((SELECT avg(v) FROM v), 6) + 0.0 AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(m, 0.975), 6) + 0.0 AS ci_high FROM m""")
 def bootstrap_mean(spark, sf_dir):
     rows = _main(spark, sf_dir).select(F.lit("all").alias("grp"), "dataset", F.abs("delta_norm").alias("v"))
-    return predictive.bootstrap_mean(rows, "v", "dataset", "grp", repeats=1000)
+    return predictive.bootstrap_mean(rows, "v", "dataset", "grp")
 
 
 @query()
@@ -515,7 +661,39 @@ def controlled_ols(spark, sf_dir):
     return followups.ols_models(_main(spark, sf_dir), {"controls": ["log_n"], "controls_plus": ["log_n", "mean_abs_skew"]})
 
 
-@query()
+_Z2 = ["delta_norm", "log_n", "mean_abs_skew"]
+
+
+@query(f"""WITH {twins.OBSERVATIONS}, d AS (SELECT dataset, {", ".join(f"round({c}, 9) AS {c}" for c in _Z2)} FROM main),
+m AS (SELECT count(*) AS n, corr(log_n, mean_abs_skew) AS r12, covar_pop(log_n, delta_norm) / stddev_pop(log_n) AS c1, covar_pop(mean_abs_skew, delta_norm) / stddev_pop(mean_abs_skew) AS c2, var_pop(delta_norm) AS v FROM d),
+b AS (SELECT 'controls' AS model, 'log_n' AS predictor, n, c1 AS b, c1 * c1 / v AS r2, 1 AS p FROM m
+UNION ALL SELECT 'controls_plus', 'log_n', n, (c1 - r12 * c2) / (1 - r12 * r12), (c1 * c1 + c2 * c2 - 2 * r12 * c1 * c2) / (1 - r12 * r12) / v, 2 FROM m
+UNION ALL SELECT 'controls_plus', 'mean_abs_skew', n, (c2 - r12 * c1) / (1 - r12 * r12), (c1 * c1 + c2 * c2 - 2 * r12 * c1 * c2) / (1 - r12 * r12) / v, 2 FROM m)
+SELECT model, predictor, CAST(n AS INTEGER) AS n, round(b, 6) + 0.0 AS coefficient, round(r2, 6) + 0.0 AS r2, round(1 - (1 - r2) * (n - 1) / (n - p - 1), 6) + 0.0 AS adjusted_r2 FROM b""")
+def controlled_fit(spark, sf_dir):
+    return followups.ols_models(_main(spark, sf_dir), {"controls": ["log_n"], "controls_plus": ["log_n", "mean_abs_skew"]}).select("model", "predictor", "n", "coefficient", "r2", "adjusted_r2")
+
+
+@query(f"""WITH {twins.OBSERVATIONS} SELECT dataset, round(log_n, 6) + 0.0 AS x, round(delta_norm, 6) + 0.0 AS y FROM main WHERE log_n IS NOT NULL AND delta_norm IS NOT NULL""")
+def scatter_table(spark, sf_dir):
+    return followups.scatter_table(_main(spark, sf_dir), "log_n")
+
+
+@query(f"WITH {twins.GAPS} SELECT count(*) AS rows, count(DISTINCT dataset) AS datasets, 17 AS columns FROM gaps")
+def frame_summary(spark, sf_dir):
+    return followups.frame_summary(_gaps(spark, sf_dir))
+
+
+_P = ["delta_norm", "mean_abs_skew", "log_n", "missing_fraction"]
+_PZ = {c: f"(r_{c} - avg(r_{c}) OVER ()) / nullif(stddev_pop(r_{c}) OVER (), 0)" for c in _P}
+
+
+@query(f"""WITH {twins.OBSERVATIONS}, d AS (SELECT dataset, {", ".join(f"round({c}, 9) AS {c}" for c in _P)} FROM main),
+k AS (SELECT {", ".join(f"{twins.average_rank(c, '')} AS r_{c}" for c in _P)} FROM d), z AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _PZ.items())} FROM k),
+m AS (SELECT count(*) AS n, avg(delta_norm * mean_abs_skew) AS rho, avg(log_n * missing_fraction) AS s, avg(delta_norm * log_n) AS y1, avg(delta_norm * missing_fraction) AS y2, avg(mean_abs_skew * log_n) AS x1, avg(mean_abs_skew * missing_fraction) AS x2 FROM z),
+e AS (SELECT round(delta_norm - ((y1 - s * y2) * log_n + (y2 - s * y1) * missing_fraction) / (1 - s * s), 12) AS y, round(mean_abs_skew - ((x1 - s * x2) * log_n + (x2 - s * x1) * missing_fraction) / (1 - s * s), 12) AS x FROM z, m),
+q AS (SELECT {twins.average_rank("x", "")} AS rx, {twins.average_rank("y", "")} AS ry FROM e)
+SELECT 'mean_abs_skew' AS feature, (SELECT n FROM m) AS n, round((SELECT rho FROM m), 6) + 0.0 AS rho, round({twins.correlation("rx", "ry")}, 6) + 0.0 AS partial_rho FROM q""")
 def partial_rank(spark, sf_dir):
     return sensitivity.residual_rank_correlation(_main(spark, sf_dir), "mean_abs_skew", ["log_n", "missing_fraction"])
 

@@ -37,7 +37,10 @@ def without_problem_types(datasets: DataFrame, meta: DataFrame, excluded: Sequen
 
 
 def splits_of(meta: DataFrame) -> DataFrame:
-    """One row per dataset, repeat and fold."""
+    """One row per dataset, repeat and fold.  Datasets with several samples in a split are an error."""
+    if "n_samples" in meta.columns:  # checked row by row as the plan runs
+        only = F.when(F.coalesce(F.col("n_samples").cast("int"), F.lit(1)) == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a split must have exactly one sample")).cast("boolean"))
+        meta = meta.where(only)
     m = normalise_metadata(meta)
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     return m.where("n_repeats > 0 and n_folds > 0").withColumn("repeat", each("n_repeats")).withColumn("fold", each("n_folds")).select("dataset", "repeat", "fold", "tid", "problem_type")

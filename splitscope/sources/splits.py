@@ -68,7 +68,10 @@ def training_rows(table: DataFrame, splits: DataFrame, trains: Column, features:
 
 
 def assigned_rows(table: DataFrame, assignment: DataFrame, row_id: str, features: list[str], target: str | None = None, problem_type: str | None = "problem_type") -> SplitRows:
-    """Rows by an explicit table ``dataset, repeat, fold, row id`` of training rows."""
+    """Rows by an explicit table ``dataset, repeat, fold, row id`` of training rows, each at most once in a split."""
+    twice = repeated_samples(assignment, row_id).limit(3).collect()
+    if twice:
+        raise ValueError(f"rows are named several times in a split, such as {[tuple(r)[:4] for r in twice]}")
     rows = table.join(assignment, ["dataset", row_id])
     return SplitRows(rows, features, target, problem_type if problem_type in rows.columns else None)
 
