@@ -1,47 +1,53 @@
 """Operator 2 - language-model scores from Brown classes.
 
-Model: ``p(w | v) = (1 - u) * p(class(w) | history(v)) * p(w | class(w))`` for words seen in training; an unseen word is one event of
-probability ``u``, the share of training tokens that are words seen once.  ``history(v)`` is the class of the word before, or one
-common history for words of the tail.  Transitions are smoothed towards the class frequencies; emissions are relative
-frequencies within the class.  Each history's probabilities add up to 1 over the known words and the unseen event.
-
-* *Head*: words that make up at least 1 / ``HEAD`` of the training tokens, so there are at most ``HEAD`` of them at any size.
-  They are clustered by exchange: every round, each word of one half of the head moves to the class that raises the
-  likelihood of the class bigrams most, given all other words; halves alternate, so neighbours do not move at once.
-  The rounds are Spark jobs over the head's bigram counts.
-* *Tail*: all other words.  Every occurrence of a tail word goes, with its document and the classes on both
-  sides, to the hash range of the word; there the word's count is summed and the word takes the class that its
-  contexts favour (one exchange step with the head fixed).  The occurrences return to their documents as (history, class,
-  count) for the final sums.
-
-A tail word holds at most 1 / ``HEAD`` of the tokens, so no hash range outgrows its peers.  The driver sees counts per class pair
-and the head with its classes, both bounded.
+Model: ``p(w | v) = (1 - u) * p(class(w) | class(v)) * p(w | class(w))`` for words seen in training; an unseen word is one event of
+probability ``u``, the share of training tokens that are words seen once (half a token where there is none).  Every word, frequent or rare, has a class, and its class is the
+history of what follows; the end of a text has a class of its own, and after an unseen word the class frequencies alone count.  Transitions are smoothed
+towards the class frequencies; emissions are relative frequencies within the class.  Each history's probabilities add up to 1 over the known words
+and the unseen event.
+
+Classes come from exchange clustering: a word moves to the class that raises the likelihood of the class bigrams most, given all other words.
+
+* *Frequent words*, at least 1 / ``HEAD`` of the training tokens (so at most ``HEAD`` of them at any size), are exchanged in up to ``ROUNDS`` rounds over
+  their bigram counts.  They are dealt to ``GROUPS`` groups; a group moves its words one after the other, seeing its own moves, ``1 / PARTS`` of the groups
+  work at once, and the counts are taken anew after each part.  The rarer words are one neighbour to them.
+* *All other words* are exchanged in ``TAIL_ROUNDS`` rounds.  Every occurrence goes, with its place and the classes on both sides, to the hash range of
+  the word, where the word's counts are summed and its class is chosen; the occurrences return to their documents, where rare words next to
+  each other learn each other's class for the next round.  A rare word holds at most 1 / ``HEAD`` of the tokens, so no hash range outgrows its peers.
+
+The driver sees counts per class pair and the frequent words with their classes, both bounded; the rare words' classes stay with their hash ranges.
 
 Tokens of a text: its lower-cased words and one end.  Defined results: null text is empty (one token, the end); rows with
 a null id are left out; rows that share an id are scored together as one document; with an empty training set every word is
-unseen (u = 0.5); an empty table gives an empty result; extra columns are ignored.
+unseen (u = 0.5); an empty table gives an empty result; extra columns are ignored.  Results do not depend on partitions or on the size of Arrow batches (but
+for the last bits of sums).
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lean, packed
 from . import textops as T
-from .common import cut, shuffle_width
+from .common import cut, discard, shuffle_width
 
 HEAD = 20_000
 CLASSES = 64
-ROUNDS = 8
+ROUNDS, PARTS, GROUPS = 3, 4, 64
 KAPPA = 20.0
-_END, _TAIL = CLASSES, CLASSES + 1  # histories beyond the word classes
-_ROW = "bucket int, kind int, a binary, b binary, c binary, d binary"
+TAIL_ROUNDS = 2
+_END, _TAIL = CLASSES, CLASSES + 1  # histories beyond the word classes; the second one is a rare word while its class is not known, and an unseen one
+_N = CLASSES + 2
+_ROW = "bucket int, kind int, base int, a binary, b binary, c binary, d binary, e binary, f binary"
+_WIDTH = 9
 
 
 def is_training(doc_id: int) -> bool:
@@ -49,8 +55,9 @@ def is_training(doc_id: int) -> bool:
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+    rows = [r + (b"",) * (_WIDTH - len(r)) for r in rows]
+    cols = list(zip(*rows, strict=True)) or [[]] * _WIDTH
+    kinds = [pa.int32()] * 3 + [pa.binary()] * (_WIDTH - 3)
     return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _ROW.split(", ")])
 
 
@@ -78,7 +85,7 @@ def _vocabulary(docs: DataFrame, n_buckets: int) -> DataFrame:
         u, inverse = np.unique(h, return_inverse=True)
         k = np.bincount(inverse, weights=k).astype(np.int64)
         at = packed.edges(u, n_buckets)
-        yield from _rows([(b, 0, packed.planes(u[at[b] : at[b + 1]]), packed.small(k[at[b] : at[b + 1]]), b"", b"") for b in range(n_buckets) if at[b + 1] > at[b]]).to_batches()
+        yield from _rows([(b, 0, 0, packed.planes(u[at[b] : at[b + 1]]), packed.small(k[at[b] : at[b + 1]])) for b in range(n_buckets) if at[b + 1] > at[b]]).to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ks, size = [], [], 0
@@ -97,7 +104,7 @@ def _vocabulary(docs: DataFrame, n_buckets: int) -> DataFrame:
         h = np.concatenate([packed.unplanes(x) for x in group.column("a").to_pylist()])
         k = np.concatenate([packed.unsmall(x) for x in group.column("b").to_pylist()])
         u, inverse = np.unique(h, return_inverse=True)
-        return _rows([(group.column("bucket")[0].as_py(), 0, packed.planes(u), packed.small(np.bincount(inverse, weights=k).astype(np.int64)), b"", b"")])
+        return _rows([(group.column("bucket")[0].as_py(), 0, 0, packed.planes(u), packed.small(np.bincount(inverse, weights=k).astype(np.int64)))])
 
     return cut(docs.mapInArrow(lean.batches(scan), _ROW).groupBy("bucket").applyInArrow(lean.group(total), _ROW), "lm-vocabulary")
 
@@ -142,8 +149,8 @@ def _statistics(vocabulary: DataFrame, n_docs: int) -> tuple[int, int, int, Head
     return n, v, once, Head(np.array([x[0] for x in rows], dtype=np.int64).view(np.uint64), np.array([x[1] for x in rows], dtype=np.int64))
 
 
-def _bigrams(docs: DataFrame, head: Head, n_buckets: int) -> DataFrame:
-    """Per range of head ids: word (a), neighbour (b), count (c) for neighbours on the right (kind 0) and left (kind 1).
+def _bigrams(docs: DataFrame, head: Head) -> DataFrame:
+    """One row per group of head ids: word (a), neighbour (b), count (c) for neighbours on the right, and d, e, f for those on the left.
     The end (id = len(head)) and the tail (id = len(head) + 1) are neighbours too."""
     n_head = len(head.hashes)
     n_ids = n_head + 2
@@ -154,10 +161,10 @@ def _bigrams(docs: DataFrame, head: Head, n_buckets: int) -> DataFrame:
         v, w = u // n_ids, u % n_ids
         rows = []
         for kind, word, other in ((0, v, w), (1, w, v)):
-            g = word % n_buckets
+            g = word % GROUPS
             for b in np.unique(g).tolist():
                 m = g == b
-                rows.append((b, kind, packed.small(word[m]), packed.small(other[m]), packed.small(k[m]), b""))
+                rows.append((b, kind, 0, packed.small(word[m]), packed.small(other[m]), packed.small(k[m])))
         yield from _rows(rows).to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +189,14 @@ def _bigrams(docs: DataFrame, head: Head, n_buckets: int) -> DataFrame:
             yield from pairs(np.concatenate(keys), np.concatenate(ks))
 
     def merge(group: pa.Table) -> pa.Table:
-        out = []
+        out: list = []
         kinds = group.column("kind").to_pylist()
-        for kind in sorted(set(kinds)):
-            a, b, c = (np.concatenate([packed.unsmall(x) for x, y in zip(group.column(col).to_pylist(), kinds, strict=True) if y == kind]) for col in "abc")
-            u, inverse = np.unique(a * n_ids + b, return_inverse=True)
-            out.append((group.column("bucket")[0].as_py(), kind, packed.small(u // n_ids), packed.small(u % n_ids), packed.small(np.bincount(inverse, weights=c).astype(np.int64)), b""))
-        return _rows(out)
+        for kind in (0, 1):
+            got = [[packed.unsmall(x) for x, y in zip(group.column(col).to_pylist(), kinds, strict=True) if y == kind] for col in "abc"]
+            x, y, z = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+            u, inverse = np.unique(x * n_ids + y, return_inverse=True)
+            out += [packed.small(u // n_ids), packed.small(u % n_ids), packed.small(np.bincount(inverse, weights=z, minlength=len(u)).astype(np.int64))]
+        return _rows([(group.column("bucket")[0].as_py(), 0, 0, *out)])
 
     return cut(docs.mapInArrow(lean.batches(scan), _ROW).groupBy("bucket").applyInArrow(lean.group(merge), _ROW), "lm-bigrams")
 
@@ -197,32 +205,37 @@ def _g(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def _context_counts(batch: pa.RecordBatch, classes: np.ndarray, words: np.ndarray | None = None):
-    """Per row of the bigram table: kind, words and their counts with each history class."""
-    for kind, a, b, c in zip(batch.column(1), batch.column(2), batch.column(3), batch.column(4), strict=True):
-        word, other, k = packed.unsmall(a.as_py()), packed.unsmall(b.as_py()), packed.unsmall(c.as_py())
-        u, inverse = np.unique(word, return_inverse=True)
-        m = np.zeros((len(u), CLASSES + 2))
-        np.add.at(m, (inverse, classes[other]), k)
-        yield kind.as_py(), u, m
+def _context_counts(batch: pa.RecordBatch, classes: np.ndarray):
+    """Per row of the bigram table: words, and their counts with each class on the right and on the left."""
+    for row in zip(*(batch.column(c).to_pylist() for c in "abcdef"), strict=True):
+        word, other, k, word_l, other_l, k_l = map(packed.unsmall, row)
+        u = np.union1d(word, word_l)
+        right, left = np.zeros((len(u), _N)), np.zeros((len(u), _N))
+        np.add.at(right, (np.searchsorted(u, word), classes[other]), k)
+        np.add.at(left, (np.searchsorted(u, word_l), classes[other_l]), k_l)
+        yield u, right, left
 
 
 def _matrix(bigrams: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Bigram counts between classes (with end and tail), from the right neighbours of every id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES + 2, CLASSES + 2))
+        total = np.zeros((_N, _N))
         for batch in batches:
-            for kind, u, m in _context_counts(batch, classes):
-                if kind == 0:
-                    np.add.at(total, classes[u], m)
+            for u, right, _ in _context_counts(batch, classes):
+                np.add.at(total, classes[u], right)
         i = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total.ravel()[i])], names=["i", "n"])
 
-    out = np.zeros((CLASSES + 2) ** 2)
-    for i, n in bigrams.mapInArrow(lean.batches(run), "i long, n double").groupBy("i").agg(F.sum("n")).collect():  # one row per class pair at most
+    return _summed(bigrams.mapInArrow(lean.batches(run), "i long, n double"))
+
+
+def _summed(cells: DataFrame) -> np.ndarray:
+    """The matrix of summed cells: one row per class pair at most."""
+    out = np.zeros(_N * _N)
+    for i, n in cells.groupBy("i").agg(F.sum("n")).collect():
         out[i] = n
-    return out.reshape(CLASSES + 2, CLASSES + 2)
+    return out.reshape(_N, _N)
 
 
 def exchange(bigrams: DataFrame, head: Head) -> tuple[np.ndarray, np.ndarray]:
@@ -230,66 +243,131 @@ def exchange(bigrams: DataFrame, head: Head) -> tuple[np.ndarray, np.ndarray]:
     n_head = len(head.hashes)
     classes = np.full(n_head + 2, _TAIL, dtype=np.int64)
     classes[n_head] = _END
-    classes[np.argsort(-head.counts, kind="stable")] = np.arange(n_head) % CLASSES
-    for turn in range(ROUNDS):
+    classes[np.argsort(-head.counts, kind="stable")] = np.minimum(np.arange(n_head), CLASSES - 1)  # the most frequent words alone, all others together
+    moved = n_head
+    for turn in range(ROUNDS * PARTS):
         now, m = classes, _matrix(bigrams, classes)
 
-        def moves(batches: Iterator[pa.RecordBatch], now=now, m=m, turn=turn) -> Iterator[pa.RecordBatch]:
+        def moves(batches: Iterator[pa.RecordBatch], now=now, m=m) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sides: dict[int, dict[int, np.ndarray]] = {0: {}, 1: {}}
-                for kind, u, counts in _context_counts(batch, now):
-                    sides[kind] |= dict(zip(u.tolist(), counts, strict=True))
-                words = [w for w in {*sides[0], *sides[1]} if w < n_head and (w + turn) % 2 == 0]
-                zero = np.zeros(CLASSES + 2)
-                best = []
-                for w in words:
-                    r, le, own = sides[0].get(w, zero), sides[1].get(w, zero), now[w]
-                    x = m.copy()
-                    x[own] -= r
-                    x[:, own] -= le
-                    x = np.maximum(x, 0)
-                    rows, cols = x.sum(1)[:CLASSES], x.sum(0)[:CLASSES]
-                    gain = (_g(x[:CLASSES] + r) - _g(x[:CLASSES])).sum(1) + (_g(x[:, :CLASSES] + le[:, None]) - _g(x[:, :CLASSES])).sum(0)
-                    gain -= _g(rows + r.sum()) - _g(rows) + _g(cols + le.sum()) - _g(cols)
-                    best.append(int(gain.argmax()))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int64())], names=["w", "c"])
-
-        got = bigrams.mapInArrow(lean.batches(moves), "w long, c long").collect()  # at most the head
+                for row in zip(*(batch.column(c).to_pylist() for c in "abcdef"), strict=True):
+                    words, best = _one_by_one(m.copy(), now.copy(), n_head, *map(packed.unsmall, row))
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int64())], names=["w", "c"])
+
+        if turn % PARTS == 0:
+            if turn and moved * 200 < n_head:
+                break
+            moved = 0
+        part = bigrams.where(F.col("bucket") % PARTS == turn % PARTS)
+        got = part.mapInArrow(lean.batches(moves), "w long, c long").collect()  # at most the head
         classes = classes.copy()
-        moved = 0
         for w, c in got:
             moved += classes[w] != c
             classes[w] = c
-        if turn > 1 and moved * 200 < n_head:
-            break
     return classes, _matrix(bigrams, classes)
 
 
+def _one_by_one(m: np.ndarray, classes: np.ndarray, n_head: int, word, other, k, word_l, other_l, k_l) -> tuple[list[int], list[int]]:
+    """The words of a group and their new classes; every move shows in the counts before the next one."""
+    words = [w for w in np.union1d(word, word_l).tolist() if w < n_head]
+    spans = lambda at: (np.searchsorted(at, words, side="left"), np.searchsorted(at, words, side="right"))
+    (a, b), (a_l, b_l) = spans(word), spans(word_l)
+    best = []
+    for i, w in enumerate(words):
+        r = np.bincount(classes[other[a[i] : b[i]]], weights=k[a[i] : b[i]], minlength=_N)
+        le = np.bincount(classes[other_l[a_l[i] : b_l[i]]], weights=k_l[a_l[i] : b_l[i]], minlength=_N)
+        own = classes[w]
+        m[own] -= r
+        m[:, own] -= le
+        np.maximum(m, 0, out=m)
+        classes[w] = _best_class(m, r, le)
+        m[classes[w]] += r
+        m[:, classes[w]] += le
+        best.append(int(classes[w]))
+    return words, best
+
+
+def _best_class(x: np.ndarray, r: np.ndarray, le: np.ndarray) -> int:
+    """The class that raises the likelihood most for a word with these counts on the right and on the left; ``x`` holds all other words."""
+    rows, cols = x.sum(1)[:CLASSES], x.sum(0)[:CLASSES]
+    i, j = np.flatnonzero(r), np.flatnonzero(le)
+    gain = (_g(x[:CLASSES, i] + r[i]) - _g(x[:CLASSES, i])).sum(1) + (_g(x[j, :CLASSES] + le[j, None]) - _g(x[j, :CLASSES])).sum(0)
+    gain -= _g(rows + r.sum()) - _g(rows) + _g(cols + le.sum()) - _g(cols)
+    return int(gain.argmax())
+
+
+def _best_classes(m: np.ndarray, own: np.ndarray, word: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same for many rare words at once: ``word`` numbers the occurrences, in order, ``left`` and ``right`` are the classes beside them,
+    ``own`` is the class of each word, -1 while it has none.
+
+    A word's own counts leave the cells of its class; cells in which it stands on both sides are not taken out twice, which differs from the
+    full computation only for words that follow words of their own class."""
+    n = len(own)
+    gain = np.zeros((n, CLASSES))
+    for beside, table in ((right, m[:CLASSES].T), (left, m[:, :CLASSES])):  # table[j, c]: counts of class c with j on that side
+        known = beside != _TAIL
+        pair, k = np.unique(word[known] * _N + beside[known], return_counts=True)
+        w, j = pair // _N, pair % _N
+        total = np.bincount(w, weights=k, minlength=n)
+        sums = table.sum(0)
+        for at in range(0, len(pair), 1 << 15):
+            o = slice(at, at + (1 << 15))
+            base, add = table[j[o]], k[o, None].astype(float)
+            gone = np.where(np.arange(CLASSES) == own[w[o], None], np.minimum(add, base), 0.0)
+            first = np.flatnonzero(np.concatenate(([True], np.diff(w[o]) > 0)))
+            gain[w[o][first]] += np.add.reduceat(_g(base - gone + add) - _g(base - gone), first, axis=0)
+        for at in range(0, n, 1 << 13):
+            o = slice(at, at + (1 << 13))
+            gone = np.where(np.arange(CLASSES) == own[o, None], np.minimum(total[o, None], sums), 0.0)
+            gain[o] -= _g(sums - gone + total[o, None]) - _g(sums - gone)
+    return gain.argmax(1)
+
+
 def _smooth(m: np.ndarray) -> np.ndarray:
     prior = (m.sum(0) + 1e-3) / (m.sum() + 1e-3 * m.shape[1])
     return (m + KAPPA * prior) / (m.sum(1, keepdims=True) + KAPPA)
 
 
-def _tail(docs: DataFrame, head: Head, classes: np.ndarray, m: np.ndarray, n_buckets: int, n_groups: int) -> DataFrame:
-    """Occurrences of tail words back at their documents' groups: ids (a), history * CLASSES + class (b), counts (c); kind 1 rows
-    hold the sums over training by (history, class)."""
-    n_head = len(head.hashes)
-    to_class = np.log(_smooth(m)[:, :CLASSES])  # of a class after a history
-    to_history = np.log(_smooth(m)[:CLASSES])  # of what follows a class
+def _u2(x: np.ndarray) -> bytes:
+    return x.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _from_u2(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(2, -1).T).view("<u2").ravel().astype(np.int64)
+
+
+_OCCURRENCE = (packed.unsmall, packed.unsmall, _from_u2, packed.unsmall)  # document, place, sides (left | right << 7 | training << 14), and a number
+
+
+def _gathered(group: pa.Table, kind: int, columns: str, read: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """The packed columns of the group's rows of a kind, end to end, and the ``base`` of each entry."""
+    rows = [r for r in zip(*(group.column(c).to_pylist() for c in ("kind", "base", *columns)), strict=True) if r[0] == kind]
+    parts = [[f(x) for f, x in zip(read, r[2:], strict=True)] for r in rows]
+    out = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64) for _ in read]
+    return out, np.repeat(np.array([r[1] for r in rows], dtype=np.int64), [len(x[0]) for x in parts])
+
+
+def _first_contexts(docs: DataFrame, head: Head, classes: np.ndarray, n_buckets: int) -> DataFrame:
+    """Occurrences of rare words at the hash ranges of the words: hash (a), document (b), place (c), sides (d).
+
+    A place counts tokens through the whole task, ends included, below the number of the task's partition: neighbours in a text
+    have places that differ by one, and no others have."""
 
     def emit(parts: list) -> Iterator[pa.RecordBatch]:
-        h, doc, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, doc, place, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, ctx = h[order], doc[order], ctx[order]
+        h, doc, place, sides = h[order], doc[order], place[order], sides[order]
         at = packed.edges(h, n_buckets)
         for b in range(n_buckets):
-            s = slice(at[b], at[b + 1])
+            o = slice(at[b], at[b + 1])
             if at[b + 1] > at[b]:
-                yield from _rows([(b, 0, packed.planes(h[s]), packed.small(doc[s]), ctx[s].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), b"")]).to_batches()
+                yield from _rows([(b, 0, 0, packed.planes(h[o]), packed.small(doc[o]), packed.small(place[o]), _u2(sides[o]))]).to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, first = [], 0, TaskContext.get().partitionId() << 40
         for ids, train, h, doc in _texts(batches):
+            start = first
+            first += len(h) + len(ids)
             if not len(h):
                 continue
             hid = head.ids(h)
@@ -298,7 +376,7 @@ def _tail(docs: DataFrame, head: Head, classes: np.ndarray, m: np.ndarray, n_buc
             left = np.concatenate(([_END], np.where(edge, _END, c[:-1])))
             right = np.concatenate((np.where(edge, _END, c[1:]), [_END]))
             t = np.flatnonzero(hid < 0)
-            parts.append((h[t], ids[doc[t]], left[t] | right[t] << 7 | train[doc[t]].astype(np.int64) << 14))
+            parts.append((h[t], ids[doc[t]], start + t + doc[t], left[t] | right[t] << 7 | train[doc[t]].astype(np.int64) << 14))
             size += len(t)
             if size >= packed.FLUSH:
                 yield from emit(parts)
@@ -306,75 +384,173 @@ def _tail(docs: DataFrame, head: Head, classes: np.ndarray, m: np.ndarray, n_buc
         if size:
             yield from emit(parts)
 
-    def words(group: pa.Table) -> pa.Table:
-        h = np.concatenate([packed.unplanes(x) for x in group.column("a").to_pylist()])
-        doc = np.concatenate([packed.unsmall(x) for x in group.column("b").to_pylist()])
-        ctx = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(2, -1).T).view("<u2").ravel() for x in group.column("c").to_pylist()]).astype(np.int64)
-        order = np.argsort(h, kind="stable")
-        h, doc, ctx = h[order], doc[order], ctx[order]
-        left, right, train = ctx & 127, ctx >> 7 & 127, (ctx >> 14).astype(bool)
-        first, length = packed.runs(h)
-        count = np.add.reduceat(train.astype(np.int64), first)
-        best = np.empty(len(first), dtype=np.int64)
-        for i in range(0, len(first), 4096):  # classes in blocks of words
-            j = min(len(first), i + 4096)
-            o = slice(first[i], first[j] if j < len(first) else len(h))
-            score = (to_class[left[o]] + to_history[:, right[o]].T) * train[o, None]
-            best[i:j] = np.add.reduceat(score, first[i:j] - first[i], axis=0).argmax(1)
-        c, k = np.repeat(best, length), np.repeat(count, length)
-        key = left * CLASSES + c
-        sums = np.bincount(key[train], minlength=(CLASSES + 2) * CLASSES)
-        rows = [(-1, 1, sums.astype(np.int64).tobytes(), b"", b"", b"")]
-        g = doc_group(doc, n_groups)
-        order = np.lexsort((doc, g))
-        g, doc, key, k = g[order], doc[order], key[order], k[order]
-        first, length = packed.runs(g)
-        for f, n in zip(first.tolist(), length.tolist(), strict=True):
-            s = slice(f, f + n)
-            rows.append((int(g[f]), 0, packed.small(doc[s]), key[s].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), packed.small(k[s]), b""))
-        return _rows(rows)
+    return docs.mapInArrow(lean.batches(scan), _ROW)
 
-    return cut(docs.mapInArrow(lean.batches(scan), _ROW).groupBy("bucket").applyInArrow(lean.group(words), _ROW), "lm-tail")
 
+def _exchanged(occurrences: DataFrame, m: np.ndarray, n_groups: int, first: bool) -> DataFrame:
+    """Rare words with their new classes: occurrences back at their groups of documents (kind 0; base: hash range; document, place, sides, number of the
+    word in its range (d), class (e), training count (f)), and the words themselves (kind 2; hash, count, class)."""
 
-def doc_group(doc: np.ndarray, n: int) -> np.ndarray:
-    return ((doc ^ (doc >> 7) ^ (doc >> 17) ^ (doc >> 31)) % n).astype(np.int64)
+    def words(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if first:
+            (h, doc, place, sides), _ = _gathered(group, 0, "abcd", (packed.unplanes, *_OCCURRENCE[:3]))
+            order = np.argsort(h, kind="stable")
+            h, doc, place, sides = h[order], doc[order], place[order], sides[order]
+            start, length = packed.runs(h)
+            names, number, own = h[start], np.repeat(np.arange(len(start)), length), np.full(len(start), -1)
+        else:
+            (doc, place, sides, number), _ = _gathered(group, 0, "abcd", _OCCURRENCE)
+            order = np.argsort(number, kind="stable")
+            doc, place, sides, number = doc[order], place[order], sides[order], number[order]
+            (names, _, own), _ = _gathered(group, 2, "abc", (packed.unplanes, packed.unsmall, packed.unsmall))
+        train = (sides >> 14).astype(bool)
+        count = np.bincount(number[train], minlength=len(names)).astype(np.int64)
+        best = _best_classes(m, np.where(own == _TAIL, -1, own), number[train], sides[train] & 127, sides[train] >> 7 & 127)
+        best = np.where(count > 0, best, _TAIL)  # unseen words have none
+        rows = [(bucket, 2, bucket, packed.planes(names), packed.small(count), packed.small(best))]
+        for g, o in _by_group(doc, n_groups):
+            o = o[np.argsort(place[o])]
+            rows.append((g, 0, bucket, packed.small(doc[o]), packed.small(place[o]), _u2(sides[o]), packed.small(number[o]), best[number[o]].astype(np.uint8).tobytes(), packed.small(count[number[o]])))
+        return _rows(rows)
 
+    return occurrences.groupBy("bucket").applyInArrow(lean.group(words), _ROW)
+
+
+def _by_group(doc: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The groups of documents that occur, with the places of their members."""
+    g = doc_group(doc, n)
+    order = np.argsort(g, kind="stable")
+    first, length = packed.runs(g[order])
+    for f, k in zip(first.tolist(), length.tolist(), strict=True):
+        yield int(g[order[f]]), order[f : f + k]
+
+
+def _settled(placed: DataFrame, last: bool) -> DataFrame:
+    """The occurrences of each group of documents with the classes of rare neighbours filled in, and the class bigrams of rare words in training (kind 1).
+
+    Unless this is the ``last`` time they go to the hash ranges of their words again (kind 0: document, place, sides, number); else they stay: document (a),
+    sides (c), class (e), count (f), and whether the word on the right is frequent or the end (d)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        (doc, place, sides, number, c, k), base = _gathered(group, 0, "abcdef", (*_OCCURRENCE, lambda b: np.frombuffer(b, np.uint8).astype(np.int64), packed.unsmall))
+        order = np.argsort(place)
+        doc, place, sides, number, c, k, base = (x[order] for x in (doc, place, sides, number, c, k, base))
+        left, right, train = sides & 127, sides >> 7 & 127, (sides >> 14).astype(bool)
+        beside = place[1:] == place[:-1] + 1
+        left[1:][beside], right[:-1][beside] = c[:-1][beside], c[1:][beside]
+        closed = np.append(beside, False)
+        sides = left | right << 7 | train.astype(np.int64) << 14
+        sums = np.bincount((left * _N + c)[train], minlength=_N * _N) + np.bincount((c * _N + right)[train & ~closed], minlength=_N * _N)
+        group_id = group.column("bucket")[0].as_py()
+        rows = [(-1, 1, 0, sums.astype(np.int64).tobytes())]
+        if last:
+            rows.append((group_id, 0, 0, packed.small(doc), b"", _u2(sides), (~closed).astype(np.uint8).tobytes(), c.astype(np.uint8).tobytes(), packed.small(k)))
+        else:
+            by = np.argsort(base, kind="stable")
+            first, length = packed.runs(base[by])
+            for f, n in zip(first.tolist(), length.tolist(), strict=True):
+                o = by[f : f + n]
+                rows.append((int(base[o[0]]), 0, 0, packed.small(doc[o]), packed.small(place[o]), _u2(sides[o]), packed.small(number[o])))
+        return _rows(rows)
+
+    return placed.where("kind = 0").groupBy("bucket").applyInArrow(lean.group(run), _ROW)
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every document."""
-    width = shuffle_width(docs.sparkSession)
-    n_buckets = n_groups = 2 * width
-    plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1
-    n_docs = plain.where(train).count()
-    n, v, once, head = _statistics(_vocabulary(plain, n_buckets), n_docs)
-    bigrams = _bigrams(plain, head, width)
-    classes, m = exchange(bigrams, head)
-    tail = _tail(plain, head, classes, m, n_buckets, n_groups)
 
+def _tail_sums(settled: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES + 2) * CLASSES, dtype=np.int64)
+        total = np.zeros(_N * _N, dtype=np.int64)
         for batch in batches:
             for a in batch.column(0):
                 total += np.frombuffer(a.as_py(), np.int64)
         i = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], names=["i", "n"])
-
-    # class bigrams with the tail's words in their classes: one row per (history, class) at most
-    full = m[:, : CLASSES + 1].copy()
-    for i, k in tail.where("kind = 1").select("a").mapInArrow(lean.batches(add), "i long, n long").groupBy("i").agg(F.sum("n")).collect():
-        full[i // CLASSES, i % CLASSES] += k
-    unseen = min(0.5, once / n) if n and once else (0.5 if not n else 0.5 / n)
-    move = np.log10(_smooth(full)) + np.log10(1 - unseen)
-    mass = full.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i].astype(float))], names=["i", "n"])
+
+    return _summed(settled.where("kind = 1").select("a").mapInArrow(lean.batches(add), "i long, n double"))
+
+
+@dataclass
+class Model:
+    """What the driver holds: frequent words with classes, sums, and the counts of class pairs; and the rare words where they are."""
+
+    head: Head
+    classes: np.ndarray  # of the frequent words, the end, the tail
+    pairs: np.ndarray  # class bigrams of all words
+    tokens: int
+    types: int
+    once: int
+    ends: int
+    settled: DataFrame  # occurrences of rare words by group of documents
+    rare: DataFrame  # rare words by hash range
+
+    @property
+    def unseen(self) -> float:
+        n = self.tokens
+        return 0.5 if not n else min(0.5, max(self.once, 0.5) / n)
+
+
+def fit(plain: DataFrame, n_groups: int) -> Model:
+    """``plain``: doc_id, text without null ids."""
+    width = shuffle_width(plain.sparkSession)
+    n_buckets = 2 * width
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1
+    n_docs = plain.where(train).count()
+    n, v, once, head = _statistics(_vocabulary(plain, n_buckets), n_docs)
+    classes, m = exchange(_bigrams(plain, head), head)
+    known = m.copy()
+    known[_TAIL], known[:, _TAIL] = 0, 0
+    placed = cut(_exchanged(_first_contexts(plain, head, classes, n_buckets), m, n_groups, True), "lm-rare")
+    for turn in range(1, TAIL_ROUNDS + 1):
+        settled = cut(_settled(placed, turn == TAIL_ROUNDS), "lm-settled")
+        pairs = known + _tail_sums(settled)
+        if turn < TAIL_ROUNDS:
+            again = settled.where("kind = 0").unionByName(placed.where("kind = 2"))
+            old, placed = placed, cut(_exchanged(again, pairs, n_groups, False), "lm-rare")
+            discard(old, settled)
+    return Model(head, classes, pairs, n, v, once, n_docs, settled, placed.where("kind = 2"))
+
+
+def word_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``word_hash, n, class`` of every word of training: frequent and rare ones."""
+    spark = docs.sparkSession
+    model = fit(_plain(docs, doc_id, text), 2 * shuffle_width(spark))
+    head = model.head
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                k, cls = packed.unsmall(b), packed.unsmall(c)
+                m = k > 0
+                yield pa.RecordBatch.from_arrays([pa.array(packed.unplanes(a)[m].view(np.int64)), pa.array(k[m]), pa.array(cls[m].astype(np.int32))], names=["word_hash", "n", "class"])
+
+    rare = model.rare.select("a", "b", "c").mapInArrow(lean.batches(unpack), "word_hash long, n long, class int")
+    rows = list(zip(head.hashes.view(np.int64).tolist(), head.counts.tolist(), model.classes[: len(head.hashes)].tolist(), strict=True))
+    return rare.unionByName(spark.createDataFrame(rows, "word_hash long, n long, class int"))
+
+
+def doc_group(doc: np.ndarray, n: int) -> np.ndarray:
+    return ((doc ^ (doc >> 7) ^ (doc >> 17) ^ (doc >> 31)) % n).astype(np.int64)
+
+
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every document."""
+    n_groups = 2 * shuffle_width(docs.sparkSession)
+    plain = _plain(docs, doc_id, text)
+    model = fit(plain, n_groups)
+    head, classes, n, settled = model.head, model.classes, model.tokens, model.settled
+    move = np.log10(_smooth(model.pairs[:, : CLASSES + 1])) + np.log10(1 - model.unseen)
+    mass = model.pairs.sum(0)
     n_head = len(head.hashes)
-    counts = np.append(head.counts, n_docs)
+    counts = np.append(head.counts, model.ends)
     known_classes = np.append(classes[:n_head], _END)
     emission = np.log10(np.maximum(counts, 1)) - np.log10(np.maximum(mass[known_classes], 1))
-    tail_mass = np.log10(np.maximum(mass[:CLASSES], 1))
-    norm = np.log10(n + 0.5 * (v + 1))
-    log_unseen = float(np.log10(unseen))
+    log_mass = np.append(np.log10(np.maximum(mass[: CLASSES + 1], 1)), 0.0)
+    norm = np.log10(n + 0.5 * (model.types + 1))
+    log_unseen = float(np.log10(model.unseen))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, h, doc in _texts(batches):
@@ -386,35 +562,34 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             k = x >= 0
             logp, base = np.zeros(len(x)), np.zeros(len(x))
             known = k & (counts[np.maximum(x, 0)] > 0)
-            logp[known] = move[before[known], c[known]] + emission[x[known]]
+            logp[known] = emission[x[known]]
+            after = known & (before != _TAIL)  # transitions out of rare words come with these
+            logp[after] += move[before[after], c[after]]
             logp[k & ~known] = log_unseen
             base[k] = np.log10(counts[x[k]] + 0.5) - norm
-            n_docs_here = len(ids)
-            cols = [np.bincount(d, minlength=n_docs_here), np.bincount(d, weights=known, minlength=n_docs_here)]
-            g = doc_group(ids, n_groups)
-            order = np.argsort(g, kind="stable")
-            tokens, seen = (y.astype(np.int64)[order] for y in cols)
-            b, s = (np.bincount(d, weights=y, minlength=n_docs_here)[order] for y in (base, logp))
-            first, length = packed.runs(g[order])
-            rows = []
-            for f, size in zip(first.tolist(), length.tolist(), strict=True):
-                o = slice(f, f + size)
-                rows.append((int(g[order][f]), 2, packed.small(ids[order][o]), np.stack((tokens[o], seen[o])).tobytes(), b[o].tobytes(), s[o].tobytes()))
-            yield from _rows(rows).to_batches()
+            tokens, seen = np.bincount(d, minlength=len(ids)), np.bincount(d, weights=known, minlength=len(ids)).astype(np.int64)
+            b, s = (np.bincount(d, weights=y, minlength=len(ids)) for y in (base, logp))
+            yield from _rows([(g, 2, 0, packed.small(ids[o]), np.stack((tokens[o], seen[o])).tobytes(), b[o].tobytes(), s[o].tobytes()) for g, o in _by_group(ids, n_groups)]).to_batches()
+
+    ends_known = model.ends > 0
 
     def merge(group: pa.Table) -> pa.Table:
         parts = []
-        for kind, a, b, c, d in zip(*(group.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d")), strict=True):
+        for kind, a, b, c, d, e, f in zip(*(group.column(x).to_pylist() for x in ("kind", *"abcdef")), strict=True):
             doc = packed.unsmall(a)
             if kind == 2:
                 tokens, seen = np.frombuffer(b, np.int64).reshape(2, -1)
                 parts.append((doc, tokens, seen, np.frombuffer(c), np.frombuffer(d)))
             else:
-                key = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(2, -1).T).view("<u2").ravel().astype(np.int64)
-                k = packed.unsmall(c)
-                history, cls = key // CLASSES, key % CLASSES
-                logp = np.where(k > 0, move[history, cls] + np.log10(np.maximum(k, 1)) - tail_mass[cls], log_unseen)
-                parts.append((doc, np.zeros(len(doc), np.int64), (k > 0).astype(np.int64), np.log10(k + 0.5) - norm, logp))
+                sides, cls, k = _from_u2(c), np.frombuffer(e, np.uint8).astype(np.int64), packed.unsmall(f)
+                left, right = sides & 127, sides >> 7 & 127
+                frequent = np.frombuffer(d, np.uint8).astype(bool)
+                seen = k > 0
+                own = np.where(seen, cls, 0)
+                logp = np.where(seen, move[left, own] + np.log10(np.maximum(k, 1)) - log_mass[own], log_unseen)
+                out = frequent & (ends_known | (right != _END))
+                logp += np.where(out, move[cls, np.minimum(right, CLASSES)], 0.0)
+                parts.append((doc, np.zeros(len(doc), np.int64), seen.astype(np.int64), np.log10(k + 0.5) - norm, logp))
         doc, tokens, seen, base, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
         u, at = np.unique(doc, return_inverse=True)
         add = lambda x: np.bincount(at, weights=x, minlength=len(u))
@@ -425,5 +600,5 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             "train_tokens": pa.array(np.full(len(u), n)), "base_score": pa.array(add(base)), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(300, -score / np.maximum(tokens, 1))),
         })
 
-    both = plain.mapInArrow(lean.batches(heads), _ROW).unionByName(tail.where("kind = 0"))
+    both = plain.mapInArrow(lean.batches(heads), _ROW).unionByName(settled.where("kind = 0"))
     return both.groupBy("bucket").applyInArrow(lean.group(merge), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -129,6 +129,53 @@ def test_brown_lm(docs, texts, empty):
     assert brown_lm.score_documents(empty).count() == 0
 
 
+def span_hash(w):
+    b = np.frombuffer(w.encode(), np.uint8)
+    return int(brown_lm.T.span_hash(b, np.array([0]), np.array([len(b)]))[0])
+
+
+@pytest.mark.parametrize("head", [brown_lm.HEAD, 60])  # the second leaves most words rare, next to each other too
+def test_brown_lm_against_plain_sums(spark, docs, texts, monkeypatch, head):
+    """Given the classes, the score is recomputed from its definition; classes and scores do not depend on partitions or Arrow batches."""
+    monkeypatch.setattr(brown_lm, "HEAD", head)
+    cls = {r.word_hash % 2**64: (r["class"], r.n) for r in brown_lm.word_classes(docs).collect()}
+    toks = {i: [span_hash(w) for w in WORD.findall(lowered(t))] + [None] for i, t, _ in texts}
+    train = {i: w for i, w in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1}
+    counts = Counter(x for w in train.values() for x in w)
+    assert {h: n for h, (_, n) in cls.items()} == {h: n for h, n in counts.items() if h is not None}
+    kind = lambda x: brown_lm._END if x is None else cls[x][0] if x in cls else brown_lm._TAIL
+    pairs = np.zeros((brown_lm.CLASSES + 2, brown_lm.CLASSES + 1))
+    for w in train.values():
+        for v, x in zip([None, *w], w, strict=False):
+            pairs[kind(v), kind(x)] += 1
+    move = brown_lm._smooth(pairs)
+    assert np.allclose(move.sum(1), 1)
+    n = sum(counts.values())
+    u = max(0.5, sum(k == 1 for k in counts.values())) / n
+    mass = pairs.sum(0)
+    want = {i: sum(np.log10((1 - u) * move[kind(v), kind(x)] * counts[x] / mass[kind(x)]) if counts[x] else np.log10(u) for v, x in zip([None, *w], w, strict=False)) for i, w in toks.items()}
+    scores = lambda d: {r.doc_id: r.score for r in brown_lm.score_documents(d).collect()}
+    got = scores(docs)
+    assert got == pytest.approx(want)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, width = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(key, "1")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert scores(docs.repartition(5)) == pytest.approx(got)
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
+def test_brown_lm_beats_base_on_held_out_texts(spark):
+    """Texts that go round twelve kinds of words: the classes learn the round, and unseen pairs of words profit from it."""
+    r = random.Random(9)
+    rows = [(i, " ".join(f"k{(i + k) % 12}w{r.randrange(20)}" for k in range(40))) for i in range(300)] + [(1, None), (2, "again"), (2, "again"), (None, "k1w1 k2w2")]
+    got = [x for x in brown_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.held_out and x.n_tokens > 9]
+    assert got and sum(x.score for x in got) > sum(x.base_score for x in got) + 0.5 * sum(x.n_tokens for x in got)
+
+
 def test_token_counts(docs, texts, empty, spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
