@@ -5,7 +5,7 @@ next suffix, else of type L; an S suffix after an L suffix is *leftmost* (LMS).
 leftmost ones in two passes: from the smallest symbol up, each sorted suffix ``i`` pushes ``i - 1`` if that is of type L;
 from the largest symbol down, each pushes ``i - 1`` if that is of type S.  Pushes arrive in sorted order, so the priority
 queue over (first symbol, arrival) is a set of first-in-first-out runs, one per symbol.  :class:`RunQueue` keeps these
-runs as arrays and moves them to a temporary file when they outgrow its memory.
+runs as arrays and moves them to files of the shared folder when they outgrow its memory.
 
 Every queued tuple carries the length of the common prefix with the tuple before it in its run, capped at ``depth``:
 if two neighbours of a run were induced by suffixes between which the smallest carried value is v, it is 1 + v.
@@ -17,19 +17,21 @@ symbols are covered: callers ask which suffixes share their first ``depth`` symb
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
+import pyarrow.fs as pafs
 
 CHUNK = 1 << 17
 
 
 class RunQueue:
-    """First-in-first-out runs of (position, common prefix), one per symbol; spills beyond ``memory`` bytes."""
+    """First-in-first-out runs of (position, common prefix), one per symbol; beyond ``memory`` bytes they go to a file of ``folder``."""
 
-    def __init__(self, sigma: int, memory: int):
+    def __init__(self, sigma: int, memory: int, folder: str):
         self.runs: list[list] = [[] for _ in range(sigma)]
-        self.memory, self.held, self.file = memory, 0, None
+        self.memory, self.held, self.folder = memory, 0, folder
+        self.files: list = []
 
     def push(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.runs[symbol].append((pos, lcp))
@@ -38,15 +40,19 @@ class RunQueue:
             self._spill()
 
     def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        for run in self.runs:
-            for k, x in enumerate(run):
-                if len(x) == 2:
-                    at = self.file.seek(0, 2)
-                    self.file.write(x[0].tobytes())
-                    self.file.write(x[1].tobytes())
-                    run[k] = (at, len(x[0]), True)
+        """All that is held becomes one file."""
+        fs, base = pafs.FileSystem.from_uri(self.folder)
+        fs.create_dir(base, recursive=True)
+        path, at = f"{base}/{uuid.uuid4().hex}", 0
+        with fs.open_output_stream(path, compression=None) as out:
+            for run in self.runs:
+                for k, x in enumerate(run):
+                    if len(x) == 2:
+                        out.write(x[0].tobytes())
+                        out.write(x[1].tobytes())
+                        run[k] = (len(self.files), at, len(x[0]))
+                        at += 5 * len(x[0])
+        self.files.append((fs, path, fs.open_input_file(path)))
         self.held = 0
 
     def take(self, symbol: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -55,21 +61,27 @@ class RunQueue:
         out = []
         for x in run:
             if len(x) == 3:
-                self.file.seek(x[0])
-                pos = np.frombuffer(self.file.read(4 * x[1]), np.int32)
-                x = (pos, np.frombuffer(self.file.read(x[1]), np.uint8))
+                file, at, n = x
+                data = self.files[file][2].read_at(5 * n, at)
+                x = (np.frombuffer(data, np.int32, n), np.frombuffer(data, np.uint8, n, 4 * n))
             else:
                 self.held -= x[0].nbytes + x[1].nbytes
             out.append(x)
         return out
 
+    def close(self) -> None:
+        for fs, path, file in self.files:
+            file.close()
+            fs.delete_file(path)
+        self.files = []
+
 
 class _Induce:
     """Carries the smallest common prefix since each symbol's last push across the chunks of a pass."""
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int, memory: int):
+    def __init__(self, text: np.ndarray, sigma: int, depth: int, memory: int, folder: str):
         self.text, self.depth, self.carry = text, depth, depth > 0
-        self.queue = RunQueue(sigma, memory)
+        self.queue = RunQueue(sigma, memory, folder)
         self.low = np.full(sigma, 255, dtype=np.uint8)
         self.seen = np.zeros(sigma, dtype=bool)
 
@@ -175,12 +187,12 @@ def _seam(text: np.ndarray, a: int, b: int, depth: int) -> int:
     return k
 
 
-def _both_passes(text: np.ndarray, sigma: int, lms: np.ndarray, lms_lcp: np.ndarray, depth: int, memory: int):
+def _both_passes(text: np.ndarray, sigma: int, lms: np.ndarray, lms_lcp: np.ndarray, depth: int, memory: int, folder: str):
     """Induce from leftmost suffixes (in order, with common prefixes; none are carried if ``depth`` is 0); yields (positions, common prefixes) from the
     largest suffixes down: per symbol the S run (descending), then the L run (ascending, reversed by the caller)."""
     head = text[lms]
     begin = np.searchsorted(head, np.arange(sigma + 1))
-    up = _Induce(text, sigma, depth, memory)
+    up = _Induce(text, sigma, depth, memory, folder)
     l_runs: list[tuple[np.ndarray, np.ndarray]] = []
     for c in range(sigma):
         pos_parts, lcp_parts = [], []
@@ -196,7 +208,8 @@ def _both_passes(text: np.ndarray, sigma: int, lms: np.ndarray, lms_lcp: np.ndar
         if len(s):
             s_lcp[0] = _seam(text, int(l_pos[-1]), int(s[0]), depth) if len(l_pos) else 0
             up.feed(s, s_lcp, lambda x, c=c: x > c)
-    down = _Induce(text, sigma, depth, memory)
+    up.queue.close()
+    down = _Induce(text, sigma, depth, memory, folder)
     for c in range(sigma - 1, -1, -1):
         pos_parts, lcp_parts = [], []
         while pending := down.queue.take(c):
@@ -216,11 +229,12 @@ def _both_passes(text: np.ndarray, sigma: int, lms: np.ndarray, lms_lcp: np.ndar
             turned = np.concatenate(([seam], l_lcp[:0:-1])).astype(np.uint8)
             down.feed(l_pos[::-1], turned, lambda x, c=c: x < c)
         yield c, l_pos, l_lcp, s_pos, s_lcp, seam
+    down.queue.close()
 
 
-def suffix_order(text: np.ndarray, sigma: int, depth: int, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, sigma: int, depth: int, folder: str, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``text`` (``uint16``, symbols < sigma, the last one 0 and unique) by its first ``depth`` symbols, and the common
-    prefix (capped at ``depth``) of each suffix with the one before it."""
+    prefix (capped at ``depth``) of each suffix with the one before it.  ``folder`` takes what the queues spill."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32), np.zeros(1, np.uint8)
@@ -235,7 +249,7 @@ def suffix_order(text: np.ndarray, sigma: int, depth: int, memory: int = 256 <<
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     parts = []
-    for _, l_pos, _, s_pos, _, _ in _both_passes(text, sigma, start, np.zeros(len(start), np.uint8), 0, memory):  # depth 0: order only
+    for _, l_pos, _, s_pos, _, _ in _both_passes(text, sigma, start, np.zeros(len(start), np.uint8), 0, memory, folder):  # depth 0: order only
         s_pos = s_pos[is_lms[s_pos]]
         parts.append(s_pos)
         if len(l_pos) and l_pos[-1] == n - 1:
@@ -274,7 +288,7 @@ def suffix_order(text: np.ndarray, sigma: int, depth: int, memory: int = 256 <<
         lms_lcp[1:] = got
 
     sa, lcp = [], []
-    for _, l_pos, l_lcp, s_pos, s_lcp, seam in _both_passes(text, sigma, sorted_lms, lms_lcp, depth, memory):
+    for _, l_pos, l_lcp, s_pos, s_lcp, seam in _both_passes(text, sigma, sorted_lms, lms_lcp, depth, memory, folder):
         if len(s_pos):  # descending: each value belongs to the pair with the larger neighbour
             up = np.empty(len(s_pos), np.uint8)
             up[:-1] = s_lcp[1:]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import lean, packed
 from . import textops as T
-from .common import cut, shuffle_width
+from .common import cut, scratch_path, shuffle_width
 from .induced import suffix_order
 
 SPAN = 50
@@ -249,7 +249,7 @@ def _contexts(docs: DataFrame, flags: DataFrame, hot: np.ndarray, n_buckets: int
     return grouped.cogroup(flags.groupBy("bucket")).applyInArrow(lean.groups(run), _ROW)
 
 
-def _sort_shard(group: pa.Table, memory: int) -> list[tuple]:
+def _sort_shard(group: pa.Table, memory: int, folder: str) -> list[tuple]:
     """Equal strings of one shard: rows (group of documents, text index, first string, strings, least id)."""
     gid = np.repeat(group.column("kind").to_numpy(), [len(x) for x in group.column("c").to_pylist()])
     index, low, high, size = [], [], [], []
@@ -279,7 +279,7 @@ def _sort_shard(group: pa.Table, memory: int) -> list[tuple]:
     room = np.zeros(n + 1, dtype=bool)  # strings that end inside their text
     room[:n] = place <= length[owner] - SPAN
     del place, inner
-    sa, lcp = suffix_order(text, 258, SPAN, memory)
+    sa, lcp = suffix_order(text, 258, SPAN, folder, memory)
     run = np.cumsum(lcp < SPAN, dtype=np.int32)
     ok = room[sa]
     sa, run = sa[ok], run[ok]
@@ -325,12 +325,13 @@ def duplicate_spans(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
     n_bytes = shared * (2 * SPAN - K) + sum(int(packed.unsmall(r["b"]).sum()) for r in heated) * SPAN * (SPAN - K + 1)
     n_buckets = max(n_buckets, -(-n_bytes // SHARD_BYTES))
     rows = _contexts(docs, flags, hot, n_buckets, n_groups)
+    spill = scratch_path(docs.sparkSession, "suffix-spill")
 
     def shard(group: pa.Table) -> pa.Table:
         b = group.column("bucket")[0].as_py()
         if b >= n_buckets:
             return group.set_column(0, "bucket", pa.array([b - n_buckets] * group.num_rows, pa.int32()))
-        return _row([(g, _TEXTS, 0, a, o, c, m) for g, a, o, c, m in _sort_shard(group, memory)])
+        return _row([(g, _TEXTS, 0, a, o, c, m) for g, a, o, c, m in _sort_shard(group, memory, spill)])
 
     def spans(group: pa.Table) -> pa.Table:
         none = pa.table({"doc_id": pa.array([], pa.int64()), "tag": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})

@@ -391,10 +391,11 @@ def test_suffix_dedup_shards_follow_the_data(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("memory", [1 << 20, 64])  # the second spills every queue
-def test_induced_order(memory):
+def test_induced_order(memory, tmp_path):
     r = np.random.default_rng(2)
     text = np.concatenate((r.integers(1, 4, 300), np.tile([1, 2, 3, 2], 40), r.integers(1, 4, 50), [0])).astype(np.uint16)
-    sa, lcp = induced.suffix_order(text, 258, 50, memory)
+    sa, lcp = induced.suffix_order(text, 258, 50, f"file://{tmp_path}/spill", memory)
+    assert memory > 64 or (tmp_path / "spill").exists() and not list((tmp_path / "spill").iterdir())
     suffixes = [tuple(text[i : i + 50]) for i in range(len(text))]
     assert [suffixes[i] for i in sa.tolist()] == sorted(suffixes)
     for a, b, k in zip(sa[:-1].tolist(), sa[1:].tolist(), lcp[1:].tolist(), strict=True):
