@@ -8,14 +8,16 @@
 3. *Calibration*: on paragraphs held out of the fit, a temperature makes the probabilities honest (least log loss), and the
    least probability is chosen at which no more than ``FALSE_SHARE`` of the accepted paragraphs are wrong; below it a
    paragraph is of the class unknown.
-4. *Confirmation*: a predicted family stands only if one of its templates is found in the paragraph: the longest common
+4. *Confirmation*: a predicted family stands only if one of its templates is found in the words judged: the longest common
    subsequence of words covers ``COVER`` of the template.
 
-Every paragraph of every whole text is classified where the text is read; nothing is shuffled.  A paragraph is a line; a text whose lines
-are wrapped is read in paragraphs of lines up to an empty one by ``wrapped=True``.
+Paragraphs end at empty lines.  A notice may fill a paragraph, wrapped at any width, or one line of it, or stand anywhere in a long one, beside
+another notice too.  So every line is judged, and every paragraph in overlapping windows of ``WINDOWS`` words; sums of weights along the text make all
+of them cost about as much as one pass.  Of finds that overlap the one that matches most words of a template stays: the Affero notice holds all words of the plain one.
+Every whole text is judged where it is read; nothing is shuffled.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are judged each; with an empty table the classifier
-learns from its own examples alone; very long lines are classified whole; extra columns are ignored.
+learns from its own examples alone; lines and paragraphs have no limit; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,23 +42,25 @@ MAX_PARAGRAPH = 2_000  # bytes of a training paragraph; classified paragraphs ha
 VARIANTS = 60
 FALSE_SHARE = 0.005
 COVER = 0.75
+WINDOWS = (12, 24, 64)  # words; windows start every half of that
+SECOND = 0.1  # probability from which a further family of a window is compared with its templates
 SEED = 5
 UNKNOWN = "unknown"
 
 # Short notices of licence families, in the words in which they are commonly written.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
-    "apache": ("Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the Apache License", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause"),
+    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "You should have received a copy of the GNU Affero General Public License along with this program", "Released under the GNU AGPL, version 3"),
+    "apache": ("Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the Apache License", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "See the License for the specific language governing permissions and limitations under the License"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD license", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     "cc-by": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"),
-    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Released under CC0 1.0 Universal", "Dedicated to the public domain under CC0"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GNU GPL, version 2", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License", "SPDX-License-Identifier: ISC"),
-    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
-    "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license", "SPDX-License-Identifier: MIT"),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Released under CC0 1.0 Universal", "Dedicated to the public domain under CC0", "SPDX-License-Identifier: CC0-1.0"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GNU GPL, version 2", "SPDX-License-Identifier: GPL-3.0-or-later", "You should have received a copy of the GNU General Public License along with this program", "Licensed under the GPL, version 3"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License", "SPDX-License-Identifier: ISC", "provided that the above copyright notice and this permission notice appear in all copies", "Licensed under the ISC license"),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "You should have received a copy of the GNU Lesser General Public License along with this library", "Released under the GNU LGPL, version 2.1"),
+    "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at", "Released under the MPL 2.0"),
     "proprietary": ("All rights reserved", "Unauthorized copying of this file, via any medium, is strictly prohibited", "This software is proprietary and confidential", "No part of this publication may be reproduced without the prior written permission of the publisher"),
     "unlicense": ("This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "SPDX-License-Identifier: Unlicense"),
 }
@@ -82,24 +86,23 @@ def normal_words(text: bytes) -> list[bytes]:
     return [b"0" if re.search(rb"[0-9]", w) else w for w in _SEPARATOR.split(text.lower()) if w]
 
 
-def gram_ids(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashed n-grams of the paragraphs ``offs`` of a block: ids, paragraph of each, number of paragraphs."""
+def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The words of the texts of a block (start, end, text), and for each n the hashed n-grams with the word each starts at."""
     low = T.lower(buf)
     s, e, doc = T.spans(_GAP[low], offs)
     h = T.span_hash(low, s, e)
     digit = np.concatenate(([0], np.cumsum((low >= 48) & (low <= 57))))
     h[digit[e] > digit[s]] = np.uint64(0x30)  # numbers are alike
-    ids, where = [], []
+    out = []
     for k in GRAMS:
         w, first = T.windows(h, doc, k) if k > 1 else (T.mix(h + np.uint64(1)), np.arange(len(h)))
-        ids.append((w & np.uint64((1 << BITS) - 1)).astype(np.int64))
-        where.append(doc[first])
-    return np.concatenate(ids), np.concatenate(where), len(offs) - 1
+        out.append(((w & np.uint64((1 << BITS) - 1)).astype(np.int64), first))
+    return s, e, doc, out
 
 
 def _one(text: str) -> np.ndarray:
     b = np.frombuffer(text.encode(), np.uint8)
-    return gram_ids(b, np.array([0, len(b)]))[0]
+    return np.concatenate([ids for ids, _ in grams(b, np.array([0, len(b)]))[3]])
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -118,16 +121,40 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 _WORDS = {f: [normal_words(t.encode()) for t in ts] for f, ts in TEMPLATES.items()}
 
 
-def confirmed(family: str, paragraph: bytes) -> float:
-    """The largest share of a template of the family that the paragraph holds in order, within a stretch of at most twice its length."""
-    words, best = normal_words(paragraph), 0.0
+def _matched(t: list[bytes], part: list[bytes]) -> list[int]:
+    """Places in ``part`` of a longest common subsequence with ``t``."""
+    size = [[0] * (len(part) + 1) for _ in range(len(t) + 1)]
+    for i in range(len(t) - 1, -1, -1):
+        for j in range(len(part) - 1, -1, -1):
+            size[i][j] = size[i + 1][j + 1] + 1 if t[i] == part[j] else max(size[i + 1][j], size[i][j + 1])
+    out, i, j = [], 0, 0
+    while size[i][j]:
+        if t[i] == part[j]:
+            out.append(j)
+            i, j = i + 1, j + 1
+        elif size[i + 1][j] >= size[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def confirmed(family: str, words: list[bytes]) -> tuple[float, int, int, int]:
+    """The largest share of a template of the family that the words hold in order, within a stretch of at most twice its length; and the matched
+    words' number, first place and place after the last."""
+    best = (0.0, 0, 0, len(words))
     for t in _WORDS[family]:
         span = 2 * len(t)
         held = set(t)
         for at in range(0, max(1, len(words) - len(t)), max(1, len(t))):  # stretches overlap by a template's length
             part = words[at : at + span]
             if len(held.intersection(part)) * 2 >= len(held):
-                best = max(best, common_subsequence(t, part) / len(t))
+                n = common_subsequence(t, part)
+                if n >= COVER * len(t) and (n, n / len(t)) > (best[1], best[0]):
+                    places = _matched(t, part)
+                    best = (n / len(t), n, at + places[0], at + places[-1] + 1)
+                elif best[1] == 0:
+                    best = (max(best[0], n / len(t)), 0, 0, len(words))
     return best
 
 
@@ -166,17 +193,16 @@ class Classifier:
     temperature: float = 1.0
     least: float = 0.5
 
-    def logits(self, ids: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-        """Sums of the weights of each paragraph's n-grams, scaled by the number of its n-grams as in training."""
-        order = np.argsort(where, kind="stable")
-        ids, where = ids[order], where[order]
-        out = np.zeros((n, len(self.families)))
-        step = 1 << 15
-        for at in range(0, len(ids), step):  # bounded memory, whatever the paragraph's length
-            w = where[at : at + step]
-            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-            out[w[first]] += np.add.reduceat(self.weights[ids[at : at + step]], first, axis=0)
-        count = np.bincount(where, minlength=n)
+    def logits(self, n_words: int, held: list[tuple[np.ndarray, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the windows of words i to j - 1: sums of the weights of the n-grams inside, scaled by their number as in training."""
+        out, count = np.zeros((len(i), len(self.families))), np.zeros(len(i), np.int64)
+        for k, (ids, first) in zip(GRAMS, held, strict=True):
+            up = np.zeros((n_words + 1, len(self.families)))
+            up[first + 1] = self.weights[ids]
+            np.cumsum(up, axis=0, out=up)
+            end = np.maximum(j - k + 1, i)
+            out += up[end] - up[i]
+            count += end - i
         return out / np.sqrt(np.maximum(count, 1))[:, None] + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
@@ -205,7 +231,8 @@ def train(spark: SparkSession, rows: list[tuple[str, str]], seed: int = SEED) ->
     out = Classifier(families, np.ascontiguousarray(model.coefficientMatrix.toArray().T.astype(np.float32)), model.interceptVector.toArray())
 
     y = np.array([int(number[f]) for _, f in held])
-    logits = np.concatenate([out.logits(x := _one(t), np.zeros(len(x), np.int64), 1) for t, _ in held])
+    whole = lambda n, g: out.logits(n, g, np.array([0]), np.array([n]))[0]
+    logits = np.array([whole(len(g[0]), g[3]) for g in (grams(b, np.array([0, len(b)])) for b in (np.frombuffer(t.encode(), np.uint8) for t, _ in held))])
     grid = np.geomspace(0.25, 8, 41)
     loss = []
     for out.temperature in grid.tolist():
@@ -233,32 +260,52 @@ def default_classifier(docs: DataFrame, text: str = "text") -> Classifier:
 # --- the operator ---------------------------------------------------------------------------------------------
 
 
-def block_findings(classifier: Classifier, buf: np.ndarray, offs: np.ndarray, wrapped: bool = False) -> tuple[np.ndarray, list[tuple[int, int, int, str, float, float]]]:
-    """Paragraphs per text, and ``(text, start, end, family, probability, cover)`` of those that a licence claims."""
-    gap = buf == 0x0A
-    if wrapped:  # only a newline beside another one (white space between them aside) ends a paragraph
-        raw = buf.tobytes()
-        gap = np.zeros(len(buf), dtype=bool)
-        for m in re.finditer(rb"\n[ \t\r]*\n", raw):
-            gap[m.start() : m.end()] = True
-    s, e, doc = T.spans(gap, offs)
+def _windows(buf: np.ndarray, s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges (first, after the last) of all lines and of the windows of all paragraphs, each range once, and the first word of every
+    paragraph."""
+    breaks = np.concatenate(([0], np.cumsum(buf == 0x0A)))[s]
+    step = np.diff(breaks)
+    other = doc[1:] != doc[:-1]
+    edges = lambda new: np.flatnonzero(np.concatenate(([True], new)))
+    lines, paragraphs = edges((step > 0) | other), edges((step > 1) | other)
+    pairs = [np.stack((lines, np.append(lines[1:], len(s))))]
+    begin, end = paragraphs, np.append(paragraphs[1:], len(s))
+    for width in WINDOWS:
+        half = width // 2
+        n = np.maximum(1, -(-(end - begin - half) // half))  # windows until the end is reached
+        at = np.repeat(begin, n) + half * (np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n))
+        pairs.append(np.stack((at, np.minimum(at + width, np.repeat(end, n)))))
+    i, j = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return i, j, paragraphs
+
+
+def block_findings(classifier: Classifier, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, str, float, float]]]:
+    """Paragraphs per text, and ``(text, start, end, family, probability, cover)`` of the places that a licence claims, the best one of
+    those that overlap."""
+    s, e, doc, held = grams(buf, offs)
     if not len(s):
         return np.zeros(len(offs) - 1, np.int64), []
-    # the paragraphs tile the block: each takes the gap after it
-    edges = np.append(s, len(buf))
-    ids, where, n = gram_ids(buf[s[0] :], edges - s[0])
-    p = classifier.probabilities(classifier.logits(ids, where, n))
-    spoken = np.bincount(where, minlength=n) > 0
-    best, top = p[:, :-1].argmax(1), p[:, :-1].max(1)
+    i, j, paragraphs = _windows(buf, s, doc)
+    p = classifier.probabilities(classifier.logits(len(s), held, i, j))
+    found: dict[int, list[tuple]] = {}
+    for k in np.flatnonzero(1 - p[:, -1] >= classifier.least).tolist():
+        first, top = int(i[k]), int(p[k, :-1].argmax())
+        words = normal_words(buf[s[first] : e[j[k] - 1]].tobytes())
+        for f in {top, *np.flatnonzero(p[k, :-1] >= SECOND).tolist()}:
+            cover, n, a, z = confirmed(classifier.families[f], words)
+            if f == top or cover >= COVER:
+                found.setdefault(int(doc[first]), []).append((-n, -cover, -float(p[k, f]), classifier.families[f], int(s[first + a]), int(e[first + z - 1])))
     out = []
-    for k in np.flatnonzero(spoken & (top >= classifier.least) & (top > p[:, -1])).tolist():
-        family = classifier.families[best[k]]
-        cover = confirmed(family, buf[s[k] : e[k]].tobytes())
-        out.append((int(doc[k]), int(s[k]), int(e[k]), family, float(top[k]), cover))
-    return np.bincount(doc[spoken], minlength=len(offs) - 1), out
+    for d, places in found.items():
+        kept: list[tuple] = []
+        for x in sorted(places):
+            if all(x[5] <= y[4] or x[4] >= y[5] for y in kept):
+                kept.append(x)
+        out += [(d, a, z, family, -prob, -cover) for _, cover, prob, family, a, z in kept]
+    return np.bincount(doc[paragraphs], minlength=len(offs) - 1), sorted(out)
 
 
-def scan_licences(docs: DataFrame, classifier: Classifier | None = None, doc_id: str = "doc_id", text: str = "text", wrapped: bool = False) -> DataFrame:
+def scan_licences(docs: DataFrame, classifier: Classifier | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_paragraphs, n_unconfirmed, families, findings`` of every row.  ``families``: the distinct confirmed families in
     order; ``findings``: confirmed ``(start, end, family, probability, cover)`` with byte offsets."""
     classifier = classifier or default_classifier(docs, text)
@@ -269,7 +316,7 @@ def scan_licences(docs: DataFrame, classifier: Classifier | None = None, doc_id:
         for batch in batches:
             for i, j, buf, offs in T.blocks(batch.column(1)):
                 n = j - i
-                paragraphs, found = block_findings(classifier, buf, offs, wrapped)
+                paragraphs, found = block_findings(classifier, buf, offs)
                 held, doubt = [[] for _ in range(n)], np.zeros(n, np.int64)
                 for d, a, z, family, p, cover in found:
                     if cover >= COVER:
