@@ -71,6 +71,8 @@ _NAME = re.compile(rb"(?:key|secret|token|password|passwd|pwd|auth|credential)[\
 _VALUE = re.compile(rb"[:=>]{0,2}[ \t]{0,3}[\"']?([^\s\"'<>,;]{8,})")
 _HEAD = re.compile(rb"[A-Za-z_][\w.-]{0,39}=+")
 _UUID = re.compile(rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
+_RUN = re.compile(rb"[A-Z]?[a-z]{3,}")  # as in spoken words, alone or in camel case
+_REFERENCE = re.compile(rb"^[$<%{]|[({\[]|\benv\b|environ")  # a value that stands elsewhere
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+[0-9]*")
 
 
@@ -134,7 +136,7 @@ def corpus_statistics(texts: DataFrame, dictionary: int = DICTIONARY) -> Corpus:
 
 FEATURES = (
     "length", "digits", "upper", "lower", "symbols", "class_changes", "transition_mean", "transition_low", "entropy", "distinct", "longest_run",
-    "longest_sequence", "hex", "uuid", "dots", "coverage", "digits_only", "quoted", "assigned", "secret_words", "digest_words", "placeholder", "path_words", "config_path", "neighbours",
+    "longest_sequence", "hex", "uuid", "dots", "coverage", "digits_only", "quoted", "assigned", "secret_words", "digest_words", "placeholder", "path_words", "config_path", "neighbours", "letter_runs", "reference",
 )
 
 
@@ -177,8 +179,9 @@ def features(before: bytes, word: bytes, after: bytes, path: bytes, corpus: Corp
     return [
         math.log2(n), (kind == 1).mean(), (kind == 2).mean(), (kind == 3).mean(), (kind == 0).mean(), (np.diff(kind) != 0).mean() if n > 1 else 0.0, float(steps.mean()), float(window.min()),
         float(-(p * np.log2(p)).sum()), len(k) / n, longest(d == 0), max(longest(d == 1), longest(d == -1)), float(re.fullmatch(rb"[0-9a-fA-F]+", word) is not None), float(_UUID.fullmatch(word) is not None), float(min(4, word.count(b"."))),
-        _coverage(lw, corpus), float(word.isdigit()), float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")), float(stripped[-1:] in (b"=", b":")), _has(text[-40:], SECRET_WORDS), _has(text[-40:], DIGEST_WORDS),
+        _coverage(lw, corpus), float(word.isdigit()), float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")), float(stripped[-1:] in (b"=", b":")), _has(text[-40:], SECRET_WORDS), _has(text[-40:] + b" " + lw[:12], DIGEST_WORDS),
         _has(text[-40:] + b" " + lw + b" " + after.lower()[:20], PLACEHOLDER_WORDS), _has(path.lower(), PATH_WORDS), float(path.lower().endswith(tuple(x.encode() for x in CONFIG_ENDS))), sum(odds.get(w, 0.0) for w in near),
+        sum(map(len, _RUN.findall(word))) / n, float(_REFERENCE.search(word) is not None or before[-2:] in (b"${", b"{{", b"$(")),
     ]
 
 
@@ -251,6 +254,7 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
     some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    spoken = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(["", "", "n", "r", "st"]) for _ in range(r.randint(2, 4)))
     name = lambda: r.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "apikey", "private_key", "credential"])
 
     def secret() -> tuple[str, bool]:
@@ -283,7 +287,7 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
 
     def negative():
         q = ""
-        kind = r.randrange(15)
+        kind = r.randrange(18)
         head, path = " ", r.choice(["src/app.py", "README.md", "docs/index.md", "notes.txt", "", "crawl", "test/fixture.json"])
         if kind == 0:
             word = pick(string.digits, r.choice([16, 16, 18, 20]))
@@ -317,6 +321,15 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
         elif kind == 12:
             word = ".".join(r.choice(words) for _ in range(r.randint(3, 5))) + str(r.randint(0, 9))
         elif kind == 13:
+            word = r.choice(["", "get", "Set"]) + "".join(spoken().capitalize() for _ in range(r.randint(3, 6))) + r.choice(["", "", str(r.randrange(9)), "V2"])
+            word, head = word if any(c.isupper() for c in word[1:]) else word + "X1", r.choice([" class ", " extends ", " ", " import "])
+        elif kind == 14:
+            head, q = assignment()
+            word = r.choice(["$" + "_".join(r.choice(words) for _ in range(2)).upper() + "_KEY", "{{" + r.choice(words) + "_value_1}}", f"process.env.{r.choice(words).upper()}_TOKEN", f"os.environ[{r.choice(words).upper()}1]", f"$({r.choice(words)}.read1)", f"%{r.choice(words)}_VALUE_1%"])
+        elif kind == 15:
+            word, head = f"{r.choice(['sha256', 'sha384', 'md5'])}{r.choice('-:=')}{base64.b64encode(r.randbytes(r.choice([16, 32, 48]))).decode()}", r.choice([' integrity="', ' hash: "', " checksum ", " "])
+            q = '"' if head.endswith('"') else ""
+        elif kind == 16:
             head, q = assignment()
             word = "_".join(r.choice(words) for _ in range(r.randint(2, 4))) + r.choice(["", "_id", "()", "1"])
             word = word if len(word) >= 8 else word + "_setting"

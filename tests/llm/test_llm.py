@@ -465,6 +465,41 @@ def test_secrets(spark, docs, texts, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def held_out_findings(seed=21):
+    """Findings from formats and contexts that the training generator does not make."""
+    r = random.Random(seed)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    word = upper + lower + digits
+    yes, no = [], []
+    for _ in range(12):
+        yes += [  # the text, and how the secret in it begins, where that is fixed
+            (f"const stripe = new Stripe('sk_live_{pick(word, 24)}');", "sk_live_"), (f"GOOGLE_MAPS_KEY=AIza{pick(word + '_-', 35)}", "AIza"), (f"git clone with glpat-{pick(word, 20)} from the mirror", "glpat-"),
+            (f"//registry.example.org/:_authToken=npm_{pick(word, 36)}", "npm_"), (f"SENDGRID_API_KEY: SG.{pick(word, 22)}.{pick(word, 43)}", "SG."), (f"login with hf_{pick(word, 34)} to pull the weights", "hf_"),
+            (f"aws_secret_access_key = {pick(word + '/+', 40)}", None), (f"export DB_PASSWORD='{pick(word + '#!%', 18)}'", None), (f'"client_secret": "{pick(word + "_-", 32)}",', None), (f"Authorization: Bearer {pick(word + '-_', 48)}", None),
+        ]
+        no += [
+            f"see https://docs.example.net/guide/{pick(lower, 7)}/{pick(lower, 9)}-{pick(lower, 6)}.html#section-{r.randrange(99)}", f"Subproject commit {pick('0123456789abcdef', 40)}", f'"integrity": "sha512-{pick(word + "+/", 86)}=="', f"ISBN 978-{pick(digits, 1)}-{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 1)} in print",
+            f"request id {pick('0123456789abcdef', 8)}-{pick('0123456789abcdef', 4)}-4{pick('0123456789abcdef', 3)}-a{pick('0123456789abcdef', 3)}-{pick('0123456789abcdef', 12)} failed", f"call +49-30-{pick(digits, 4)}-{pick(digits, 6)} after nine", f"built at 2023-0{r.randint(1, 9)}-1{r.randrange(9)}T0{r.randrange(9)}:12:4{r.randrange(9)}.{pick(digits, 6)}Z",
+            f"the file IMG_2023{pick(digits, 4)}_{pick(digits, 6)}.jpeg is blurred", f"version 1.{r.randrange(20)}.{r.randrange(20)}-beta.{r.randrange(9)}+build.{pick(digits, 5)}", f"order number {pick(digits, 18)} was shipped", f"class MyVeryLongAbstract{pick(upper, 1)}{pick(lower, 6)}FactoryBean2 implements", "password = get_password_from_env(user)", "api_key: ${API_KEY_FROM_VAULT}",
+        ]
+    return yes, no
+
+
+def test_secrets_on_held_out_formats(spark, docs):
+    scanner = secret_scan.default_scanner(docs)
+    yes, no = held_out_findings()
+
+    def secrets(t):
+        b = t.encode()
+        return [b[a:z].decode() for _, a, z, v in scanner.scan(np.frombuffer(b, np.uint8), np.array([0, len(b)]), ["notes.txt"]) if v >= secret_scan.THRESHOLD]
+
+    missed = [t for t, start in yes if not any(g.startswith(start or "") for g in secrets(t))]
+    false = [(t, g) for t in no if (g := secrets(t))]
+    hits = len(yes) - len(missed)
+    assert hits >= 0.9 * len(yes) and hits >= 0.9 * (hits + len(false)), (missed, false)
+
+
 def test_secrets_assigned_values_are_whole(spark, docs):
     """A value with other signs than a run's, with or without spaces and quotes, is one candidate without its name, and goes whole."""
 
