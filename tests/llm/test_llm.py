@@ -299,6 +299,76 @@ def test_mixing(spark, docs, texts, empty):
     assert entropy(weight) >= entropy(p) - 1e-9
 
 
+def plain_mix(rows, budget, gain, repeats, seed, block_docs):
+    """The mix from its definition: weights by bisection of the exponent, epochs of permuted blocks, the last one cut at its budget."""
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by[s or ""].append((i, len(WORD.findall(t or ""))))
+    tokens = {s: sum(k for _, k in d) for s, d in by.items()}
+    tokens = {s: k for s, k in tokens.items() if k}
+    total = sum(tokens.values())
+
+    def at(a):
+        x = {s: (k / total) ** a for s, k in tokens.items()}
+        z = sum(x.values())
+        w = {s: v / z for s, v in x.items()}
+        size = budget if budget is not None else max(k / x[s] for s, k in tokens.items()) * z
+        return w, size, -sum(v * np.log(v) for v in w.values()), max(w[s] * size / k for s, k in tokens.items())
+
+    low, high = at(1.0)[2], at(0.0)[2]
+
+    def turn(holds):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if holds(at(mid)) else (lo, mid)
+        return hi
+
+    a = max(turn(lambda x: x[2] >= low + gain * (high - low)), turn(lambda x: x[3] > repeats))
+    w, size, _, _ = at(np.ceil(a * 1e6 - 1e-3) / 1e6)
+    order = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    out = []
+    for s, n in tokens.items():
+        blocks = max(1, -(-len(by[s]) // block_docs))
+        quota = int(w[s] * size + 1e-6)
+        held = defaultdict(list)
+        for i, k in by[s]:
+            held[int(order(seed, i)[:8], 16) % blocks].append((i, k))
+        for epoch in range(quota // n + 1):
+            limit, before = n if epoch < quota // n else quota % n, 0
+            for b in sorted(held, key=lambda b: (order(seed, epoch, "block", b), b)):  # noqa: B023
+                if before >= limit:
+                    break
+                end = before
+                for i, k in sorted(held[b], key=lambda x: (order(seed, epoch, x[0]), x)):  # noqa: B023
+                    end += k
+                    if end <= limit:
+                        out.append((i, s, epoch, b, k))
+                before += sum(k for _, k in held[b])
+    return sorted(out), w
+
+
+@pytest.mark.parametrize(("budget", "repeats"), [(None, 2.0), (None, 1.2), (900, 1.5), (30_000, 3.0)])
+def test_mixing_against_plain_blocks(spark, docs, texts, monkeypatch, budget, repeats):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    got = mixing.mix(docs, budget=budget, max_repeats=repeats).collect()
+    want, weights = plain_mix([(i, t, s) for i, t, s in texts], budget, 0.5, repeats, 17, 4)
+    assert {r.source: r.weight for r in got} == pytest.approx({s: w for s, w in weights.items() if any(x[1] == s for x in want)}, abs=1e-5)
+    assert sorted((r.doc_id, r.source, r.epoch, r.block, r.n_tokens) for r in got) == want
+    assert all(0 <= r.position <= 1 for r in got)
+
+
+def test_mixing_limits_and_clashes(spark, docs, texts):
+    words = sum(len(WORD.findall(t or "")) for _, t, _ in texts)
+    with pytest.raises(ValueError, match="budget"):
+        mixing.mix(docs, budget=3 * words, max_repeats=2.0)
+    clash = docs.withColumns({"weight": F.lit("x"), "epoch": F.lit("y"), "tokens": F.lit(1), "blocks": F.lit(2)})
+    key = lambda d: sorted((r.doc_id, r.epoch, r.block) for r in mixing.mix(d).collect())
+    assert key(clash) == key(docs)
+    twice = docs.unionByName(docs)  # ties: rows that repeat an id are each taken
+    assert Counter(r.doc_id for r in mixing.mix(twice).where("epoch = 0").collect()) == {i: 2 for i, t, s in texts}
+
+
 def plain_dedup(rows, span=50):
     """The result of each row; rows that repeat an id give lists."""
     data = [(i, (t or "").encode()) for i, t in rows]
