@@ -76,7 +76,7 @@ def test_binary_features_are_counted_exactly(spark):
     rows = [cell(f, v * 7919 + f) for f in range(n) for v in range(f % 3 + 1)] + [("s", 0, 0, "empty", "num", None, None)]
     cells = spark.createDataFrame(rows, "dataset string, repeat int, fold int, feature string, kind string, num double, cat string")
     sr = SplitRows(spark.createDataFrame([("s", 0, 0)], "dataset string, repeat int, fold int"), [])
-    got = {r.column: r.value for r in external.general(sr, cells).collect()}
+    got = {r.column: r.value for r in external.general(sr, profiles(cells)).collect()}
     assert got["pymfe__nr_bin"] == n / 3 and got["pymfe__nr_attr"] == n + 1
     assert (got["pymfe__nr_num"], got["pymfe__nr_cat"]) == (n / 2 + 1, n / 2)
 
