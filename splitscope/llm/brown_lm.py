@@ -11,9 +11,9 @@ Classes come from exchange clustering: a word moves to the class that raises the
 * *Frequent words*, at least 1 / ``HEAD`` of the training tokens (so at most ``HEAD`` of them at any size), are exchanged in up to ``ROUNDS`` rounds over
   their bigram counts.  They are dealt to ``GROUPS`` groups; a group moves its words one after the other, seeing its own moves, ``1 / PARTS`` of the groups
   work at once, and the counts are taken anew after each part.  The rarer words are one neighbour to them.
-* *All other words* are exchanged in ``TAIL_ROUNDS`` rounds.  Every occurrence goes, with its place and the classes on both sides, to the hash range of
-  the word, where the word's counts are summed and its class is chosen; the occurrences return to their documents, where rare words next to
-  each other learn each other's class for the next round.  A rare word holds at most 1 / ``HEAD`` of the tokens, so no hash range outgrows its peers.
+* *All other words* are exchanged once, given the classes of the frequent ones.  Every occurrence goes, with its place and the classes on both sides,
+  to the hash range of the word, where the word's counts are summed and its class is chosen; the occurrences return to their texts, where
+  rare words next to each other learn each other's class.  A rare word holds at most 1 / ``HEAD`` of the tokens, so no hash range outgrows its peers.
 
 The driver sees counts per class pair and the frequent words with their classes, both bounded; the rare words' classes stay with their hash ranges.
 
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from . import lean, packed
 from . import textops as T
-from .common import cut, discard, shuffle_width
+from .common import cut, shuffle_width
 
-HEAD = 20_000
+HEAD = 100_000
 CLASSES = 64
 ROUNDS, PARTS, GROUPS = 3, 4, 64
 KAPPA = 20.0
-TAIL_ROUNDS = 2
+_SEGMENT, _TOKENS = 31, 1 << 20  # places: bits of the token, and tokens from which a new segment begins
 _END, _TAIL = CLASSES, CLASSES + 1  # histories beyond the word classes; the second one is a rare word while its class is not known, and an unseen one
 _N = CLASSES + 2
 _ROW = "bucket int, kind int, base int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -296,13 +296,9 @@ def _best_class(x: np.ndarray, r: np.ndarray, le: np.ndarray) -> int:
     return int(gain.argmax())
 
 
-def _best_classes(m: np.ndarray, own: np.ndarray, word: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The same for many rare words at once: ``word`` numbers the occurrences, in order, ``left`` and ``right`` are the classes beside them,
-    ``own`` is the class of each word, -1 while it has none.
-
-    A word's own counts leave the cells of its class; cells in which it stands on both sides are not taken out twice, which differs from the
-    full computation only for words that follow words of their own class."""
-    n = len(own)
+def _best_classes(m: np.ndarray, n: int, word: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same for ``n`` rare words at once: ``word`` numbers the occurrences, ``left`` and ``right`` are the classes beside them.  Neighbours whose
+    class is not known do not count, and rare words are not in ``m`` yet but as one neighbour."""
     gain = np.zeros((n, CLASSES))
     for beside, table in ((right, m[:CLASSES].T), (left, m[:, :CLASSES])):  # table[j, c]: counts of class c with j on that side
         known = beside != _TAIL
@@ -310,16 +306,14 @@ def _best_classes(m: np.ndarray, own: np.ndarray, word: np.ndarray, left: np.nda
         w, j = pair // _N, pair % _N
         total = np.bincount(w, weights=k, minlength=n)
         sums = table.sum(0)
-        for at in range(0, len(pair), 1 << 15):
-            o = slice(at, at + (1 << 15))
-            base, add = table[j[o]], k[o, None].astype(float)
-            gone = np.where(np.arange(CLASSES) == own[w[o], None], np.minimum(add, base), 0.0)
+        for at in range(0, len(pair), 1 << 14):
+            o = slice(at, at + (1 << 14))
+            base = table[j[o]]
             first = np.flatnonzero(np.concatenate(([True], np.diff(w[o]) > 0)))
-            gain[w[o][first]] += np.add.reduceat(_g(base - gone + add) - _g(base - gone), first, axis=0)
+            gain[w[o][first]] += np.add.reduceat(_g(base + k[o, None]) - _g(base), first, axis=0)
         for at in range(0, n, 1 << 13):
             o = slice(at, at + (1 << 13))
-            gone = np.where(np.arange(CLASSES) == own[o, None], np.minimum(total[o, None], sums), 0.0)
-            gain[o] -= _g(sums - gone + total[o, None]) - _g(sums - gone)
+            gain[o] -= _g(sums + total[o, None]) - _g(sums)
     return gain.argmax(1)
 
 
@@ -336,38 +330,48 @@ def _from_u2(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(2, -1).T).view("<u2").ravel().astype(np.int64)
 
 
-_OCCURRENCE = (packed.unsmall, packed.unsmall, _from_u2, packed.unsmall)  # document, place, sides (left | right << 7 | training << 14), and a number
+def _gathered(group: pa.Table, kind: int, columns: str, read: tuple) -> list[np.ndarray]:
+    """The packed columns of the group's rows of a kind, end to end."""
+    kinds = group.column("kind").to_pylist()
+    rows = [i for i, x in enumerate(kinds) if x == kind]
+    return [np.concatenate([f(group.column(c)[i].as_py()) for i in rows]) if rows else np.zeros(0, np.int64) for c, f in zip(columns, read, strict=True)]
+
 
+def _segment_group(place: np.ndarray, n: int) -> np.ndarray:
+    return (T.mix((place >> _SEGMENT).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
-def _gathered(group: pa.Table, kind: int, columns: str, read: tuple) -> tuple[list[np.ndarray], np.ndarray]:
-    """The packed columns of the group's rows of a kind, end to end, and the ``base`` of each entry."""
-    rows = [r for r in zip(*(group.column(c).to_pylist() for c in ("kind", "base", *columns)), strict=True) if r[0] == kind]
-    parts = [[f(x) for f, x in zip(read, r[2:], strict=True)] for r in rows]
-    out = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64) for _ in read]
-    return out, np.repeat(np.array([r[1] for r in rows], dtype=np.int64), [len(x[0]) for x in parts])
 
+def _bytes(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).astype(np.int64)
 
-def _first_contexts(docs: DataFrame, head: Head, classes: np.ndarray, n_buckets: int) -> DataFrame:
-    """Occurrences of rare words at the hash ranges of the words: hash (a), document (b), place (c), sides (d).
 
-    A place counts tokens through the whole task, ends included, below the number of the task's partition: neighbours in a text
-    have places that differ by one, and no others have."""
+def _contexts(docs: DataFrame, head: Head, classes: np.ndarray, n_buckets: int, n_groups: int) -> DataFrame:
+    """Occurrences of rare words at the hash ranges of the words (kind 0): hash (a), place (b), sides (c: left | right << 7 | training << 14).
 
-    def emit(parts: list) -> Iterator[pa.RecordBatch]:
-        h, doc, place, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
+    A place is the number of the task's partition, of a segment of whole texts, and of the token in it, ends included: neighbours in a text have
+    places that differ by one, and no others have.  Where texts begin (a) and their ids (b) go ahead to the groups of segments (kind 3)."""
+
+    def emit(parts: list, texts: list) -> Iterator[pa.RecordBatch]:
+        h, place, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        h, doc, place, sides = h[order], doc[order], place[order], sides[order]
+        h, place, sides = h[order], place[order], sides[order]
         at = packed.edges(h, n_buckets)
         for b in range(n_buckets):
             o = slice(at[b], at[b + 1])
             if at[b + 1] > at[b]:
-                yield from _rows([(b, 0, 0, packed.planes(h[o]), packed.small(doc[o]), packed.small(place[o]), _u2(sides[o]))]).to_batches()
+                yield from _rows([(b, 0, 0, packed.planes(h[o]), packed.small(place[o]), _u2(sides[o]))]).to_batches()
+        start, ids = (np.concatenate(x) for x in zip(*texts, strict=True))
+        group = _segment_group(start, n_groups)
+        for g in np.unique(group).tolist():
+            yield from _rows([(n_buckets + g, 3, 0, packed.small(start[group == g]), packed.small(ids[group == g]))]).to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, first = [], 0, TaskContext.get().partitionId() << 40
+        parts, texts, size, task, segment, first = [], [], 0, TaskContext.get().partitionId() << 43, 0, 0
         for ids, train, h, doc in _texts(batches):
-            start = first
-            first += len(h) + len(ids)
+            if first >= _TOKENS:
+                segment, first = segment + 1, 0
+            base = task | segment << _SEGMENT
+            start, first = base + first, first + len(h) + len(ids)
             if not len(h):
                 continue
             hid = head.ids(h)
@@ -376,42 +380,42 @@ def _first_contexts(docs: DataFrame, head: Head, classes: np.ndarray, n_buckets:
             left = np.concatenate(([_END], np.where(edge, _END, c[:-1])))
             right = np.concatenate((np.where(edge, _END, c[1:]), [_END]))
             t = np.flatnonzero(hid < 0)
-            parts.append((h[t], ids[doc[t]], start + t + doc[t], left[t] | right[t] << 7 | train[doc[t]].astype(np.int64) << 14))
+            parts.append((h[t], start + t + doc[t], left[t] | right[t] << 7 | train[doc[t]].astype(np.int64) << 14))
+            texts.append((start + np.searchsorted(doc, np.arange(len(ids))) + np.arange(len(ids)), ids))
             size += len(t)
             if size >= packed.FLUSH:
-                yield from emit(parts)
-                parts, size = [], 0
-        if size:
-            yield from emit(parts)
+                yield from emit(parts, texts)
+                parts, texts, size = [], [], 0
+        if parts:
+            yield from emit(parts, texts)
 
     return docs.mapInArrow(lean.batches(scan), _ROW)
 
 
-def _exchanged(occurrences: DataFrame, m: np.ndarray, n_groups: int, first: bool) -> DataFrame:
-    """Rare words with their new classes: occurrences back at their groups of documents (kind 0; base: hash range; document, place, sides, number of the
-    word in its range (d), class (e), training count (f)), and the words themselves (kind 2; hash, count, class)."""
+def _exchanged(occurrences: DataFrame, m: np.ndarray, n_buckets: int, n_groups: int) -> DataFrame:
+    """Rare words with their classes: occurrences at the groups of their segments (kind 0: place, sides, class, count in training), and the words
+    themselves (kind 2: hash, count, class)."""
 
     def words(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        if first:
-            (h, doc, place, sides), _ = _gathered(group, 0, "abcd", (packed.unplanes, *_OCCURRENCE[:3]))
-            order = np.argsort(h, kind="stable")
-            h, doc, place, sides = h[order], doc[order], place[order], sides[order]
-            start, length = packed.runs(h)
-            names, number, own = h[start], np.repeat(np.arange(len(start)), length), np.full(len(start), -1)
-        else:
-            (doc, place, sides, number), _ = _gathered(group, 0, "abcd", _OCCURRENCE)
-            order = np.argsort(number, kind="stable")
-            doc, place, sides, number = doc[order], place[order], sides[order], number[order]
-            (names, _, own), _ = _gathered(group, 2, "abc", (packed.unplanes, packed.unsmall, packed.unsmall))
+        if bucket >= n_buckets:
+            return group.set_column(0, "bucket", pa.array([bucket - n_buckets] * group.num_rows, pa.int32()))
+        h, place, sides = _gathered(group, 0, "abc", (packed.unplanes, packed.unsmall, _from_u2))
+        order = np.argsort(h, kind="stable")
+        h, place, sides = h[order], place[order], sides[order]
+        start, length = packed.runs(h)
+        names, number = h[start], np.repeat(np.arange(len(start)), length)
         train = (sides >> 14).astype(bool)
         count = np.bincount(number[train], minlength=len(names)).astype(np.int64)
-        best = _best_classes(m, np.where(own == _TAIL, -1, own), number[train], sides[train] & 127, sides[train] >> 7 & 127)
+        best = _best_classes(m, len(names), number[train], sides[train] & 127, sides[train] >> 7 & 127)
         best = np.where(count > 0, best, _TAIL)  # unseen words have none
-        rows = [(bucket, 2, bucket, packed.planes(names), packed.small(count), packed.small(best))]
-        for g, o in _by_group(doc, n_groups):
-            o = o[np.argsort(place[o])]
-            rows.append((g, 0, bucket, packed.small(doc[o]), packed.small(place[o]), _u2(sides[o]), packed.small(number[o]), best[number[o]].astype(np.uint8).tobytes(), packed.small(count[number[o]])))
+        rows = [(-2 - bucket, 2, 0, packed.planes(names), packed.small(count), packed.small(best))]
+        by = _segment_group(place, n_groups)
+        order = np.lexsort((place, by))
+        first, length = packed.runs(by[order])
+        for f, n in zip(first.tolist(), length.tolist(), strict=True):
+            o = order[f : f + n]
+            rows.append((int(by[o[0]]), 0, 0, packed.planes(place[o].astype(np.uint64)), _u2(sides[o]), best[number[o]].astype(np.uint8).tobytes(), packed.small(count[number[o]])))
         return _rows(rows)
 
     return occurrences.groupBy("bucket").applyInArrow(lean.group(words), _ROW)
@@ -426,35 +430,27 @@ def _by_group(doc: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(g[order[f]]), order[f : f + k]
 
 
-def _settled(placed: DataFrame, last: bool) -> DataFrame:
-    """The occurrences of each group of documents with the classes of rare neighbours filled in, and the class bigrams of rare words in training (kind 1).
-
-    Unless this is the ``last`` time they go to the hash ranges of their words again (kind 0: document, place, sides, number); else they stay: document (a),
-    sides (c), class (e), count (f), and whether the word on the right is frequent or the end (d)."""
+def _settled(placed: DataFrame) -> DataFrame:
+    """The occurrences of each group of segments with the classes of rare neighbours filled in (kind 0: document (a), sides (b), whether the word on the
+    right is frequent or the end (c), class (d), count (e)), the class bigrams of rare words in training (kind 1), and the words (kind 2) as they come."""
 
     def run(group: pa.Table) -> pa.Table:
-        (doc, place, sides, number, c, k), base = _gathered(group, 0, "abcdef", (*_OCCURRENCE, lambda b: np.frombuffer(b, np.uint8).astype(np.int64), packed.unsmall))
+        if group.column("bucket")[0].as_py() < 0:
+            return group
+        place, sides, c, k = _gathered(group, 0, "abcd", (lambda b: packed.unplanes(b).view(np.int64), _from_u2, _bytes, packed.unsmall))
+        start, ids = _gathered(group, 3, "ab", (packed.unsmall, packed.unsmall))
         order = np.argsort(place)
-        doc, place, sides, number, c, k, base = (x[order] for x in (doc, place, sides, number, c, k, base))
+        place, sides, c, k = place[order], sides[order], c[order], k[order]
+        order = np.argsort(start)
+        doc = ids[order][np.searchsorted(start[order], place, side="right") - 1]
         left, right, train = sides & 127, sides >> 7 & 127, (sides >> 14).astype(bool)
         beside = place[1:] == place[:-1] + 1
         left[1:][beside], right[:-1][beside] = c[:-1][beside], c[1:][beside]
-        closed = np.append(beside, False)
-        sides = left | right << 7 | train.astype(np.int64) << 14
+        closed = np.append(beside, False)[: len(place)]
         sums = np.bincount((left * _N + c)[train], minlength=_N * _N) + np.bincount((c * _N + right)[train & ~closed], minlength=_N * _N)
-        group_id = group.column("bucket")[0].as_py()
-        rows = [(-1, 1, 0, sums.astype(np.int64).tobytes())]
-        if last:
-            rows.append((group_id, 0, 0, packed.small(doc), b"", _u2(sides), (~closed).astype(np.uint8).tobytes(), c.astype(np.uint8).tobytes(), packed.small(k)))
-        else:
-            by = np.argsort(base, kind="stable")
-            first, length = packed.runs(base[by])
-            for f, n in zip(first.tolist(), length.tolist(), strict=True):
-                o = by[f : f + n]
-                rows.append((int(base[o[0]]), 0, 0, packed.small(doc[o]), packed.small(place[o]), _u2(sides[o]), packed.small(number[o])))
-        return _rows(rows)
+        return _rows([(0, 1, 0, sums.astype(np.int64).tobytes()), (0, 0, 0, packed.small(doc), _u2(left | right << 7), (~closed).astype(np.uint8).tobytes(), c.astype(np.uint8).tobytes(), packed.small(k))])
 
-    return placed.where("kind = 0").groupBy("bucket").applyInArrow(lean.group(run), _ROW)
+    return placed.groupBy("bucket").applyInArrow(lean.group(run), _ROW)
 
 
 def _tail_sums(settled: DataFrame) -> np.ndarray:
@@ -480,8 +476,7 @@ class Model:
     types: int
     once: int
     ends: int
-    settled: DataFrame  # occurrences of rare words by group of documents
-    rare: DataFrame  # rare words by hash range
+    settled: DataFrame  # occurrences of rare words, and these words by hash range
 
     @property
     def unseen(self) -> float:
@@ -492,28 +487,21 @@ class Model:
 def fit(plain: DataFrame, n_groups: int) -> Model:
     """``plain``: doc_id, text without null ids."""
     width = shuffle_width(plain.sparkSession)
-    n_buckets = 2 * width
+    n_buckets = 4 * width
     train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1
     n_docs = plain.where(train).count()
     n, v, once, head = _statistics(_vocabulary(plain, n_buckets), n_docs)
     classes, m = exchange(_bigrams(plain, head), head)
     known = m.copy()
     known[_TAIL], known[:, _TAIL] = 0, 0
-    placed = cut(_exchanged(_first_contexts(plain, head, classes, n_buckets), m, n_groups, True), "lm-rare")
-    for turn in range(1, TAIL_ROUNDS + 1):
-        settled = cut(_settled(placed, turn == TAIL_ROUNDS), "lm-settled")
-        pairs = known + _tail_sums(settled)
-        if turn < TAIL_ROUNDS:
-            again = settled.where("kind = 0").unionByName(placed.where("kind = 2"))
-            old, placed = placed, cut(_exchanged(again, pairs, n_groups, False), "lm-rare")
-            discard(old, settled)
-    return Model(head, classes, pairs, n, v, once, n_docs, settled, placed.where("kind = 2"))
+    settled = cut(_settled(_exchanged(_contexts(plain, head, classes, n_buckets, n_groups), m, n_buckets, n_groups)), "lm-settled")
+    return Model(head, classes, known + _tail_sums(settled), n, v, once, n_docs, settled)
 
 
 def word_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``word_hash, n, class`` of every word of training: frequent and rare ones."""
     spark = docs.sparkSession
-    model = fit(_plain(docs, doc_id, text), 2 * shuffle_width(spark))
+    model = fit(_plain(docs, doc_id, text), 4 * shuffle_width(spark))
     head = model.head
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,7 +511,7 @@ def word_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 m = k > 0
                 yield pa.RecordBatch.from_arrays([pa.array(packed.unplanes(a)[m].view(np.int64)), pa.array(k[m]), pa.array(cls[m].astype(np.int32))], names=["word_hash", "n", "class"])
 
-    rare = model.rare.select("a", "b", "c").mapInArrow(lean.batches(unpack), "word_hash long, n long, class int")
+    rare = model.settled.where("kind = 2").select("a", "b", "c").mapInArrow(lean.batches(unpack), "word_hash long, n long, class int")
     rows = list(zip(head.hashes.view(np.int64).tolist(), head.counts.tolist(), model.classes[: len(head.hashes)].tolist(), strict=True))
     return rare.unionByName(spark.createDataFrame(rows, "word_hash long, n long, class int"))
 
@@ -538,7 +526,7 @@ def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every document."""
-    n_groups = 2 * shuffle_width(docs.sparkSession)
+    n_groups = 4 * shuffle_width(docs.sparkSession)
     plain = _plain(docs, doc_id, text)
     model = fit(plain, n_groups)
     head, classes, n, settled = model.head, model.classes, model.tokens, model.settled
@@ -573,23 +561,25 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     ends_known = model.ends > 0
 
-    def merge(group: pa.Table) -> pa.Table:
-        parts = []
-        for kind, a, b, c, d, e, f in zip(*(group.column(x).to_pylist() for x in ("kind", *"abcdef")), strict=True):
-            doc = packed.unsmall(a)
-            if kind == 2:
-                tokens, seen = np.frombuffer(b, np.int64).reshape(2, -1)
-                parts.append((doc, tokens, seen, np.frombuffer(c), np.frombuffer(d)))
-            else:
-                sides, cls, k = _from_u2(c), np.frombuffer(e, np.uint8).astype(np.int64), packed.unsmall(f)
-                left, right = sides & 127, sides >> 7 & 127
-                frequent = np.frombuffer(d, np.uint8).astype(bool)
-                seen = k > 0
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, c, d, e in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
+                doc, sides, frequent, cls, k = packed.unsmall(a), _from_u2(b), _bytes(c).astype(bool), _bytes(d), packed.unsmall(e)
+                left, right, seen = sides & 127, sides >> 7 & 127, k > 0
                 own = np.where(seen, cls, 0)
                 logp = np.where(seen, move[left, own] + np.log10(np.maximum(k, 1)) - log_mass[own], log_unseen)
                 out = frequent & (ends_known | (right != _END))
                 logp += np.where(out, move[cls, np.minimum(right, CLASSES)], 0.0)
-                parts.append((doc, np.zeros(len(doc), np.int64), seen.astype(np.int64), np.log10(k + 0.5) - norm, logp))
+                u, at = np.unique(doc, return_inverse=True)
+                seen, base, logp = (np.bincount(at, weights=y, minlength=len(u)) for y in (seen, np.log10(k + 0.5) - norm, logp))
+                counts = np.stack((np.zeros(len(u), np.int64), seen.astype(np.int64)))
+                yield from _rows([(g, 2, 0, packed.small(u[o]), counts[:, o].tobytes(), base[o].tobytes(), logp[o].tobytes()) for g, o in _by_group(u, n_groups)]).to_batches()
+
+    def merge(group: pa.Table) -> pa.Table:
+        parts = []
+        for a, b, c, d in zip(*(group.column(x).to_pylist() for x in "abcd"), strict=True):
+            tokens, seen = np.frombuffer(b, np.int64).reshape(2, -1)
+            parts.append((packed.unsmall(a), tokens, seen, np.frombuffer(c), np.frombuffer(d)))
         doc, tokens, seen, base, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
         u, at = np.unique(doc, return_inverse=True)
         add = lambda x: np.bincount(at, weights=x, minlength=len(u))
@@ -600,5 +590,5 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             "train_tokens": pa.array(np.full(len(u), n)), "base_score": pa.array(add(base)), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(300, -score / np.maximum(tokens, 1))),
         })
 
-    both = plain.mapInArrow(lean.batches(heads), _ROW).unionByName(settled.where("kind = 0"))
+    both = plain.mapInArrow(lean.batches(heads), _ROW).unionByName(settled.where("kind = 0").select(*"abcde").mapInArrow(lean.batches(rare), _ROW))
     return both.groupBy("bucket").applyInArrow(lean.group(merge), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
