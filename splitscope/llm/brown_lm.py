@@ -43,7 +43,7 @@ HEAD = 100_000
 CLASSES = 64
 ROUNDS, PARTS, GROUPS = 3, 4, 64
 KAPPA = 20.0
-_SEGMENT, _TOKENS = 31, 1 << 20  # places: bits of the token, and tokens from which a new segment begins
+_SEGMENT, _TASK, _TOKENS = 30, 43, 1 << 17  # places: bits below the segment and below the task, and tokens from which a new segment begins
 _END, _TAIL = CLASSES, CLASSES + 1  # histories beyond the word classes; the second one is a rare word while its class is not known, and an unseen one
 _N = CLASSES + 2
 _ROW = "bucket int, kind int, base int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -366,10 +366,12 @@ def _contexts(docs: DataFrame, head: Head, classes: np.ndarray, n_buckets: int,
             yield from _rows([(n_buckets + g, 3, 0, packed.small(start[group == g]), packed.small(ids[group == g]))]).to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, texts, size, task, segment, first = [], [], 0, TaskContext.get().partitionId() << 43, 0, 0
+        parts, texts, size, task, segment, first = [], [], 0, TaskContext.get().partitionId() << _TASK, 0, 0
         for ids, train, h, doc in _texts(batches):
             if first >= _TOKENS:
                 segment, first = segment + 1, 0
+                if segment >> _TASK - _SEGMENT:
+                    raise OverflowError("a task holds more texts than places: read the table in smaller parts")
             base = task | segment << _SEGMENT
             start, first = base + first, first + len(h) + len(ids)
             if not len(h):

@@ -657,3 +657,74 @@ def test_pipeline(spark, tmp_path, docs):
     assert kept == [[1, 2, 4, 5, 6], [1, 4, 5, 6], [1, 5, 6], [1, 5, 6]]
     assert secret_scan.MARK in rest.where("doc_id = 5").first().text
     assert {x.doc_id for x in corpus_pipeline.run(spark, d).collect()} == {1, 5, 6}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, repeated rows, null values and columns with the operators' own names pass all stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(5)
+    long = lambda: " ".join("".join(r.choice(SYLLABLES.split()) for _ in range(3)) + str(r.randrange(99)) for _ in range(50))
+    a, b = long(), long()
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, None), (None, b, "y"), (3, None, None), (4, b + " " + long(), "y"), (4, long(), "y")]
+    kinds = "doc_id long, text string, source string, lang string, n_chars long, n_words long, __host string, epoch int, tokens map<string,int>"
+    d = f"file://{tmp_path}/edges"
+    spark.createDataFrame([(i, t, s, "en", len(t or ""), 7, "h", 1, {"k": 1}) for i, t, s in rows], kinds).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = rest = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rest = stage(spark, rest, d)
+        assert rest.columns == docs.columns, name
+    assert sorted(x.doc_id or 0 for x in rest.collect()) == [0, 1, 4]
+    assert Counter(x.doc_id or 0 for x in corpus_pipeline.run(spark, d).where("epoch = 0").collect()) == {0: 1, 1: 1, 4: 1}
+    none = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, d).count() == 0, name
+
+
+def test_repeated_rows(spark, docs):
+    """Rows that repeat, with and without an id, are each judged alike."""
+    public = pytest.importorskip("public_tokenizers")
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'ka lo token = "{key}" mi', "app.py")] * 3 + [(None, f'ka lo token = "{key}" mi', "app.py"), (2, "Released under the MIT License.", "s"), (2, "Released under the MIT License.", "s"), (2, None, None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.find_secrets(t, secret_scan.default_scanner(docs)).collect()
+    assert Counter((r.doc_id, r.n_secrets) for r in found) == {(1, 1): 3, (None, 1): 1, (2, 0): 3}
+    licences = license_scan.scan_licences(t, license_scan.default_classifier(docs)).collect()
+    assert Counter((r.doc_id, tuple(r.families)) for r in licences) == {(1, ()): 3, (None, ()): 1, (2, ("mit",)): 2, (2, ()): 1}
+    items = spark.createDataFrame([(7, "released under the mit license"), (7, "released under the mit license")], "item_id long, text string")
+    assert Counter((r.doc_id, tuple(r.item_ids)) for r in decontaminate.contamination(t, items).collect()) == {(1, ()): 3, (None, ()): 1, (2, (7,)): 2, (2, ()): 1}
+    assert decontaminate.clean_documents(t, items).count() == 5
+    counts = Counter((r.doc_id, r.n_tokens > 0) for r in tokens.count_tokens(t, public.path("byte_bpe_50k.json")).collect())
+    assert counts == {(1, True): 3, (None, True): 1, (2, True): 2, (2, False): 1}
+    scores = brown_lm.score_documents(t).collect()  # rows that share an id are one document
+    assert {r.doc_id: r.n_tokens for r in scores} == {1: 3 * 7, 2: 6 + 6 + 1}
+
+
+def test_very_long_texts(spark, docs, tmp_path):
+    """A text of millions of bytes: what stands at its end is found, and anchors do not hang on how it is cut."""
+    r = np.random.default_rng(3)
+    buf = r.integers(97, 123, 9 << 20).astype(np.uint8)
+    offs = np.array([0, 3 << 20, (3 << 20) + 30, 9 << 20])
+
+    def owners(h, doc, start, n):
+        out = np.zeros(len(buf), np.uint64)
+        out[np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] = np.repeat(h, n)
+        return out
+
+    parts = []
+    for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        h, d, start, n = suffix_dedup.anchors(buf[a:z], np.array([0, z - a]))
+        parts.append((h, d, start + a, n))
+    assert (owners(*suffix_dedup.anchors(buf, offs)) == owners(*(np.concatenate(x) for x in zip(*parts, strict=True)))).all()
+    body = buf[: 8_500_000].tobytes().decode()
+    passage, key = buf[8_600_000:8_600_300].tobytes().decode(), "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, "X" + passage + "Y"), (2, body + " " + passage + f'. token = "{key}". Released under the MIT License.')]
+    t = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.dedup_report(t).collect()}
+    assert got == {1: (0, 0), 2: (300, 1)}
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    assert [x.item_ids for x in decontaminate.contamination(t, items).orderBy("doc_id").collect()] == [[7], [7]]
+    assert [s.value for s in secret_scan.find_secrets(t, secret_scan.default_scanner(docs)).where("doc_id = 2").first().secrets] == [key]
+    assert license_scan.scan_licences(t, license_scan.default_classifier(docs)).where("doc_id = 2").first().families == ["mit"]
+    pages = t.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {x.page_id: x.payload_digest for x in warc.round_trip(pages).collect()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in rows}
