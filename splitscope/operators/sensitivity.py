@@ -58,12 +58,13 @@ def available_controls(table: DataFrame, candidates=GENERAL_CONTROLS, min_n: int
 
 def rank_zscores(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as z-scores of their average ranks; NULL throughout a constant column."""
-    out = table
-    for c in columns:
-        ranked = out.withColumn("__r", average_rank(c))
-        one = ranked.agg(F.avg("__r").alias("__m"), F.nullif(F.stddev_pop("__r"), F.lit(0.0)).alias("__s"))
-        out = ranked.crossJoin(F.broadcast(one)).withColumn(c, F.try_divide(F.col("__r") - F.col("__m"), F.col("__s"))).drop("__r", "__m", "__s")  # one row
-    return out
+    ranked = table
+    for k, c in enumerate(columns):
+        ranked = ranked.withColumn(f"__r{k}", average_rank(c))
+    numbers = range(len(columns))
+    one = ranked.agg(*(F.avg(f"__r{k}").alias(f"__m{k}") for k in numbers), *(F.nullif(F.stddev_pop(f"__r{k}"), F.lit(0.0)).alias(f"__s{k}") for k in numbers))
+    z = {c: F.try_divide(F.col(f"__r{k}") - F.col(f"__m{k}"), F.col(f"__s{k}")) for k, c in enumerate(columns)}
+    return ranked.crossJoin(F.broadcast(one)).withColumns(z).drop(*(f"__{x}{k}" for k in numbers for x in "rms"))  # one row
 
 
 def bootstrap_fits(rows: DataFrame, predictors: Sequence[str], target: str, seed: int, repeats: int = REPEATS, min_n: int = MIN_N) -> DataFrame:
@@ -129,7 +130,7 @@ def sensitivity(table: DataFrame, robust: DataFrame, name: str, target: str = "d
 
 def residual_rank_correlation(table: DataFrame, feature: str, controls: Sequence[str], target: str = "delta_norm") -> DataFrame:
     """``feature, n, rho, partial_rho``: the rank correlation before and after both sides lose what the controls' ranks explain."""
-    clean = complete_cases(table, [target, feature, *controls]).select("dataset", target, feature, *controls)
+    clean = complete_cases(table, [target, feature, *controls]).select("dataset", target, feature, *controls).persist()  # one row per dataset, read by several jobs
     names = [target, feature, *controls]
     z = rank_zscores(clean, names)
     # all sums of products are one row: the residuals of both sides come from the normal equations of the controls' ranks

@@ -387,7 +387,18 @@ def filter_by_population(spark, sf_dir):
     return report.select("feature", "stage")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COUNTED}{_MATRIX.removeprefix(twins.OBSERVATIONS)},
+strong AS (SELECT a, b, round(abs(r), 12) AS s FROM matrix WHERE round(abs(r), 12) >= 0.95),
+chosen AS (
+  SELECT s, a, b, row_number() OVER (ORDER BY s DESC, a, b) AS nth, x.missing_fraction < y.missing_fraction OR (x.missing_fraction = y.missing_fraction AND (x.n_unique > y.n_unique OR (x.n_unique = y.n_unique AND a < b))) AS keeps_a
+  FROM strong JOIN stats x ON x.feature = a JOIN stats y ON y.feature = b),
+named AS (SELECT *, CASE WHEN keeps_a THEN b ELSE a END AS dropped, CASE WHEN keeps_a THEN a ELSE b END AS kept FROM chosen),
+walk(nth, gone, hit) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false
+  UNION ALL SELECT c.nth, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, dropped) END, NOT (list_contains(gone, a) OR list_contains(gone, b)) FROM walk w JOIN named c ON c.nth = w.nth + 1)
+SELECT 'left_vs_right' AS "table", 'redundancy' AS stage, dropped AS dropped_feature, kept AS kept_feature, round(s, 6) + 0.0 AS abs_spearman, round(d.missing_fraction, 6) + 0.0 AS dropped_missing_fraction, round(k.missing_fraction, 6) + 0.0 AS kept_missing_fraction,
+       d.n_unique AS dropped_n_unique, k.n_unique AS kept_n_unique, 'abs_spearman >= 0.95' AS reason
+FROM walk JOIN named USING (nth) JOIN stats d ON d.feature = dropped JOIN stats k ON k.feature = kept WHERE hit""")
 def redundancy_report(spark, sf_dir):
     return features.reduce_redundant(_main(spark, sf_dir), twins.TESTED, MAIN, ["dataset", "delta_norm"])[1]
 
@@ -642,15 +653,13 @@ def bootstrap_mean(spark, sf_dir):
 
 @query()
 def model_grid(spark, sf_dir):
-    """Every model family on a few controls and features, left out one by one."""
-    specs = predictive.model_specs(["missing_fraction", "mean_abs_skew", "mean_kurtosis", "row_missing_fraction", "irregularity"], ["n", "d_over_n"])
-    p = predictive.leave_one_out(_main(spark, sf_dir), specs)
-    return predictive.with_baseline_delta(predictive.metrics(p, "model"))
+    """Every model family on all usable controls and features, left out one by one."""
+    return predictive.predictive_models(_main(spark, sf_dir), MAIN)["metrics"]
 
 
 @query()
 def nested_selection(spark, sf_dir):
-    return predictive.nested_top_feature(_main(spark, sf_dir), ["log_n", "missing_fraction", "mean_abs_skew", "mean_kurtosis", "irregularity"])
+    return predictive.nested_top_feature(_main(spark, sf_dir), twins.TESTED)
 
 
 # --- follow-ups -----------------------------------------------------------------------------------------------
