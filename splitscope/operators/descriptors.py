@@ -21,7 +21,7 @@ def value_counts(cells: DataFrame) -> DataFrame:
 
 
 def _weighted(values: DataFrame) -> DataFrame:
-    """Value counts with the totals of their feature: rows, values, mean, and the quartiles read off running counts.
+    """Value counts with the mean of their feature and the quartiles read off running counts.
 
     All windows share one partitioning by (split, feature).  Running counts stream over sorted values and spill: no aggregate
     holds the values of a feature."""
@@ -30,12 +30,12 @@ def _weighted(values: DataFrame) -> DataFrame:
     up = whole.orderBy(F.asc_nulls_first("num")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbers = F.when(F.col("num").isNotNull(), F.col("k")).otherwise(0)
     out = values.withColumns({"known": F.when(known, F.col("k")).otherwise(0), "after": F.sum(numbers).over(up)})
-    out = out.withColumns({"n_rows": F.sum("k").over(whole), "n_values": F.sum("known").over(whole), "mean": F.try_divide(F.sum(F.col("k") * F.col("num")).over(whole), F.sum(numbers).over(whole))})
+    out = out.withColumns({"present": F.sum("known").over(whole), "mean": F.try_divide(F.sum(F.col("k") * F.col("num")).over(whole), F.sum(numbers).over(whole))})
     held = lambda at: F.max(F.when(F.col("num").isNotNull() & (F.col("after") > at) & (F.col("after") - F.col("k") <= at), F.col("num"))).over(whole)
 
     def quartile(p: float) -> Column:
         """Between the two values around place p (n - 1)."""
-        place = (F.col("n_values") - 1) * p
+        place = (F.col("present") - 1) * p
         low, high = held(F.floor(place)), held(F.ceil(place))
         return low + (high - low) * (place - F.floor(place))
 
@@ -43,13 +43,14 @@ def _weighted(values: DataFrame) -> DataFrame:
 
 
 def profiles(cells: DataFrame) -> DataFrame:
-    """One row per split and feature, all from the value counts: two shuffles, of the cells (partly added up before) and of the counts."""
+    """One row per split and feature, all from the value counts: two shuffles, of the cells (partly added up before) and of the counts.  Windows whose
+    columns nobody asks for fall away in the plan."""
     values = _weighted(value_counts(cells))
     x, k = F.col("num"), F.col("k")
     known, d = F.col("known") > 0, x - F.col("mean")
     wide = 1.5 * (F.col("q3") - F.col("q1"))
     one = values.groupBy(*SPLIT, "feature", "kind").agg(
-        F.max("n_rows").alias("n_rows"), F.max("n_values").alias("n_values"), F.count(F.when(known, F.lit(1))).alias("n_distinct"), F.max(F.when(known, k)).alias("top"),
+        F.sum("k").alias("n_rows"), F.sum("known").alias("n_values"), F.count(F.when(known, F.lit(1))).alias("n_distinct"), F.max(F.when(known, k)).alias("top"),
         F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.when(x == 0, k).otherwise(0)).alias("zeros"), F.max("q1").alias("q1"), F.max("mid").alias("mid"), F.max("q3").alias("q3"), F.max("mean").alias("mean"),
         F.sum(k * d * d).alias("m2"), F.sum(k * d * d * d).alias("m3"), F.sum(k * d * d * d * d).alias("m4"), F.sum(F.when(x > 0, k / x)).alias("inverse"),
         F.sum(F.when((x < F.col("q1") - wide) | (x > F.col("q3") + wide), k).otherwise(0)).alias("outside"),
@@ -65,6 +66,12 @@ def profiles(cells: DataFrame) -> DataFrame:
     )
 
 
+def presence(cells: DataFrame) -> DataFrame:
+    """The columns of :func:`profiles` that need no values: rows, values and the share of missing ones.  One shuffle of partial counts."""
+    one = cells.groupBy(*SPLIT, "feature", "kind").agg(F.count(F.lit(1)).alias("n_rows"), (F.count("num") + F.count("cat")).alias("n_values"))
+    return one.withColumn("missing", 1 - F.col("n_values") / F.col("n_rows"))
+
+
 def _num(x: Column) -> Column:
     return F.when(F.col("kind") == "num", x)
 
@@ -80,17 +87,21 @@ def split_rows(sr: SplitRows) -> DataFrame:
 
 
 def of_profile(profile: DataFrame) -> DataFrame:
-    """Every descriptor that is an aggregate over the features of a split, in one aggregation."""
-    m, k, s = F.col("missing"), _cat(F.col("n_distinct")), F.abs(_num(F.col("skew")))
+    """Every descriptor that is an aggregate over the features of a split, in one aggregation: all of them from :func:`profiles`, sizes and
+    missingness from :func:`presence`."""
+    counts = (F.count(F.lit(1)).alias("d"), F.count(_num(F.lit(1))).alias("n_num_features"), F.count(_cat(F.lit(1))).alias("n_cat_features"), F.avg("missing").alias("missing_fraction"))
+    gone = (F.avg((F.col("missing") > 0).cast("double")).alias("feature_missing_fraction"), F.avg(_num(F.col("missing"))).alias("num_missing_fraction"), F.avg(_cat(F.col("missing"))).alias("cat_missing_fraction"), F.max("missing").alias("max_feature_missing_fraction"))
+    if "n_distinct" not in profile.columns:
+        return profile.groupBy(*SPLIT).agg(*counts, *gone)
+    k, s = _cat(F.col("n_distinct")), F.abs(_num(F.col("skew")))
     least, share = HIGH_CARDINALITY
     high = _cat((F.col("n_distinct") >= F.greatest(F.lit(float(least)), share * F.col("n_rows"))).cast("double"))
     constant = F.col("n_distinct") <= 1
     near = constant | (F.try_divide(F.col("top"), F.col("n_values")) >= NEAR_CONSTANT)
     values = F.sum(_num(F.col("n_values")))
     return profile.groupBy(*SPLIT).agg(
-        F.count(F.lit(1)).alias("d"), F.count(_num(F.lit(1))).alias("n_num_features"), F.count(_cat(F.lit(1))).alias("n_cat_features"), F.avg(m).alias("missing_fraction"),
+        *counts, *gone,
         F.avg(k).alias("mean_cat_cardinality"), F.max(k).cast("double").alias("max_cat_cardinality"), F.avg(high).alias("high_cardinality_fraction"),
-        F.avg((m > 0).cast("double")).alias("feature_missing_fraction"), F.avg(_num(m)).alias("num_missing_fraction"), F.avg(_cat(m)).alias("cat_missing_fraction"), F.max(m).alias("max_feature_missing_fraction"),
         F.avg(s).alias("mean_abs_skew"), F.max(s).alias("max_abs_skew"), F.avg(_num(F.col("kurt"))).alias("mean_kurtosis"),
         F.try_divide(F.sum(_num(F.col("outside"))), F.nullif(values, F.lit(0))).alias("outlier_fraction_iqr"), F.try_divide(F.sum(_num(F.col("zeros"))), F.nullif(values, F.lit(0))).alias("zero_fraction"),
         F.avg(constant.cast("double")).alias("constant_feature_fraction"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("near_constant_feature_fraction"),

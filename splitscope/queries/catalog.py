@@ -192,7 +192,7 @@ _COUNTS = ("n", "d", "n_num_features", "n_cat_features", "n_classes")
 @query(_described_sql("d_size", _SIZE, _COUNTS))
 def desc_size(spark, sf_dir):
     sr = inputs.train_splits(spark, sf_dir)
-    return descriptors.size(descriptors.split_rows(sr), descriptors.of_profile(descriptors.profiles(sr.cells()))).select(*SPLIT, *_SIZE)
+    return descriptors.size(descriptors.split_rows(sr), descriptors.of_profile(descriptors.presence(sr.cells()))).select(*SPLIT, *_SIZE)
 
 
 @query(_described_sql("d_target", ["n_classes", "class_entropy", "majority_class_fraction", "minority_class_fraction", "class_imbalance_ratio"], _COUNTS))
@@ -217,7 +217,8 @@ def desc_cardinality(spark, sf_dir):
 
 @query(_described_sql("d_missing", ["row_missing_fraction", *_MISSING]))
 def desc_missing(spark, sf_dir):
-    return descriptors.split_rows(inputs.train_splits(spark, sf_dir)).drop("n").join(_found(spark, sf_dir, *_MISSING), SPLIT)
+    sr = inputs.train_splits(spark, sf_dir)
+    return descriptors.split_rows(sr).drop("n").join(descriptors.of_profile(descriptors.presence(sr.cells())).select(*SPLIT, *_MISSING), SPLIT)
 
 
 @query(_described_sql("d_shape", _SHAPE))
