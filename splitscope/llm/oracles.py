@@ -68,3 +68,13 @@ links AS (
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY w.doc_id, n.n
 """
+
+TOP_K = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS (SELECT vec_id, min(x) AS x FROM whole WHERE len(x) = (SELECT max(len(x)) FROM whole) GROUP BY vec_id),
+met AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM met)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM placed WHERE place <= 5
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, decontaminate, lean, license_scan, mixing, ngram_join, oracles, quality, secret_scan, suffix_dedup, tokens, warc
+from . import alignment, brown_lm, decontaminate, lean, license_scan, maxscore, mixing, ngram_join, oracles, quality, secret_scan, suffix_dedup, tokens, warc, whitening
 from .common import table
 
 
@@ -53,6 +53,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def _small_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +78,9 @@ def _small_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _small_batches(f)
-    for f in (op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op5_secret_scan, op6_license_scan, op7_quality_rules, op8_mixing, op9_suffix_dedup, op10_decontamination)
-}
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": oracles.JACCARD, "op4_warc": oracles.WARC, "op7_quality_rules": oracles.QUALITY}
+    for f in (
+        op1_ngram_jaccard, op2_brown_lm, op3_token_counts, op4_warc, op5_secret_scan, op6_license_scan, op7_quality_rules, op8_mixing, op9_suffix_dedup,
+        op10_decontamination, op11_alignment, op12_whitening, op13_maxscore,
+    )
+}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": oracles.JACCARD, "op4_warc": oracles.WARC, "op7_quality_rules": oracles.QUALITY, "op13_maxscore": oracles.TOP_K}
