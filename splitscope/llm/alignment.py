@@ -5,8 +5,8 @@ label string for spans up to each 3; the labels in a span say how many tokens of
 one group is a link.
 
 1. *Labels and groups.*  Byte-level and piece vocabularies both break before a space that follows a visible character, so a label string is the
-   concatenation of those of its segments, and each distinct segment is encoded, labelled and scanned once for as long as a task remembers it.
-   A vocabulary with entries across such a place is applied to whole texts.
+   concatenation of those of its segments, and each distinct segment is encoded once for as long as a task remembers it.  Label strings are
+   built and scanned for a block of texts at a time.  A vocabulary with entries across such a place is applied to whole texts.
 2. *Counts.*  In how many documents a pair of ids is linked: a task adds up the distinct pairs of its documents, Spark adds these.  The highest
    count of an A id is a table of at most the vocabulary of A, which is broadcast.
 3. *Scores.*  The counts lie in the shared folder in slices of about ``SLICE`` pairs.  A task gathers documents with about ``HELD`` pairs and
@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +42,11 @@ from .common import cut, scratch_path
 
 SLICE = 4_000_000  # 96 MB of keys, counts and marks
 HELD = 4_000_000
-MEMO_BYTES = 24 << 20  # of remembered segments, their group strings and links
+MEMO = 300_000  # segments whose ids a task remembers
+WIDE = 1 << 16  # links of a group from which its distinct ids are multiplied
+_SETTLED = "ɐ"  # below it, libraries do not differ in what is a letter
+# Fixed value: how byte-level vocabularies break texts.
+_BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPAN = re.compile(rb"[^3]*3")
 _LABEL = bytes.maketrans(bytes(range(4)), b"0123")
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -85,11 +89,24 @@ class Tokenizers:
         self.apart = bool(apart_a and apart_b)
         encode = getattr(a, "encode_batch_fast", a.encode_batch)
         self.encode_a = lambda texts: [x.ids for x in encode(texts, add_special_tokens=False)]
+        self.ranked = _ranked(spec, vocabulary, letters) if apart_a else None
         self.encode_b = lambda texts: b.encode([t[1:] for t in texts], num_threads=1)  # B adds the space itself
         self.shift = max(1, (len(self.bytes_b) - 1).bit_length())
 
-    def pair(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return key >> self.shift, key & ((1 << self.shift) - 1)
+
+def _ranked(spec: dict, vocabulary: dict[str, int], letters: dict[str, int]):
+    """The vocabulary as ranks, which a faster library applies alike, or None where ids are not in the order of the merges."""
+    model = spec["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    own = [vocabulary.get(x + y, -1) for x, y in merges]
+    known = {bytes(letters[c] for c in t): i for t, i in model.get("vocab", {}).items() if all(c in letters for c in t)}
+    plain = not (model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    if model.get("type") != "BPE" or not plain or sorted(own) != own or len(set(own)) < len(own) or any(bytes([b]) not in known for b in range(256)):
+        return None
+    made = set(own) | {known[bytes([b])] for b in range(256)}
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks={t: i for t, i in known.items() if i in made}, special_tokens={})
 
 
 def label_string(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> bytes:
@@ -100,48 +117,62 @@ def label_string(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> bytes:
     return labels.tobytes().translate(_LABEL)
 
 
-def group_sizes(labels: bytes) -> list[tuple[int, int]]:
-    """How many tokens of A and of B each span up to a 3 holds."""
-    return [(s.count(b"1") + 1, s.count(b"2") + 1) for s in _SPAN.findall(labels)]
+class _Ids:
+    """Lists of ids end to end, which grow."""
+
+    def __init__(self):
+        self.flat, self.at = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
+
+    def add(self, new: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.at[-1])
+        if used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat[:used], new, np.zeros(max(len(self.flat), len(new)), np.int32)))
+        self.flat[used : used + len(new)] = new
+        self.at = np.append(self.at, used + np.cumsum(sizes))
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists end to end, and how many each has."""
+        size = self.at[which + 1] - self.at[which]
+        return self.flat[_places(self.at[which], size)].astype(np.int64), size
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists end to end, and how long each is."""
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+class _Spans(dict):
+    """Numbers of the different spans, with the tokens of A and of B that each holds."""
 
+    def __init__(self):
+        self.sizes: list[tuple[int, int]] = []
 
-class Segment:
-    """The alignment of one segment; ``text`` is None where its tokens do not spell it."""
+    def __missing__(self, span: bytes) -> int:
+        self[span] = len(self.sizes)
+        self.sizes.append((span.count(b"1") + 1, span.count(b"2") + 1))
+        return self[span]
 
-    __slots__ = ("groups", "n_a", "n_b", "n_groups", "pairs", "text", "times")
 
-    def __init__(self, raw: bytes, ids_a: list[int], ids_b: list[int], t: Tokenizers):
-        spelt_a, spelt_b = [t.bytes_a[i] for i in ids_a], [t.bytes_b[i] for i in ids_b]
-        self.text, self.n_a, self.n_b, self.n_groups = None, 0, 0, 0
-        self.pairs = self.times = np.zeros(0, np.int64)
-        if b"".join(spelt_a) != raw or b"".join(spelt_b) != raw:
-            return
-        ends = [np.cumsum([len(x) for x in spelt]) for spelt in (spelt_a, spelt_b)]
-        out, links, i, j = [], Counter(), 0, 0
-        for x, y in group_sizes(label_string(*ends, len(raw))):
-            a, b = ids_a[i : i + x], ids_b[j : j + y]
-            i, j = i + x, j + y
-            out.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-            many_b = Counter(b).items() if y > 1 else ((b[0], 1),)
-            for p, k in Counter(a).items() if x > 1 else ((a[0], 1),):  # distinct ids: a long group costs no more than its pairs of ids
-                for q, m in many_b:
-                    links[p << t.shift | q] += k * m
-        self.text, self.n_a, self.n_b, self.n_groups = ";".join(out).encode(), len(ids_a), len(ids_b), len(out)
-        keys = sorted(links)
-        self.pairs, self.times = np.array(keys, np.int64), np.array([links[k] for k in keys], np.int64)
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` for as many as ``size`` says, run after run."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class Aligner:
-    """Aligns blocks of texts, remembering segments."""
+    """Aligns blocks of texts; the ids of segments are remembered."""
 
     def __init__(self, path_a: str, path_b: str):
         self.t = Tokenizers(path_a, path_b)
-        self.memo: dict[int, Segment] = {}
-        self.size = 0
+        self.length = tuple(np.array([len(x) for x in side] or [0]) for side in (self.t.bytes_a, self.t.bytes_b))
+        # an id with what follows it in a group's text
+        self.spelt = tuple({c: np.array([f"{i}{c}".encode() for i in range(len(side))], dtype=object) for c in ends} for side, ends in ((self.t.bytes_a, ",|"), (self.t.bytes_b, ",;")))
+        self.forget()
 
     def forget(self) -> None:
-        self.memo.clear()
-        self.size = 0
+        self.kinds = _Spans()
+        self.memo: dict[int, int] = {}
+        self.ids = _Ids(), _Ids()
+        self.good = np.zeros(0, bool)
 
     def _spaced(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts with a space before each."""
@@ -153,10 +184,8 @@ class Aligner:
         out[head], out[~head] = 0x20, buf
         return out, at
 
-    def block(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple]:
-        """For each text ``n_a, n_b, n_groups, n_links, digest, distinct pairs, times``."""
-        n = len(offs) - 1
-        full, at = self._spaced(buf, offs)
+    def _segments(self, full: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each segment its text, its bytes' number, and its place in the memory."""
         begin = np.zeros(len(full), bool)
         if self.t.apart and len(full) > 1:
             begin[1:] = (full[1:] == 0x20) & (full[:-1] > 0x20) & (full[:-1] < 0x7F)
@@ -164,38 +193,119 @@ class Aligner:
         begin[at[:-1]] = True
         s = np.flatnonzero(begin)
         e = np.append(s[1:], len(full))
-        doc = np.searchsorted(at, s, side="right") - 1
         key, first, inverse = np.unique(T.span_hash(full, s, e), return_index=True, return_inverse=True)
-        raw = full.tobytes()
+        if len(self.memo) + len(key) > MEMO:
+            self.forget()
         miss = [k for k, h in enumerate(key.tolist()) if h not in self.memo]
         if miss:
-            if self.size > MEMO_BYTES:
-                self.forget()
-                miss = list(range(len(key)))
-            spelt = [raw[s[first[k]] : e[first[k]]] for k in miss]
-            texts = [x.decode() for x in spelt]
-            for k, x, a, b in zip(miss, spelt, self.t.encode_a(texts), self.t.encode_b(texts), strict=True):
-                seg = self.memo[int(key[k])] = Segment(x, a, b, self.t)
-                self.size += 400 + 2 * len(x) + 16 * len(seg.pairs) + len(seg.text or b"")
-        found = [self.memo[h] for h in key.tolist()]
-        counts = np.array([(x.n_a, x.n_b, x.n_groups, x.text is None) for x in found], np.int64).reshape(-1, 4)
-        total = np.zeros((n, 4), np.int64)
-        np.add.at(total, doc, counts[inverse])
-        width = np.array([len(x.pairs) for x in found], np.int64)
-        flat, times = (np.concatenate([getattr(x, c) for x in found]) if found else np.zeros(0, np.int64) for c in ("pairs", "times"))
-        start = np.concatenate(([0], np.cumsum(width)))[:-1]
-        edge = np.searchsorted(doc, np.arange(n + 1))
+            raw = full.tobytes()
+            spelt = [raw[s[k] : e[k]] for k in first[miss].tolist()]
+            self.memo.update(zip(key[miss].tolist(), range(len(self.good), len(self.good) + len(miss)), strict=True))
+            self._encode(spelt)
+        place = np.array([self.memo[h] for h in key.tolist()], np.int64)
+        return np.searchsorted(at, s, side="right") - 1, e - s, place[inverse]
+
+    def _encode(self, spelt: list[bytes]) -> None:
+        """Remember the ids of these segments, and whether they spell them."""
+        texts = [x.decode() for x in spelt]
+        sides = self._ids_a(spelt, texts), _flat(self.t.encode_b(texts))
+        size = np.array([len(x) for x in spelt])
+        good = np.ones(len(spelt), bool)
+        for ids, length, table, (flat, counts) in zip(self.ids, self.length, (self.t.bytes_a, self.t.bytes_b), sides, strict=True):
+            ids.add(flat, counts)
+            end = np.cumsum(counts)
+            up = np.concatenate(([0], np.cumsum(length[flat])))
+            good &= up[end] - up[end - counts] == size
+            if b"".join([table[i] for i in flat.tolist()]) != b"".join(spelt):
+                good &= [b"".join([table[i] for i in flat[e - k : e].tolist()]) == x for e, k, x in zip(end.tolist(), counts.tolist(), spelt, strict=True)]
+        self.good = np.append(self.good, good)
+
+    def _ids_a(self, spelt: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A, segment after segment, and how many each has.  Segments that end with a visible character are encoded as one text."""
+        fast = np.array([self.t.ranked is not None and 0x20 < x[-1] < 0x7F and (t.isascii() or max(t) < _SETTLED) for x, t in zip(spelt, texts, strict=True)])
+        slow = np.flatnonzero(~fast).tolist()
+        flat, counts = _flat(self.t.encode_a([texts[k] for k in slow]))
+        if len(slow) == len(texts):
+            return flat, counts
+        many = np.array(self.t.ranked.encode_ordinary("".join(itertools.compress(texts, fast))), np.int32)
+        end = np.cumsum(np.array([len(x) for x in itertools.compress(spelt, fast)]))
+        each = np.diff(np.searchsorted(np.cumsum(self.length[0][many]), end, side="right"), prepend=0)
+        size = np.zeros(len(texts), np.int64)
+        size[fast], size[~fast] = each, counts
+        start = np.zeros(len(texts), np.int64)
+        start[fast], start[~fast] = np.cumsum(each) - each, len(many) + np.cumsum(counts) - counts
+        return np.concatenate((many, flat))[_places(start, size)], size
+
+    def _groups(self, ends: list[np.ndarray], size: int) -> np.ndarray:
+        """Tokens of A and of B in each group, by scanning the label string."""
+        spans = _SPAN.findall(label_string(*ends, size).translate(None, b"0"))  # bytes without an end say nothing
+        kind = np.fromiter(map(self.kinds.__getitem__, spans), np.int64, len(spans))
+        return np.array(self.kinds.sizes, np.int64).reshape(-1, 2)[kind]
+
+    def block(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple]:
+        """For each text ``n_a, n_b, n_groups, n_links, digest, distinct pairs, times``."""
+        n = len(offs) - 1
+        full, at = self._spaced(buf, offs)
+        doc, size, place = self._segments(full, at)
+        bad = np.diff(offs) == 0
+        bad[doc[~self.good[place]]] = True
+        keep = ~bad[doc]
+        doc, size, place = doc[keep], size[keep], place[keep]
+        ids, counts = zip(*(side.take(place) for side in self.ids), strict=True)
+        ends = [np.cumsum(length[x]) for length, x in zip(self.length, ids, strict=True)]
+        m = self._groups(ends, int(size.sum()))
+        owner = [np.repeat(doc, k) for k in counts]
+        n_tokens = [np.bincount(o, minlength=n) for o in owner]
+        start = np.cumsum(m, axis=0) - m
+        group_doc = owner[0][start[:, 0]] if len(m) else np.zeros(0, np.int64)
+        n_groups = np.bincount(group_doc, minlength=n)
+        pairs, times, pair_doc = self._links(ids, m, start, group_doc)
+        edge = np.searchsorted(pair_doc, np.arange(n + 1))
+        text = self._text(ids, m)
+        word = np.concatenate(([0], np.cumsum(n_tokens[0] + n_tokens[1])))
         for d in range(n):
-            own = inverse[edge[d] : edge[d + 1]]
-            if offs[d + 1] == offs[d] or total[d, 3]:
+            if bad[d]:
                 yield 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
                 continue
-            k = width[own]
-            place = np.repeat(start[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            pairs, back = np.unique(flat[place], return_inverse=True)
-            sums = np.bincount(back, weights=times[place], minlength=len(pairs)).astype(np.int64)
-            digest = hashlib.sha256(b";".join([found[i].text for i in own.tolist()])).hexdigest()
-            yield int(total[d, 0]), int(total[d, 1]), int(total[d, 2]), int(sums.sum()), digest, pairs, sums
+            own = slice(edge[d], edge[d + 1])
+            digest = hashlib.sha256(b"".join(text[word[d] : word[d + 1]])[:-1]).hexdigest()
+            yield int(n_tokens[0][d]), int(n_tokens[1][d]), int(n_groups[d]), int(times[own].sum()), digest, pairs[own], times[own]
+
+    def _links(self, ids: tuple, m: np.ndarray, start: np.ndarray, group_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of ids of each text in order, how often each occurs, and the text."""
+        k = m[:, 0] * m[:, 1]
+        wide = k > WIDE
+        many = np.where(wide, 0, k)
+        g = np.repeat(np.arange(len(m)), many)
+        nth = _places(np.zeros(len(m), np.int64), many)
+        bits = self.t.shift + max(1, (len(self.t.bytes_a) - 1).bit_length())
+        key = group_doc[g] << bits | ids[0][start[g, 0] + nth // m[g, 1]] << self.t.shift | ids[1][start[g, 1] + nth % m[g, 1]]
+        if not wide.any():
+            key.sort()
+            first, times = packed.runs(key)
+            return key[first] & ((1 << bits) - 1), times, key[first] >> bits
+        keys, counts = [key], [np.ones(len(key), np.int64)]
+        for w in np.flatnonzero(wide).tolist():  # by distinct ids: a long group costs no more than its pairs of ids
+            (a, x), (b, y) = (np.unique(i[f : f + c], return_counts=True) for i, f, c in zip(ids, start[w], m[w], strict=True))
+            keys.append((group_doc[w] << bits | a[:, None] << self.t.shift | b).ravel())
+            counts.append((x[:, None] * y).ravel())
+        key, times = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key)
+        first, _ = packed.runs(key[order])
+        return key[order][first] & ((1 << bits) - 1), np.add.reduceat(times[order], first), key[order][first] >> bits
+
+    def _text(self, ids: tuple, m: np.ndarray) -> list[bytes]:
+        """The ids of each group, A before B, each with what follows it."""
+        out = np.empty(len(ids[0]) + len(ids[1]), dtype=object)
+        before = np.cumsum(m.sum(1)) - m.sum(1)
+        for c, inner, last in ((0, ",", "|"), (1, ",", ";")):
+            where = _places(before + (m[:, 0] if c else 0), m[:, c])
+            end = np.zeros(len(where), bool)
+            end[np.cumsum(m[:, c]) - 1] = True
+            spelt = self.spelt[c][inner][ids[c]]
+            spelt[end] = self.spelt[c][last][ids[c][end]]
+            out[where] = spelt
+        return out.tolist()
 
 
 @functools.cache

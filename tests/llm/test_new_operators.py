@@ -69,8 +69,9 @@ def hostile(seed, n):
     return ["".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("limit", [1 << 22, 50])  # the second reads many slices for groups of few documents
-def test_alignment(spark, paths, limit):
+@pytest.mark.parametrize(("limit", "wide"), [(1 << 22, 1 << 16), (1500, 3)])  # the second reads several slices for groups of few documents
+def test_alignment(spark, paths, monkeypatch, limit, wide):
+    monkeypatch.setattr(alignment, "WIDE", wide)
     texts = [None, "", " ", "   ", "a ", "a  ", "Same text here.", "Same text here.", *hostile(4, 300), "word " * 20_000, "ab" * 30_000, "日本" * 3_000]
     rows = [(i if i != 7 else 6, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "nameless row", "clash", 1)]
     docs = spark.createDataFrame(rows, KINDS).repartition(3)
@@ -93,7 +94,10 @@ def test_alignment_links(spark, paths):
 
 def test_alignment_labels():
     assert alignment.label_string(np.array([2, 5]), np.array([3, 5]), 5) == b"01203"
-    assert alignment.group_sizes(b"012030003110223") == [(2, 2), (1, 1), (3, 3)]
+    import public_tokenizers as p
+
+    one = alignment.Aligner(p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"))
+    assert one._groups([np.array([2, 3, 7, 8]), np.array([3, 5, 7, 8])], 8).tolist() == [[2, 1], [1, 2], [1, 1]]
 
 
 def test_alignment_on_the_table(spark, paths):
@@ -178,7 +182,7 @@ def plain_top(rows, k=5, every=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "growth"), [(4096, 16), (40, 2), (7, 3)])
+@pytest.mark.parametrize(("shard", "growth"), [(4096, 16), (40, 4)])
 def test_top_k(spark, monkeypatch, shard, growth):
     monkeypatch.setattr(maxscore, "SHARD", shard)
     monkeypatch.setattr(maxscore, "GROWTH", growth)
