@@ -22,8 +22,8 @@ costs more postings but demands more matches before a pair is verified.
 Links inside a component change nothing in the result (component and set sizes), hence are not spelled out.
 
 Defined results: rows with a null id are left out; null, empty and white-space texts have no set, no link and are their own
-component; short texts have one shingle; repeated rows of an id count once (of different texts the larger
-(size, signature)); equal texts are one group, whatever their number; an empty table gives an empty result; extra columns are
+component; short texts have one shingle; repeated rows of an id count once (of different texts the one with the larger (size, signature)
+stands for the id in every step, the others link nothing); equal texts are one group, whatever their number; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -44,7 +44,7 @@ from .components import components
 
 WIDTH = 5
 FIRST_LEVEL = 10  # l is this per cent of the set in the first pass
-BROADCAST_IDS = 1_000_000  # 8 MB of ids
+BROADCAST_IDS = 1_000_000  # 24 MB of ids, sizes and signatures
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 HOT_PAIRS = 2048  # an element at which more pairs meet is counted in tiles
 TILE = 1 << 16  # elements on each side of a tile
@@ -85,12 +85,8 @@ def _first_pass(docs: DataFrame, width: int, percent: int, n_buckets: int, n_gro
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, buf, offs in T.blocks(batch.column(1)):
                 h, at = T.shingle_sets(buf, offs, width)
-                n = np.diff(at)
-                sig = np.zeros(j - i, dtype=np.uint64)
-                some = n > 0
-                if some.any():
-                    sig[some] = np.add.reduceat(T.mix(h), at[:-1][some])
-                take = np.where(some, np.minimum(n, n - _need(n, percent) + first_level(n)), 0)
+                n, sig = _signatures(h, at)
+                take = np.where(n > 0, np.minimum(n, n - _need(n, percent) + first_level(n)), 0)
                 mask = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(take, n)
                 turn += 1
                 yield _pack([(turn % n_buckets, 1, packed.small(ids[i:j]), packed.small(n), packed.small(sig.view(np.int64)))])
@@ -167,21 +163,35 @@ def _pack(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, reps: DataFrame, width: int, n_groups: int) -> DataFrame:
-    """``ent, gid, tokens`` of the chosen documents.  Ids are broadcast only when their counted number is small."""
+    """``ent, gid, tokens`` of the chosen texts.  ``reps``: ``ent, n, sig``; of the texts of an id only the one with this set is taken.  The broadcast
+    is used only when the counted number of ids is small."""
     ids = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    chosen = docs.join(ids, docs.doc_id == reps.ent, "left_semi")
+    chosen = docs.join(ids, docs.doc_id == reps.ent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            size, sign = (batch.column(c).to_numpy() for c in (2, 3))
             for i, j, buf, offs in T.blocks(batch.column(1)):
                 h, at = T.shingle_sets(buf, offs, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["ent", "tokens"])
+                n, sig = _signatures(h, at)
+                own = pa.array((n == size[i:j]) & (sig.view(np.int64) == sign[i:j]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["ent", "tokens"]).filter(own)
 
-    sets = chosen.select("doc_id", "text").mapInArrow(lean.batches(run), "ent long, tokens array<long>")
+    sets = chosen.select("doc_id", "text", "n", "sig").mapInArrow(lean.batches(run), "ent long, tokens array<long>")
     gid = F.pmod(F.xxhash64("ent"), F.lit(n_groups)).cast("int")
     return cut(sets.withColumn("gid", gid).repartition(n_groups, "gid"), "ngram-sets")
 
 
+def _signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size and signature of each set."""
+    n = np.diff(at)
+    sig = np.zeros(len(n), dtype=np.uint64)
+    some = n > 0
+    if some.any():
+        sig[some] = np.add.reduceat(T.mix(h), at[:-1][some])
+    return n, sig
+
+
 def _frequencies(sets: DataFrame, n_buckets: int, percent: int) -> DataFrame:
     """``ent, n, level, tokens, df``: elements in rare-first order with their frequency (elements of one document only are
     left out but counted in n), and the adaptive level."""
@@ -402,7 +412,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scanned = _first_pass(plain, width, percent, 4 * width_of, width_of)
     copies = cut(scanned.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k"), F.max("shared").alias("shared"), F.max("demand").alias("demand")).select("rep", "n", "sig", "k", (F.col("shared") >= F.col("demand")).alias("alive")), "ngram-copies")
-    sets = _sets(plain, copies.where("alive").select(F.col("rep").alias("ent")), width, 2 * width_of)
+    sets = _sets(plain, copies.where("alive").select(F.col("rep").alias("ent"), "n", "sig"), width, 2 * width_of)
     ranked = _frequencies(sets, 2 * width_of, percent)
     posts = cut(_postings(ranked, percent), "ngram-postings")
 
@@ -431,21 +441,38 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that are linked, directly or through others, with one of a smaller id.
+    """``docs`` without the documents that are linked, directly or through others, with an earlier one.
 
-    Rows with a null id stay; of rows that repeat an id one stays (the first by text).  Only ids take part in shuffles while
-    their counted number allows a broadcast."""
+    Rows are judged by (id, text): different texts of one id are documents of their own, and the earlier one has the smaller id or, within an id,
+    the smaller digest.  Of rows that repeat both one stays; rows with a null id stay.  Where no id has different texts, only ids take part in
+    shuffles while their counted number allows a broadcast; otherwise documents are numbered in that order, which shuffles them once."""
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
     key, body = names[cols.index(doc_id)], names[cols.index(text)]
     plain = docs.toDF(*names)
+    digest = F.sha2(F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary"), 256)
+    named = plain.where(F.col(key).isNotNull())
+    twice = cut(named.groupBy(F.col(key).alias("twice")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("twice"), "ngram-repeated")
+    if twice.isEmpty():
+        return _first_of_groups(plain, key, body, width, percent).toDF(*cols)
+    again = named.join(twice, F.col(key) == F.col("twice"), "left_semi")
+    if again.groupBy(key).agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").isEmpty():
+        numbered, number = plain, key
+    else:
+        # in order of (id, digest), so are the numbers; they are written before they are used
+        order = cut(named.select(F.col(key).alias("i"), digest.alias("d")).distinct().orderBy("i", "d").withColumn("number", F.monotonically_increasing_id()), "ngram-numbers")
+        numbered, number = plain.join(order, (F.col(key) == F.col("i")) & (digest == F.col("d")), "left").drop("i", "d"), "number"
+        numbered = cut(numbered, "ngram-numbered")
+        twice = cut(numbered.where("number is not null").groupBy(F.col("number").alias("twice")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("twice"), "ngram-repeated")
+    kept = _first_of_groups(numbered, number, body, width, percent)
+    nth = Window.partitionBy(number).orderBy(F.to_json(F.struct(*names)))
+    once = kept.join(twice, F.col(number) == F.col("twice"), "left_semi").withColumn("nth", F.row_number().over(nth)).where("nth = 1").drop("nth")
+    return kept.join(twice, F.col(number) == F.col("twice"), "left_anti").unionByName(once).select(*names).toDF(*cols)
+
+
+def _first_of_groups(plain: DataFrame, key: str, body: str, width: int, percent: int) -> DataFrame:
+    """The rows whose key is the smallest of its group, or null."""
     found = cut(similar_components(plain, key, body, width, percent), "ngram-groups")
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost"))
     ids = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers
-    kept = plain.join(ids, F.col(key) == F.col("lost"), "left_anti")
-    twice = cut(plain.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("twice")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("twice"), "ngram-repeated")
-    if twice.isEmpty():
-        return kept.toDF(*cols)
-    first = Window.partitionBy(key).orderBy(F.sha2(F.col(body).cast("string").cast("binary"), 256), *(F.to_json(F.struct(*names)),))
-    again = kept.join(twice, F.col(key) == F.col("twice"), "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    return kept.join(twice, F.col(key) == F.col("twice"), "left_anti").unionByName(again).toDF(*cols)
+    return plain.join(ids, F.col(key) == F.col("lost"), "left_anti")

@@ -113,6 +113,31 @@ def test_one_of_each_group(docs, texts):
     assert sorted(x for x in got if x is not None) == sorted(k for k, v in want.items() if k == v) and got.count(None) == 1
 
 
+def test_ngram_join_different_texts_of_an_id(spark, texts):
+    """Another text of an id links nothing: neither its own id nor a third document through it."""
+    r = random.Random(11)
+    words = lambda k: " ".join("".join(r.choice(SYLLABLES.split()) for _ in range(3)) + str(r.randrange(99)) for _ in range(k))
+    long, short = words(200), words(80)
+    rows = [(5, long), (5, short), (9, short), (7, long + " x"), (11, words(50)), (None, long)]
+    frame = spark.createDataFrame([(i, t, "s", "clash", 7) for i, t in rows], KINDS)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similar_components(frame).collect()}
+    assert got == {5: (196, 5), 7: (197, 5), 9: (76, 9), 11: (46, 11)}
+
+
+def test_one_of_each_group_by_text(spark, texts):
+    """Every text that is no near copy stays, whatever the ids."""
+    r = random.Random(12)
+    rows = [(r.randrange(8) if i % 9 else None, t) for i, (_, t, _) in enumerate(texts)] + [(3, texts[0][1]), (3, texts[0][1])]
+    frame = spark.createDataFrame([(i, t, f"row {k}", "clash", 7) for k, (i, t) in enumerate(rows)], KINDS).repartition(3)
+    entities = sorted({(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows if i is not None})
+    text = {(i, hashlib.sha256((t or "").encode()).hexdigest()): t for i, t in rows}
+    root = components({k: shingles(text[e]) for k, e in enumerate(entities)})
+    want = sorted(e for k, e in enumerate(entities) if root[k] == k)
+    got = ngram_join.one_of_each_group(frame).collect()
+    assert sorted((x.doc_id, hashlib.sha256((x.text or "").encode()).hexdigest()) for x in got if x.doc_id is not None) == want
+    assert sum(x.doc_id is None for x in got) == sum(i is None for i, _ in rows) and got[0].asDict().keys() == set(frame.columns)
+
+
 def test_brown_lm(docs, texts, empty):
     got = {r.doc_id: r for r in brown_lm.score_documents(docs).collect()}
     counts, held = Counter(), {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in texts}
@@ -674,8 +699,8 @@ def test_pipeline_edges(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         rest = stage(spark, rest, d)
         assert rest.columns == docs.columns, name
-    assert sorted(x.doc_id or 0 for x in rest.collect()) == [0, 1, 4]
-    assert Counter(x.doc_id or 0 for x in corpus_pipeline.run(spark, d).where("epoch = 0").collect()) == {0: 1, 1: 1, 4: 1}
+    assert sorted(x.doc_id or 0 for x in rest.collect()) == [0, 1, 4, 4]
+    assert Counter(x.doc_id or 0 for x in corpus_pipeline.run(spark, d).where("epoch = 0").collect()) == {0: 1, 1: 1, 4: 2}
     none = docs.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, d).count() == 0, name
