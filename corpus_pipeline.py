@@ -4,7 +4,7 @@ Every stage works on all that its predecessor kept and is written to the shared
 executor costs at most the stage at work.
 
 Defined results, stage by stage.  Quality rules: null, empty and short texts go; a null source has no host verdict.  N-gram join: rows with a null id
-stay, of rows that repeat an id one stays.  Decontamination: rows are judged each by itself; an empty benchmark keeps all.  Secret scans: every
+stay, different texts of one id are judged each by itself, of rows that repeat id and text one stays.  Decontamination: rows are judged each by itself; an empty benchmark keeps all.  Secret scans: every
 row stays, ``n_chars`` follows the text.  Mixing: a row for each time a document is taken, a null source is the source ''; documents without
 tokens come with their block.  An empty table gives an empty table in every stage; columns beyond those of documents pass through all
 stages but the last, whatever their names.
