@@ -5,9 +5,9 @@ least and greatest component.  A block's bound for a term is the greater of the
 bound.
 
 *Split.*  Terms in ascending order of their bounds are non-essential as long as the vectors that gain from them alone stay below the k-th best score so
-far; the others are essential.  *Traverse.*  Blocks go in descending order of the sum of their bounds and end with the first one that
-cannot reach the k-th best.  Essential postings of a block are added up.  *Probe.*  Non-essential terms follow, greatest bound
-first, for the vectors that are still competitive.  *Merge.*  Shards of about ``SHARD`` vectors are searched in rounds, each with ``GROWTH`` times the shards before it,
+far; the others are essential.  *Traverse.*  A block is left out for the queries whose k-th best the sum of its bounds
+cannot reach; for the others its essential postings are added up.  *Probe.*  Non-essential terms follow, greatest bound
+first, for the pairs of query and vector that are still competitive.  *Merge.*  Shards of about ``SHARD`` vectors are searched in rounds, each with ``GROWTH`` times the shards before it,
 and every round knows the k-th best (score, id) of the rounds before.  A shard returns only what beats it: about ``k * GROWTH`` rows a query and round,
 however many shards there are.
 
@@ -37,9 +37,10 @@ from .whitening import matrix, whole_vectors
 
 SHARD = 4096
 GROWTH = 16
-BLOCK = 128
-QUERY_BLOCK = 4096
-PROBE = 8  # non-essential terms between two looks at who is still competitive
+BLOCK = 256
+QUERY_BLOCK = 2048
+PROBE = 16  # non-essential terms between two looks at who is still competitive
+SPARSE = 0.05  # share of competitive pairs below which they are probed one by one
 SCALE = 256
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -52,64 +53,79 @@ class Shard:
         lead = x[np.arange(len(x)), home] if x.size else np.zeros(len(x), np.int64)
         order = np.lexsort((ids, lead, home))  # vectors with the same leading component lie together
         self.ids, self.x = ids[order], x[order]
-        self.at = np.arange(0, len(ids) + BLOCK, BLOCK)
-        self.at[-1] = len(ids)
-        first = self.at[:-1]
-        self.low, self.high = (f.reduceat(self.x, first, axis=0) for f in (np.minimum, np.maximum))
-        self.postings = [np.ascontiguousarray(self.x[a:b].T) for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
+        at = np.arange(0, len(ids), BLOCK)
+        self.edges = list(zip(at.tolist(), np.append(at[1:], len(ids)).tolist(), strict=True))
+        self.low, self.high = (f.reduceat(self.x, at, axis=0) for f in (np.minimum, np.maximum))
         self.greatest = float(np.abs(x).max()) if x.size else 0.0
 
-    def search(self, query_id: int, q: np.ndarray, k: int, beat: tuple[int, int] | None) -> list[tuple[int, int]]:
-        """At most k ``(score, id)``, best first, of those that beat ``beat``, the k-th best found elsewhere."""
-        exact = float(np.abs(q).max() if len(q) else 0) * self.greatest * max(1, len(q))
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, beat: np.ndarray, beat_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``query number, id, score`` of at most k vectors for each query, those that beat its ``(beat, beat_id)``, the k-th best found elsewhere (-inf: none)."""
+        exact = (float(np.abs(q).max()) if q.size else 0.0) * self.greatest * max(1, q.shape[1])
         if exact >= 2.0**62:
             raise ArithmeticError("inner products beyond 62 bits")
         kind = np.float64 if exact < 2.0**52 else np.int64  # sums of products are exact in both
-        q = q.astype(kind)
-        ends = self.low * q, self.high * q
+        q, beat, beat_id = q.astype(kind), beat.copy(), beat_id.copy()
+        held = [np.zeros(0, np.int64)] * 3
+        for b in range(len(self.edges)):
+            found = self._block(b, query_ids, q, k, beat, beat_id)
+            if len(found[0]):
+                held = self._best([np.concatenate(c) for c in zip(held, found, strict=True)], k, beat, beat_id)
+        return tuple(held)
+
+    @staticmethod
+    def _best(held: list[np.ndarray], k: int, beat: np.ndarray, beat_id: np.ndarray) -> list[np.ndarray]:
+        """The k best of each query among these; raises ``beat`` where there are k."""
+        order = np.lexsort((held[1], -held[2], held[0]))
+        held = [c[order] for c in held]
+        first = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))
+        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        last = nth == k - 1
+        beat[held[0][last]], beat_id[held[0][last]] = held[2][last], held[1][last]
+        return [c[nth < k] for c in held]
+
+    def _block(self, b: int, query_ids: np.ndarray, q: np.ndarray, k: int, beat: np.ndarray, beat_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block's vectors that beat what the queries have."""
+        start, end = self.edges[b]
+        ends = q * self.low[b], q * self.high[b]
         floor, ceiling = np.minimum(*ends), np.maximum(*ends)
-        reach = ceiling.sum(1)
-        best: list[tuple[int, int]] = []
-        for b in np.argsort(-reach, kind="stable").tolist():
-            worst = beat if len(best) < k else best[-1] if beat is None or _better(*best[-1], *beat) else beat
-            if worst is not None and reach[b] < worst[0]:
+        near = np.flatnonzero(ceiling.sum(1) >= beat)
+        if not len(near):
+            return near, near, near
+        q, floor, ceiling, least = q[near], floor[near], ceiling[near], beat[near]
+        # the most that vectors gain from the terms so far alone
+        order = np.argsort(ceiling - floor, axis=1, kind="stable")
+        up = floor.sum(1)[:, None] + np.cumsum(np.take_along_axis(ceiling - floor, order, 1), axis=1)
+        n_loose = (up < least[:, None]).sum(1)
+        level = np.empty_like(order)
+        np.put_along_axis(level, order, n_loose[:, None] - 1 - np.arange(order.shape[1]), 1)  # below 0: essential, then by falling bound
+        x = self.x[start:end].astype(q.dtype)
+        score = np.where(level < 0, q, 0) @ x.T
+        own = np.minimum(np.searchsorted(query_ids[near], self.ids[start:end]), len(near) - 1)
+        hit = np.flatnonzero(query_ids[near][own] == self.ids[start:end])
+        other = np.ones(score.shape, bool)
+        other[own[hit], hit] = False
+        if score.shape[1] > k and not np.isfinite(least).all():  # without a k-th best, the block's own will do
+            none = np.flatnonzero(~np.isfinite(least))
+            least = least.copy()
+            least[none] = np.partition(np.where(other[none], score[none].astype(float), -np.inf), -k, axis=1)[:, -k]
+        first, deepest = 0, int(n_loose.max())
+        while True:
+            rest = np.where(level >= first, ceiling, 0).sum(1)
+            alive = (score + rest[:, None] >= least[:, None]) & other
+            if first >= deepest or alive.mean() < SPARSE:
                 break
-            hits, scores = self._block(b, q, floor[b], ceiling[b], None if worst is None else worst[0])
-            ids = self.ids[self.at[b] : self.at[b + 1]][hits]
-            other = ids != query_id
-            ids, scores = ids[other], scores[other]
-            order = np.lexsort((ids, -scores))[:k]
-            new = [(int(s), int(i)) for s, i in zip(scores[order], ids[order], strict=True) if worst is None or _better(int(s), int(i), *worst)]
-            best = sorted([*best, *new], key=lambda r: (-r[0], r[1]))[:k]
-        return best
-
-    def _block(self, b: int, q: np.ndarray, floor: np.ndarray, ceiling: np.ndarray, least: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the block's vectors that reach ``least``."""
-        bound = ceiling - floor
-        terms = np.argsort(bound, kind="stable")
-        up = floor.sum() + np.cumsum(bound[terms])  # the most that vectors gain from the terms so far alone
-        n_loose = 0 if least is None else int(np.searchsorted(up, least, side="left"))
-        loose, essential = terms[:n_loose][::-1], terms[n_loose:]
-        lists = self.postings[b]
-        score = q[essential] @ lists[essential]
-        alive = np.arange(lists.shape[1])
-        for i in range(0, len(loose), PROBE):
-            rest = ceiling[loose[i:]].sum()
-            keep = score + rest >= least
-            if not keep.all():
-                alive, score = alive[keep], score[keep]
-            if not len(alive):
-                return alive, score
-            now = loose[i : i + PROBE]
-            score = score + q[now] @ lists[np.ix_(now, alive)]
-        if least is not None:
-            keep = score >= least
-            alive, score = alive[keep], score[keep]
-        return alive, score
-
-
-def _better(score: int, i: int, than: int, other: int) -> bool:
-    return score > than or (score == than and i < other)
+            score += np.where((level >= first) & (level < first + PROBE), q, 0) @ x.T
+            first += PROBE
+        r, c = np.nonzero(alive)
+        score = score[r, c]
+        for turn in range(first, deepest, PROBE):  # few are left: one by one
+            now = (level >= turn) & (level < turn + PROBE)
+            score = score + np.einsum("ij,ij->i", np.where(now, q, 0)[r], x[c])
+            keep = score + np.where(level >= turn + PROBE, ceiling, 0).sum(1)[r] >= least[r]
+            r, c, score = r[keep], c[keep], score[keep]
+        ids = self.ids[start:end][c]
+        keep = (score > beat[near][r]) | ((score == beat[near][r]) & (ids < beat_id[near][r]))
+        return near[r[keep]], ids[keep], score[keep].astype(np.int64)
 
 
 def _write_queries(queries: DataFrame, found: DataFrame | None, n_blocks: int, k: int) -> str:
@@ -126,15 +142,16 @@ def _write_queries(queries: DataFrame, found: DataFrame | None, n_blocks: int, k
     return path
 
 
-def _read_queries(path: str, block: int) -> list[tuple[int, np.ndarray, tuple[int, int] | None]]:
+def _read_queries(path: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Ids in order, vectors, and the k-th best of each."""
     fs, base = pafs.FileSystem.from_uri(path)
     files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet"))
-    out = []
-    for f in files:
-        t = pq.ParquetFile(fs.open_input_file(f)).read(["vec_id", "x", "beat", "beat_id"])
-        beats = zip(t.column("beat").to_pylist(), t.column("beat_id").to_pylist(), strict=True)
-        out += [(i, x, None if s is None else (s, j)) for i, x, (s, j) in zip(t.column("vec_id").to_pylist(), matrix(t.column("x")), beats, strict=True)]
-    return out
+    parts = [pq.ParquetFile(fs.open_input_file(f)).read(["vec_id", "x", "beat", "beat_id"]) for f in files]
+    if not parts:
+        return None
+    t = pa.concat_tables(parts).sort_by("vec_id")
+    beat = np.array([-np.inf if v is None else v for v in t.column("beat").to_pylist()])
+    return t.column("vec_id").to_numpy(), matrix(t.column("x")), beat, t.column("beat_id").fill_null(-1).to_numpy()
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -163,10 +180,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
 
 def _searcher(path: str, n_blocks: int, k: int):
     def one(group: pa.Table) -> pa.Table:
-        ids = group.column("vec_id").to_numpy()
-        index = Shard(ids, matrix(group.column("x")))
-        rows = [(query_id, i, s) for block in range(n_blocks) for query_id, q, beat in _read_queries(path, block) for s, i in index.search(query_id, q, k, beat)]
-        return pa.table({c: pa.array([r[p] for r in rows], pa.int64()) for p, c in enumerate(("query_id", "vec_id", "score"))})
+        index = Shard(group.column("vec_id").to_numpy(), matrix(group.column("x")))
+        out = [[], [], []]
+        for block in range(n_blocks):
+            queries = _read_queries(path, block)
+            if queries is not None:
+                ids, q, beat, beat_id = queries
+                who, found, score = index.search(ids, q, k, beat, beat_id)
+                for c, v in zip(out, (ids[who], found, score), strict=True):
+                    c.append(v)
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     return one
 

@@ -186,7 +186,6 @@ def plain_top(rows, k=5, every=50):
 def test_top_k(spark, monkeypatch, shard, growth):
     monkeypatch.setattr(maxscore, "SHARD", shard)
     monkeypatch.setattr(maxscore, "GROWTH", growth)
-    monkeypatch.setattr(maxscore, "BLOCK", 16)
     monkeypatch.setattr(maxscore, "QUERY_BLOCK", 3)
     rows = vectors(6, 420, 12, copies=140)
     frame = spark.createDataFrame([*rows, rows[50], (None, rows[1][1], "", 1), *[b for b in BAD if b[1] is None or len(b[1]) < 3]], VECTORS).repartition(3)
@@ -211,14 +210,28 @@ def test_top_k_prunes():
     centres = r.normal(size=(8, 32)) * 200
     x = np.floor(centres[r.integers(0, 8, 4000)] + r.normal(size=(4000, 32)) * 20).astype(np.int64)
     index = maxscore.Shard(np.arange(4000), x)
-    calls = []
-    block = index._block
-    index._block = lambda b, *a: calls.append(b) or block(b, *a)
-    got = index.search(3, x[3], 5, None)
-    score = x @ x[3]
-    assert got == sorted(((int(s), i) for i, s in enumerate(score) if i != 3), key=lambda t: (-t[0], t[1]))[:5]
-    assert len(set(calls)) < len(index.at) // 2  # most blocks are never read
-    assert index.search(3, x[3], 5, got[0]) == []
+    ids = np.array([3, 77, 900])
+    score = x[ids] @ x.T
+    want = [sorted(((-int(s), i) for i, s in enumerate(row) if i != q))[:5] for q, row in zip(ids, score, strict=True)]
+    who, found, got = index.search(ids, x[ids], 5, np.full(3, -np.inf), np.full(3, -1))
+    assert [sorted((-int(s), int(i)) for w, i, s in zip(who, found, got, strict=True) if w == n) for n in range(3)] == want
+    beat, beat_id = np.array([-w[4][0] for w in want], float), np.array([w[4][1] for w in want])
+    who, found, got = index.search(ids, x[ids], 5, beat, beat_id)
+    assert [sorted((-int(s), int(i)) for w, i, s in zip(who, found, got, strict=True) if w == n) for n in range(3)] == [w[:4] for w in want]
+    read = [(np.maximum(x[ids] * low, x[ids] * high).sum(1) >= beat).sum() for low, high in zip(index.low, index.high, strict=True)]
+    assert sum(read) < len(read) * 3 / 2  # most blocks are left out
+
+
+def test_top_k_on_many_shapes():
+    r = np.random.Generator(np.random.PCG64(18))
+    for n, d, spread, big in [(1, 1, 3, 1), (5, 2, 2, 1), (700, 6, 2, 1), (600, 20, 100, 1), (300, 4, 3, 1 << 28), (900, 12, 1, 1)]:
+        x = r.integers(-spread, spread + 1, (n, d)) * big
+        ids = np.sort(r.choice(5 * n, n, replace=False))
+        index, take = maxscore.Shard(ids, x), np.sort(r.permutation(n)[: max(1, n // 3)])
+        who, found, got = index.search(ids[take], x[take], 5, np.full(len(take), -np.inf), np.full(len(take), -1))
+        for w, t in enumerate(take):
+            want = sorted(((-int(x[t] @ x[i]), int(ids[i])) for i in range(n) if i != t))[:5]
+            assert sorted((-int(s), int(i)) for v, i, s in zip(who, found, got, strict=True) if v == w) == want
 
 
 def test_top_k_sql_twin(spark):
