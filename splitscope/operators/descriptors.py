@@ -1,6 +1,6 @@
 """Split descriptors: size, target, cardinality, missingness, shape and information of a training split.
 
-One row per (split, feature) - the profile - is aggregated from the cells; descriptors are aggregates over profiles.
+One row per (split, feature) - the profile - comes from the value counts of a dataset's features; descriptors are aggregates over profiles.
 """
 
 from __future__ import annotations
@@ -9,66 +9,196 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLASS_FEATURES, CLASSIFICATION, SPLIT
-from ..sources.splits import SplitRows
+from ..sources.splits import FoldedRows, SplitRows
 
 HIGH_CARDINALITY = (50, 0.1)
 NEAR_CONSTANT = 0.95
 
 
-def value_counts(cells: DataFrame) -> DataFrame:
+RANGES = 64
+QUARTILES = (0.25, 0.5, 0.75)
+_CELLS = ["feature", "kind", "num", "cat"]
+
+
+class Values:
+    """How often each value of a feature occurs, in every split at once.
+
+    ``table``: ``unit, feature, kind, num, cat, k``, one row a value (missing ones too); the array ``k`` counts it for each (repeat, fold), or has one
+    entry where a unit is a split.  ``weight(s)`` is its count in split s: that of the repeat less that of the split's own fold."""
+
+    def __init__(self, cells: DataFrame, slots: tuple[tuple[int, int], ...] = ()):
+        self.unit, self.slots = (["dataset"] if slots else SPLIT), slots
+        if slots:
+            inside = lambda r, f: F.coalesce(F.get("folds", F.lit(r)) == f, F.lit(False))
+            counts = F.array(*(F.count(F.when(inside(r, f), F.lit(1))) for r, f in slots))
+        else:
+            counts = F.array(F.count(F.lit(1)))
+        self.table = cells.groupBy(*self.unit, *_CELLS).agg(counts.alias("k"))
+        self.n_splits = max(1, len(slots))
+
+    def others(self, s: int) -> list[int]:
+        """The places in ``k`` that add up to split s."""
+        return [i for i, (r, f) in enumerate(self.slots) if r == self.slots[s][0] and f != self.slots[s][1]] if self.slots else [0]
+
+    def weight(self, s: int) -> Column:
+        return sum((F.col("k")[i] for i in self.others(s)), F.lit(0).cast("long"))
+
+    def weights(self) -> list[Column]:
+        return [self.weight(s) for s in range(self.n_splits)]
+
+    def splits_of(self, place: str) -> Column:
+        """The splits that a place of ``k`` belongs to."""
+        uses = [[s for s in range(self.n_splits) if i in self.others(s)] for i in range(max(1, len(self.slots)))]
+        return F.array(*(F.array(*map(F.lit, u)) if u else F.array().cast("array<int>") for u in uses))[F.col(place)]
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """``split`` as repeat and fold."""
+        if not self.slots:
+            return df.drop("split")
+        r, f = (F.array(*(F.lit(x[c]) for x in self.slots))[F.col("split")] for c in (0, 1))
+        return df.withColumns({"repeat": r, "fold": f}).drop("split")
+
+    def by_split(self) -> DataFrame:
+        """``split columns, feature, kind, num, cat, k``: a row for each value and split that has it."""
+        long = self.table.select(*self.unit, *_CELLS, F.posexplode(F.array(*self.weights())).alias("split", "k")).where("k > 0")
+        return self.named(long)
+
+
+def value_counts(source: SplitRows | DataFrame) -> DataFrame:
     """``split, feature, kind, num, cat, k``: how often each value of a feature occurs, missing values included (both columns NULL)."""
-    return cells.groupBy(*SPLIT, "feature", "kind", "num", "cat").agg(F.count(F.lit(1)).alias("k"))
+    return wanted(source, values(source).by_split())
+
+
+def values(source: SplitRows | DataFrame) -> Values:
+    """The value counts of rows, or of cells that name their split."""
+    return Values(source) if isinstance(source, DataFrame) else Values(source.cells(), source.slots)
+
 
+def wanted(source: SplitRows | DataFrame, table: DataFrame) -> DataFrame:
+    """``table`` without the splits that nobody asked for."""
+    return table.join(source.splits.select(*SPLIT), SPLIT, "left_semi") if isinstance(source, FoldedRows) else table
 
-def _weighted(values: DataFrame) -> DataFrame:
-    """Value counts with the mean of their feature and the quartiles read off running counts.
 
-    All windows share one partitioning by (split, feature).  Running counts stream over sorted values and spill: no aggregate
-    holds the values of a feature."""
+def _counted(v: Values) -> DataFrame:
+    """``unit, feature, kind, split``: rows, values, distinct values, the most frequent one's count; ``d``, ``centre``: distinct numbers and the mean over all."""
     known = F.col("num").isNotNull() | F.col("cat").isNotNull()
-    whole = Window.partitionBy(*SPLIT, "feature")
-    up = whole.orderBy(F.asc_nulls_first("num")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbers = F.when(F.col("num").isNotNull(), F.col("k")).otherwise(0)
-    out = values.withColumns({"known": F.when(known, F.col("k")).otherwise(0), "after": F.sum(numbers).over(up)})
-    out = out.withColumns({"present": F.sum("known").over(whole), "mean": F.try_divide(F.sum(F.col("k") * F.col("num")).over(whole), F.sum(numbers).over(whole))})
-    held = lambda at: F.max(F.when(F.col("num").isNotNull() & (F.col("after") > at) & (F.col("after") - F.col("k") <= at), F.col("num"))).over(whole)
-
-    def quartile(p: float) -> Column:
-        """Between the two values around place p (n - 1)."""
-        place = (F.col("present") - 1) * p
-        low, high = held(F.floor(place)), held(F.ceil(place))
-        return low + (high - low) * (place - F.floor(place))
-
-    return out.withColumns({"q1": quartile(0.25), "mid": quartile(0.5), "q3": quartile(0.75)})
-
-
-def profiles(cells: DataFrame) -> DataFrame:
-    """One row per split and feature, all from the value counts: two shuffles, of the cells (partly added up before) and of the counts.  Windows whose
-    columns nobody asks for fall away in the plan."""
-    values = _weighted(value_counts(cells))
-    x, k = F.col("num"), F.col("k")
-    known, d = F.col("known") > 0, x - F.col("mean")
-    wide = 1.5 * (F.col("q3") - F.col("q1"))
-    one = values.groupBy(*SPLIT, "feature", "kind").agg(
-        F.sum("k").alias("n_rows"), F.sum("known").alias("n_values"), F.count(F.when(known, F.lit(1))).alias("n_distinct"), F.max(F.when(known, k)).alias("top"),
-        F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.when(x == 0, k).otherwise(0)).alias("zeros"), F.max("q1").alias("q1"), F.max("mid").alias("mid"), F.max("q3").alias("q3"), F.max("mean").alias("mean"),
-        F.sum(k * d * d).alias("m2"), F.sum(k * d * d * d).alias("m3"), F.sum(k * d * d * d * d).alias("m4"), F.sum(F.when(x > 0, k / x)).alias("inverse"),
-        F.sum(F.when((x < F.col("q1") - wide) | (x > F.col("q3") + wide), k).otherwise(0)).alias("outside"),
+    total = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x)
+    w = v.weights()
+    each = lambda f: F.array(*map(f, w))
+    one = v.table.groupBy(*v.unit, "feature", "kind").agg(
+        each(F.sum).alias("n_rows"), each(lambda k: F.sum(F.when(known, k).otherwise(0))).alias("n_values"), each(lambda k: F.count(F.when(known & (k > 0), F.lit(1)))).alias("n_distinct"),
+        each(lambda k: F.max(F.when(known & (k > 0), k))).alias("top"), F.count("num").alias("d"), F.try_divide(F.sum(total * F.col("num")), F.sum(F.when(F.col("num").isNotNull(), total))).alias("centre"),
     )
-    n, m2 = F.col("n_values").cast("double"), F.col("m2")
+    return one
+
+
+def _per_split(v: Values, counted: DataFrame) -> DataFrame:
+    names = ("n_rows", "n_values", "n_distinct", "top")
+    return counted.select(*v.unit, "feature", "kind", F.posexplode(F.arrays_zip(*names)).alias("split", "c")).select(*v.unit, "feature", "kind", "split", *(F.col("c")[n].alias(n) for n in names)).where("n_rows > 0")
+
+
+def _ranged(v: Values, counted: DataFrame) -> DataFrame:
+    """The numbers with the range they lie in, of about ``RANGES`` for each feature.
+
+    The borders are the values of least hash, about ``RANGES`` of them: every executor that looks finds the same ones, and a feature with many
+    values is spread over many ranges.  Features meet their borders by joins, which Spark broadcasts or splits where one feature holds most values."""
+    numbers = v.table.where("num is not null").join(counted.select(*v.unit, "feature", "d", "centre"), [*v.unit, "feature"])
+    chosen = F.abs(F.xxhash64("num").cast("double")) * F.col("d") < float(2**63) * RANGES
+    borders = numbers.where((F.col("d") > 4 * RANGES) & chosen).groupBy(*v.unit, "feature").agg(F.sort_array(F.collect_list("num")).alias("borders"))
+    place = F.size(F.filter(F.coalesce("borders", F.array().cast("array<double>")), lambda b: b <= F.col("num")))
+    return numbers.join(borders, [*v.unit, "feature"], "left").withColumn("part", place).drop("borders", "d")
+
+
+def _sums(v: Values, ranged: DataFrame) -> DataFrame:
+    """``unit, feature, part, split``: count, power sums about the centre, extremes, zeros and the sum of inverses, added up for each place of ``k``
+    first and then for the splits that it belongs to."""
+    z = F.col("num") - F.col("centre")
+    x, n = F.col("num"), F.col("n")
+    slots = ranged.select(*v.unit, "feature", "part", "num", "centre", F.posexplode("k").alias("place", "n")).where("n > 0")
+    power = [F.sum(n * F.pow(z, F.lit(float(p)))).alias(f"s{p}") for p in (1, 2, 3, 4)]
+    own = slots.groupBy(*v.unit, "feature", "part", "place").agg(F.sum("n").alias("n"), *power, F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zeros"), F.sum(F.when(x > 0, n / x)).alias("inverse"))
+    return own.withColumn("split", F.explode(v.splits_of("place"))).groupBy(*v.unit, "feature", "part", "split").agg(*_add())
+
+
+def _add() -> list[Column]:
+    return [*(F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "zeros", "inverse")), F.min("low").alias("low"), F.max("high").alias("high")]
+
+
+def _quartiles(v: Values, ranged: DataFrame, sums: DataFrame) -> DataFrame:
+    """``unit, feature, split, q1, mid, q3``: exact order statistics of any number of values.
+
+    Counts of ranges tell in which range each place p (n - 1) lies; running counts are taken inside the ranges that hold one, for all
+    splits at once.  No window holds a feature's values."""
+    by = Window.partitionBy(*v.unit, "feature", "split")
+    upto = by.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = sums.withColumns({"all": F.sum("n").over(by), "after": F.sum("n").over(upto)})
+    places = F.array(*(F.struct(F.lit(2 * i + j).alias("which"), f((F.col("all") - 1) * p).cast("long").alias("at")) for i, p in enumerate(QUARTILES) for j, f in enumerate((F.floor, F.ceil))))
+    goal = found.withColumn("goal", F.explode(places)).where((F.col("goal.at") < F.col("after")) & (F.col("goal.at") >= F.col("after") - F.col("n")))
+    rest = F.struct("split", F.col("goal.which").alias("which"), (F.col("goal.at") - F.col("after") + F.col("n")).alias("rest"))
+    goals = goal.groupBy(*v.unit, "feature", "part").agg(F.collect_list(rest).alias("goals"))  # at most six for each split
+    order = Window.partitionBy(*v.unit, "feature", "part").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = ranged.join(goals, [*v.unit, "feature", "part"]).withColumn("w", F.array(*v.weights())).withColumn("up", F.array(*(F.sum(w).over(order) for w in v.weights())))
+    met = lambda g: (F.col("up")[g["split"]] > g["rest"]) & (F.col("up")[g["split"]] - F.col("w")[g["split"]] <= g["rest"])
+    hits = near.select(*v.unit, "feature", "num", F.inline(F.filter("goals", met)))
+    values = hits.groupBy(*v.unit, "feature", "split").agg(*(F.max(F.when(F.col("which") == i, F.col("num"))).alias(f"v{i}") for i in range(2 * len(QUARTILES))))
+    size = sums.groupBy(*v.unit, "feature", "split").agg(F.sum("n").alias("n"))
+
+    def quartile(i: int, p: float) -> Column:
+        place = (F.col("n") - 1) * p
+        return F.col(f"v{2 * i}") + (F.col(f"v{2 * i + 1}") - F.col(f"v{2 * i}")) * (place - F.floor(place))
+
+    names = ("q1", "mid", "q3")
+    return values.join(size, [*v.unit, "feature", "split"]).select(*v.unit, "feature", "split", *(quartile(i, p).alias(c) for i, (p, c) in enumerate(zip(QUARTILES, names, strict=True))))
+
+
+def _outside(v: Values, ranged: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """``unit, feature, split, outside``: values beyond 1.5 quartile ranges from the quartiles."""
+    wide = 1.5 * (F.col("q3") - F.col("q1"))
+    fence = F.struct((F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    fences = quartiles.groupBy(*v.unit, "feature").agg(F.map_from_entries(F.collect_list(F.struct("split", fence))).alias("fences"))  # one for each split
+    at = lambda s: F.try_element_at("fences", F.lit(s))
+    beyond = lambda s, w: F.sum(F.when((F.col("num") < at(s)["low"]) | (F.col("num") > at(s)["high"]), w).otherwise(0))
+    one = ranged.join(fences, [*v.unit, "feature"]).groupBy(*v.unit, "feature").agg(F.array(*(beyond(s, w) for s, w in enumerate(v.weights()))).alias("out"))
+    return one.select(*v.unit, "feature", F.posexplode("out").alias("split", "outside"))
+
+
+def profiles(source: SplitRows | DataFrame, shape: bool = True) -> DataFrame:
+    """One row per split and feature: sizes, distinct values, and with ``shape`` moments, quartiles and extremes of the numbers.
+
+    ``source``: rows, or cells that name their split.  Everything comes from the value counts, which are kept for all splits at once (:class:`Values`)."""
+    v = values(source)
+    counted = _counted(v)
+    one = _per_split(v, counted)
+    missing = (1 - F.col("n_values") / F.col("n_rows")).alias("missing")
+    plain = ["n_rows", "n_values", "n_distinct", "top"]
+    if not shape:
+        return wanted(source, v.named(one).select(*SPLIT, "feature", "kind", *plain, missing))
+    ranged = _ranged(v, counted)
+    sums = _sums(v, ranged)
+    quartiles = _quartiles(v, ranged, sums)
+    by = [*v.unit, "feature", "split"]
+    total = sums.groupBy(*by).agg(*_add()).join(counted.select(*v.unit, "feature", "centre"), [*v.unit, "feature"])
+    n, d = F.col("n").cast("double"), F.try_divide(F.col("s1"), F.col("n"))
     flat = F.col("low") == F.col("high")
+    s2, s3, s4 = (F.col(f"s{p}") for p in (2, 3, 4))
+    central = {"m2": s2 - n * d * d, "m3": s3 - 3 * d * s2 + 2 * n * d * d * d, "m4": s4 - 4 * d * s3 + 6 * d * d * s2 - 3 * n * d * d * d * d}
+    moved = total.withColumns({c: F.when(flat, F.lit(0.0)).otherwise(F.greatest(m, F.lit(0.0)) if c != "m3" else m) for c, m in central.items()} | {"mean": F.when(flat, F.col("low")).otherwise(F.col("centre") + d)})
+    m2 = F.col("m2")
     skew = F.when(flat, F.lit(0.0)).otherwise(F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)) * F.try_divide(F.col("m3") * F.sqrt(n), F.pow(m2, 1.5)))
     kurt = F.when(flat, F.lit(0.0)).otherwise(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * (F.try_divide(F.col("m4") * n, m2 * m2) - 3) + 6))
-    return one.select(
-        *SPLIT, "feature", "kind", "n_rows", "n_values", F.when(F.col("kind") == "num", F.when(n >= 3, skew)).alias("skew"), F.when(F.col("kind") == "num", F.when(n >= 4, kurt)).alias("kurt"),
-        F.when(n >= 2, F.sqrt(m2 / (n - 1))).alias("std"), F.when(n >= 1, F.sqrt(m2 / n)).alias("std_pop"), "mean", "low", "high", "zeros", "n_distinct", "top", (1 - F.col("n_values") / F.col("n_rows")).alias("missing"),
-        "q1", "mid", "q3", F.when(F.col("low") > 0, F.col("n_values") / F.col("inverse")).alias("hmean"), "outside",
+    numbers = moved.select(
+        *by, F.when(n >= 3, skew).alias("skew"), F.when(n >= 4, kurt).alias("kurt"), F.when(n >= 2, F.sqrt(m2 / (n - 1))).alias("std"), F.sqrt(m2 / n).alias("std_pop"), "mean", "low", "high", "zeros",
+        F.when(F.col("low") > 0, F.col("n") / F.col("inverse")).alias("hmean"),
     )
+    out = one.join(numbers, by, "left").join(quartiles, by, "left").join(_outside(v, ranged, quartiles), by, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return wanted(source, v.named(out).select(*SPLIT, "feature", "kind", *plain, missing, "skew", "kurt", "std", "std_pop", "mean", "low", "high", zero("zeros"), "q1", "mid", "q3", "hmean", zero("outside")))
 
 
-def presence(cells: DataFrame) -> DataFrame:
+def presence(sr: SplitRows) -> DataFrame:
     """The columns of :func:`profiles` that need no values: rows, values and the share of missing ones.  One shuffle of partial counts."""
-    one = cells.groupBy(*SPLIT, "feature", "kind").agg(F.count(F.lit(1)).alias("n_rows"), (F.count("num") + F.count("cat")).alias("n_values"))
+    one = sr.cells().groupBy(*sr.key, "feature", "kind").agg(F.count(F.lit(1)).alias("n_rows"), (F.count("num") + F.count("cat")).alias("n_values"))
+    one = sr.to_splits(one).groupBy(*SPLIT, "feature", "kind").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))
     return one.withColumn("missing", 1 - F.col("n_values") / F.col("n_rows"))
 
 
@@ -82,13 +212,14 @@ def _cat(x: Column) -> Column:
 
 def split_rows(sr: SplitRows) -> DataFrame:
     """``n`` and the share of rows with a missing value."""
-    any_missing = F.avg(sr.any_missing().cast("double")) if sr.features else F.lit(None).cast("double")
-    return sr.rows.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("n"), any_missing.alias("row_missing_fraction"))
+    gone = F.count_if(sr.any_missing()) if sr.features else F.lit(None).cast("long")
+    parts = sr.rows.groupBy(*sr.key).agg(F.count(F.lit(1)).alias("n"), gone.alias("gone"))
+    return sr.to_splits(parts).groupBy(*SPLIT).agg(F.sum("n").alias("n"), (F.sum("gone") / F.sum("n")).alias("row_missing_fraction"))
 
 
 def of_profile(profile: DataFrame) -> DataFrame:
-    """Every descriptor that is an aggregate over the features of a split, in one aggregation: all of them from :func:`profiles`, sizes and
-    missingness from :func:`presence`."""
+    """Every descriptor that is an aggregate over the features of a split, in one aggregation: all of them from :func:`profiles`,
+    without the shape ones where that has none, sizes and missingness from :func:`presence`."""
     counts = (F.count(F.lit(1)).alias("d"), F.count(_num(F.lit(1))).alias("n_num_features"), F.count(_cat(F.lit(1))).alias("n_cat_features"), F.avg("missing").alias("missing_fraction"))
     gone = (F.avg((F.col("missing") > 0).cast("double")).alias("feature_missing_fraction"), F.avg(_num(F.col("missing"))).alias("num_missing_fraction"), F.avg(_cat(F.col("missing"))).alias("cat_missing_fraction"), F.max("missing").alias("max_feature_missing_fraction"))
     if "n_distinct" not in profile.columns:
@@ -98,14 +229,17 @@ def of_profile(profile: DataFrame) -> DataFrame:
     high = _cat((F.col("n_distinct") >= F.greatest(F.lit(float(least)), share * F.col("n_rows"))).cast("double"))
     constant = F.col("n_distinct") <= 1
     near = constant | (F.try_divide(F.col("top"), F.col("n_values")) >= NEAR_CONSTANT)
-    values = F.sum(_num(F.col("n_values")))
-    return profile.groupBy(*SPLIT).agg(
-        *counts, *gone,
+    found = [
         F.avg(k).alias("mean_cat_cardinality"), F.max(k).cast("double").alias("max_cat_cardinality"), F.avg(high).alias("high_cardinality_fraction"),
-        F.avg(s).alias("mean_abs_skew"), F.max(s).alias("max_abs_skew"), F.avg(_num(F.col("kurt"))).alias("mean_kurtosis"),
-        F.try_divide(F.sum(_num(F.col("outside"))), F.nullif(values, F.lit(0))).alias("outlier_fraction_iqr"), F.try_divide(F.sum(_num(F.col("zeros"))), F.nullif(values, F.lit(0))).alias("zero_fraction"),
         F.avg(constant.cast("double")).alias("constant_feature_fraction"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("near_constant_feature_fraction"),
-    )
+    ]
+    if "skew" in profile.columns:
+        share_of = lambda c: F.try_divide(F.sum(_num(F.col(c))), F.nullif(F.sum(_num(F.col("n_values"))), F.lit(0)))
+        found += [
+            F.avg(s).alias("mean_abs_skew"), F.max(s).alias("max_abs_skew"), F.avg(_num(F.col("kurt"))).alias("mean_kurtosis"),
+            share_of("outside").alias("outlier_fraction_iqr"), share_of("zeros").alias("zero_fraction"),
+        ]
+    return profile.groupBy(*SPLIT).agg(*counts, *gone, *found)
 
 
 def size(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -121,13 +255,20 @@ def _ratios(table: DataFrame) -> DataFrame:
     return out.withColumns({"log_n": log(n), "log_d": log(d), "n_over_d": F.try_divide(n, d), "d_over_n": F.try_divide(d, n), "num_fraction": F.try_divide(F.col("n_num_features"), d), "cat_fraction": F.try_divide(F.col("n_cat_features"), d)})
 
 
+def class_label(sr: SplitRows) -> Column | None:
+    """The class of a row where the problem is a classification, else NULL; None without a target."""
+    if sr.target is None or sr.problem_type is None:
+        return None
+    return F.when(F.lower(F.col(f"`{sr.problem_type}`")).isin(*CLASSIFICATION), F.col(f"`{sr.target}`").cast("string"))
+
+
 def target(sr: SplitRows) -> DataFrame:
     """Class descriptors; NULL unless the problem is a classification."""
-    if sr.target is None or sr.problem_type is None:
-        return sr.rows.select(*SPLIT).distinct().withColumns({c: F.lit(None).cast("long" if c == "n_classes" else "double") for c in CLASS_FEATURES})
-    y, kind = F.col(f"`{sr.target}`").cast("string"), F.lower(F.col(f"`{sr.problem_type}`"))
-    wanted = F.when(kind.isin(*CLASSIFICATION), y)
-    counts = sr.rows.select(*SPLIT, wanted.alias("y")).groupBy(*SPLIT, "y").agg(F.count("y").alias("k"))
+    known = class_label(sr)
+    if known is None:
+        return sr.keys().drop("kind").withColumns({c: F.lit(None).cast("long" if c == "n_classes" else "double") for c in CLASS_FEATURES})
+    parts = sr.rows.select(*sr.key, known.alias("y")).groupBy(*sr.key, "y").agg(F.count("y").alias("k"))
+    counts = sr.to_splits(parts).groupBy(*SPLIT, "y").agg(F.sum("k").alias("k"))
     # entropy from counts: log2(N) - sum(k log2 k) / N needs no second pass over the classes
     k = F.when(F.col("k") > 0, F.col("k"))
     out = counts.groupBy(*SPLIT).agg(F.count(k).alias("classes"), F.sum("k").alias("all"), F.sum(k * F.log2(k)).alias("s"), F.max(k).alias("most"), F.min(k).alias("least"))
@@ -140,7 +281,7 @@ def target(sr: SplitRows) -> DataFrame:
 
 
 def basic(sr: SplitRows, profile: DataFrame | None = None) -> DataFrame:
-    """All basic descriptors of each split: one pass over the cells, one over the rows, one over the targets."""
-    profile = profiles(sr.cells()) if profile is None else profile
+    """All basic descriptors of each split: partials of the cells, of the rows and of the targets."""
+    profile = profiles(sr) if profile is None else profile
     out = _ratios(split_rows(sr).join(of_profile(profile), SPLIT, "left").join(target(sr), SPLIT, "left"))
     return out.withColumn("cat_cardinality_to_n_ratio", F.try_divide(F.col("mean_cat_cardinality"), F.col("n")))

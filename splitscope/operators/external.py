@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_number, sample_kurtosis, sample_skewness
 from ..schemas import SPLIT
 from ..sources.splits import SplitRows
-from .descriptors import profiles, value_counts
+from .classwise import INFORMATION, SCATTER, SINGLE_INFORMATION, class_counts, class_information, class_products, class_scatter, contingency, information, normal_columns
+from .descriptors import profiles, split_rows, value_counts
 from .pairs import MAX_FEATURES, moments
 
 PREFIX = "pymfe__"
@@ -39,10 +40,13 @@ ATTRIBUTE = ("g_mean", "h_mean", "iq_range", "kurtosis", "mad", "max", "mean", "
 PAIRED = ("cor", "cov")
 MATRIX = ("eigenvalues",)
 ANY_ATTRIBUTE = ("sparsity",)
-SINGLE_STATISTICAL = ("nr_cor_attr", "nr_outliers")
-STATISTICAL = (*ATTRIBUTE, *PAIRED, *MATRIX, *ANY_ATTRIBUTE)
+SINGLE_STATISTICAL = ("nr_cor_attr", "nr_norm", "nr_outliers", *SCATTER)
+CLASS_ARRAYS = ("can_cor",)
+STATISTICAL = (*ATTRIBUTE, *PAIRED, *MATRIX, *ANY_ATTRIBUTE, *CLASS_ARRAYS)
 GENERAL = ("attr_to_inst", "inst_to_attr", "nr_attr", "nr_bin", "nr_cat", "nr_inst", "nr_num", "num_to_cat", "cat_to_num")
-INFO = ("attr_conc", "attr_ent")
+SINGLE_GENERAL = (*GENERAL, "nr_class")
+CLASS_SHARES = ("freq_class",)
+INFO = ("attr_conc", "attr_ent", *INFORMATION)
 COMPLEXITY = ("t2", "t3", "t4")
 TRIMMED = 0.2  # share of the values that the trimmed mean leaves out at each end
 RELATED = 0.5  # absolute correlation from which a pair counts as correlated
@@ -63,7 +67,7 @@ def has_summary(column: str, summaries: Sequence[str] = SUMMARIES) -> bool:
 
 def catalog(groups: Sequence[str]) -> list[tuple[str, str, bool]]:
     """``(group, feature, class only)`` of what the groups offer here."""
-    known = {"general": GENERAL, "statistical": (*STATISTICAL, *SINGLE_STATISTICAL), "info-theory": INFO, "complexity": COMPLEXITY}
+    known = {"general": (*SINGLE_GENERAL, *CLASS_SHARES), "statistical": (*STATISTICAL, *SINGLE_STATISTICAL), "info-theory": (*INFO, *SINGLE_INFORMATION), "complexity": COMPLEXITY}
     return [(g, f, f in CLASS_ONLY) for g in groups for f in known.get(g, ())]
 
 
@@ -72,8 +76,8 @@ def prepared(sr: SplitRows) -> DataFrame:
     the median of their split.
 
     Fills and codes come from value counts, one row per split and feature, and meet the rows by joins: no window holds a split."""
-    counts = value_counts(sr.cells())
-    profile = profiles(sr.cells())
+    sr = sr.expanded()
+    counts, profile = value_counts(sr), profiles(sr)
     out = sr.rows
     for f in sr.numeric:
         mid = profile.where(F.col("feature") == f).select(*SPLIT, F.col("mid").alias("__fill"))
@@ -124,8 +128,9 @@ def attribute_concentration(sr: SplitRows) -> DataFrame:
     text = {f: F.col(f"`{f}`").cast("string") for f in sr.categorical}
     met = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), text[a].alias("va"), text[b].alias("vb")) for a in text for b in text if a != b]
     if not met:
-        return sr.rows.select(*SPLIT, F.lit("").alias("feature"), F.lit("attr_conc").alias("stat"), F.lit(None).cast("double").alias("value")).where("false")
-    pairs = sr.rows.select(*SPLIT, F.inline(F.array(*met))).where("va is not null and vb is not null").groupBy(*SPLIT, "a", "b", "va", "vb").agg(F.count(F.lit(1)).alias("k"))
+        return sr.keys().select(*SPLIT, F.lit("").alias("feature"), F.lit("attr_conc").alias("stat"), F.lit(None).cast("double").alias("value")).where("false")
+    parts = sr.rows.select(*sr.key, F.inline(F.array(*met))).where("va is not null and vb is not null").groupBy(*sr.key, "a", "b", "va", "vb").agg(F.count(F.lit(1)).alias("k"))
+    pairs = sr.to_splits(parts).groupBy(*SPLIT, "a", "b", "va", "vb").agg(F.sum("k").alias("k"))
     by = [*SPLIT, "a", "b"]
     rows = pairs.groupBy(*by, "va").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s")).groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("s") / F.col("n")).alias("s"))
     columns = pairs.groupBy(*by, "vb").agg(F.sum("k").alias("m")).groupBy(*by).agg(F.sum(F.col("m") * F.col("m")).alias("m"))
@@ -201,37 +206,51 @@ def general(sr: SplitRows, profile: DataFrame) -> DataFrame:
     """``split, column, value`` of counts and ratios; a binary feature has exactly two values."""
     flag = lambda c: F.sum(c.cast("double"))
     one = profile.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_attr"), flag(F.col("n_distinct") == 2).alias("nr_bin"), flag(F.col("kind") == "cat").alias("nr_cat"), flag(F.col("kind") == "num").alias("nr_num"))
-    rows = sr.rows.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_inst")).join(one, SPLIT)
+    rows = split_rows(sr).select(*SPLIT, F.col("n").cast("double").alias("nr_inst")).join(one, SPLIT)
     div = lambda a, b: F.try_divide(F.col(a), F.col(b))
     rows = rows.withColumns({"attr_to_inst": div("nr_attr", "nr_inst"), "inst_to_attr": div("nr_inst", "nr_attr"), "num_to_cat": div("nr_num", "nr_cat"), "cat_to_num": div("nr_cat", "nr_num")})
     return rows.select(*SPLIT, F.inline(F.array(*(F.struct(F.lit(PREFIX + f).alias("column"), F.col(f).alias("value")) for f in GENERAL))))
 
 
+def _named(table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``split, column, value`` of single values."""
+    return table.select(*SPLIT, F.inline(F.array(*(F.struct(F.lit(PREFIX + c).alias("column"), F.col(c).cast("double").alias("value")) for c in names))))
+
+
 def external_columns(groups: Sequence[str], summaries: Sequence[str]) -> list[str]:
     """The columns that :func:`external` gives for these groups and summaries, group by group."""
     tail = [s for s in summaries if s not in ("histogram", "quantiles")] + [f"quantiles.{k}" for k in range(5) if "quantiles" in summaries] + [f"histogram.{k}" for k in range(HISTOGRAM_BINS) if "histogram" in summaries]
-    single = {"general": GENERAL, "statistical": SINGLE_STATISTICAL, "complexity": COMPLEXITY}
-    summed = {"statistical": STATISTICAL, "info-theory": INFO}
+    single = {"general": SINGLE_GENERAL, "statistical": SINGLE_STATISTICAL, "info-theory": SINGLE_INFORMATION, "complexity": COMPLEXITY}
+    summed = {"general": CLASS_SHARES, "statistical": STATISTICAL, "info-theory": INFO}
     return [c for g in single | summed if g in groups for c in [*(PREFIX + f for f in single.get(g, ())), *(f"{PREFIX}{f}.{t}" for f in summed.get(g, ()) for t in tail)]]
 
 
 def external(sr: SplitRows, groups: Sequence[str] = ("general", "statistical", "info-theory"), summaries: Sequence[str] = ("mean", "sd"), profile: DataFrame | None = None) -> DataFrame:
     """The descriptors of the groups, one row per split with one column each."""
-    profile = profiles(sr.cells()) if profile is None else profile
-    counts = value_counts(sr.cells())
+    profile = profiles(sr) if profile is None else profile
+    counts = value_counts(sr)
     products = moments(sr, whole=True)
     parts = []
     if "general" in groups:
-        parts.append(general(sr, profile))
+        classes = class_counts(sr)
+        n = F.sum("k").over(Window.partitionBy(*SPLIT))
+        shares = classes.select(*SPLIT, F.col("y").alias("feature"), F.lit("freq_class").alias("stat"), (F.col("k") / n).alias("value"))
+        parts += [general(sr, profile), summarise(shares, summaries), _named(classes.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_class")), ("nr_class",))]
     if "statistical" in groups:
         pairs = paired(products)
-        parts += [summarise(reduce(DataFrame.unionByName, (per_attribute(profile, counts), sparsity(profile), pairs, eigenvalues(products))), summaries), single_statistics(profile, pairs)]
+        apart = class_scatter(class_products(sr))
+        roots = apart.select(*SPLIT, F.posexplode("can_cor").alias("at", "value")).select(*SPLIT, F.concat(F.lit("c"), "at").alias("feature"), F.lit("can_cor").alias("stat"), "value")
+        found = (per_attribute(profile, counts), sparsity(profile), pairs, eigenvalues(products), roots)
+        parts += [summarise(reduce(DataFrame.unionByName, found), summaries), single_statistics(profile, pairs), _named(apart, SCATTER), _named(normal_columns(profile), ("nr_norm",))]
     if "info-theory" in groups:
-        parts.append(summarise(attribute_entropy(counts).unionByName(attribute_concentration(sr)), summaries))
+        told = information(contingency(sr))
+        shared = told.select(*SPLIT, "feature", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in INFORMATION))))
+        found = (attribute_entropy(counts), attribute_concentration(sr), shared)
+        parts += [summarise(reduce(DataFrame.unionByName, found), summaries), _named(class_information(told, class_counts(sr)), SINGLE_INFORMATION)]
     if "complexity" in groups:
         size = profile.groupBy(*SPLIT).agg(F.max("n_rows").alias("n"), F.count(F.lit(1)).alias("d"))
         parts.append(components(eigenvalues(products), size))
-    keys = sr.rows.select(*SPLIT).distinct()
+    keys = sr.keys().drop("kind")
     if not parts:
         return keys
     names = external_columns(groups, summaries)

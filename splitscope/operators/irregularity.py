@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -36,11 +37,10 @@ def smallest_eigenvalue(sr: SplitRows, profile: DataFrame) -> DataFrame:
     sd = profile.where("kind = 'num' and n_distinct > 1").select(*SPLIT, "feature", "std_pop")
     constant = profile.where("kind = 'num' and n_distinct <= 1").select(*SPLIT).distinct()
     # rows are whole over the varying features; where a split has constant ones, its rows are judged without them
-    plain = sr.rows.join(constant, SPLIT, "left_anti")
-    parts = [moments(SplitRows(plain, names), whole=True)]
-    mixed = sr.rows.join(constant, SPLIT, "left_semi")
+    parts = [moments(replace(sr.only(sr.keys().join(constant, SPLIT, "left_anti")), features=names), whole=True)]
+    mixed = sr.only(constant).expanded()
     dead = profile.where("kind = 'num' and n_distinct <= 1").groupBy(*SPLIT).agg(F.collect_set("feature").alias("dead"))  # at most the features of a split
-    filled = SplitRows(mixed, names).numbers().join(dead, SPLIT).select(*SPLIT, *(F.when(F.array_contains("dead", f), F.lit(0.0)).otherwise(F.col(f)).alias(f) for f in names))
+    filled = SplitRows(mixed.rows, names).numbers().join(dead, SPLIT).select(*SPLIT, *(F.when(F.array_contains("dead", f), F.lit(0.0)).otherwise(F.col(f)).alias(f) for f in names))
     parts.append(moments(SplitRows(filled, names), whole=True))
     pairs = reduce(DataFrame.unionByName, parts)
     for side in "ab":
@@ -61,8 +61,8 @@ def smallest_eigenvalue(sr: SplitRows, profile: DataFrame) -> DataFrame:
 
 def irregularity(sr: SplitRows, profile: DataFrame | None = None) -> DataFrame:
     """The five components of each split."""
-    profile = profiles(sr.cells()) if profile is None else profile
-    return sr.rows.select(*SPLIT).distinct().join(profile_components(profile), SPLIT, "left").join(smallest_eigenvalue(sr, profile), SPLIT, "left").select(*SPLIT, *IRREGULARITY)
+    profile = profiles(sr) if profile is None else profile
+    return sr.keys().drop("kind").join(profile_components(profile), SPLIT, "left").join(smallest_eigenvalue(sr, profile), SPLIT, "left").select(*SPLIT, *IRREGULARITY)
 
 
 def composite(table: DataFrame, components: Sequence[str] = tuple(IRREGULARITY), out: str = COMPOSITE) -> DataFrame:

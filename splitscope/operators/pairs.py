@@ -1,7 +1,8 @@
 """Cross products of the numeric features of a split, summed over partitions.
 
-A task adds the moments of every feature pair (over rows where both are present) split by split, emits each split once (or more often, where their
-matrices outgrow ``HELD_BYTES``), and Spark adds these parts: a split of any number of rows is never gathered in one place.
+A task adds the moments of every feature pair (over rows where both are present) unit by unit - a split, or the rows of a dataset with the same folds -,
+emits each once (or more often, where their matrices outgrow ``HELD_BYTES``), and Spark merges these parts, for folds into every split that
+trains on them: no row is copied, and a split of any number of rows is never gathered in one place.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import as_number
 from ..schemas import SPLIT
-from ..sources.splits import SplitRows
+from ..sources.splits import FoldedRows, SplitRows
 
 MAX_FEATURES = 512
 HELD_BYTES = 64 << 20
-_OUT = "dataset string, repeat int, fold int, whole boolean, i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double"
+_OUT = "dataset string, at long, fold long, y string, whole boolean, i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double"
 
 
 class Moments:
@@ -47,9 +49,9 @@ class Moments:
         return [i, j, self.n[i, j], self.centre[i] + (self.s / k)[i, j], self.centre[j] + (self.s / k)[j, i], cxx[i, j], cxx[j, i], cxy[i, j]]
 
 
-def moments(sr: SplitRows, whole: bool = False) -> DataFrame:
+def moments(sr: SplitRows, whole: bool = False, by: Column | None = None) -> DataFrame:
     """``split, a, b, n, mean_a, mean_b, ss_a, ss_b, sp`` per split and pair a <= b of numeric features; with ``whole`` over rows without any
-    missing number."""
+    missing number; with ``by`` for each of its values, which are then in ``y``."""
     names = sr.numeric
     spark = sr.rows.sparkSession
 
@@ -58,10 +60,10 @@ def moments(sr: SplitRows, whole: bool = False) -> DataFrame:
         most = max(1, HELD_BYTES // (32 * max(1, len(names)) ** 2))
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for (dataset, repeat, fold), m in held.items():
+            for (dataset, at, fold, y), m in held.items():
                 got = m.pairs()
                 size = len(got[0])
-                head = [pa.array([dataset] * size, pa.string()), pa.array([repeat] * size, pa.int32()), pa.array([fold] * size, pa.int32()), pa.array([whole] * size)]
+                head = [pa.array([dataset] * size, pa.string()), pa.array([at] * size, pa.int64()), pa.array([fold] * size, pa.int64()), pa.array([y] * size, pa.string()), pa.array([whole] * size)]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(got[0], pa.int32()), pa.array(got[1], pa.int32()), *map(pa.array, got[2:])], names=[c.split()[0] for c in _OUT.split(", ")])
             held.clear()
 
@@ -69,21 +71,21 @@ def moments(sr: SplitRows, whole: bool = False) -> DataFrame:
             if not batch.num_rows:
                 continue
             # rows of a batch, split by split
-            coded = batch.column(0).dictionary_encode()
-            labels = [*coded.dictionary.to_pylist(), None]
-            first = coded.indices.fill_null(len(labels) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = [batch.column(k).dictionary_encode() for k in (0, 3)]
+            labels = [[*c.dictionary.to_pylist(), None] for c in coded]
+            first, last = (c.indices.fill_null(len(x) - 1).to_numpy(zero_copy_only=False).astype(np.int64) for c, x in zip(coded, labels, strict=True))
             rest = [batch.column(k).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2)]
-            order = np.lexsort((rest[1], rest[0], first))
-            key = np.stack((first, *rest))[:, order]
+            order = np.lexsort((last, rest[1], rest[0], first))
+            key = np.stack((first, *rest, last))[:, order]
             edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
-            x = np.column_stack([batch.column(3 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))])[order]
+            x = np.column_stack([batch.column(4 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))])[order]
             for a, b in zip(edge.tolist(), np.append(edge[1:], len(x)).tolist(), strict=True):
                 part = x[a:b]
                 if whole:
                     part = part[~np.isnan(part).any(1)]
                     if not len(part):
                         continue
-                split = (labels[key[0, a]], int(key[1, a]), int(key[2, a]))
+                split = (labels[0][key[0, a]], int(key[1, a]), int(key[2, a]), labels[1][key[3, a]])
                 if split not in held:
                     if len(held) >= most:
                         yield from emit()
@@ -91,12 +93,39 @@ def moments(sr: SplitRows, whole: bool = False) -> DataFrame:
                 held[split].add(part)
         yield from emit()
 
-    parts = sr.numbers().select(F.col("dataset").cast("string"), F.col("repeat").cast("int"), F.col("fold").cast("int"), *names).mapInArrow(run, _OUT)
-    n, a, b = F.sum("n"), F.sum(F.col("n") * F.col("mx")), F.sum(F.col("n") * F.col("my"))
-    added = lambda c, x, y, p, q: F.sum(c) + F.sum(F.col("n") * F.col(x) * F.col(y)) - F.try_divide(p * q, n)
-    total = parts.groupBy(*SPLIT, "i", "j").agg(n.alias("n"), F.try_divide(a, n).alias("mean_a"), F.try_divide(b, n).alias("mean_b"), added("cxx", "mx", "mx", a, a).alias("ss_a"), added("cyy", "my", "my", b, b).alias("ss_b"), added("cxy", "mx", "my", a, b).alias("sp"))
+    folded = isinstance(sr, FoldedRows)
+    base = sr.n_folds + 1 if folded else 0
+    if folded:  # the folds of all repeats as one number
+        at = sum((F.coalesce(F.get("folds", F.lit(r)), F.lit(sr.n_folds)).cast("long") * base**r for r in range(sr.n_repeats)), F.lit(0).cast("long"))
+        unit = (at.alias("at"), F.lit(0).cast("long").alias("fold"))
+    else:
+        unit = (F.col("repeat").cast("long").alias("at"), F.col("fold").cast("long").alias("fold"))
+    group = ["y"] if by is not None else []
+    numbers = sr.rows.select(F.col("dataset").cast("string"), *unit, (by if group else F.lit(None).cast("string")).alias("y"), *(as_number(sr.rows.schema[f]).alias(f"x{k}") for k, f in enumerate(names)))
+    total = _added(numbers.mapInArrow(run, _OUT), "dataset", "at", "fold", *group)
+    if folded:
+        digit = lambda c: F.floor(F.col("at") / F.pow(F.lit(base), c)).cast("long") % base
+        each = total.drop("fold").join(sr.splits.select(*SPLIT), "dataset").where((digit(F.col("repeat")) != F.col("fold")) & (digit(F.col("repeat")) < sr.n_folds))
+        total = _added(each, *SPLIT, *group)
+    else:
+        total = total.withColumns({"repeat": F.col("at").cast("int"), "fold": F.col("fold").cast("int")})
+    done = total.select(*SPLIT, *group, "i", "j", "n", F.col("mx").alias("mean_a"), F.col("my").alias("mean_b"), F.col("cxx").alias("ss_a"), F.col("cyy").alias("ss_b"), F.col("cxy").alias("sp"))
     name = F.create_map(*(x for k, f in enumerate(names) for x in (F.lit(k), F.lit(f)))) if names else F.create_map(F.lit(0), F.lit(""))
-    return total.withColumns({"a": name[F.col("i")], "b": name[F.col("j")]}).drop("i", "j") if names else spark.createDataFrame([], "dataset string, repeat int, fold int, n double, mean_a double, mean_b double, ss_a double, ss_b double, sp double, a string, b string")
+    kinds = "dataset string, repeat int, fold int, " + "y string, " * bool(group) + "n double, mean_a double, mean_b double, ss_a double, ss_b double, sp double, a string, b string"
+    return done.withColumns({"a": name[F.col("i")], "b": name[F.col("j")]}).drop("i", "j") if names else spark.createDataFrame([], kinds)
+
+
+def _added(parts: DataFrame, *by: str) -> DataFrame:
+    """Moments of the parts of each group, merged: deviations are taken from the group's means, so large means cost no digits."""
+    group = Window.partitionBy(*by, "i", "j")
+    n = F.col("n")
+    mean = lambda c: F.try_divide(F.sum(n * F.col(c)).over(group), F.sum(n).over(group))
+    rows = parts.withColumns({"ax": mean("mx"), "ay": mean("my")})
+    dx, dy = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")
+    return rows.groupBy(*by, "i", "j").agg(
+        F.sum(n).alias("n"), F.max("ax").alias("mx"), F.max("ay").alias("my"),
+        F.sum(F.col("cxx") + n * dx * dx).alias("cxx"), F.sum(F.col("cyy") + n * dy * dy).alias("cyy"), F.sum(F.col("cxy") + n * dx * dy).alias("cxy"),
+    )
 
 
 def correlations(sr: SplitRows, varying: DataFrame) -> DataFrame:

@@ -55,6 +55,6 @@ def correlation_rank(pairs: DataFrame) -> DataFrame:
 
 def redundancy(sr: SplitRows, profile: DataFrame | None = None) -> DataFrame:
     """All redundancy descriptors of each split; NULL below 2 and above ``MAX_FEATURES`` varying numeric features."""
-    profile = profiles(sr.cells()) if profile is None else profile
+    profile = profiles(sr, shape=False) if profile is None else profile
     pairs = correlations(sr, varying_features(profile))
-    return sr.rows.select(*SPLIT).distinct().join(correlation_summary(pairs), SPLIT, "left").join(correlation_rank(pairs), SPLIT, "left")
+    return sr.keys().drop("kind").join(correlation_summary(pairs), SPLIT, "left").join(correlation_rank(pairs), SPLIT, "left")

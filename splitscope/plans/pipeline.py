@@ -25,9 +25,10 @@ from ..schemas import BASIC, IRREGULARITY, REDUNDANCY, SPLIT
 from ..sources.metadata import problem_types_payload, without_problem_types
 from ..sources.results import select_results
 from ..sources.splits import SplitRows
-from .store import Store, content_hash, stage_hash, with_identity
+from .store import Appended, Store, content_hash, stage_hash, with_identity
 
 log = logging.getLogger("splitscope")
+MOST_FAILURES = 32
 FEATURE_SETS = ("basic", "redundancy", "irregularity", "pymfe")
 SCHEMA_VERSIONS = {"basic": 1, "redundancy": 1, "irregularity": 1, "pymfe": 1}
 
@@ -59,8 +60,8 @@ def build_set(name: str, sr: SplitRows, config: Config, profile: DataFrame) -> D
 def describe(sr: SplitRows, config: Config) -> DataFrame:
     """The configured descriptors, one row per split, as one lazy plan: an error in any set is an error of the whole."""
     check_feature_sets(config.descriptors.feature_sets)
-    profile = profiles(sr.cells())
-    keys = sr.rows.select(*SPLIT).distinct()
+    profile = profiles(sr)
+    keys = sr.keys().drop("kind")
     return reduce(lambda a, b: a.join(b, SPLIT, "left"), (build_set(s, sr, config, profile) for s in config.descriptors.feature_sets), keys)
 
 
@@ -68,13 +69,13 @@ def describe_stored(sr: SplitRows, config: Config, store: Store, key: str) -> Da
     """The descriptors with ``failed_sets``, one stored row per split and feature set.
 
     Only splits without a stored row of the same identity (settings of the set, features, problem type) are computed; ``retry_failed`` also computes
-    those whose set failed before.  Sets other than the irregularity are best effort: if one fails, its row holds NULLs and the reason, and the
-    others are kept.  Rows are appended, the newest of an identity counts, so a broken run loses nothing."""
+    those whose set failed before.  Sets other than the irregularity are best effort: the splits at which one fails are found by halving
+    (:func:`isolated`) and hold NULLs and the reason, all others are kept.  Rows are appended, the newest of an identity counts, so a broken run loses
+    nothing.  The profile of all splits with work to do is written once and read by every set."""
     check_feature_sets(config.descriptors.feature_sets)
     d, spark = config.descriptors, store.spark
-    kind = sr.problem_type
-    keys = sr.rows.groupBy(*SPLIT).agg(F.min(kind).alias("kind") if kind else F.lit(None).cast("string").alias("kind"))
-    tables = []
+    keys = sr.keys()
+    work = {}
     for name in d.feature_sets:
         columns = set_columns(name, config)
         settings = {"set": name, "schema": SCHEMA_VERSIONS[name], "features": sr.features, "external": [d.external_groups, d.external_summary] if name == "pymfe" else None}
@@ -83,20 +84,16 @@ def describe_stored(sr: SplitRows, config: Config, store: Store, key: str) -> Da
         schema = ", ".join(["dataset string", "repeat int", "fold int", "identity string", "failure string", "attempt int", *(f"`{c}` {t}" for c, t in columns.items())])
         stored = newest(table.read(schema))
         held = stored.where("failure is null") if d.retry_failed else stored
-        targets = wanted.join(held.select(*SPLIT, "identity"), [*SPLIT, "identity"], "left_anti").withColumn("attempt", F.lit(table.appends()))
+        targets = wanted.join(held.select(*SPLIT, "identity"), [*SPLIT, "identity"], "left_anti")
         n = targets.count()
         log.info("feature set %s: %d splits to compute", name, n)
-        if n:
-            part = SplitRows(sr.rows.join(targets.select(*SPLIT), SPLIT, "left_semi"), sr.features, sr.target, sr.problem_type)
-            try:
-                fresh = build_set(name, part, config, profiles(part.cells()))
-                table.append(targets.join(fresh, SPLIT, "left").withColumn("failure", F.lit(None).cast("string")), schema)
-            except Exception as e:
-                if name == "irregularity":
-                    raise
-                reason = f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
-                log.warning("feature set %s failed: %s", name, reason)
-                table.append(targets.withColumns({"failure": F.lit(reason)} | {c: F.lit(None).cast(t) for c, t in columns.items()}), schema)
+        work[name] = (columns, schema, table, wanted, targets if n else None)
+    todo = [t.select(*SPLIT) for *_, t in work.values() if t is not None]
+    profile = _shared_profile(sr.only(reduce(DataFrame.unionByName, todo).distinct()), store, key) if todo else None
+    tables = []
+    for name, (columns, schema, table, wanted, targets) in work.items():
+        if targets is not None:
+            _fill(name, sr, config, profile, targets, table, schema, columns)
         rows = newest(table.read(schema)).join(wanted, [*SPLIT, "identity"], "left_semi")
         tables.append(rows.select(*SPLIT, *(F.col(f"`{c}`") for c in columns), F.col("failure").alias(f"__failure_{name}")))
     out = reduce(lambda a, b: a.join(b, SPLIT, "left"), tables, keys.select(*SPLIT))
@@ -104,6 +101,71 @@ def describe_stored(sr: SplitRows, config: Config, store: Store, key: str) -> Da
     return out.withColumn("failed_sets", F.to_json(F.map_from_entries(failed))).drop(*(f"__failure_{s}" for s in d.feature_sets))
 
 
+def _shared_profile(sr: SplitRows, store: Store, key: str) -> DataFrame | None:
+    """The written profile of these splits; None if it fails, then every attempt at a set makes its own."""
+    try:
+        return store.write(profiles(sr), 2, "profiles", key)
+    except Exception as e:
+        log.warning("profile of all splits failed: %s", _reason(e))
+        return None
+
+
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
+
+
+def _fill(name: str, sr: SplitRows, config: Config, profile: DataFrame | None, targets: DataFrame, table: Appended, schema: str, columns: dict[str, str]) -> None:
+    """Append the rows of the targets, with NULLs and the reason where the set fails."""
+
+    def build(part: DataFrame) -> DataFrame:
+        own = sr.only(part)
+        known = profiles(own) if profile is None else profile.join(part.select(*SPLIT), SPLIT, "left_semi")
+        return part.join(build_set(name, own, config, known), SPLIT, "left").withColumn("failure", F.lit(None).cast("string"))
+
+    def save(rows: DataFrame) -> None:
+        table.append(rows, schema)
+
+    def give_up(part: DataFrame, e: Exception) -> None:
+        log.warning("feature set %s failed: %s", name, _reason(e))
+        table.append(part.withColumns({"failure": F.lit(_reason(e))} | {c: F.lit(None).cast(t) for c, t in columns.items()}), schema)
+
+    if name == "irregularity":
+        save(build(targets))
+    else:
+        isolated(targets, build, save, give_up)
+
+
+def isolated(targets: DataFrame, build: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], None], give_up: Callable[[DataFrame, Exception], None], most: int = MOST_FAILURES) -> int:
+    """``save`` what ``build`` makes of all targets but those at which Spark fails, which are given up; returns the number of attempts.
+
+    A failing part is halved by the hash of its splits, so one bad split of n costs about 2 log2(n) attempts.  A ``build`` that fails, which runs nothing yet, and
+    all parts that fail after ``most`` single splits did are given up whole: the fault is then not in the data of a split."""
+    place = F.xxhash64(*SPLIT)
+    todo, attempts, single = [(-(2**63), 2**63 - 1)], 0, 0
+    while todo:
+        low, high = todo.pop()
+        part = targets.where((place >= low) & (place <= high))
+        try:
+            rows = build(part)
+        except Exception as e:
+            give_up(part, e)
+            continue
+        attempts += 1
+        try:
+            save(rows)
+        except Exception as e:
+            n, middle = part.agg(F.count(F.lit(1)), F.percentile_approx(place, 0.5, 1000)).first()
+            if n == 0:
+                continue
+            if n == 1 or single >= most or low == high:
+                single += 1
+                give_up(part, e)
+            else:
+                middle = min(middle, high - 1)
+                todo += [(middle + 1, high), (low, middle)]
+    return attempts
+
+
 def newest(rows: DataFrame) -> DataFrame:
     """The last attempt of each split and identity."""
     last = F.row_number().over(Window.partitionBy(*SPLIT, "identity").orderBy(F.desc("attempt")))
@@ -141,8 +203,7 @@ def run_analysis(config: Config, results: DataFrame, splits: SplitRows, metadata
     if metadata is not None and a.exclude_problem_types:
         scope["types"] = [tuple(r) for r in problem_types_payload(metadata).collect()] if store is not None else None  # one row per dataset
         wanted = without_problem_types(results.select("dataset").distinct(), metadata, a.exclude_problem_types)
-        kept_splits = without_problem_types(splits.rows.select("dataset").distinct(), metadata, a.exclude_problem_types)
-        splits = SplitRows(splits.rows.join(kept_splits, "dataset", "left_semi"), splits.features, splits.target, splits.problem_type)
+        splits = splits.within(without_problem_types(splits.rows.select("dataset").distinct(), metadata, a.exclude_problem_types))
     else:
         wanted = None
     raw_hash = stage_hash("raw_results", key, {"metrics": a.metrics, "variants": a.method_variant, "without": a.exclude_methods_containing, "scope": scope})

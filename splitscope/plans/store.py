@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, is_dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,31 +42,42 @@ def stage_hash(name: str, upstream: str, settings: Any = None) -> str:
 
 
 class Appended:
-    """A stored table that grows by appends, each a folder of its own that counts once it is whole."""
+    """A stored table that grows by appends.
+
+    A writer first claims the next number by creating a file that nobody else can create, then writes a folder of that number, which counts once it
+    is whole.  So writers at the same time never share a folder, a broken one leaves a number without rows, and a reader's paths are those of
+    the moment it asked: later appends do not change what it reads."""
 
     def __init__(self, store: Store, path: str):
         self.store, self.path = store, path
 
-    def _parts(self) -> list[str]:
-        fs, root = self.store._fs(self.path)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(f"{self.path}/{n}" for n in names if n.startswith("part=") and self.store.has(f"{self.path}/{n}"))
+    def parts(self) -> list[str]:
+        """The whole parts, in the order of their numbers."""
+        return [f"{self.path}/{n}" for n in self.store.names(self.path) if n.startswith("part=") and self.store.has(f"{self.path}/{n}")]
+
+    def claim(self) -> int:
+        """A number that no other writer has or will have."""
+        taken = self.store.names(f"{self.path}/_claims")
+        number = int(taken[-1]) + 1 if taken else 0
+        while not self.store.create(f"{self.path}/_claims/{number:09d}"):
+            number += 1
+        return number
 
-    def appends(self) -> int:
-        """How many parts there are, and so the number of the next attempt."""
-        return len(self._parts())
+    def part(self, number: int) -> str:
+        return f"{self.path}/part={number:09d}"
 
     def read(self, schema: str) -> DataFrame:
         """All rows so far; columns that older rows lack are NULL."""
-        parts = self._parts()
+        parts = self.parts()
         return self.store.spark.read.schema(schema).parquet(*parts) if parts else self.store.spark.createDataFrame([], schema)
 
-    def append(self, rows: DataFrame, schema: str) -> None:
+    def append(self, rows: DataFrame, schema: str) -> int:
+        """Add rows; a column ``attempt`` of the schema gets the number of the part, which is returned."""
         fields = self.store.spark.createDataFrame([], schema).schema.fields
-        path = f"{self.path}/part={self.appends():06d}"
-        rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(path)
+        number = self.claim()
+        column = lambda f: F.lit(number) if f.name == "attempt" else F.col(f"`{f.name}`")
+        rows.select(*(column(f).cast(f.dataType).alias(f.name) for f in fields)).write.parquet(self.part(number))
+        return number
 
 
 class Store:
@@ -80,18 +93,47 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def has(self, path: str) -> bool:
-        """Whether a stage was written to its end."""
+        """Whether a folder was written to its end."""
         fs, p = self._fs(f"{path}/_SUCCESS")
         return fs.exists(p)
 
+    def names(self, path: str) -> list[str]:
+        """What a folder holds, in order."""
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def create(self, path: str) -> bool:
+        """Create an empty file; False if there is one.  Of several who try one succeeds."""
+        fs, p = self._fs(path)
+        fs.mkdirs(p.getParent())
+        if fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then, which two may do at once
+            try:
+                os.close(os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            fs.create(p, False).close()
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise e
+        return True
+
+    def _newest(self, path: str) -> str | None:
+        parts = Appended(self, path).parts()
+        return parts[-1] if parts else None
+
     def write(self, df: DataFrame, stage: int, name: str, key: str) -> DataFrame:
-        path = self.path(stage, name, key)
-        df.write.mode("overwrite").parquet(path)
+        """Write a stage whole.  Of several that are written at the same time each is whole, and the last number counts."""
+        table = self.table(stage, name, key)
+        path = table.part(table.claim())
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def read(self, stage: int, name: str, key: str) -> DataFrame | None:
-        path = self.path(stage, name, key)
-        return self.spark.read.parquet(path) if self.has(path) else None
+        path = self._newest(self.path(stage, name, key))
+        return self.spark.read.parquet(path) if path else None
 
     def once(self, stage: int, name: str, key: str, build: Callable[[], DataFrame], enabled: bool = True) -> DataFrame:
         """The stored stage, built where it is missing."""
@@ -100,16 +142,16 @@ class Store:
         found = self.read(stage, name, key)
         return self.write(build(), stage, name, key) if found is None else found
 
-    def table(self, stage: int, name: str, key: str) -> Appended:
-        return Appended(self, self.path(stage, name, key))
+    def table(self, stage: int, name: str, key: str, kind: str = "parquet") -> Appended:
+        return Appended(self, self.path(stage, name, key, kind))
 
     def write_json(self, x: Any, stage: int, name: str, key: str) -> None:
-        text = json.dumps(plain(x), sort_keys=True)
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self.path(stage, name, key, "json"))
+        table = self.table(stage, name, key, "json")
+        self.spark.createDataFrame([(json.dumps(plain(x), sort_keys=True),)], "value string").coalesce(1).write.text(table.part(table.claim()))
 
     def read_json(self, stage: int, name: str, key: str) -> Any:
-        path = self.path(stage, name, key, "json")
-        return json.loads("".join(r["value"] for r in self.spark.read.text(path).collect())) if self.has(path) else None
+        path = self._newest(self.path(stage, name, key, "json"))
+        return json.loads("".join(r["value"] for r in self.spark.read.text(path).collect())) if path else None
 
     def invalidate(self, from_stage: int) -> list[str]:
         """Delete the folders of a stage and all later ones; returns what went."""

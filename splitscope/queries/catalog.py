@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import finite
-from ..operators import analysis, associations, descriptors, external, features, followups, gaps, irregularity, predictive, redundancy, sensitivity
+from ..operators import analysis, associations, classwise, descriptors, external, features, followups, gaps, irregularity, predictive, redundancy, sensitivity
 from ..plans.store import content_hash, failures, patch_absent_categories, with_identity
 from ..schemas import BASIC, GROUP, SPLIT
 from ..sources.metadata import metadata_of, problem_types_payload, sample_datasets, splits_of, without_problem_types
 from ..sources.results import decode_splits, select_results
-from ..sources.splits import SplitRows, repeated_samples
+from ..sources.splits import repeated_samples
 from . import inputs, twins
 from .inputs import COMPARISONS, FAMILIES, MAIN
 
@@ -52,7 +52,7 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basic descriptors and the irregularity components that are aggregates.  The components go to six digits here: z-scores of a component
     that hardly varies would blow up the engines' last bits."""
     sr = inputs.train_splits(spark, sf_dir)
-    profile = descriptors.profiles(sr.cells())
+    profile = descriptors.profiles(sr)
     return descriptors.basic(sr, profile).join(irregularity.profile_components(profile), SPLIT, "left").select(*SPLIT, *BASIC, *(F.round(c, 6).alias(c) for c in PARTS))
 
 
@@ -166,8 +166,7 @@ def results_by_method(spark, sf_dir):
 
 @query(f"""WITH {twins.ROWS} SELECT dataset, repeat, fold, sha2 AS identity FROM (SELECT DISTINCT dataset, repeat, fold, sha256('{content_hash({"set": "basic"})}|' || problem_type) AS sha2 FROM train)""")
 def split_identity(spark, sf_dir):
-    rows = inputs.train_splits(spark, sf_dir).rows.select(*SPLIT, "problem_type").distinct()
-    return with_identity(rows, {"set": "basic"}, "problem_type").drop("problem_type")
+    return with_identity(inputs.train_splits(spark, sf_dir).keys(), {"set": "basic"}, "kind").drop("kind")
 
 
 @query("""SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'basic' ELSE 'pymfe' END AS feature_set, CASE WHEN l_linenumber % 2 = 0 THEN 'no value' ELSE 'timeout' END AS reason, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL""")
@@ -192,7 +191,7 @@ _COUNTS = ("n", "d", "n_num_features", "n_cat_features", "n_classes")
 @query(_described_sql("d_size", _SIZE, _COUNTS))
 def desc_size(spark, sf_dir):
     sr = inputs.train_splits(spark, sf_dir)
-    return descriptors.size(descriptors.split_rows(sr), descriptors.of_profile(descriptors.presence(sr.cells()))).select(*SPLIT, *_SIZE)
+    return descriptors.size(descriptors.split_rows(sr), descriptors.of_profile(descriptors.presence(sr))).select(*SPLIT, *_SIZE)
 
 
 @query(_described_sql("d_target", ["n_classes", "class_entropy", "majority_class_fraction", "minority_class_fraction", "class_imbalance_ratio"], _COUNTS))
@@ -200,8 +199,8 @@ def desc_target(spark, sf_dir):
     return descriptors.target(inputs.train_splits(spark, sf_dir))
 
 
-def _found(spark, sf_dir, *columns: str) -> DataFrame:
-    return descriptors.of_profile(descriptors.profiles(inputs.train_splits(spark, sf_dir).cells())).select(*SPLIT, *columns)
+def _found(spark, sf_dir, *columns: str, shape: bool = False) -> DataFrame:
+    return descriptors.of_profile(descriptors.profiles(inputs.train_splits(spark, sf_dir), shape)).select(*SPLIT, *columns)
 
 
 _CARD = ["mean_cat_cardinality", "max_cat_cardinality", "high_cardinality_fraction"]
@@ -218,12 +217,12 @@ def desc_cardinality(spark, sf_dir):
 @query(_described_sql("d_missing", ["row_missing_fraction", *_MISSING]))
 def desc_missing(spark, sf_dir):
     sr = inputs.train_splits(spark, sf_dir)
-    return descriptors.split_rows(sr).drop("n").join(descriptors.of_profile(descriptors.presence(sr.cells())).select(*SPLIT, *_MISSING), SPLIT)
+    return descriptors.split_rows(sr).drop("n").join(descriptors.of_profile(descriptors.presence(sr)).select(*SPLIT, *_MISSING), SPLIT)
 
 
 @query(_described_sql("d_shape", _SHAPE))
 def desc_shape(spark, sf_dir):
-    return _found(spark, sf_dir, *_SHAPE)
+    return _found(spark, sf_dir, *_SHAPE, shape=True)
 
 
 @query(_described_sql("d_info", _INFO))
@@ -238,7 +237,7 @@ def desc_basic(spark, sf_dir):
 
 @query(_described_sql("d_irreg", PARTS))
 def irregularity_parts(spark, sf_dir):
-    return irregularity.profile_components(descriptors.profiles(inputs.train_splits(spark, sf_dir).cells()))
+    return irregularity.profile_components(descriptors.profiles(inputs.train_splits(spark, sf_dir)))
 
 
 @query()
@@ -256,7 +255,7 @@ s AS (SELECT dataset, repeat, fold, avg(r) AS mean_abs_corr, max(r) AS max_abs_c
 SELECT dataset, repeat, fold, {twins.r6("mean_abs_corr max_abs_corr high_corr_pair_fraction")} FROM s""")
 def corr_summary(spark, sf_dir):
     sr = inputs.train_splits(spark, sf_dir)
-    return redundancy.correlation_summary(redundancy.correlations(sr, redundancy.varying_features(descriptors.profiles(sr.cells()))))
+    return redundancy.correlation_summary(redundancy.correlations(sr, redundancy.varying_features(descriptors.profiles(sr, shape=False))))
 
 
 @query()
@@ -269,12 +268,74 @@ def external_descriptors(spark, sf_dir):
     return external.external(inputs.train_splits(spark, sf_dir), summaries=external.SUMMARIES)
 
 
+_K3 = ", ".join(SPLIT)
+_ENTROPY = "log2(sum(k)) - sum(k * log2(k)) / sum(k)"
+_CONTINGENCY = f"""{twins.ROWS},
+met AS (SELECT {_K3}, 'linestatus' AS feature, linestatus AS v, y FROM train WHERE problem_type <> 'regression' UNION ALL SELECT {_K3}, 'brand', brand, y FROM train WHERE problem_type <> 'regression'),
+c AS (SELECT {_K3}, feature, v, y, count(*) AS k FROM met WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+cx AS (SELECT {_K3}, feature, v, sum(k) AS k, sum(k * k) AS s FROM c GROUP BY ALL),
+cy AS (SELECT {_K3}, feature, y, sum(k) AS k FROM c GROUP BY ALL),
+hj AS (SELECT {_K3}, feature, {_ENTROPY} AS joint_ent FROM c GROUP BY ALL),
+hx AS (SELECT {_K3}, feature, {_ENTROPY} AS attr, sum(s / k) / sum(k) AS held FROM cx GROUP BY ALL),
+hy AS (SELECT {_K3}, feature, {_ENTROPY} AS h, sum(k * k) / (sum(k) * sum(k)) AS guess FROM cy GROUP BY ALL),
+told AS (SELECT {_K3}, feature, attr, joint_ent, attr + h - joint_ent AS mut_inf, (held - guess) / nullif(1 - guess, 0) AS class_conc FROM hj JOIN hx USING ({_K3}, feature) JOIN hy USING ({_K3}, feature)),
+ys AS (SELECT {_K3}, y, count(*) AS k FROM train WHERE problem_type <> 'regression' AND y IS NOT NULL GROUP BY ALL),
+own AS (SELECT {_K3}, {_ENTROPY} AS class_ent FROM ys GROUP BY ALL)"""
+
+
+@query(f"WITH {_CONTINGENCY} SELECT {_K3}, feature, {twins.r6('joint_ent mut_inf class_conc')} FROM told")
+def class_association(spark, sf_dir):
+    """What each categorical column shares with the class."""
+    return classwise.information(classwise.contingency(inputs.train_splits(spark, sf_dir))).select(*SPLIT, "feature", *classwise.INFORMATION)
+
+
+@query(f"""WITH {_CONTINGENCY}, m AS (SELECT {_K3}, avg(mut_inf) AS told, avg(attr) AS held FROM told GROUP BY ALL),
+s AS (SELECT {_K3}, class_ent, class_ent / nullif(told, 0) AS eq_num_attr, (held - told) / nullif(told, 0) AS ns_ratio FROM own LEFT JOIN m USING ({_K3}))
+SELECT {_K3}, {twins.r6("class_ent eq_num_attr ns_ratio")} FROM s""")
+def class_information(spark, sf_dir):
+    sr = inputs.train_splits(spark, sf_dir)
+    return classwise.class_information(classwise.information(classwise.contingency(sr)), classwise.class_counts(sr))
+
+
+_SCATTER = ["gravity", "lh_trace", "nr_disc", "p_trace", "roy_root", "sd_ratio", "w_lambda", "can_cor_mean"]
+
+
+@query(f"""WITH {twins.ROWS}, t AS (SELECT {_K3}, y, quantity AS a, price AS b FROM train WHERE problem_type <> 'regression' AND y IS NOT NULL AND quantity IS NOT NULL AND price IS NOT NULL),
+g AS (SELECT {_K3}, y, count(*) AS n, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) * count(*) AS aa, covar_pop(b, b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab FROM t GROUP BY ALL),
+o AS (SELECT {_K3}, avg(a) AS oa, avg(b) AS ob FROM t GROUP BY ALL),
+w AS (SELECT {_K3}, count(*) AS q, sum(n) AS n, sum(aa) AS w11, sum(bb) AS w22, sum(ab) AS w12, sum(n * (ma - oa) ** 2) AS b11, sum(n * (mb - ob) ** 2) AS b22, sum(n * (ma - oa) * (mb - ob)) AS b12,
+  sum(n - 1) AS free, sum(1.0 / (n - 1)) AS inverse, sum((n - 1) * ln((aa * bb - ab * ab) / (n - 1) ** 2)) AS own,
+  arg_max(ma, struct_pack(n := n, y := y)) AS xa, arg_max(mb, struct_pack(n := n, y := y)) AS xb, arg_min(ma, struct_pack(n := n, y := y)) AS ya, arg_min(mb, struct_pack(n := n, y := y)) AS yb
+  FROM g JOIN o USING ({_K3}) GROUP BY {_K3}),
+d AS (SELECT *, w11 * w22 - w12 * w12 AS dw, (w22 * b11 - 2 * w12 * b12 + w11 * b22) / (w11 * w22 - w12 * w12) AS tr, (b11 * b22 - b12 * b12) / (w11 * w22 - w12 * w12) AS det FROM w),
+l AS (SELECT *, (tr + sqrt(greatest(0.0, tr * tr - 4 * det))) / 2 AS l1, greatest(0.0, (tr - sqrt(greatest(0.0, tr * tr - 4 * det))) / 2) AS l2 FROM d WHERE q > 2),
+s AS (SELECT {_K3}, sqrt((xa - ya) ** 2 + (xb - yb) ** 2) AS gravity, l1 + l2 AS lh_trace, 2.0 AS nr_disc, l1 / (1 + l1) + l2 / (1 + l2) AS p_trace, l1 AS roy_root,
+  exp((1 - 13.0 / (18 * (q - 1)) * (inverse - 1.0 / (n - q))) * (free * ln(dw / (n - q) ** 2) - own) / (2 * free)) AS sd_ratio, 1 / ((1 + l1) * (1 + l2)) AS w_lambda, (sqrt(l1 / (1 + l1)) + sqrt(l2 / (1 + l2))) / 2 AS can_cor_mean FROM l)
+SELECT {_K3}, {twins.r6(_SCATTER)} FROM s""")
+def class_scatter(spark, sf_dir):
+    """On two columns, where the eigenvalues have a closed form."""
+    sr = replace(inputs.train_splits(spark, sf_dir), features=["quantity", "price"])
+    found = classwise.class_scatter(classwise.class_products(sr))
+    mean = F.aggregate("can_cor", F.lit(0.0), lambda s, x: s + x) / F.size("can_cor")
+    return found.withColumn("can_cor_mean", mean).select(*SPLIT, *_SCATTER)
+
+
+@query(f"""WITH {twins.CELLS}, g AS (SELECT {_K3}, CAST(n_values AS DOUBLE) AS n, n_distinct, skew * (n_values - 2) / sqrt(CAST(n_values AS DOUBLE) * (n_values - 1)) AS g1, (kurt * (n_values - 2) * (n_values - 3) / (n_values - 1) - 6) / (n_values + 1) + 3 AS b2 FROM profile WHERE kind = 'num'),
+s AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+  (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM g WHERE n >= 8 AND n_distinct > 1),
+a AS (SELECT *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS a FROM s),
+z AS (SELECT {_K3}, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM a)
+SELECT {_K3}, round(CAST(coalesce(sum(CASE WHEN exp(-(z1 * z1 + z2 * z2) / 2) >= 0.05 THEN 1 ELSE 0 END), 0) AS DOUBLE), 6) AS nr_norm FROM (SELECT DISTINCT {_K3} FROM g) LEFT JOIN z USING ({_K3}) GROUP BY ALL""")
+def normal_columns(spark, sf_dir):
+    return classwise.normal_columns(descriptors.profiles(inputs.train_splits(spark, sf_dir)))
+
+
 @query(f"""WITH {twins.DESCRIPTORS} SELECT {", ".join(SPLIT)}, CAST(0 AS BIGINT) AS n_cat_features, 0.0::DOUBLE AS mean_cat_cardinality, 0.0::DOUBLE AS cat_missing_fraction, round(avg(missing), 6) + 0.0 AS missing_fraction
 FROM profile WHERE kind = 'num' GROUP BY ALL""")
 def cat_absence_patch(spark, sf_dir):
     """Splits without a categorical column."""
     sr = inputs.train_splits(spark, sf_dir)
-    numbers = SplitRows(sr.rows, sr.numeric, sr.target, sr.problem_type)
+    numbers = replace(sr, features=sr.numeric)
     return patch_absent_categories(descriptors.basic(numbers)).select(*SPLIT, "n_cat_features", "mean_cat_cardinality", "cat_missing_fraction", "missing_fraction")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Analysis, Comparison, Family
 from ..sources.results import select_results
-from ..sources.splits import SplitRows, training_rows
+from ..sources.splits import FoldedRows, SplitRows, folded_rows
 
 LEFT = Family("left", frozenset({"c0", "c1"}), "left family")
 RIGHT = Family("right", frozenset({"c2", "c3"}), "right family")
@@ -51,7 +51,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size.select(F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("dataset"), F.col("p_size").cast("long").alias("tid"), kind.alias("problem_type"), F.lit(3).alias("n_repeats"), F.lit(3).alias("n_folds"))
 
 
-def train_splits(spark: SparkSession, sf_dir: str) -> SplitRows:
+def train_splits(spark: SparkSession, sf_dir: str) -> FoldedRows:
     """A row trains every split whose fold differs from its own; repeats cut the folds anew."""
     from ..sources.metadata import splits_of
 
@@ -60,8 +60,8 @@ def train_splits(spark: SparkSession, sf_dir: str) -> SplitRows:
         "dataset", "l_orderkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.nullif(F.col("l_discount"), F.lit(0.0)).alias("discount"), F.col("l_tax").alias("tax"),
         F.col("l_linestatus").alias("linestatus"), F.when(F.col("l_linenumber") != 7, F.col("p_brand")).alias("brand"), F.col("l_returnflag").alias("y"),
     )
-    own = F.pmod(F.floor(F.col("l_orderkey") / F.pow(F.lit(3), F.col("repeat"))).cast("long"), F.lit(3))
-    return training_rows(rows, splits_of(metadata(spark, sf_dir)).drop("tid"), own != F.col("fold"), FEATURES, "y")
+    folds = [F.pmod(F.floor(F.col("l_orderkey") / 3**r).cast("long"), F.lit(3)) for r in range(3)]
+    return folded_rows(rows, splits_of(metadata(spark, sf_dir)).drop("tid"), folds, 3, FEATURES, "y")
 
 
 def wide_splits(spark: SparkSession, sf_dir: str) -> SplitRows:
