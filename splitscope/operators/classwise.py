@@ -182,7 +182,8 @@ def normality_p(n: Column, skew: Column, kurt: Column) -> Column:
     return F.when(n >= 8, F.exp(-(z1 * z1 + z2 * z2) / 2))
 
 
-def normal_columns(profile: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """``split, nr_norm``: numeric columns that do not depart from a normal distribution; a constant one does."""
-    numbers = profile.where("kind = 'num'").withColumn("p", F.when(F.col("n_distinct") > 1, normality_p(F.col("n_values"), F.col("skew"), F.col("kurt"))))
-    return numbers.groupBy(*SPLIT).agg(F.sum((F.coalesce("p", F.lit(0.0)) >= alpha).cast("double")).alias("nr_norm"))
+def normal_count(alpha: float = 0.05) -> Column:
+    """``nr_norm`` as an aggregate over a profile: numeric columns that do not depart from a normal distribution; a constant one does."""
+    numbers = (F.col("kind") == "num") & (F.col("n_distinct") > 1)
+    p = F.when(numbers, normality_p(F.col("n_values"), F.col("skew"), F.col("kurt")))
+    return F.sum((F.coalesce(p, F.lit(0.0)) >= alpha).cast("double")).alias("nr_norm")

@@ -116,12 +116,12 @@ def _sums(v: Values, ranged: DataFrame) -> DataFrame:
     x, n = F.col("num"), F.col("n")
     slots = ranged.select(*v.unit, "feature", "part", "num", "centre", F.posexplode("k").alias("place", "n")).where("n > 0")
     power = [F.sum(n * F.pow(z, F.lit(float(p)))).alias(f"s{p}") for p in (1, 2, 3, 4)]
-    own = slots.groupBy(*v.unit, "feature", "part", "place").agg(F.sum("n").alias("n"), *power, F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zeros"), F.sum(F.when(x > 0, n / x)).alias("inverse"))
+    own = slots.groupBy(*v.unit, "feature", "part", "place").agg(F.sum("n").alias("n"), *power, F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zeros"), F.sum(F.when(x > 0, n / x)).alias("inverse"), F.max("centre").alias("centre"))
     return own.withColumn("split", F.explode(v.splits_of("place"))).groupBy(*v.unit, "feature", "part", "split").agg(*_add())
 
 
 def _add() -> list[Column]:
-    return [*(F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "zeros", "inverse")), F.min("low").alias("low"), F.max("high").alias("high")]
+    return [*(F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "zeros", "inverse")), F.min("low").alias("low"), *(F.max(c).alias(c) for c in ("high", "centre"))]
 
 
 def _quartiles(v: Values, ranged: DataFrame, sums: DataFrame) -> DataFrame:
@@ -134,32 +134,32 @@ def _quartiles(v: Values, ranged: DataFrame, sums: DataFrame) -> DataFrame:
     found = sums.withColumns({"all": F.sum("n").over(by), "after": F.sum("n").over(upto)})
     places = F.array(*(F.struct(F.lit(2 * i + j).alias("which"), f((F.col("all") - 1) * p).cast("long").alias("at")) for i, p in enumerate(QUARTILES) for j, f in enumerate((F.floor, F.ceil))))
     goal = found.withColumn("goal", F.explode(places)).where((F.col("goal.at") < F.col("after")) & (F.col("goal.at") >= F.col("after") - F.col("n")))
-    rest = F.struct("split", F.col("goal.which").alias("which"), (F.col("goal.at") - F.col("after") + F.col("n")).alias("rest"))
+    rest = F.struct("split", F.col("goal.which").alias("which"), (F.col("goal.at") - F.col("after") + F.col("n")).alias("rest"), F.col("all").alias("n"))
     goals = goal.groupBy(*v.unit, "feature", "part").agg(F.collect_list(rest).alias("goals"))  # at most six for each split
     order = Window.partitionBy(*v.unit, "feature", "part").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = ranged.join(goals, [*v.unit, "feature", "part"]).withColumn("w", F.array(*v.weights())).withColumn("up", F.array(*(F.sum(w).over(order) for w in v.weights())))
     met = lambda g: (F.col("up")[g["split"]] > g["rest"]) & (F.col("up")[g["split"]] - F.col("w")[g["split"]] <= g["rest"])
     hits = near.select(*v.unit, "feature", "num", F.inline(F.filter("goals", met)))
-    values = hits.groupBy(*v.unit, "feature", "split").agg(*(F.max(F.when(F.col("which") == i, F.col("num"))).alias(f"v{i}") for i in range(2 * len(QUARTILES))))
-    size = sums.groupBy(*v.unit, "feature", "split").agg(F.sum("n").alias("n"))
+    values = hits.groupBy(*v.unit, "feature", "split").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("which") == i, F.col("num"))).alias(f"v{i}") for i in range(2 * len(QUARTILES))))
 
     def quartile(i: int, p: float) -> Column:
         place = (F.col("n") - 1) * p
         return F.col(f"v{2 * i}") + (F.col(f"v{2 * i + 1}") - F.col(f"v{2 * i}")) * (place - F.floor(place))
 
     names = ("q1", "mid", "q3")
-    return values.join(size, [*v.unit, "feature", "split"]).select(*v.unit, "feature", "split", *(quartile(i, p).alias(c) for i, (p, c) in enumerate(zip(QUARTILES, names, strict=True))))
+    return values.select(*v.unit, "feature", "split", *(quartile(i, p).alias(c) for i, (p, c) in enumerate(zip(QUARTILES, names, strict=True))))
 
 
 def _outside(v: Values, ranged: DataFrame, quartiles: DataFrame) -> DataFrame:
-    """``unit, feature, split, outside``: values beyond 1.5 quartile ranges from the quartiles."""
+    """``quartiles`` with ``outside``: the values beyond 1.5 quartile ranges from them."""
     wide = 1.5 * (F.col("q3") - F.col("q1"))
-    fence = F.struct((F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    fence = F.struct("q1", "mid", "q3", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
     fences = quartiles.groupBy(*v.unit, "feature").agg(F.map_from_entries(F.collect_list(F.struct("split", fence))).alias("fences"))  # one for each split
     at = lambda s: F.try_element_at("fences", F.lit(s))
     beyond = lambda s, w: F.sum(F.when((F.col("num") < at(s)["low"]) | (F.col("num") > at(s)["high"]), w).otherwise(0))
-    one = ranged.join(fences, [*v.unit, "feature"]).groupBy(*v.unit, "feature").agg(F.array(*(beyond(s, w) for s, w in enumerate(v.weights()))).alias("out"))
-    return one.select(*v.unit, "feature", F.posexplode("out").alias("split", "outside"))
+    one = ranged.join(fences, [*v.unit, "feature"]).groupBy(*v.unit, "feature").agg(F.array(*(beyond(s, w) for s, w in enumerate(v.weights()))).alias("out"), F.first("fences").alias("fences"))
+    each = one.select(*v.unit, "feature", "fences", F.posexplode("out").alias("split", "outside")).withColumn("f", F.try_element_at("fences", F.col("split")))
+    return each.select(*v.unit, "feature", "split", "outside", *(F.col("f")[c].alias(c) for c in ("q1", "mid", "q3")))
 
 
 def profiles(source: SplitRows | DataFrame, shape: bool = True) -> DataFrame:
@@ -175,9 +175,9 @@ def profiles(source: SplitRows | DataFrame, shape: bool = True) -> DataFrame:
         return wanted(source, v.named(one).select(*SPLIT, "feature", "kind", *plain, missing))
     ranged = _ranged(v, counted)
     sums = _sums(v, ranged)
-    quartiles = _quartiles(v, ranged, sums)
+    outside = _outside(v, ranged, _quartiles(v, ranged, sums))
     by = [*v.unit, "feature", "split"]
-    total = sums.groupBy(*by).agg(*_add()).join(counted.select(*v.unit, "feature", "centre"), [*v.unit, "feature"])
+    total = sums.groupBy(*by).agg(*_add())
     n, d = F.col("n").cast("double"), F.try_divide(F.col("s1"), F.col("n"))
     flat = F.col("low") == F.col("high")
     s2, s3, s4 = (F.col(f"s{p}") for p in (2, 3, 4))
@@ -190,7 +190,7 @@ def profiles(source: SplitRows | DataFrame, shape: bool = True) -> DataFrame:
         *by, F.when(n >= 3, skew).alias("skew"), F.when(n >= 4, kurt).alias("kurt"), F.when(n >= 2, F.sqrt(m2 / (n - 1))).alias("std"), F.sqrt(m2 / n).alias("std_pop"), "mean", "low", "high", "zeros",
         F.when(F.col("low") > 0, F.col("n") / F.col("inverse")).alias("hmean"),
     )
-    out = one.join(numbers, by, "left").join(quartiles, by, "left").join(_outside(v, ranged, quartiles), by, "left")
+    out = one.join(numbers, by, "left").join(outside, by, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return wanted(source, v.named(out).select(*SPLIT, "feature", "kind", *plain, missing, "skew", "kurt", "std", "std_pop", "mean", "low", "high", zero("zeros"), "q1", "mid", "q3", "hmean", zero("outside")))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_number, sample_kurtosis, sample_skewness
 from ..schemas import SPLIT
 from ..sources.splits import SplitRows
-from .classwise import INFORMATION, SCATTER, SINGLE_INFORMATION, class_counts, class_information, class_products, class_scatter, contingency, information, normal_columns
+from .classwise import INFORMATION, SCATTER, SINGLE_INFORMATION, class_counts, class_information, class_products, class_scatter, contingency, information, normal_count
 from .descriptors import profiles, split_rows, value_counts
 from .pairs import MAX_FEATURES, moments
 
@@ -40,7 +40,8 @@ ATTRIBUTE = ("g_mean", "h_mean", "iq_range", "kurtosis", "mad", "max", "mean", "
 PAIRED = ("cor", "cov")
 MATRIX = ("eigenvalues",)
 ANY_ATTRIBUTE = ("sparsity",)
-SINGLE_STATISTICAL = ("nr_cor_attr", "nr_norm", "nr_outliers", *SCATTER)
+SHAPE_COUNTS = ("nr_norm", "nr_outliers")
+SINGLE_STATISTICAL = ("nr_cor_attr", *SHAPE_COUNTS, *SCATTER)
 CLASS_ARRAYS = ("can_cor",)
 STATISTICAL = (*ATTRIBUTE, *PAIRED, *MATRIX, *ANY_ATTRIBUTE, *CLASS_ARRAYS)
 GENERAL = ("attr_to_inst", "inst_to_attr", "nr_attr", "nr_bin", "nr_cat", "nr_inst", "nr_num", "num_to_cat", "cat_to_num")
@@ -91,7 +92,7 @@ def prepared(sr: SplitRows) -> DataFrame:
 
 
 def per_attribute(profile: DataFrame, counts: DataFrame) -> DataFrame:
-    """``split, feature, stat, value``: the statistics of every numeric column, from its profile and value counts."""
+    """``split, feature, stat, value``: the statistics of every numeric column and the sparsity of every column, from profile and value counts."""
     x, k, n = F.col("num"), F.col("k"), F.col("n_values")
     known = counts.where("num is not null").join(profile.where("kind = 'num'").select(*SPLIT, "feature", "mid", "n_values"), [*SPLIT, "feature"])
     w = Window.partitionBy(*SPLIT, "feature").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -105,15 +106,11 @@ def per_attribute(profile: DataFrame, counts: DataFrame) -> DataFrame:
         F.try_divide(F.sum(inside * x), F.sum(inside)).alias("t_mean"), (1.4826 * (at(F.floor(place)) + at(F.ceil(place))) / 2).alias("mad"),
         F.when(F.min(x) > 0, F.exp(F.try_divide(F.sum(k * F.ln(x)), F.sum(k)))).when(F.min(x) == 0, F.lit(0.0)).alias("g_mean"),
     )
-    p = profile.where("kind = 'num' and n_values > 0")
-    wide = p.join(more, [*SPLIT, "feature"]).withColumns({"iq_range": F.col("q3") - F.col("q1"), "median": F.col("mid"), "range": F.col("high") - F.col("low"), "max": F.col("high"), "min": F.col("low"), "sd": F.col("std"), "var": F.col("std") * F.col("std"), "kurtosis": F.col("kurt"), "skewness": F.col("skew"), "h_mean": F.col("hmean")})
-    return wide.select(*SPLIT, "feature", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in ATTRIBUTE))))
-
-
-def sparsity(profile: DataFrame) -> DataFrame:
-    """``split, feature, stat, value``: how many rows share a value on average, from 0 (all differ) to 1 (all alike)."""
-    value = F.try_divide(F.try_divide(F.col("n_values"), F.col("n_distinct")) - 1, F.col("n_values") - 1)
-    return profile.where("n_values > 0").select(*SPLIT, "feature", F.lit("sparsity").alias("stat"), value.alias("value"))
+    repeats = F.try_divide(F.try_divide(F.col("n_values"), F.col("n_distinct")) - 1, F.col("n_values") - 1)  # 0: all values differ, 1: all are alike
+    own = {"iq_range": F.col("q3") - F.col("q1"), "median": F.col("mid"), "range": F.col("high") - F.col("low"), "max": F.col("high"), "min": F.col("low"), "sd": F.col("std"), "var": F.col("std") * F.col("std"), "kurtosis": F.col("kurt"), "skewness": F.col("skew"), "h_mean": F.col("hmean")}
+    wide = profile.where("n_values > 0").join(more, [*SPLIT, "feature"], "left").withColumns(own | {"sparsity": repeats})
+    values = F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in (*ATTRIBUTE, *ANY_ATTRIBUTE)))
+    return wide.select(*SPLIT, "feature", "kind", F.inline(values)).where((F.col("kind") == "num") | F.col("stat").isin(*ANY_ATTRIBUTE)).drop("kind")
 
 
 def attribute_entropy(counts: DataFrame) -> DataFrame:
@@ -173,11 +170,9 @@ def components(values: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select(*SPLIT, F.inline(F.array(*(F.struct(F.lit(PREFIX + t).alias("column"), F.col(t).cast("double").alias("value")) for t in COMPLEXITY))))
 
 
-def single_statistics(profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``split, column, value``: share of correlated pairs, and number of numeric columns with values beyond 1.5 quartile ranges."""
-    related = pairs.where("stat = 'cor'").groupBy(*SPLIT).agg(F.avg((F.coalesce("value", F.lit(0.0)) >= RELATED).cast("double")).alias("value")).select(*SPLIT, F.lit(PREFIX + "nr_cor_attr").alias("column"), "value")
-    out = profile.where("kind = 'num'").groupBy(*SPLIT).agg(F.sum((F.col("outside") > 0).cast("double")).alias("value")).select(*SPLIT, F.lit(PREFIX + "nr_outliers").alias("column"), "value")
-    return related.unionByName(out)
+def related_pairs(pairs: DataFrame) -> DataFrame:
+    """``split, nr_cor_attr``: the share of correlated pairs."""
+    return pairs.where("stat = 'cor'").groupBy(*SPLIT).agg(F.avg((F.coalesce("value", F.lit(0.0)) >= RELATED).cast("double")).alias("nr_cor_attr"))
 
 
 def summarise(values: DataFrame, summaries: Sequence[str]) -> DataFrame:
@@ -202,14 +197,16 @@ def summarise(values: DataFrame, summaries: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).select(*SPLIT, F.concat(F.lit(PREFIX), "stat", F.lit("."), "summary").alias("column"), "value")
 
 
-def general(sr: SplitRows, profile: DataFrame) -> DataFrame:
-    """``split, column, value`` of counts and ratios; a binary feature has exactly two values."""
+def general(sr: SplitRows, profile: DataFrame, shape: bool = False) -> DataFrame:
+    """``split, column, value`` of counts and ratios; a binary feature has exactly two values.  With ``shape`` also the numbers of normal columns and of
+    those with values beyond 1.5 quartile ranges: one look at the profile for all."""
     flag = lambda c: F.sum(c.cast("double"))
-    one = profile.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_attr"), flag(F.col("n_distinct") == 2).alias("nr_bin"), flag(F.col("kind") == "cat").alias("nr_cat"), flag(F.col("kind") == "num").alias("nr_num"))
-    rows = split_rows(sr).select(*SPLIT, F.col("n").cast("double").alias("nr_inst")).join(one, SPLIT)
+    counts = [F.count(F.lit(1)).cast("double").alias("nr_attr"), flag(F.col("n_distinct") == 2).alias("nr_bin"), flag(F.col("kind") == "cat").alias("nr_cat"), flag(F.col("kind") == "num").alias("nr_num")]
+    more = [flag((F.col("kind") == "num") & (F.col("outside") > 0)).alias("nr_outliers"), normal_count()] if shape else []
+    rows = split_rows(sr).select(*SPLIT, F.col("n").cast("double").alias("nr_inst")).join(profile.groupBy(*SPLIT).agg(*counts, *more), SPLIT)
     div = lambda a, b: F.try_divide(F.col(a), F.col(b))
     rows = rows.withColumns({"attr_to_inst": div("nr_attr", "nr_inst"), "inst_to_attr": div("nr_inst", "nr_attr"), "num_to_cat": div("nr_num", "nr_cat"), "cat_to_num": div("nr_cat", "nr_num")})
-    return rows.select(*SPLIT, F.inline(F.array(*(F.struct(F.lit(PREFIX + f).alias("column"), F.col(f).alias("value")) for f in GENERAL))))
+    return _named(rows, (*GENERAL, *SHAPE_COUNTS) if shape else GENERAL)
 
 
 def _named(table: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -230,18 +227,18 @@ def external(sr: SplitRows, groups: Sequence[str] = ("general", "statistical", "
     profile = profiles(sr) if profile is None else profile
     counts = value_counts(sr)
     products = moments(sr, whole=True)
-    parts = []
+    parts = [general(sr, profile, "statistical" in groups)] if {"general", "statistical"} & set(groups) else []
     if "general" in groups:
         classes = class_counts(sr)
         n = F.sum("k").over(Window.partitionBy(*SPLIT))
         shares = classes.select(*SPLIT, F.col("y").alias("feature"), F.lit("freq_class").alias("stat"), (F.col("k") / n).alias("value"))
-        parts += [general(sr, profile), summarise(shares, summaries), _named(classes.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_class")), ("nr_class",))]
+        parts += [summarise(shares, summaries), _named(classes.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_class")), ("nr_class",))]
     if "statistical" in groups:
         pairs = paired(products)
         apart = class_scatter(class_products(sr))
         roots = apart.select(*SPLIT, F.posexplode("can_cor").alias("at", "value")).select(*SPLIT, F.concat(F.lit("c"), "at").alias("feature"), F.lit("can_cor").alias("stat"), "value")
-        found = (per_attribute(profile, counts), sparsity(profile), pairs, eigenvalues(products), roots)
-        parts += [summarise(reduce(DataFrame.unionByName, found), summaries), single_statistics(profile, pairs), _named(apart, SCATTER), _named(normal_columns(profile), ("nr_norm",))]
+        found = (per_attribute(profile, counts), pairs, eigenvalues(products), roots)
+        parts += [summarise(reduce(DataFrame.unionByName, found), summaries), _named(related_pairs(pairs), ("nr_cor_attr",)), _named(apart, SCATTER)]
     if "info-theory" in groups:
         told = information(contingency(sr))
         shared = told.select(*SPLIT, "feature", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in INFORMATION))))

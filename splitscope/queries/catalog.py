@@ -327,7 +327,7 @@ a AS (SELECT *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS a FROM s),
 z AS (SELECT {_K3}, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM a)
 SELECT {_K3}, round(CAST(coalesce(sum(CASE WHEN exp(-(z1 * z1 + z2 * z2) / 2) >= 0.05 THEN 1 ELSE 0 END), 0) AS DOUBLE), 6) AS nr_norm FROM (SELECT DISTINCT {_K3} FROM g) LEFT JOIN z USING ({_K3}) GROUP BY ALL""")
 def normal_columns(spark, sf_dir):
-    return classwise.normal_columns(descriptors.profiles(inputs.train_splits(spark, sf_dir)))
+    return descriptors.profiles(inputs.train_splits(spark, sf_dir)).groupBy(*SPLIT).agg(classwise.normal_count())
 
 
 @query(f"""WITH {twins.DESCRIPTORS} SELECT {", ".join(SPLIT)}, CAST(0 AS BIGINT) AS n_cat_features, 0.0::DOUBLE AS mean_cat_cardinality, 0.0::DOUBLE AS cat_missing_fraction, round(avg(missing), 6) + 0.0 AS missing_fraction
