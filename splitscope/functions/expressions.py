@@ -115,8 +115,3 @@ def resample_index(n: Column, *key: Column) -> Column:
     """A position from 0 to n - 1, drawn by the hash of the key: the same in every engine that has md5."""
     text = F.concat_ws("|", *(k.cast("string") for k in key))
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n.cast("long"))
-
-
-def population_z(x: Column, w) -> Column:
-    """z-score over a window with the population deviation; NULL if that is zero."""
-    return (x - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0))

@@ -258,6 +258,27 @@ def corr_summary(spark, sf_dir):
     return redundancy.correlation_summary(redundancy.correlations(sr, redundancy.varying_features(descriptors.profiles(sr, shape=False))))
 
 
+@query(f"""WITH {twins.ROWS}, s AS (SELECT {", ".join(SPLIT)}, stddev_pop(quantity) AS sa, stddev_pop(discount) AS sd FROM train GROUP BY ALL),
+w AS (SELECT {", ".join(SPLIT)}, var_samp(quantity) AS a, var_samp(discount) AS d, covar_samp(quantity, discount) AS b FROM train WHERE quantity IS NOT NULL AND discount IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+c AS (SELECT {", ".join(SPLIT)}, a / (sa * sa) AS a, d / (sd * sd) AS d, b / (sa * sd) AS b FROM w JOIN s USING ({", ".join(SPLIT)})),
+e AS (SELECT {", ".join(SPLIT)}, (a + d - sqrt((a - d) ** 2 + 4 * b * b)) / 2 AS irreg_min_cov_eig FROM c)
+SELECT {", ".join(SPLIT)}, {twins.r6("irreg_min_cov_eig")} FROM e""")
+def smallest_eigenvalue(spark, sf_dir):
+    """On two columns, one with missing values, where it has a closed form."""
+    sr = replace(inputs.train_splits(spark, sf_dir), features=["quantity", "discount"])
+    return irregularity.smallest_eigenvalue(sr, descriptors.profiles(sr))
+
+
+@query(f"""WITH {twins.ROWS}, met AS (SELECT {", ".join(SPLIT)}, abs({twins.correlation("quantity", "discount")}) AS r FROM train WHERE quantity IS NOT NULL AND discount IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, (1 + r) / 2 AS p, (1 - r) / 2 AS q FROM met),
+e AS (SELECT {", ".join(SPLIT)}, exp(-(p * ln(p) + CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END)) AS effective_rank, 1 / (p * p + q * q) AS participation_ratio FROM p)
+SELECT {", ".join(SPLIT)}, {twins.r6("effective_rank participation_ratio")} FROM e""")
+def correlation_rank(spark, sf_dir):
+    """On two columns, whose correlation matrix has the eigenvalues 1 + r and 1 - r."""
+    sr = replace(inputs.train_splits(spark, sf_dir), features=["quantity", "discount"])
+    return redundancy.correlation_rank(redundancy.correlations(sr, redundancy.varying_features(descriptors.profiles(sr, shape=False))))
+
+
 @query()
 def redundancy_wide(spark, sf_dir):
     return redundancy.redundancy(inputs.wide_splits(spark, sf_dir))
@@ -354,6 +375,22 @@ def analysis_fold(spark, sf_dir):
     return analysis.split_level(_gaps(spark, sf_dir), _described(spark, sf_dir), PARTS).select(*SPLIT, "comparison_name", "delta_norm", "log_n", "missing_fraction", "irregularity")
 
 
+@query(f"""WITH {twins.GAPS}, {twins.DESCRIPTORS} SELECT g.dataset || '|' || g.repeat || '|' || g.fold AS unit, g.comparison_name, {twins.r6("delta_norm log_n class_entropy")}
+FROM gaps g LEFT JOIN described USING (dataset, repeat, fold)""")
+def gaps_with_descriptors(spark, sf_dir):
+    """Every gap with the descriptors of its split, under the id of its unit: the split-level export."""
+    joined = analysis.gaps_with_descriptors(_gaps(spark, sf_dir), descriptors.basic(inputs.train_splits(spark, sf_dir)))
+    return analysis.with_unit(joined, *SPLIT).select("unit", "comparison_name", "delta_norm", "log_n", "class_entropy")
+
+
+@query(f"""WITH {twins.RESULTS}, families(config_type) AS (VALUES ('c0'), ('c1')),
+scaled AS (SELECT dataset, fold AS split_id, method, method_subtype, config_type, metric_error AS eval, metric_error_val AS sel, {twins.normalised("metric_error")} AS eval_norm, {twins.normalised("metric_error_val")} AS sel_norm FROM results WINDOW w AS (PARTITION BY dataset, results.fold)),
+best AS (SELECT * FROM scaled JOIN families USING (config_type) WHERE sel IS NOT NULL AND eval IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset, split_id ORDER BY sel_norm, sel, method, method_subtype) = 1)
+SELECT dataset, CAST(split_id // 3 AS INTEGER) AS repeat, CAST(split_id % 3 AS INTEGER) AS fold, method, round(eval, 6) + 0.0 AS error, round(eval_norm, 6) + 0.0 AS norm_error FROM best""")
+def best_in_family(spark, sf_dir):
+    return gaps.best_in_family(inputs.results(spark, sf_dir), inputs.LEFT, inputs.ANALYSIS.error_column, inputs.ANALYSIS.selection)
+
+
 @query(f"WITH {twins.ANALYSIS} SELECT dataset, round(irregularity, 6) + 0.0 AS irregularity FROM composites")
 def irregularity_composite(spark, sf_dir):
     return _analysis(spark, sf_dir).groupBy("dataset").agg(F.max("irregularity").alias("irregularity"))

@@ -19,7 +19,7 @@ MEMBERS = f"members(comparison_name, group_a_name, group_b_name, group_a_label,
 FAMILY = "families(group_name, config_type) AS (VALUES " + ", ".join(f"('{g.name}', '{t}')" for g in FAMILIES.values() for t in sorted(g.config_types)) + ")"
 
 
-def _norm(e: str) -> str:
+def normalised(e: str) -> str:
     lo, mid = f"min({e}) OVER w", f"quantile_cont({e}, 0.5) OVER w"
     return f"CASE WHEN {e} IS NULL THEN NULL WHEN {mid} > {lo} THEN round(least(1.0, greatest(0.0, ({e} - {lo}) / ({mid} - {lo}))), 12) WHEN {e} = {lo} THEN 0.0 ELSE 1.0 END"
 
@@ -28,7 +28,7 @@ GAPS = f"""{RESULTS},
 {MEMBERS},
 scaled AS (
   SELECT dataset, fold AS split_id, CAST(fold // 3 AS INTEGER) AS repeat, CAST(fold % 3 AS INTEGER) AS fold, method, method_subtype, config_type, metric_error_val AS sel, metric_error AS eval,
-         {_norm("metric_error_val")} AS sel_norm, {_norm("metric_error")} AS eval_norm
+         {normalised("metric_error_val")} AS sel_norm, {normalised("metric_error")} AS eval_norm
   FROM results WINDOW w AS (PARTITION BY dataset, results.fold)),
 candidates AS (SELECT * FROM scaled JOIN members USING (config_type) WHERE sel IS NOT NULL AND eval IS NOT NULL AND sel_norm IS NOT NULL AND eval_norm IS NOT NULL),
 best AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY dataset, split_id, comparison_name, side ORDER BY sel_norm, sel, method, method_subtype) = 1),

@@ -1,4 +1,7 @@
-"""Columns of the fixed tables."""
+"""Columns of the fixed tables.
+
+Fixed values: the names of columns, their order in the tables, and the problem types that count as classification.
+"""
 
 from __future__ import annotations
 
