@@ -154,15 +154,15 @@ def isolated(targets: DataFrame, build: Callable[[DataFrame], DataFrame], save:
         try:
             save(rows)
         except Exception as e:
-            n, middle = part.agg(F.count(F.lit(1)), F.percentile_approx(place, 0.5, 1000)).first()
-            if n == 0:
+            first, last = part.agg(F.min(place), F.max(place)).first()
+            if first is None:  # no split is in it
                 continue
-            if n == 1 or single >= most or low == high:
+            if first == last or single >= most:
                 single += 1
                 give_up(part, e)
             else:
-                middle = min(middle, high - 1)
-                todo += [(middle + 1, high), (low, middle)]
+                middle = (first + last) // 2  # between two of them, so either half has some
+                todo += [(middle + 1, last), (first, middle)]
     return attempts
 
 
