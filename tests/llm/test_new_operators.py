@@ -34,10 +34,11 @@ def plain_alignment(texts, a, b):
         if any(b"".join(x for _, x in s) != (" " + t).encode() for s in sides):
             continue
         ends = [np.cumsum([len(x) for _, x in s]).tolist() for s in sides]
-        groups, last = [], 0
+        groups, done = [], [0, 0]
         for cut in sorted(set(ends[0]) & set(ends[1])):
-            groups.append(tuple([i for (i, _), e in zip(s, at, strict=True) if last < e <= cut] for s, at in zip(sides, ends, strict=True)))
-            last = cut
+            now = [at.index(cut, first) + 1 for at, first in zip(ends, done, strict=True)]
+            groups.append(tuple([i for i, _ in s[x:y]] for s, x, y in zip(sides, done, now, strict=True)))
+            done = now
         found[-1] = len(sides[0]), len(sides[1]), groups, [(x, y) for g in groups for x in g[0] for y in g[1]]
     k = Counter(p for r in found if r for p in set(r[3]))
     top = {}
