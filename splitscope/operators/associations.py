@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number, average_rank, correlation, one_sided_p, resample_index, two_sided_p, with_step_down, with_step_up
 from .features import long_form, predictors
+from .ranks import leave_one_out
 
 MIN_N = 30
 ALPHA = 0.05
@@ -146,10 +147,6 @@ def corrected(tested: DataFrame, method: str | None = "bh", direction: str | Non
 def leave_one_out_range(obs: DataFrame, method: str = "spearman") -> DataFrame:
     """Per feature: extremes of the correlation when one unit is left out, the share with the sign of the whole, and the unit that matters
     most."""
-    pairs = obs.where("x is not null and y is not null")
-    left = pairs.select("feature", F.col("unit").alias("without"))
-    got = correlate(left.join(pairs, "feature").where("unit <> without"), ["feature", "without"], method).where("r is not null")
-    whole = correlate(pairs, ["feature"], method).where("r is not null").select("feature", F.col("r").alias("rho"))
-    got = got.join(whole, "feature")
+    got = leave_one_out(obs.where("x is not null and y is not null"), method).where("r is not null and rho is not null")
     change = F.round(F.abs(F.col("r") - F.col("rho")), 12)
     return got.groupBy("feature").agg(F.max("rho").alias("rho"), F.min("r").alias("rho_min"), F.max("r").alias("rho_max"), F.avg((F.signum("r") == F.signum("rho")).cast("double")).alias("same_sign_share"), F.max_by("without", F.struct(change, "without")).alias("most_influential"))

@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import as_number, average_rank, correlation, is_numeric, strict_mean
+from ..functions.expressions import as_number, is_numeric, strict_mean
 from ..schemas import CLASS_FEATURES, CLASSIFICATION, NOT_PREDICTORS
+from ..sources.scratch import written
 from .external import CLASS_ONLY as EXTERNAL_CLASS_ONLY
 from .external import raw_feature
+from .ranks import fallen, rank_correlations
 
 MAX_MISSING = 0.20
 TOP_SHARE = 0.95
 RELATIVE_SPAN = 1e-12
 REDUNDANT = 0.95
-MIN_PAIRS = 3
 _REPORT = "table string, stage string, feature string, missing_fraction double, n_non_missing long, n_unique long, top_share double, reason string"
 
 
@@ -118,17 +119,6 @@ def missing_by_dataset(long: DataFrame) -> DataFrame:
     return long.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_features"), F.sum(gone).alias("n_missing"), F.avg(gone).alias("missing_share"))
 
 
-def rank_correlations(long: DataFrame, unit: str = "dataset", min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """``a, b, n, r``: Spearman correlation of every feature pair a < b over the units where both are present.
-
-    Ranks are taken within the pair's common rows.  The work is units x pairs: for thousands of features filter them first."""
-    x = long.where("value is not null")
-    left, right = (x.select(F.col(unit).alias("u"), F.col("feature").alias(s), F.col("value").alias(f"v{s}")) for s in "ab")
-    both = left.join(right, "u").where("a < b")
-    ranked = both.select("a", "b", average_rank("va", "a", "b").alias("ra"), average_rank("vb", "a", "b").alias("rb"))
-    return ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("ra"), F.col("rb")).alias("r")).where(F.col("n") >= min_pairs)
-
-
 def strong_pairs(pairs: DataFrame, threshold: float = REDUNDANT) -> DataFrame:
     """Pairs whose absolute correlation reaches the threshold, strongest first."""
     r = F.round(F.abs("r"), 12)
@@ -139,18 +129,20 @@ def reduce_redundant(table: DataFrame, features: Sequence[str], name: str, conte
     """The table without features that another one repeats, and the report.
 
     Pairs come strongest first; of a pair of survivors the one with fewer missing values, then more distinct values, then the
-    smaller name stays.  The walk is sequential by nature; it sees only the pairs above the threshold."""
-    spark = table.sparkSession
+    smaller name stays.  The report holds one row per dropped column."""
     long = long_form(table, features, "dataset")
-    stats = {r["feature"]: r for r in feature_statistics(long).select("feature", "missing_fraction", "n_unique").collect()}  # one row per column
-    gone: dict[str, tuple] = {}
-    for r in strong_pairs(rank_correlations(long), threshold).toLocalIterator():
-        if r["a"] in gone or r["b"] in gone:
-            continue
-        keep, drop = sorted((r["a"], r["b"]), key=lambda f: (stats[f]["missing_fraction"], -stats[f]["n_unique"], f))
-        gone[drop] = (name, "redundancy", drop, keep, r["abs_spearman"], stats[drop]["missing_fraction"], stats[keep]["missing_fraction"], stats[drop]["n_unique"], stats[keep]["n_unique"], f"abs_spearman >= {threshold:.2f}")
-    kinds = "table string, stage string, dropped_feature string, kept_feature string, abs_spearman double, dropped_missing_fraction double, kept_missing_fraction double, dropped_n_unique long, kept_n_unique long, reason string"
-    return table.select(*(c for c in context if c in table.columns), *(c for c in features if c not in gone)), spark.createDataFrame(list(gone.values()), kinds)
+    stats = written(feature_statistics(long).select("feature", "missing_fraction", "n_unique"), "statistics")
+    of = lambda s: stats.select(F.col("feature").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("missing_fraction", "n_unique")))
+    pairs = strong_pairs(rank_correlations(long), threshold).join(of("a"), "a").join(of("b"), "b")
+    order = lambda s: F.struct(F.col(f"{s}_missing_fraction"), -F.col(f"{s}_n_unique"), F.col(s))
+    first = order("a") < order("b")
+    found = fallen(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("drop"), "abs_spearman", "a", "b"))
+    report = found.join(of("dropped"), "dropped").join(of("kept"), "kept").select(
+        F.lit(name).alias("table"), F.lit("redundancy").alias("stage"), F.col("dropped").alias("dropped_feature"), F.col("kept").alias("kept_feature"), "abs_spearman",
+        "dropped_missing_fraction", "kept_missing_fraction", "dropped_n_unique", "kept_n_unique", F.lit(f"abs_spearman >= {threshold:.2f}").alias("reason"),
+    )
+    gone = {r[0] for r in found.select("dropped").collect()}
+    return table.select(*(c for c in context if c in table.columns), *(c for c in features if c not in gone)), report
 
 
 def complete_cases(table: DataFrame, columns: Sequence[str]) -> DataFrame:

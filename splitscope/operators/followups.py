@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number
-from .features import complete_cases, rank_correlations, strong_pairs
+from .features import complete_cases, strong_pairs
 from .kernels import eigen_rank, max_vif, ols, rho_for_p, rho_for_power, standardise
+from .ranks import rank_correlations
 
 HIGH_PAIR = 0.7
 _OLS = "model string, predictor string, n int, coefficient double, se double, hc3_se double, ci_low double, ci_high double, p_value double, r2 double, adjusted_r2 double, max_vif double"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import finite
-from ..operators import analysis, associations, classwise, descriptors, external, features, followups, gaps, irregularity, predictive, redundancy, sensitivity
+from ..operators import analysis, associations, classwise, descriptors, external, features, followups, gaps, irregularity, predictive, ranks, redundancy, sensitivity
 from ..plans.store import content_hash, failures, patch_absent_categories, with_identity
 from ..schemas import BASIC, GROUP, SPLIT
 from ..sources.metadata import metadata_of, problem_types_payload, sample_datasets, splits_of, without_problem_types
@@ -455,12 +455,12 @@ matrix AS (SELECT a, b, count(*) AS n, {twins.correlation("ra", "rb")} AS r FROM
 
 @query(f"WITH {_MATRIX} SELECT a, b, n, round(r, 6) + 0.0 AS r FROM matrix")
 def spearman_matrix(spark, sf_dir):
-    return features.rank_correlations(features.long_form(_main(spark, sf_dir), twins.TESTED, "dataset"))
+    return ranks.rank_correlations(features.long_form(_main(spark, sf_dir), twins.TESTED, "dataset"))
 
 
 @query(f"WITH {_MATRIX} SELECT a, b, n, round(abs(r), 6) + 0.0 AS abs_spearman FROM matrix WHERE round(abs(r), 12) >= 0.95")
 def redundant_pairs(spark, sf_dir):
-    return features.strong_pairs(features.rank_correlations(features.long_form(_main(spark, sf_dir), twins.TESTED, "dataset")))
+    return features.strong_pairs(ranks.rank_correlations(features.long_form(_main(spark, sf_dir), twins.TESTED, "dataset")))
 
 
 @query(f"WITH {twins.OBSERVATIONS} SELECT feature FROM obs WHERE x IS NOT NULL GROUP BY feature HAVING count(*) >= 3 AND min(x) < max(x)")
