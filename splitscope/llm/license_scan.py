@@ -9,7 +9,8 @@
    least probability is chosen at which no more than ``FALSE_SHARE`` of the accepted paragraphs are wrong; below it a
    paragraph is of the class unknown.
 4. *Confirmation*: a predicted family stands only if one of its templates is found in the words judged: the longest common
-   subsequence of words covers ``COVER`` of the template.
+   subsequence of words covers ``COVER`` of the template and holds the template's words that name the family (``NAMING``).  A notice of
+   ``SHORT`` words or fewer must stand alone too: behind a claim of copyright, or with no sentence running on.
 
 Paragraphs end at empty lines.  A notice may fill a paragraph, wrapped at any width, or one line of it, or stand anywhere in a long one, beside
 another notice too.  So every line is judged, and every paragraph in overlapping windows of ``WINDOWS`` words; sums of weights along the text make all
@@ -42,6 +43,8 @@ MAX_PARAGRAPH = 2_000  # bytes of a training paragraph; classified paragraphs ha
 VARIANTS = 60
 FALSE_SHARE = 0.005
 COVER = 0.75
+BELOW = COVER - 1e-6  # the share reported at most where nothing is confirmed
+SHORT = 3  # notices of so few words are ordinary speech too: they must stand alone
 WINDOWS = (12, 24, 64)  # words; windows start every half of that
 SECOND = 0.1  # probability from which a further family of a window is compared with its templates
 SEED = 5
@@ -49,20 +52,36 @@ UNKNOWN = "unknown"
 
 # Short notices of licence families, in the words in which they are commonly written.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "You should have received a copy of the GNU Affero General Public License along with this program", "Released under the GNU AGPL, version 3"),
+    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "You should have received a copy of the GNU Affero General Public License along with this program", "Released under the GNU AGPL, version 3", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details"),
     "apache": ("Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the Apache License", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "See the License for the specific language governing permissions and limitations under the License"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD license", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "artistic": ("Licensed under the Artistic License 2.0", "SPDX-License-Identifier: Artistic-2.0", "This is free software; you can redistribute it and/or modify it under the same terms as Perl itself", "Released under the Perl Artistic License"),
+    "boost": ("Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0", "Use, modification and distribution are subject to the Boost Software License, Version 1.0"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD license", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
     "cc-by": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"),
     "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Released under CC0 1.0 Universal", "Dedicated to the public domain under CC0", "SPDX-License-Identifier: CC0-1.0"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GNU GPL, version 2", "SPDX-License-Identifier: GPL-3.0-or-later", "You should have received a copy of the GNU General Public License along with this program", "Licensed under the GPL, version 3"),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License", "SPDX-License-Identifier: ISC", "provided that the above copyright notice and this permission notice appear in all copies", "Licensed under the ISC license"),
-    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "You should have received a copy of the GNU Lesser General Public License along with this library", "Released under the GNU LGPL, version 2.1"),
-    "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    "cddl": ("Licensed under the Common Development and Distribution License, Version 1.0", "SPDX-License-Identifier: CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License", "Released under the CDDL, version 1.1"),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "Licensed under the Eclipse Public License, version 2.0", "SPDX-License-Identifier: EPL-2.0", "Released under the EPL 1.0"),
+    "eupl": ("Licensed under the EUPL, Version 1.2", "Licensed under the European Union Public Licence, version 1.2", "SPDX-License-Identifier: EUPL-1.2"),
+    "gfdl": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3", "Licensed under the GNU Free Documentation License", "SPDX-License-Identifier: GFDL-1.3-or-later"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GNU GPL, version 2", "SPDX-License-Identifier: GPL-3.0-or-later", "You should have received a copy of the GNU General Public License along with this program", "Licensed under the GPL, version 3", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License", "SPDX-License-Identifier: ISC", "provided that the above copyright notice and this permission notice appear in all copies", "Licensed under the ISC license", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "You should have received a copy of the GNU Lesser General Public License along with this library", "Released under the GNU LGPL, version 2.1", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details"),
+    "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at", "Released under the MPL 2.0"),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1", "SPDX-License-Identifier: OFL-1.1", "Released under the SIL Open Font License"),
     "proprietary": ("All rights reserved", "Unauthorized copying of this file, via any medium, is strictly prohibited", "This software is proprietary and confidential", "No part of this publication may be reproduced without the prior written permission of the publisher"),
     "unlicense": ("This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "SPDX-License-Identifier: Unlicense"),
+    "wtfpl": ("Do What The Fuck You Want To Public License", "Released under the WTFPL, version 2", "SPDX-License-Identifier: WTFPL", "Licensed under the WTFPL"),
+    "zlib": ("Released under the zlib license", "SPDX-License-Identifier: Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+}
+
+# The words by which a family is named.  A template that holds some of them is found only with all of these.
+NAMING: dict[str, tuple[str, ...]] = {
+    "agpl": ("affero", "agpl"), "apache": ("apache",), "artistic": ("artistic", "perl"), "boost": ("boost", "bsl"), "bsd": ("bsd",), "cc-by": ("cc", "by", "commons", "attribution"), "cc-by-nc": ("cc", "nc", "commons", "noncommercial"),
+    "cc-by-sa": ("cc", "sa", "commons", "sharealike"), "cc0": ("universal", "waived", "domain"), "cddl": ("cddl", "development"), "epl": ("eclipse", "epl"), "eupl": ("eupl", "european"), "gfdl": ("gfdl", "documentation"), "gpl": ("gpl", "general"), "isc": ("isc",), "lgpl": ("lesser", "lgpl"),
+    "mit": ("mit",), "mpl": ("mozilla", "mpl"), "ofl": ("ofl", "font"), "proprietary": ("proprietary", "unauthorized", "prohibited"), "unlicense": ("unlicense", "unencumbered"), "wtfpl": ("fuck", "wtfpl"), "zlib": ("zlib", "misrepresented"),
 }
 
 # Sentences with licence words that grant nothing.
@@ -71,6 +90,7 @@ ORDINARY = (
     "She was granted permission to leave early", "The company released a new version of the software", "Apache helicopters were seen over the city", "The students of MIT built a new robot",
     "The public domain of the kings was sold", "The source code is available on request", "The mozilla foundation published its report", "This work took three years to finish",
     "All rights and duties pass to the heirs", "The terms of the contract were not met", "General public opinion changed in version two of the story", "You may not use this door after eight",
+    "All rights reserved seats were sold out", "The program is distributed to the guests before the concert", "The eclipse was seen by the general public", "A boost to the local economy came with the new law", "The artistic director left under the terms of the contract",
 )
 
 _LICENCE_WORD = "(?i)licen[sc]e|licen[sc]ed|copyright|spdx|rights reserved|public domain|creative commons|free software|permission"
@@ -118,7 +138,14 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-_WORDS = {f: [normal_words(t.encode()) for t in ts] for f, ts in TEMPLATES.items()}
+_WORDS = {f: [(w, {x for x in w if x.decode() in NAMING[f]}) for w in (normal_words(t.encode()) for t in ts)] for f, ts in TEMPLATES.items()}
+_ENDS = re.compile(rb"[ \t]*(?:$|[^a-z \t]|(?:and|by|except|for|in|to|under|unless|worldwide)\b)")
+_CLAIM = re.compile(rb"copyright|\(c\)|\xc2\xa9", re.I)
+
+
+def stands_alone(text: bytes, first: int, end: int) -> bool:
+    """Whether the words from ``first`` to ``end`` may be a notice of their own: a claim of copyright goes before, or no sentence runs on behind."""
+    return bool(_CLAIM.search(text[max(0, first - 80) : first]) or _ENDS.match(text[end : end + 24]))
 
 
 def _matched(t: list[bytes], part: list[bytes]) -> list[int]:
@@ -141,9 +168,11 @@ def _matched(t: list[bytes], part: list[bytes]) -> list[int]:
 
 def confirmed(family: str, words: list[bytes]) -> tuple[float, int, int, int]:
     """The largest share of a template of the family that the words hold in order, within a stretch of at most twice its length; and the matched
-    words' number, first place and place after the last."""
+    words' number, first place and place after the last.  The words that name the family must be among them."""
     best = (0.0, 0, 0, len(words))
-    for t in _WORDS[family]:
+    for t, naming in _WORDS[family]:
+        if not naming.issubset(words):
+            continue
         span = 2 * len(t)
         held = set(t)
         for at in range(0, max(1, len(words) - len(t)), max(1, len(t))):  # stretches overlap by a template's length
@@ -152,9 +181,10 @@ def confirmed(family: str, words: list[bytes]) -> tuple[float, int, int, int]:
                 n = common_subsequence(t, part)
                 if n >= COVER * len(t) and (n, n / len(t)) > (best[1], best[0]):
                     places = _matched(t, part)
-                    best = (n / len(t), n, at + places[0], at + places[-1] + 1)
+                    if naming.issubset(part[k] for k in places):
+                        best = (n / len(t), n, at + places[0], at + places[-1] + 1)
                 elif best[1] == 0:
-                    best = (max(best[0], n / len(t)), 0, 0, len(words))
+                    best = (min(max(best[0], n / len(t)), BELOW), 0, 0, len(words))
     return best
 
 
@@ -167,10 +197,10 @@ def examples(corpus: list[str], seed: int = SEED) -> list[tuple[str, str]]:
     filler = sorted({w for p in corpus[:200] for w in p.split()[:8]}) or ["the", "and", "of", "to", "value"]
     some = lambda k: " ".join(r.choice(filler) for _ in range(k))
 
-    def vary(text: str) -> str:
+    def vary(text: str, naming: tuple[str, ...] = ()) -> str:
         words = text.split()
         if len(words) > 6:
-            words = [w for w in words if r.random() > 0.06]
+            words = [w for w in words if r.random() > 0.06 or w.lower().strip(",.;") in naming]
         out = " ".join(words)
         out = re.sub(r"\d(\.\d)?", lambda m: r.choice([m.group(), "1.0", "2", "3.0", "4.0"]), out)
         if r.random() < 0.3:
@@ -179,7 +209,7 @@ def examples(corpus: list[str], seed: int = SEED) -> list[tuple[str, str]]:
             out = f"{some(r.randint(1, 12))} {out}" if r.random() < 0.5 else f"{out} {some(r.randint(1, 12))}"
         return r.choice([out, out, out + ".", out.upper(), "# " + out, "// " + out])
 
-    rows = [(vary(t), f) for f, ts in sorted(TEMPLATES.items()) for t in ts for _ in range(VARIANTS)]
+    rows = [(vary(t, NAMING[f]), f) for f, ts in sorted(TEMPLATES.items()) for t in ts for _ in range(VARIANTS)]
     rows += [(vary(t), UNKNOWN) for t in ORDINARY for _ in range(VARIANTS // 2)]
     rows += [(p, UNKNOWN) for p in corpus]
     return rows
@@ -287,12 +317,15 @@ def block_findings(classifier: Classifier, buf: np.ndarray, offs: np.ndarray) ->
         return np.zeros(len(offs) - 1, np.int64), []
     i, j, paragraphs = _windows(buf, s, doc)
     p = classifier.probabilities(classifier.logits(len(s), held, i, j))
+    raw = buf.tobytes()
     found: dict[int, list[tuple]] = {}
     for k in np.flatnonzero(1 - p[:, -1] >= classifier.least).tolist():
         first, top = int(i[k]), int(p[k, :-1].argmax())
-        words = normal_words(buf[s[first] : e[j[k] - 1]].tobytes())
+        words = normal_words(raw[s[first] : e[j[k] - 1]])
         for f in {top, *np.flatnonzero(p[k, :-1] >= SECOND).tolist()}:
             cover, n, a, z = confirmed(classifier.families[f], words)
+            if 0 < n <= SHORT and not stands_alone(raw, int(s[first + a]), int(e[first + z - 1])):
+                cover, n, a, z = BELOW, 0, 0, len(words)
             if f == top or cover >= COVER:
                 found.setdefault(int(doc[first]), []).append((-n, -cover, -float(p[k, f]), classifier.families[f], int(s[first + a]), int(e[first + z - 1])))
     out = []
