@@ -9,7 +9,7 @@
    Nothing is shuffled.
 
 A candidate is a run of ``[A-Za-z0-9+/_=.-]`` of at least ``MIN_LENGTH`` characters that has a digit or mixed case, or the value (8 characters
-at least) of an assignment whose name speaks of a secret.  Runs of any length are one candidate, but for a name and ``=`` before a value.  An
+at least) of an assignment whose name speaks of a secret, or the password (6 at least) of a URL, ``scheme://user:password@``.  Runs of any length are one candidate, but for a name and ``=`` before a value.  An
 assigned value wins over the runs that it overlaps: it is one candidate to its end, whatever signs it holds, scored as the likeliest
 of itself and the runs and values inside it.
 
@@ -69,6 +69,7 @@ CONFIG_ENDS = (".env", ".yml", ".yaml", ".json", ".cfg", ".ini", ".pem", ".toml"
 
 _NAME = re.compile(rb"(?:key|secret|token|password|passwd|pwd|auth|credential)[\w.-]{0,24}[\"']?[ \t]{0,3}$", re.I)
 _VALUE = re.compile(rb"[:=>]{0,2}[ \t]{0,3}[\"']?([^\s\"'<>,;]{8,})")
+_LOGIN = re.compile(rb"://[^\s/:@\"'<>]{0,64}:([^\s/\"'<>]{6,})@")
 _HEAD = re.compile(rb"[A-Za-z_][\w.-]{0,39}=+")
 _UUID = re.compile(rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _RUN = re.compile(rb"[A-Z]?[a-z]{3,}")  # as in spoken words, alone or in camel case
@@ -136,7 +137,7 @@ def corpus_statistics(texts: DataFrame, dictionary: int = DICTIONARY) -> Corpus:
 
 FEATURES = (
     "length", "digits", "upper", "lower", "symbols", "class_changes", "transition_mean", "transition_low", "entropy", "distinct", "longest_run",
-    "longest_sequence", "hex", "uuid", "dots", "coverage", "digits_only", "quoted", "assigned", "secret_words", "digest_words", "placeholder", "path_words", "config_path", "neighbours", "letter_runs", "reference",
+    "longest_sequence", "hex", "uuid", "dots", "coverage", "digits_only", "quoted", "assigned", "secret_words", "digest_words", "placeholder", "path_words", "config_path", "neighbours", "letter_runs", "reference", "data_uri", "login",
 )
 
 
@@ -182,6 +183,7 @@ def features(before: bytes, word: bytes, after: bytes, path: bytes, corpus: Corp
         _coverage(lw, corpus), float(word.isdigit()), float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")), float(stripped[-1:] in (b"=", b":")), _has(text[-40:], SECRET_WORDS), _has(text[-40:] + b" " + lw[:12], DIGEST_WORDS),
         _has(text[-40:] + b" " + lw + b" " + after.lower()[:20], PLACEHOLDER_WORDS), _has(path.lower(), PATH_WORDS), float(path.lower().endswith(tuple(x.encode() for x in CONFIG_ENDS))), sum(odds.get(w, 0.0) for w in near),
         sum(map(len, _RUN.findall(word))) / n, float(_REFERENCE.search(word) is not None or before[-2:] in (b"${", b"{{", b"$(")),
+        float(before[-8:].lower() in (b";base64,", b" base64,")), float(after[:1] == b"@" and b"://" in before[-80:]),
     ]
 
 
@@ -235,6 +237,11 @@ def _assigned(buf: np.ndarray, offs: np.ndarray, raw: bytes) -> list[tuple[tuple
             m = _VALUE.match(raw, p + 1, hi)
             if m:
                 edges.add((d, m.start(1), m.end(1)))
+    for p in [m.start() for m in re.finditer(b"://", raw)]:
+        d = int(np.searchsorted(offs, p, side="right")) - 1
+        m = _LOGIN.match(raw, p, int(offs[d + 1]))
+        if m:
+            edges.add((d, m.start(1), m.end(1)))
     out: list = []
     for v in sorted(edges):
         if out and v[1] < out[-1][0][2]:
@@ -247,7 +254,7 @@ def _assigned(buf: np.ndarray, offs: np.ndarray, raw: bytes) -> list[tuple[tuple
 # --- labelled findings ----------------------------------------------------------------------------------------
 
 
-def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list[tuple[str, str, str, str, float]]:
+def labelled_findings(words: list[str], n: int = 12_000, seed: int = SEED) -> list[tuple[str, str, str, str, float]]:
     """``(before, candidate, after, path, label)``: half secrets in public token formats, half look-alikes."""
     r = random.Random(seed)
     words = sorted(words) or ["the", "and", "value", "text", "line"]
@@ -257,6 +264,15 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
     spoken = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(["", "", "n", "r", "st"]) for _ in range(r.randint(2, 4)))
     name = lambda: r.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "apikey", "private_key", "credential"])
 
+    def phrase() -> tuple[str, bool]:
+        """A password that people make: spoken syllables with digits and signs."""
+        word = (spoken().capitalize() if r.random() < 0.5 else spoken()) + pick(string.digits, r.randint(1, 4)) + pick("!@#$%&*?", r.randint(1, 2)) + pick(alnum, r.randint(0, 4))
+        return word.ljust(8, r.choice(string.digits)), False
+
+    def login() -> tuple[str, str]:
+        user = r.choice(["admin", "root", "app", "svc", "", spoken()])
+        return f"{r.choice(['postgres', 'postgresql', 'mysql', 'mongodb', 'redis', 'amqp', 'https', 'ftp'])}://{user}:", f"@{r.choice(['db', 'host', 'cache', 'localhost', spoken()])}{r.choice(['', ':5432', '.internal', '/main'])}"
+
     def secret() -> tuple[str, bool]:
         return r.choice([
             lambda: (pick(hexa, r.choice([32, 40, 40, 64])), False),
@@ -275,6 +291,10 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
         return n + sep + q, q
 
     def positive():
+        if r.random() < 0.08:
+            head, tail = login()
+            word = pick(alnum + "!#%&*_-", r.randint(8, 24)) if r.random() < 0.6 else phrase()[0].replace("@", "!")
+            return f"{some(4)} {r.choice(['', 'DATABASE_URL=', 'url: '])}{head}", word, f"{tail} {some(3)}", r.choice(["config/prod.env", "notes.txt", "", "crawl"]), 1.0
         word, known = secret()
         if known and r.random() < 0.3:
             head, q = some(2) + " ", " "
@@ -287,7 +307,7 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
 
     def negative():
         q = ""
-        kind = r.randrange(18)
+        kind = r.randrange(20)
         head, path = " ", r.choice(["src/app.py", "README.md", "docs/index.md", "notes.txt", "", "crawl", "test/fixture.json"])
         if kind == 0:
             word = pick(string.digits, r.choice([16, 16, 18, 20]))
@@ -333,6 +353,13 @@ def labelled_findings(words: list[str], n: int = 6000, seed: int = SEED) -> list
             head, q = assignment()
             word = "_".join(r.choice(words) for _ in range(r.randint(2, 4))) + r.choice(["", "_id", "()", "1"])
             word = word if len(word) >= 8 else word + "_setting"
+        elif kind == 17:  # an embedded picture or font
+            word, q = base64.b64encode(r.randbytes(int(2 ** r.uniform(4, 11)))).decode(), r.choice(['"', "'", ")", ""])
+            head = f" {r.choice(['src=', 'url(', '', 'href='])}{q if q != ')' else ''}data:{r.choice(['image/png', 'image/jpeg', 'image/gif', 'font/woff2', 'application/pdf'])};base64,"
+        elif kind == 18:
+            head, tail = login()
+            word = r.choice(["password", "${DB_PASSWORD}", "<password>", "changeme", "your-password", "$PASSWORD", "{{password}}", "example1"])
+            return f"{some(4)} {head}", word, f"{tail} {some(3)}", path, 0.0
         else:
             word, q = "_".join(r.choice(words) for _ in range(r.randint(3, 5))).upper() + f"_{r.randint(0, 99)}", ""
         if r.random() < 0.1:

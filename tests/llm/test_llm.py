@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import base64
 import random
 import re
 import zlib
@@ -595,6 +596,23 @@ def test_secrets_on_held_out_formats(spark, docs):
     assert hits >= 0.9 * len(yes) and hits >= 0.9 * (hits + len(false)), (missed, false)
 
 
+def test_secrets_in_urls_and_data_uris(spark, docs):
+    scanner = secret_scan.default_scanner(docs)
+    r = random.Random(5)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    word = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+
+    def found(t):
+        b = t.encode()
+        return [b[a:z].decode() for _, a, z, v in scanner.scan(np.frombuffer(b, np.uint8), np.array([0, len(b)]), ["notes.txt"]) if v >= secret_scan.THRESHOLD]
+
+    keys = [pick(word, 14) for _ in range(12)]
+    hits = [k in found(f"{lead}{scheme}://{user}:{k}@db-3.internal/main rest of the line") for k, (lead, scheme, user) in zip(keys, [("connect to ", "postgres", "admin"), ("", "mongodb", "svc"), ("url = ", "amqp", "guest")] * 4, strict=True)]
+    assert sum(hits) >= 0.9 * len(hits), hits
+    false = [t for t in [f'<img src="data:image/{kind};base64,{base64.b64encode(r.randbytes(n)).decode()}" alt="x">' for kind, n in [("png", 60), ("gif", 300), ("jpeg", 3000), ("webp", 90), ("svg+xml", 700)]] + ["see http://localhost:8080/path@2x", "postgres://user:password@host/db", "mysql://root:${DB_PASSWORD}@db", "password: required field"] if found(t)]
+    assert not false, false
+
+
 def test_secrets_assigned_values_are_whole(spark, docs):
     """A value with other signs than a run's, with or without spaces and quotes, is one candidate without its name, and goes whole."""
 
@@ -635,6 +653,13 @@ SENTENCES = [
     "The terms of the loan were modified in version two of the plan", "Domain names are cheap in that country",
 ]
 
+PROBES = [  # families that look alike, and notices that the words of another family nearly fill
+    ("boost", "Distributed under the Boost Software License, Version 1.0. (See accompanying file)"), ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the site"),
+    ("wtfpl", "This work is free. It comes under the WTFPL, Version 2; licensed under the WTFPL, see COPYING"), ("", "All rights reserved seats were sold out"), ("proprietary", "Copyright 2020 Example Ltd. All rights reserved."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("", "Licensed under the Foobar License, Version 2.0"), ("", "Released under the Acme License"), ("zlib", "The codec is released under the zlib license"), ("eupl", "Licensed under the EUPL, Version 1.2 or later"),
+]
+
 
 def licence_families(c, text):
     b = np.frombuffer(text.encode(), np.uint8)
@@ -647,6 +672,8 @@ def test_licences(spark, docs, empty):
     wrong = [licence_families(c, t) for t in SENTENCES]
     hits = sum(f in got for (f, _), got in zip(NOTICES, right, strict=True))
     false = sum(len(set(got) - {f}) for (f, _), got in zip(NOTICES, right, strict=True)) + sum(map(len, wrong))
+    for f, t in PROBES:
+        assert licence_families(c, t) == ([f] if f else []), t
     assert hits >= 0.9 * len(NOTICES) and hits >= 0.9 * (hits + false), [(f, g) for (f, _), g in zip(NOTICES, right, strict=True) if [f] != g] + [w for w in wrong if w]
     filler = "ka lo mi tu re sa vo ne pi du gar thel " * 30
     wrap = lambda t, w: re.sub(rf"(.{{1,{w}}})(?: |$)", r"\1\n", t)
