@@ -4,43 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number
-from .features import complete_cases, strong_pairs
-from .kernels import eigen_rank, max_vif, ols, rho_for_p, rho_for_power, standardise
+from .features import strong_pairs
+from .kernels import rho_for_p, rho_for_power
+from .leastsquares import matrix_rank, ols_models
 from .ranks import rank_correlations
 
+__all__ = ["adjusted_change", "association_summary", "detectable_rho", "error_table", "frame_summary", "high_pairs", "hypothesis_verdicts", "interpretation", "matrix_rank", "nominal", "ols_models", "scatter_table", "scenario_difference"]
 HIGH_PAIR = 0.7
-_OLS = "model string, predictor string, n int, coefficient double, se double, hc3_se double, ci_low double, ci_high double, p_value double, r2 double, adjusted_r2 double, max_vif double"
-
-
-def ols_models(table: DataFrame, models: dict[str, Sequence[str]], target: str = "delta_norm", raw: bool = False) -> DataFrame:
-    """One row per model and predictor: standardised least squares on the complete rows, classical and HC3 errors, fit and largest
-    variance inflation.  Each model is one task group."""
-    parts = []
-    for name, predictors in models.items():
-        rows = complete_cases(table, [target, *predictors])
-        parts.append(rows.select(F.lit(name).alias("model"), F.lit(",".join(predictors)).alias("names"), "dataset", F.col(target).alias("y"), F.array(*predictors).alias("x")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dataset")
-        names = pdf["names"].iloc[0].split(",")
-        x, y = np.array(pdf["x"].tolist(), dtype=float), pdf["y"].to_numpy(float)
-        if len(y) <= x.shape[1] + 1:
-            return pd.DataFrame([], columns=[c.split()[0] for c in _OLS.split(", ")])
-        x = x if raw else standardise(x)[0]
-        fit, vif = ols(x, y), max_vif(x)
-        out = [(pdf["model"].iloc[0], n, len(y), fit["coef"][k], fit["se"][k], fit["hc3"][k], fit["coef"][k] - 1.96 * fit["hc3"][k], fit["coef"][k] + 1.96 * fit["hc3"][k], fit["p"][k], fit["r2"], fit["adjusted_r2"], vif) for k, n in enumerate(names)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _OLS.split(", ")])
-
-    return rows.groupBy("model").applyInPandas(run, _OLS)
 
 
 def adjusted_change(fits: DataFrame, base: str, full: str) -> DataFrame:
@@ -83,17 +57,6 @@ def scenario_difference(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return a.join(b, list(keys)).withColumns({f"{v}_change": F.col(f"{v}_right") - F.col(f"{v}_left") for v in values})
 
 
-def matrix_rank(table: DataFrame, features: Sequence[str], name: str) -> DataFrame:
-    """``analysis_table, n, n_features, effective_rank`` of the standardised matrix, missing values at the median (one row per dataset)."""
-    rows = table.select(F.lit(name).alias("analysis_table"), "dataset", F.array(*(as_number(table.schema[c]) for c in features)).alias("x"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([[np.nan if v is None else v for v in r] for r in pdf.sort_values("dataset")["x"]], dtype=float)
-        return pd.DataFrame([(pdf["analysis_table"].iloc[0], len(x), x.shape[1], eigen_rank(x))], columns=["analysis_table", "n", "n_features", "effective_rank"])
-
-    return rows.groupBy("analysis_table").applyInPandas(run, "analysis_table string, n int, n_features int, effective_rank double")
-
-
 def detectable_rho(n: int, alpha: float = 0.05, power: float = 0.8) -> dict[str, float]:
     """The least significant correlation, and the one found with the given power."""
     return {"rho_significant": rho_for_p(n, alpha), "rho_power": rho_for_power(n, alpha, power)}

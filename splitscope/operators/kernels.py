@@ -121,19 +121,6 @@ def rank_z(x: np.ndarray) -> np.ndarray | None:
     return None if sd == 0 else (r - r.mean()) / sd
 
 
-def fit_rank_ols(x: np.ndarray, y: np.ndarray, min_n: int = 30) -> tuple[dict[int, float], float] | None:
-    """Least squares on rank z-scores: coefficients by column (constant ones are left out) and the condition number."""
-    n, p = x.shape
-    if n < min_n or n <= p + 2:
-        return None
-    zy, cols = rank_z(y), {k: z for k in range(p) if (z := rank_z(x[:, k])) is not None}
-    if zy is None or not cols or n <= len(cols) + 2:
-        return None
-    m = np.column_stack([np.ones(n), *cols.values()])
-    coef = np.linalg.lstsq(m, zy, rcond=None)[0]
-    return dict(zip(cols, coef[1:].tolist(), strict=True)), float(np.linalg.cond(m))
-
-
 def spearman(x: np.ndarray, y: np.ndarray) -> float | None:
     a, b = average_ranks(x), average_ranks(y)
     if a.std() == 0 or b.std() == 0:
@@ -181,29 +168,6 @@ def rho_for_power(n: int, alpha: float, power: float) -> float:
     return math.tanh((normal_quantile(1 - alpha / 2) + normal_quantile(power)) / math.sqrt(n - 3))
 
 
-def ols(x: np.ndarray, y: np.ndarray) -> dict:
-    """Least squares with intercept: coefficients, classical and HC3 errors, p values, R2 and adjusted R2."""
-    n = len(y)
-    m = np.column_stack([np.ones(n), x])
-    inverse = np.linalg.pinv(m.T @ m)
-    b = inverse @ m.T @ y
-    e = y - m @ b
-    dof = n - m.shape[1]
-    h = np.clip(np.einsum("ij,jk,ik->i", m, inverse, m), 0, 1 - 1e-12)
-    se = np.sqrt(np.maximum(0, np.diag(inverse) * (e @ e) / max(1, dof)))
-    hc3 = np.sqrt(np.maximum(0, np.diag(inverse @ (m.T * (e / (1 - h)) ** 2) @ m @ inverse)))
-    t = np.divide(b, se, out=np.full_like(b, np.inf), where=se > 0)
-    total = ((y - y.mean()) ** 2).sum()
-    r2 = 1 - (e @ e) / total if total > 0 else float("nan")
-    p = [t_tail(float(v / math.sqrt(v * v + dof)), dof) if np.isfinite(v) else 0.0 for v in t]
-    return {"coef": b[1:], "intercept": float(b[0]), "se": se[1:], "hc3": hc3[1:], "p": np.array(p[1:]), "r2": float(r2), "adjusted_r2": float(1 - (1 - r2) * (n - 1) / dof), "residual": e, "dof": dof}
-
-
-def max_vif(x: np.ndarray) -> float:
-    """The largest variance inflation factor: the diagonal of the inverse correlation matrix."""
-    return 1.0 if x.shape[1] < 2 else float(np.diag(np.linalg.pinv(np.corrcoef(x, rowvar=False))).max())
-
-
 def ols_predict(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Standardised least squares on the columns that vary in training."""
     live = x.std(0) > 0
@@ -236,14 +200,3 @@ def predict(family: str, x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple
 def _filled(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = impute(x, new)
     return a, y, b
-
-
-def eigen_rank(x: np.ndarray) -> float | None:
-    """Effective rank of a matrix' correlations, missing values at the median, constant columns left out."""
-    (x,) = impute(x)
-    x = x[:, x.std(0) > 0] if x.size else x
-    if x.size == 0 or x.shape[1] < 1:
-        return None
-    v = np.clip(np.linalg.eigvalsh(np.atleast_2d(np.corrcoef(x, rowvar=False))), 0, None)
-    p = v[v > 0] / v.sum()
-    return float(np.exp(-(p * np.log(p)).sum()))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number, average_rank, correlation, resample_index
+from ..sources.scratch import written
 from .associations import ALPHA, LEAST_REPLICATES, MIN_N, REPEATS, SEED, SIGN_LIMIT, assert_one_row_per_unit
 from .features import complete_cases
-from .kernels import fit_rank_ols
+from .leastsquares import rank_fits
 
 MAX_FEATURES, MAX_PREDICTORS = 3, 8
 # Controls and the column names under which they may come.
@@ -68,30 +68,21 @@ def rank_zscores(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def bootstrap_fits(rows: DataFrame, predictors: Sequence[str], target: str, seed: int, repeats: int = REPEATS, min_n: int = MIN_N) -> DataFrame:
-    """``rep, predictor, coefficient, n, predictors, condition``: the fit of the rows (rep -1) and of each resample, one task group per
-    replicate."""
+    """``rep, predictor, coefficient, n, predictors, condition``: the fit of the rows (rep -1) and of each resample, from sums of rank products."""
     pos = F.row_number().over(Window.orderBy("dataset")) - 1  # one row per dataset
-    data = rows.select("dataset", target, *predictors).withColumns({"pos": pos, "size": F.count(F.lit(1)).over(Window.partitionBy())})
+    data = written(rows.select("dataset", target, *predictors).withColumns({"pos": pos.cast("long"), "size": F.count(F.lit(1)).over(Window.partitionBy())}), "resampled")
     grid = data.select("pos", "size", F.explode(F.sequence(F.lit(-1), F.lit(repeats - 1))).alias("rep"))
     index = F.when(F.col("rep") < 0, F.col("pos")).otherwise(resample_index(F.col("size"), F.lit(seed), F.col("rep"), F.col("pos")))
-    drawn = grid.select("rep", F.col("pos").alias("draw"), index.cast("long").alias("pos")).join(data.withColumn("pos", F.col("pos").cast("long")).drop("size", "dataset"), "pos")
-    names = list(predictors)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draw")
-        got = fit_rank_ols(pdf[names].to_numpy(float), pdf[target].to_numpy(float), min_n)
-        rows = [] if got is None else [(int(pdf["rep"].iloc[0]), names[k], c, len(pdf), len(got[0]), got[1]) for k, c in got[0].items()]
-        return pd.DataFrame(rows, columns=["rep", "predictor", "coefficient", "n", "predictors", "condition"])
-
-    return drawn.groupBy("rep").applyInPandas(fit, "rep int, predictor string, coefficient double, n int, predictors int, condition double")
+    times = grid.groupBy("rep", index.cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("times"))
+    return rank_fits(times.join(data.drop("size", "dataset"), "pos"), predictors, target, min_n)
 
 
 def sensitivity(table: DataFrame, robust: DataFrame, name: str, target: str = "delta_norm", controls_from: DataFrame | None = None, classification: bool = False, candidates=GENERAL_CONTROLS, repeats: int = REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The adjusted coefficients of the chosen features, the feature report and the control report."""
     spark = table.sparkSession
-    # tables of one row per dataset or feature that several jobs read: kept so that the plan below them runs once
-    table, robust = table.persist(), robust.persist()
-    source = table if controls_from is None else controls_from.persist()
+    # tables of one row per dataset or feature that several jobs read: written so that the plan below them runs once
+    table, robust = written(table, "analysis"), written(robust, "robust")
+    source = table if controls_from is None else written(controls_from, "controls")
     assert_one_row_per_unit(table, name)
     if controls_from is not None:
         assert_one_row_per_unit(source, f"{name} controls")
@@ -110,7 +101,8 @@ def sensitivity(table: DataFrame, robust: DataFrame, name: str, target: str = "d
     extra = source.select("dataset", *(as_number(source.schema[a]).alias(m) for a, m in used))
     predictors = [*chosen, *(m for _, m in used)]
     clean = complete_cases(table.select("dataset", target, *chosen).join(extra, "dataset", "left"), [target, *predictors])
-    fits = bootstrap_fits(clean, predictors, target, seed + sum((k + 1) * ord(c) for k, c in enumerate(name)), repeats).persist()
+    fits = bootstrap_fits(clean, predictors, target, seed + sum((k + 1) * ord(c) for k, c in enumerate(name)), repeats)
+    fits = written(fits, "fits")
     whole = fits.where("rep = -1").select("predictor", F.col("coefficient").alias("observed"), "n", "predictors", "condition")
     if whole.isEmpty():
         raise ValueError(f"{name}: too few complete cases for the model")
@@ -130,7 +122,7 @@ def sensitivity(table: DataFrame, robust: DataFrame, name: str, target: str = "d
 
 def residual_rank_correlation(table: DataFrame, feature: str, controls: Sequence[str], target: str = "delta_norm") -> DataFrame:
     """``feature, n, rho, partial_rho``: the rank correlation before and after both sides lose what the controls' ranks explain."""
-    clean = complete_cases(table, [target, feature, *controls]).select("dataset", target, feature, *controls).persist()  # one row per dataset, read by several jobs
+    clean = written(complete_cases(table, [target, feature, *controls]).select("dataset", target, feature, *controls), "ranked")  # read by two jobs
     names = [target, feature, *controls]
     z = rank_zscores(clean, names)
     # all sums of products are one row: the residuals of both sides come from the normal equations of the controls' ranks

@@ -15,6 +15,7 @@ from ..plans.store import content_hash, failures, patch_absent_categories, with_
 from ..schemas import BASIC, GROUP, SPLIT
 from ..sources.metadata import metadata_of, problem_types_payload, sample_datasets, splits_of, without_problem_types
 from ..sources.results import decode_splits, select_results
+from ..sources.scratch import written
 from ..sources.splits import repeated_samples
 from . import inputs, twins
 from .inputs import COMPARISONS, FAMILIES, MAIN
@@ -596,6 +597,13 @@ def nominal_associations(spark, sf_dir):
     return followups.nominal(_tested(spark, sf_dir), 0.2).select("feature", "p_value")
 
 
+@query(f"WITH {twins.associated().replace('round(delta_norm, 9) AS y', 'round(max_abs_skew, 9) AS y')} SELECT feature, round(p_value, 6) + 0.0 AS p_value FROM tested WHERE p_value < 0.05")
+def nominal_published(spark, sf_dir):
+    """The published threshold, on a target with associations."""
+    obs = associations.observations(_main(spark, sf_dir), twins.TESTED, "max_abs_skew")
+    return followups.nominal(associations.test_associations(obs, twins.TESTED, MAIN)).select("feature", "p_value")
+
+
 @query(f"""WITH {twins.associated()}, h(feature, expected_sign) AS (VALUES ('log_n', 1), ('missing_fraction', -1), ('mean_abs_skew', 1), ('class_entropy', -1), ('mean_kurtosis', 1), ('nothing', 1)),
 j AS (SELECT h.feature, expected_sign, spearman_r, p_value, p_value_bh, sign(spearman_r) = expected_sign AS agrees FROM h LEFT JOIN tested USING (feature))
 SELECT feature, expected_sign, CASE WHEN spearman_r IS NULL THEN 'not_tested' WHEN agrees AND p_value_bh < 0.05 THEN 'supported' WHEN agrees AND p_value < 0.05 THEN 'nominally_supported' WHEN agrees THEN 'same_direction'
@@ -642,11 +650,22 @@ def family_representatives(spark, sf_dir):
 
 @query()
 def sensitivity_model(spark, sf_dir):
-    main = _main(spark, sf_dir).persist()  # one row per dataset, read by several jobs
+    main = written(_main(spark, sf_dir), "main")  # read by several jobs
     found = associations.associations(main, MAIN, twins.TESTED, check=False)
     return sensitivity.sensitivity(main, associations.robust_associations(found, MAIN, 0.6, 0.6), MAIN)[0]
 
 
+@query(f"""WITH {twins.OBSERVATIONS}, d AS (SELECT round(delta_norm, 9) AS y, round(log_n, 9) AS a, round(mean_abs_skew, 9) AS b, row_number() OVER (ORDER BY dataset) - 1 AS pos, count(*) OVER () AS size FROM main),
+draws AS (SELECT rep, CASE WHEN rep < 0 THEN pos ELSE {twins.index("size", str(_SEED), "rep", "pos")} END AS pos FROM d, range(-1, {REPEATS}) g(rep)),
+rk AS (SELECT rep, {", ".join(f"{twins.average_rank(c, 'rep')} AS {c}" for c in "yab")} FROM draws JOIN d USING (pos)),
+c AS (SELECT rep, count(*) AS n, corr(a, y) AS ca, corr(b, y) AS cb, corr(a, b) AS r FROM rk GROUP BY rep)
+SELECT rep, predictor, {twins.r6("coefficient")}, n, predictors, {twins.r6("condition")} FROM (SELECT CAST(rep AS INTEGER) AS rep, p.predictor, CASE WHEN p.predictor = 'log_n' THEN ca - r * cb ELSE cb - r * ca END / (1 - r * r) AS coefficient, CAST(n AS INTEGER) AS n, 2 AS predictors, sqrt((1 + abs(r)) / (1 - abs(r))) AS condition
+FROM c, (VALUES ('log_n'), ('mean_abs_skew')) p(predictor))""")
+def rank_regression(spark, sf_dir):
+    """The rank regression of the rows (replicate -1) and of every resample."""
+    return sensitivity.bootstrap_fits(_main(spark, sf_dir), ["log_n", "mean_abs_skew"], "delta_norm", _SEED, REPEATS)
+
+
 _RZ = ["delta_norm", "log_n", "missing_fraction"]
 
 
@@ -764,11 +783,31 @@ def nested_selection(spark, sf_dir):
 # --- follow-ups -----------------------------------------------------------------------------------------------
 
 
-@query()
+_FIT2 = f"""{twins.OBSERVATIONS}, d AS (SELECT dataset, round(delta_norm, 9) AS y, round(log_n, 9) AS a, round(mean_abs_skew, 9) AS b FROM main),
+m AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb, var_pop(y) AS v FROM d),
+z AS (SELECT (a - ma) / sa AS a, (b - mb) / sb AS b, y - my AS y FROM d, m),
+f AS (SELECT 'controls' AS model, n, v, 1 AS p, ca AS ba, 0.0 AS bb, 1.0 / n AS iaa, 0.0 AS iab, 0.0 AS ibb, 1.0 AS max_vif FROM m
+UNION ALL SELECT 'controls_plus', n, v, 2, (ca - r * cb) / (1 - r * r), (cb - r * ca) / (1 - r * r), 1 / (n * (1 - r * r)), -r / (n * (1 - r * r)), 1 / (n * (1 - r * r)), 1 / (1 - r * r) FROM m),
+e AS (SELECT f.*, z.a, z.b, y - ba * z.a - bb * z.b AS e, 1.0 / n + iaa * z.a * z.a + 2 * iab * z.a * z.b + ibb * z.b * z.b AS h FROM z, f),
+s AS (SELECT model, n, v, p, ba, bb, iaa, iab, ibb, max_vif, sum(e * e) AS sse, sum(pow(e / (1 - h), 2) * a * a) AS waa, sum(pow(e / (1 - h), 2) * a * b) AS wab, sum(pow(e / (1 - h), 2) * b * b) AS wbb FROM e GROUP BY ALL),
+k AS (SELECT model, n, v, p, sse, max_vif, 'log_n' AS predictor, ba AS beta, sqrt(iaa * sse / (n - p - 1)) AS se, sqrt(iaa * iaa * waa + 2 * iaa * iab * wab + iab * iab * wbb) AS hc3_se FROM s
+UNION ALL SELECT model, n, v, p, sse, max_vif, 'mean_abs_skew', bb, sqrt(ibb * sse / (n - p - 1)), sqrt(iab * iab * waa + 2 * iab * ibb * wab + ibb * ibb * wbb) FROM s WHERE p = 2),
+t AS (SELECT *, n - p + 1 AS pairs, beta / se / sqrt(beta * beta / (se * se) + n - p - 1) AS r, 1 - sse / (n * v) AS r2 FROM k)"""
+
+
+@query(f"""WITH {_FIT2} SELECT model, predictor, n, {twins.r6("coefficient se hc3_se ci_low ci_high p_value r2 adjusted_r2 max_vif")} FROM (SELECT model, predictor, CAST(n AS INTEGER) AS n, beta AS coefficient, se, hc3_se, beta - 1.96 * hc3_se AS ci_low, beta + 1.96 * hc3_se AS ci_high,
+{twins.p_value("r", "pairs")} AS p_value, r2, 1 - (1 - r2) * (n - 1) / (n - p - 1) AS adjusted_r2, max_vif FROM t)""")
 def controlled_ols(spark, sf_dir):
     return followups.ols_models(_main(spark, sf_dir), {"controls": ["log_n"], "controls_plus": ["log_n", "mean_abs_skew"]})
 
 
+@query(f"""WITH {twins.OBSERVATIONS}, q AS (SELECT median(round(log_n, 9)) AS qa, median(round(mean_abs_skew, 9)) AS qb FROM main),
+r AS (SELECT count(*) AS n, abs(corr(coalesce(round(log_n, 9), qa), coalesce(round(mean_abs_skew, 9), qb))) AS r FROM main, q)
+SELECT '{MAIN}' AS analysis_table, CAST(n AS INTEGER) AS n, 2 AS n_features, round(exp(-((1 + r) / 2 * ln((1 + r) / 2) + (1 - r) / 2 * ln((1 - r) / 2))), 6) + 0.0 AS effective_rank FROM r""")
+def matrix_rank(spark, sf_dir):
+    return followups.matrix_rank(_main(spark, sf_dir), ["log_n", "mean_abs_skew"], MAIN)
+
+
 _Z2 = ["delta_norm", "log_n", "mean_abs_skew"]
 
 

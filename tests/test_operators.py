@@ -10,12 +10,14 @@ from splitscope.operators import associations, external, features, predictive, s
 from splitscope.operators.analysis import assert_unique, dataset_level
 from splitscope.operators.descriptors import basic, profiles
 from splitscope.operators.irregularity import composite, irregularity
-from splitscope.operators.kernels import fit_ridge, fit_tree, ols, predict, t_tail
+from splitscope.operators.kernels import fit_ridge, fit_tree, predict, t_tail
 from splitscope.operators.redundancy import redundancy
 from splitscope.plans.store import Store, content_hash
 from splitscope.schemas import GAP_SCHEMA
 from splitscope.sources.splits import SplitRows
 
+from plain import ols
+
 
 @pytest.fixture(scope="module")
 def frame():

@@ -12,13 +12,15 @@ from splitscope import warm
 from splitscope.config import ConfigError, load_config, parse_config
 from splitscope.operators import external, followups, predictive, reports, sensitivity
 from splitscope.operators.descriptors import profiles
-from splitscope.operators.kernels import ols, predict, rank_z, spearman
+from splitscope.operators.kernels import predict, rank_z, spearman
 from splitscope.plans import pipeline
 from splitscope.plans.store import Store, export_csv, export_handoff, load_handoff
 from splitscope.sources.metadata import splits_of
 from splitscope.sources.results import read_results
 from splitscope.sources.splits import SplitRows, assigned_rows
 
+from plain import ols
+
 RAW = {
     "version": 1,
     "groups": {"tree": {"config_types": ["T1", "T2"]}, "net": {"config_types": ["N1"]}},
