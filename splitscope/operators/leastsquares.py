@@ -19,7 +19,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from ..functions.expressions import as_number
 from ..sources.scratch import written
 from ..sources.splits import SplitRows
 from .descriptors import profiles
-from .features import complete_cases
+from .features import coerce
 from .kernels import t_tail
 from .pairs import MAX_FEATURES, moments
 
@@ -122,12 +122,14 @@ def ols_models(table: DataFrame, models: dict[str, Sequence[str]], target: str =
     if not columns:
         return spark.createDataFrame([], OLS)
 
-    def of_model(name: str, predictors: Sequence[str]) -> DataFrame:
-        rows = complete_cases(table, list(dict.fromkeys([target, *predictors])))
+    def of_model(name: str, predictors: Sequence[str]) -> Column:
         cells = (F.col(c) if c in predictors else F.lit(None).cast("double") for c in columns)
-        return rows.select(F.lit(name).alias("dataset"), F.col(target).alias(TARGET), *(v.alias(f"x{k}") for k, v in enumerate(cells)))
+        complete = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in predictors), F.col(target).isNotNull())
+        return F.when(complete, F.struct(F.lit(name).alias("dataset"), F.col(target).alias(TARGET), *(v.alias(f"x{k}") for k, v in enumerate(cells))))
 
-    rows = written(reduce(DataFrame.unionByName, [of_model(m, p) for m, p in models.items()]), "models")  # read by both meetings
+    numbers = coerce(table, list(dict.fromkeys([target, *columns])))  # the table is read once for all models
+    rows = numbers.select(F.inline(F.array_compact(F.array(*(of_model(m, p) for m, p in models.items())))))
+    rows = written(rows, "models")  # read by both meetings
     split = rows.withColumns({"repeat": F.lit(0), "fold": F.lit(0)})
     squares = _squares(moments(SplitRows(split, [TARGET, *(f"x{k}" for k in range(len(columns)))])))
     found = {m: _solved(squares.get(m, {}), [f"x{at[c]}" for c in p], TARGET) for m, p in models.items() if p}

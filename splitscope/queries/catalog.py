@@ -855,7 +855,8 @@ def scenario_difference(spark, sf_dir):
 
 @query()
 def interpretation(spark, sf_dir):
-    main = _main(spark, sf_dir)
+    main = written(_main(spark, sf_dir), "main")  # read by several jobs
+    tested = associations.test_associations(associations.observations(main, twins.TESTED), twins.TESTED, MAIN)
     fits = followups.ols_models(main, {"m": ["log_n", "mean_abs_skew", "missing_fraction"]})
-    return followups.interpretation(fits, _tested(spark, sf_dir), followups.high_pairs(features.long_form(main, twins.TESTED, "dataset")))
+    return followups.interpretation(fits, tested, followups.high_pairs(features.long_form(main, twins.TESTED, "dataset")))
 
