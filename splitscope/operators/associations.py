@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number, average_rank, correlation, one_sided_p, resample_index, two_sided_p, with_step_down, with_step_up
+from ..sources.scratch import written
 from .features import long_form, predictors
 from .ranks import leave_one_out
 
@@ -112,7 +113,9 @@ def rank_stability(obs: DataFrame, tested: DataFrame, min_n: int = MIN_N, repeat
 
 
 def associations(table: DataFrame, name: str, features: Sequence[str] | None = None, target: str = "delta_norm", unit: str = "dataset", min_n: int = MIN_N, repeats: int = REPEATS, ci_top_k: int | None = None, top_k: int = TOP_K, alpha: float = ALPHA, seed: int = SEED, method: str = "spearman", check: bool = True, ci_alpha: float | None = None) -> DataFrame:
-    """The whole association table.  ``check`` runs the guard of one row per unit first."""
+    """The whole association table.  ``check`` runs the guard of one row per unit first.
+
+    Observations and tests are written, as both bootstraps read them several times: the plan below ``table`` runs once and is in no other plan."""
     if target not in table.columns:
         raise KeyError(f"{name} has no column {target}")
     if check:
@@ -121,8 +124,8 @@ def associations(table: DataFrame, name: str, features: Sequence[str] | None = N
     missing = sorted(set(features) - set(table.columns))
     if missing:
         raise KeyError(f"{name} has no columns {missing}")
-    obs = observations(table, features, target, unit)
-    tested = test_associations(obs, features, name, min_n, method, alpha)
+    obs = written(observations(table, features, target, unit), "observations")
+    tested = written(test_associations(obs, features, name, min_n, method, alpha), "tested")
     chosen = tested if ci_top_k is None else tested.where(F.col("effect_rank") <= ci_top_k)
     out = tested.join(bootstrap_intervals(obs, chosen, repeats, alpha if ci_alpha is None else ci_alpha, seed, method), "feature", "left").fillna(0, ["bootstrap_repeats_used"])
     return out.join(rank_stability(obs, tested, min_n, repeats, top_k, seed + 100_000, method), "feature", "left")

@@ -5,10 +5,13 @@ One row per (split, feature) - the profile - comes from the value counts of a da
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLASS_FEATURES, CLASSIFICATION, SPLIT
+from ..sources.scratch import written
 from ..sources.splits import FoldedRows, SplitRows
 
 HIGH_CARDINALITY = (50, 0.1)
@@ -36,6 +39,12 @@ class Values:
         self.table = cells.groupBy(*self.unit, *_CELLS).agg(counts.alias("k"))
         self.n_splits = max(1, len(slots))
 
+    def stored(self) -> Values:
+        """The same with ``table`` in the shared folder: readers of it do not count the rows again."""
+        out = copy(self)
+        out.table = written(self.table, "values")
+        return out
+
     def others(self, s: int) -> list[int]:
         """The places in ``k`` that add up to split s."""
         return [i for i, (r, f) in enumerate(self.slots) if r == self.slots[s][0] and f != self.slots[s][1]] if self.slots else [0]
@@ -162,11 +171,12 @@ def _outside(v: Values, ranged: DataFrame, quartiles: DataFrame) -> DataFrame:
     return each.select(*v.unit, "feature", "split", "outside", *(F.col("f")[c].alias(c) for c in ("q1", "mid", "q3")))
 
 
-def profiles(source: SplitRows | DataFrame, shape: bool = True) -> DataFrame:
+def profiles(source: SplitRows | DataFrame, shape: bool = True, v: Values | None = None) -> DataFrame:
     """One row per split and feature: sizes, distinct values, and with ``shape`` moments, quartiles and extremes of the numbers.
 
-    ``source``: rows, or cells that name their split.  Everything comes from the value counts, which are kept for all splits at once (:class:`Values`)."""
-    v = values(source)
+    ``source``: rows, or cells that name their split.  Everything comes from the value counts, which are kept for all splits at once (:class:`Values`), ``v`` if they
+    are known."""
+    v = values(source) if v is None else v
     counted = _counted(v)
     one = _per_split(v, counted)
     missing = (1 - F.col("n_values") / F.col("n_rows")).alias("missing")
@@ -195,6 +205,14 @@ def profiles(source: SplitRows | DataFrame, shape: bool = True) -> DataFrame:
     return wanted(source, v.named(out).select(*SPLIT, "feature", "kind", *plain, missing, "skew", "kurt", "std", "std_pop", "mean", "low", "high", zero("zeros"), "q1", "mid", "q3", "hmean", zero("outside")))
 
 
+def stored_profiles(source: SplitRows | DataFrame, shape: bool = True, v: Values | None = None) -> DataFrame:
+    """:func:`profiles` as a table in the shared folder.  With ``shape`` the value counts are written first, as a profile reads them many times:
+    rows are counted once, whatever reads the profile."""
+    if shape and v is None:
+        v = values(source).stored()
+    return written(profiles(source, shape, v), "profile")
+
+
 def presence(sr: SplitRows) -> DataFrame:
     """The columns of :func:`profiles` that need no values: rows, values and the share of missing ones.  One shuffle of partial counts."""
     one = sr.cells().groupBy(*sr.key, "feature", "kind").agg(F.count(F.lit(1)).alias("n_rows"), (F.count("num") + F.count("cat")).alias("n_values"))

@@ -53,19 +53,24 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basic descriptors and the irregularity components that are aggregates.  The components go to six digits here: z-scores of a component
     that hardly varies would blow up the engines' last bits."""
     sr = inputs.train_splits(spark, sf_dir)
-    profile = descriptors.profiles(sr)
+    profile = descriptors.stored_profiles(sr)
     return descriptors.basic(sr, profile).join(irregularity.profile_components(profile), SPLIT, "left").select(*SPLIT, *BASIC, *(F.round(c, 6).alias(c) for c in PARTS))
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gaps and descriptors as written tables: the composite reads each of them several times."""
+    return written(_gaps(spark, sf_dir), "gaps"), written(_described(spark, sf_dir), "described")
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.dataset_level(_gaps(spark, sf_dir), _described(spark, sf_dir), PARTS)
+    return analysis.dataset_level(*_sides(spark, sf_dir), PARTS)
 
 
 def _main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the main comparison, rounded as in the oracle before anything is ranked."""
+    """The rows of the main comparison, rounded as in the oracle before anything is ranked; a written table, as tests and resamples read it many times."""
     rows = _analysis(spark, sf_dir).where(F.col("comparison_name") == MAIN)
     r9 = lambda c: F.round(F.col(c).cast("double"), 9).alias(c)
-    return rows.select("dataset", r9("delta_norm"), *(r9(c) for c in twins.TESTED))
+    return written(rows.select("dataset", r9("delta_norm"), *(r9(c) for c in twins.TESTED)), "main")
 
 
 def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +206,7 @@ def desc_target(spark, sf_dir):
 
 
 def _found(spark, sf_dir, *columns: str, shape: bool = False) -> DataFrame:
-    return descriptors.of_profile(descriptors.profiles(inputs.train_splits(spark, sf_dir), shape)).select(*SPLIT, *columns)
+    return descriptors.of_profile(descriptors.stored_profiles(inputs.train_splits(spark, sf_dir), shape)).select(*SPLIT, *columns)
 
 
 _CARD = ["mean_cat_cardinality", "max_cat_cardinality", "high_cardinality_fraction"]
@@ -233,17 +238,19 @@ def desc_low_info(spark, sf_dir):
 
 @query(_described_sql("described", BASIC, _COUNTS))
 def desc_basic(spark, sf_dir):
-    return descriptors.basic(inputs.train_splits(spark, sf_dir)).select(*SPLIT, *BASIC)
+    sr = inputs.train_splits(spark, sf_dir)
+    return descriptors.basic(sr, descriptors.stored_profiles(sr)).select(*SPLIT, *BASIC)
 
 
 @query(_described_sql("d_irreg", PARTS))
 def irregularity_parts(spark, sf_dir):
-    return irregularity.profile_components(descriptors.profiles(inputs.train_splits(spark, sf_dir)))
+    return irregularity.profile_components(descriptors.stored_profiles(inputs.train_splits(spark, sf_dir)))
 
 
 @query()
 def irregularity_all(spark, sf_dir):
-    return irregularity.irregularity(inputs.train_splits(spark, sf_dir))
+    sr = inputs.train_splits(spark, sf_dir)
+    return irregularity.irregularity(sr, descriptors.stored_profiles(sr))
 
 
 _NUMBERS = ("discount", "price", "quantity", "tax")
@@ -256,7 +263,7 @@ s AS (SELECT dataset, repeat, fold, avg(r) AS mean_abs_corr, max(r) AS max_abs_c
 SELECT dataset, repeat, fold, {twins.r6("mean_abs_corr max_abs_corr high_corr_pair_fraction")} FROM s""")
 def corr_summary(spark, sf_dir):
     sr = inputs.train_splits(spark, sf_dir)
-    return redundancy.correlation_summary(redundancy.correlations(sr, redundancy.varying_features(descriptors.profiles(sr, shape=False))))
+    return redundancy.correlation_summary(redundancy.correlations(sr, redundancy.varying_features(descriptors.stored_profiles(sr, shape=False))))
 
 
 @query(f"""WITH {twins.ROWS}, s AS (SELECT {", ".join(SPLIT)}, stddev_pop(quantity) AS sa, stddev_pop(discount) AS sd FROM train GROUP BY ALL),
@@ -267,7 +274,7 @@ SELECT {", ".join(SPLIT)}, {twins.r6("irreg_min_cov_eig")} FROM e""")
 def smallest_eigenvalue(spark, sf_dir):
     """On two columns, one with missing values, where it has a closed form."""
     sr = replace(inputs.train_splits(spark, sf_dir), features=["quantity", "discount"])
-    return irregularity.smallest_eigenvalue(sr, descriptors.profiles(sr))
+    return irregularity.smallest_eigenvalue(sr, descriptors.stored_profiles(sr))
 
 
 @query(f"""WITH {twins.ROWS}, met AS (SELECT {", ".join(SPLIT)}, abs({twins.correlation("quantity", "discount")}) AS r FROM train WHERE quantity IS NOT NULL AND discount IS NOT NULL GROUP BY ALL),
@@ -277,7 +284,7 @@ SELECT {", ".join(SPLIT)}, {twins.r6("effective_rank participation_ratio")} FROM
 def correlation_rank(spark, sf_dir):
     """On two columns, whose correlation matrix has the eigenvalues 1 + r and 1 - r."""
     sr = replace(inputs.train_splits(spark, sf_dir), features=["quantity", "discount"])
-    return redundancy.correlation_rank(redundancy.correlations(sr, redundancy.varying_features(descriptors.profiles(sr, shape=False))))
+    return redundancy.correlation_rank(redundancy.correlations(sr, redundancy.varying_features(descriptors.stored_profiles(sr, shape=False))))
 
 
 @query()
@@ -349,7 +356,7 @@ a AS (SELECT *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS a FROM s),
 z AS (SELECT {_K3}, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM a)
 SELECT {_K3}, round(CAST(coalesce(sum(CASE WHEN exp(-(z1 * z1 + z2 * z2) / 2) >= 0.05 THEN 1 ELSE 0 END), 0) AS DOUBLE), 6) AS nr_norm FROM (SELECT DISTINCT {_K3} FROM g) LEFT JOIN z USING ({_K3}) GROUP BY ALL""")
 def normal_columns(spark, sf_dir):
-    return descriptors.profiles(inputs.train_splits(spark, sf_dir)).groupBy(*SPLIT).agg(classwise.normal_count())
+    return descriptors.stored_profiles(inputs.train_splits(spark, sf_dir)).groupBy(*SPLIT).agg(classwise.normal_count())
 
 
 @query(f"""WITH {twins.DESCRIPTORS} SELECT {", ".join(SPLIT)}, CAST(0 AS BIGINT) AS n_cat_features, 0.0::DOUBLE AS mean_cat_cardinality, 0.0::DOUBLE AS cat_missing_fraction, round(avg(missing), 6) + 0.0 AS missing_fraction
@@ -358,7 +365,7 @@ def cat_absence_patch(spark, sf_dir):
     """Splits without a categorical column."""
     sr = inputs.train_splits(spark, sf_dir)
     numbers = replace(sr, features=sr.numeric)
-    return patch_absent_categories(descriptors.basic(numbers)).select(*SPLIT, "n_cat_features", "mean_cat_cardinality", "cat_missing_fraction", "missing_fraction")
+    return patch_absent_categories(descriptors.basic(numbers, descriptors.stored_profiles(numbers))).select(*SPLIT, "n_cat_features", "mean_cat_cardinality", "cat_missing_fraction", "missing_fraction")
 
 
 # --- the analysis table ---------------------------------------------------------------------------------------
@@ -373,14 +380,15 @@ def analysis_dataset(spark, sf_dir):
 
 @query(f"WITH {twins.ANALYSIS} SELECT j.dataset, repeat, fold, comparison_name, {twins.r6('delta_norm log_n missing_fraction irregularity')} FROM joined j LEFT JOIN composites USING (dataset)")
 def analysis_fold(spark, sf_dir):
-    return analysis.split_level(_gaps(spark, sf_dir), _described(spark, sf_dir), PARTS).select(*SPLIT, "comparison_name", "delta_norm", "log_n", "missing_fraction", "irregularity")
+    return analysis.split_level(*_sides(spark, sf_dir), PARTS).select(*SPLIT, "comparison_name", "delta_norm", "log_n", "missing_fraction", "irregularity")
 
 
 @query(f"""WITH {twins.GAPS}, {twins.DESCRIPTORS} SELECT g.dataset || '|' || g.repeat || '|' || g.fold AS unit, g.comparison_name, {twins.r6("delta_norm log_n class_entropy")}
 FROM gaps g LEFT JOIN described USING (dataset, repeat, fold)""")
 def gaps_with_descriptors(spark, sf_dir):
     """Every gap with the descriptors of its split, under the id of its unit: the split-level export."""
-    joined = analysis.gaps_with_descriptors(_gaps(spark, sf_dir), descriptors.basic(inputs.train_splits(spark, sf_dir)))
+    sr = inputs.train_splits(spark, sf_dir)
+    joined = analysis.gaps_with_descriptors(_gaps(spark, sf_dir), descriptors.basic(sr, descriptors.stored_profiles(sr)))
     return analysis.with_unit(joined, *SPLIT).select("unit", "comparison_name", "delta_norm", "log_n", "class_entropy")
 
 
@@ -513,6 +521,12 @@ def _tested(spark: SparkSession, sf_dir: str, method: str = "spearman") -> DataF
     return associations.test_associations(_obs(spark, sf_dir), twins.TESTED, MAIN, method=method)
 
 
+def _resampled(spark: SparkSession, sf_dir: str, target: str = "delta_norm") -> tuple[DataFrame, DataFrame]:
+    """Observations and their tests as written tables, for resamples that read both several times."""
+    obs = written(associations.observations(_main(spark, sf_dir), twins.TESTED, target), "observations")
+    return obs, written(associations.test_associations(obs, twins.TESTED, MAIN), "tested")
+
+
 @query(f"WITH {twins.associated()} SELECT {_ASSOC} FROM tested")
 def associations_spearman(spark, sf_dir):
     return _tested(spark, sf_dir).select(*_SHOWN)
@@ -549,8 +563,7 @@ ci AS (
 
 @query(f"WITH {_BOOT} SELECT feature, {twins.r6('ci_low ci_high bootstrap_sign_consistency')}, k AS bootstrap_repeats_used FROM ci")
 def bootstrap_ci(spark, sf_dir):
-    obs = _obs(spark, sf_dir)
-    return associations.bootstrap_intervals(obs, associations.test_associations(obs, twins.TESTED, MAIN), REPEATS)
+    return associations.bootstrap_intervals(*_resampled(spark, sf_dir), REPEATS)
 
 
 @query(f"""WITH {twins.associated()},
@@ -564,8 +577,7 @@ tracked AS (SELECT feature FROM tested WHERE spearman_r IS NOT NULL ORDER BY eff
 s AS (SELECT feature, count(*) AS k, quantile_cont(place, 0.5) AS bootstrap_rank_median, quantile_cont(place, 0.05) AS bootstrap_rank_q05, quantile_cont(place, 0.95) AS bootstrap_rank_q95, avg(CASE WHEN place <= 25 THEN 1.0 ELSE 0.0 END) AS bootstrap_top_k_frequency FROM places GROUP BY ALL HAVING count(*) >= 20)
 SELECT feature, {twins.r6("bootstrap_rank_median bootstrap_rank_q05 bootstrap_rank_q95 bootstrap_top_k_frequency")} FROM tracked LEFT JOIN s USING (feature)""")
 def rank_stability(spark, sf_dir):
-    obs = _obs(spark, sf_dir)
-    return associations.rank_stability(obs, associations.test_associations(obs, twins.TESTED, MAIN), repeats=REPEATS)
+    return associations.rank_stability(*_resampled(spark, sf_dir), repeats=REPEATS)
 
 
 @query(f"""WITH {_BOOT}, j AS (SELECT * FROM tested JOIN ci USING (feature))
@@ -585,9 +597,7 @@ SELECT feature, n, round(spearman_r, 6) + 0.0 AS spearman_rho, round(p_value_bh,
 FROM j WHERE p_value_bh < 0.05 AND bootstrap_sign_consistency >= 0.9 ORDER BY round(abs_spearman_r, 12) DESC, j.bootstrap_sign_consistency DESC, feature LIMIT 25""")
 def robust_published(spark, sf_dir):
     """The published thresholds, on a target with strong associations: a descriptor of the splits."""
-    table = _main(spark, sf_dir)
-    obs = associations.observations(table, twins.TESTED, "max_abs_skew")
-    tested = associations.test_associations(obs, twins.TESTED, MAIN)
+    obs, tested = _resampled(spark, sf_dir, "max_abs_skew")
     found = tested.join(associations.bootstrap_intervals(obs, tested), "feature", "left").withColumns({c: F.lit(None).cast("double") for c in ("bootstrap_rank_median", "bootstrap_rank_q05", "bootstrap_rank_q95", "bootstrap_top_k_frequency")})
     return associations.robust_associations(found, MAIN).select("feature", "n", "spearman_rho", "bh_q_value", "bootstrap_sign_consistency")
 
@@ -639,7 +649,7 @@ def association_summary(spark, sf_dir):
 
 def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = associations.associations(_main(spark, sf_dir), MAIN, twins.TESTED, repeats=REPEATS, check=False)
-    return associations.robust_associations(found, MAIN, 0.6, 0.6)
+    return written(associations.robust_associations(found, MAIN, 0.6, 0.6), "robust")
 
 
 @query(f"""WITH {_BOOT}, j AS (SELECT feature, round(abs_spearman_r, 12) AS a, bootstrap_sign_consistency AS s FROM tested JOIN ci USING (feature) WHERE p_value_bh < 0.6 AND bootstrap_sign_consistency >= 0.6 ORDER BY a DESC, s DESC, feature LIMIT 25)
