@@ -285,21 +285,31 @@ def target(sr: SplitRows) -> DataFrame:
     known = class_label(sr)
     if known is None:
         return sr.keys().drop("kind").withColumns({c: F.lit(None).cast("long" if c == "n_classes" else "double") for c in CLASS_FEATURES})
-    parts = sr.rows.select(*sr.key, known.alias("y")).groupBy(*sr.key, "y").agg(F.count("y").alias("k"))
-    counts = sr.to_splits(parts).groupBy(*SPLIT, "y").agg(F.sum("k").alias("k"))
+    return rows_and_target(sr).select(*SPLIT, *CLASS_FEATURES)
+
+
+def rows_and_target(sr: SplitRows) -> DataFrame:
+    """:func:`split_rows` and :func:`target` by one look at the rows: counts by class, and of rows without one."""
+    known = class_label(sr)
+    gone = F.count_if(sr.any_missing()) if sr.features else F.lit(None).cast("long")
+    parts = sr.rows.withColumn("__y", F.lit(None).cast("string") if known is None else known).groupBy(*sr.key, "__y").agg(F.count(F.lit(1)).alias("rows"), gone.alias("gone"))
+    counts = sr.to_splits(parts).groupBy(*SPLIT, "__y").agg(F.sum("rows").alias("rows"), F.sum("gone").alias("gone"))
     # entropy from counts: log2(N) - sum(k log2 k) / N needs no second pass over the classes
-    k = F.when(F.col("k") > 0, F.col("k"))
-    out = counts.groupBy(*SPLIT).agg(F.count(k).alias("classes"), F.sum("k").alias("all"), F.sum(k * F.log2(k)).alias("s"), F.max(k).alias("most"), F.min(k).alias("least"))
+    k = F.when(F.col("__y").isNotNull(), F.col("rows"))
+    out = counts.groupBy(*SPLIT).agg(
+        F.sum("rows").alias("n"), (F.sum("gone") / F.sum("rows")).alias("row_missing_fraction"),
+        F.count(k).alias("classes"), F.sum(k).alias("all"), F.sum(k * F.log2(k)).alias("s"), F.max(k).alias("most"), F.min(k).alias("least"),
+    )
     n = F.col("all")
     some = lambda x: F.when(n > 0, x)
     return out.select(
-        *SPLIT, some(F.col("classes")).alias("n_classes"), some(F.log2(n) - F.try_divide(F.col("s"), n)).alias("class_entropy"), some(F.try_divide(F.col("most"), n)).alias("majority_class_fraction"),
+        *SPLIT, "n", "row_missing_fraction", some(F.col("classes")).alias("n_classes"), some(F.log2(n) - F.try_divide(F.col("s"), n)).alias("class_entropy"), some(F.try_divide(F.col("most"), n)).alias("majority_class_fraction"),
         some(F.try_divide(F.col("least"), n)).alias("minority_class_fraction"), some(F.try_divide(F.col("most"), F.col("least"))).alias("class_imbalance_ratio"),
     )
 
 
 def basic(sr: SplitRows, profile: DataFrame | None = None) -> DataFrame:
-    """All basic descriptors of each split: partials of the cells, of the rows and of the targets."""
+    """All basic descriptors of each split: partials of the cells, and of the rows by class."""
     profile = profiles(sr) if profile is None else profile
-    out = _ratios(split_rows(sr).join(of_profile(profile), SPLIT, "left").join(target(sr), SPLIT, "left"))
+    out = _ratios(rows_and_target(sr).join(of_profile(profile), SPLIT, "left"))
     return out.withColumn("cat_cardinality_to_n_ratio", F.try_divide(F.col("mean_cat_cardinality"), F.col("n")))

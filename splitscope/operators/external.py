@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number, sample_kurtosis, sample_skewness
 from ..schemas import SPLIT
+from ..sources.scratch import written
 from ..sources.splits import SplitRows
 from .classwise import INFORMATION, SCATTER, SINGLE_INFORMATION, class_counts, class_information, class_products, class_scatter, contingency, information, normal_count
-from .descriptors import profiles, split_rows, value_counts
+from .descriptors import profiles, split_rows, stored_profiles, value_counts, values, wanted
 from .pairs import MAX_FEATURES, moments
 
 PREFIX = "pymfe__"
@@ -222,28 +223,34 @@ def external_columns(groups: Sequence[str], summaries: Sequence[str]) -> list[st
     return [c for g in single | summed if g in groups for c in [*(PREFIX + f for f in single.get(g, ())), *(f"{PREFIX}{f}.{t}" for f in summed.get(g, ()) for t in tail)]]
 
 
-def external(sr: SplitRows, groups: Sequence[str] = ("general", "statistical", "info-theory"), summaries: Sequence[str] = ("mean", "sd"), profile: DataFrame | None = None) -> DataFrame:
-    """The descriptors of the groups, one row per split with one column each."""
-    profile = profiles(sr) if profile is None else profile
-    counts = value_counts(sr)
-    products = moments(sr, whole=True)
+def external(sr: SplitRows, groups: Sequence[str] = ("general", "statistical", "info-theory"), summaries: Sequence[str] = ("mean", "sd"), profile: DataFrame | None = None, stored: bool = False) -> DataFrame:
+    """The descriptors of the groups, one row per split with one column each.
+
+    With ``stored``, value counts, profile, products and counts by class are written first: every look at the rows is then taken once, where one lazy
+    plan takes it for each statistic that starts from it."""
+    keep = written if stored else lambda df, name: df
+    v = values(sr).stored() if stored else values(sr)
+    if profile is None:
+        profile = stored_profiles(sr, v=v) if stored else profiles(sr)
+    counts = wanted(sr, v.by_split())
+    products = keep(moments(sr, whole=True), "products") if {"statistical", "complexity"} & set(groups) else None
+    classes = keep(class_counts(sr), "classes") if {"general", "info-theory"} & set(groups) else None
     parts = [general(sr, profile, "statistical" in groups)] if {"general", "statistical"} & set(groups) else []
     if "general" in groups:
-        classes = class_counts(sr)
         n = F.sum("k").over(Window.partitionBy(*SPLIT))
         shares = classes.select(*SPLIT, F.col("y").alias("feature"), F.lit("freq_class").alias("stat"), (F.col("k") / n).alias("value"))
         parts += [summarise(shares, summaries), _named(classes.groupBy(*SPLIT).agg(F.count(F.lit(1)).cast("double").alias("nr_class")), ("nr_class",))]
     if "statistical" in groups:
         pairs = paired(products)
-        apart = class_scatter(class_products(sr))
+        apart = keep(class_scatter(keep(class_products(sr), "class-products")), "scatter")
         roots = apart.select(*SPLIT, F.posexplode("can_cor").alias("at", "value")).select(*SPLIT, F.concat(F.lit("c"), "at").alias("feature"), F.lit("can_cor").alias("stat"), "value")
-        found = (per_attribute(profile, counts), pairs, eigenvalues(products), roots)
-        parts += [summarise(reduce(DataFrame.unionByName, found), summaries), _named(related_pairs(pairs), ("nr_cor_attr",)), _named(apart, SCATTER)]
+        found = keep(reduce(DataFrame.unionByName, (per_attribute(profile, counts), pairs, eigenvalues(products), roots)), "statistics")
+        parts += [summarise(found, summaries), _named(related_pairs(pairs), ("nr_cor_attr",)), _named(apart, SCATTER)]
     if "info-theory" in groups:
-        told = information(contingency(sr))
+        told = keep(information(keep(contingency(sr), "contingency")), "information")
         shared = told.select(*SPLIT, "feature", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in INFORMATION))))
-        found = (attribute_entropy(counts), attribute_concentration(sr), shared)
-        parts += [summarise(reduce(DataFrame.unionByName, found), summaries), _named(class_information(told, class_counts(sr)), SINGLE_INFORMATION)]
+        found = keep(reduce(DataFrame.unionByName, (attribute_entropy(counts), attribute_concentration(sr), shared)), "shared")
+        parts += [summarise(found, summaries), _named(class_information(told, classes), SINGLE_INFORMATION)]
     if "complexity" in groups:
         size = profile.groupBy(*SPLIT).agg(F.max("n_rows").alias("n"), F.count(F.lit(1)).alias("d"))
         parts.append(components(eigenvalues(products), size))

@@ -20,33 +20,48 @@ from ..sources.splits import FoldedRows, SplitRows
 
 MAX_FEATURES = 512
 HELD_BYTES = 64 << 20
+FEW = 16  # columns up to which the units of a batch are added up together
+BATCH = 65_536  # pairs handed on at a time
 _OUT = "dataset string, at long, fold long, y string, whole boolean, i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double"
 
 
 class Moments:
-    """Sums over rows, about a fixed centre near the data so that nothing is lost to cancellation."""
-
-    def __init__(self, x: np.ndarray):
+    """Sums over the rows of several units, about a fixed centre near the data of each so that nothing is lost to cancellation."""
+
+    def __init__(self, p: int):
+        self.p, self.at = p, {}
+        self.centre, self.sums = np.zeros((0, p)), np.zeros((0, 4, p, p))
+
+    def add(self, keys: list[tuple], starts: np.ndarray, x: np.ndarray) -> None:
+        """``x``: rows ordered by unit; ``keys``, ``starts``: the units and where their rows begin."""
+        sizes = np.diff(np.append(starts, len(x)))
+        unit = np.array([self.at.setdefault(k, len(self.at)) for k in keys])
+        if len(self.at) > len(self.centre):
+            more = max(len(self.at), 2 * len(self.centre)) - len(self.centre)
+            self.centre, self.sums = np.concatenate((self.centre, np.full((more, self.p), np.nan))), np.concatenate((self.sums, np.zeros((more, 4, self.p, self.p))))
         seen = ~np.isnan(x)
-        count = seen.sum(0)
-        self.centre = np.where(count > 0, np.where(seen, x, 0).sum(0) / np.maximum(count, 1), 0.0)
-        p = x.shape[1]
-        self.n, self.s, self.q, self.c = np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
-
-    def add(self, x: np.ndarray) -> None:
-        w = ~np.isnan(x)
-        z, w = np.where(w, x - self.centre, 0.0), w.astype(float)
-        self.n += w.T @ w
-        self.s += z.T @ w
-        self.q += (z * z).T @ w
-        self.c += z.T @ z
-
-    def pairs(self) -> list[np.ndarray]:
-        """``i, j, n, mean i, mean j, sum of squares i, j, and of products`` for all i <= j."""
-        i, j = np.triu_indices(len(self.centre))
-        k = np.maximum(self.n, 1)
-        cxx, cxy = self.q - self.s * self.s / k, self.c - self.s * self.s.T / k
-        return [i, j, self.n[i, j], self.centre[i] + (self.s / k)[i, j], self.centre[j] + (self.s / k)[j, i], cxx[i, j], cxx[j, i], cxy[i, j]]
+        count = np.add.reduceat(seen.astype(float), starts)
+        mean = np.add.reduceat(np.where(seen, x, 0), starts) / np.where(count > 0, count, np.nan)
+        self.centre[unit] = np.where(np.isnan(self.centre[unit]), mean, self.centre[unit])  # the first values that a unit shows of a column
+        z, w = np.where(seen, x - np.repeat(self.centre[unit], sizes, axis=0), 0.0), seen.astype(float)
+        sides = ((w, w), (z, w), (z * z, w), (z, z))
+        if self.p <= FEW:  # many units of few rows: column by column for all units at once
+            for k in range(self.p):
+                for m, (left, right) in enumerate(sides):
+                    self.sums[unit, m, k] += np.add.reduceat(left[:, k : k + 1] * right, starts)
+        else:
+            for u, a, b in zip(unit.tolist(), starts.tolist(), (starts + sizes).tolist(), strict=True):
+                for m, (left, right) in enumerate(sides):
+                    self.sums[u, m] += left[a:b].T @ right[a:b]
+
+    def pairs(self, a: int, b: int) -> list[np.ndarray]:
+        """``i, j, n, mean i, mean j, sum of squares i, j, and of products`` for all i <= j of units a to b, unit by unit."""
+        i, j = np.triu_indices(self.p)
+        n, s, q, c = (self.sums[a:b, m] for m in range(4))
+        k, turned, centre = np.maximum(n, 1), s.transpose(0, 2, 1), np.nan_to_num(self.centre[a:b])
+        cxx, cxy, mean = q - s * s / k, c - s * turned / k, s / k
+        parts = (n[:, i, j], centre[:, i] + mean[:, i, j], centre[:, j] + mean[:, j, i], cxx[:, i, j], cxx[:, j, i], cxy[:, i, j])
+        return [np.tile(i, b - a), np.tile(j, b - a), *(v.ravel() for v in parts)]
 
 
 def moments(sr: SplitRows, whole: bool = False, by: Column | None = None) -> DataFrame:
@@ -56,41 +71,42 @@ def moments(sr: SplitRows, whole: bool = False, by: Column | None = None) -> Dat
     spark = sr.rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Moments] = {}
-        most = max(1, HELD_BYTES // (32 * max(1, len(names)) ** 2))
+        p = len(names)
+        held = Moments(p)
+        most = max(1, HELD_BYTES // (32 * max(1, p) ** 2))
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for (dataset, at, fold, y), m in held.items():
-                got = m.pairs()
-                size = len(got[0])
-                head = [pa.array([dataset] * size, pa.string()), pa.array([at] * size, pa.int64()), pa.array([fold] * size, pa.int64()), pa.array([y] * size, pa.string()), pa.array([whole] * size)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(got[0], pa.int32()), pa.array(got[1], pa.int32()), *map(pa.array, got[2:])], names=[c.split()[0] for c in _OUT.split(", ")])
-            held.clear()
+            labels, size = list(held.at), p * (p + 1) // 2
+            step = max(1, BATCH // max(1, size))
+            for a in range(0, len(labels), step):
+                part = labels[a : a + step]
+                of = np.repeat(np.arange(len(part)), size)
+                dataset, at, fold, y = (pa.array([u[k] for u in part], kind).take(pa.array(of)) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string())))
+                got = held.pairs(a, a + len(part))
+                yield pa.RecordBatch.from_arrays([dataset, at, fold, y, pa.array([whole] * len(of)), pa.array(got[0], pa.int32()), pa.array(got[1], pa.int32()), *map(pa.array, got[2:])], names=[c.split()[0] for c in _OUT.split(", ")])
 
         for batch in batches:
-            if not batch.num_rows:
+            x = np.column_stack([batch.column(4 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(p)])
+            if whole:
+                batch, x = batch.filter(pa.array(~np.isnan(x).any(1))), x[~np.isnan(x).any(1)]
+            if not len(x):
                 continue
             # rows of a batch, split by split
             coded = [batch.column(k).dictionary_encode() for k in (0, 3)]
             labels = [[*c.dictionary.to_pylist(), None] for c in coded]
-            first, last = (c.indices.fill_null(len(x) - 1).to_numpy(zero_copy_only=False).astype(np.int64) for c, x in zip(coded, labels, strict=True))
+            first, last = (c.indices.fill_null(len(v) - 1).to_numpy(zero_copy_only=False).astype(np.int64) for c, v in zip(coded, labels, strict=True))
             rest = [batch.column(k).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2)]
             order = np.lexsort((last, rest[1], rest[0], first))
-            key = np.stack((first, *rest, last))[:, order]
+            key, x = np.stack((first, *rest, last))[:, order], x[order]
             edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
-            x = np.column_stack([batch.column(4 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))])[order]
-            for a, b in zip(edge.tolist(), np.append(edge[1:], len(x)).tolist(), strict=True):
-                part = x[a:b]
-                if whole:
-                    part = part[~np.isnan(part).any(1)]
-                    if not len(part):
-                        continue
-                split = (labels[0][key[0, a]], int(key[1, a]), int(key[2, a]), labels[1][key[3, a]])
-                if split not in held:
-                    if len(held) >= most:
-                        yield from emit()
-                    held[split] = Moments(part)
-                held[split].add(part)
+            units = [(labels[0][a], b, c, labels[1][d]) for a, b, c, d in key[:, edge].T.tolist()]
+            ends = np.append(edge, len(x))
+            for k in range(0, len(edge), most):
+                if len(held.at) + sum(u not in held.at for u in units[k : k + most]) > most:
+                    yield from emit()
+                    held = Moments(p)
+                stop = min(k + most, len(edge))
+                held.add(units[k:stop], edge[k:stop] - edge[k], x[edge[k] : ends[stop]])
         yield from emit()
 
     folded = isinstance(sr, FoldedRows)

@@ -294,7 +294,7 @@ def redundancy_wide(spark, sf_dir):
 
 @query()
 def external_descriptors(spark, sf_dir):
-    return external.external(inputs.train_splits(spark, sf_dir), summaries=external.SUMMARIES)
+    return external.external(inputs.train_splits(spark, sf_dir), summaries=external.SUMMARIES, stored=True)
 
 
 _K3 = ", ".join(SPLIT)
@@ -344,7 +344,7 @@ SELECT {_K3}, {twins.r6(_SCATTER)} FROM s""")
 def class_scatter(spark, sf_dir):
     """On two columns, where the eigenvalues have a closed form."""
     sr = replace(inputs.train_splits(spark, sf_dir), features=["quantity", "price"])
-    found = classwise.class_scatter(classwise.class_products(sr))
+    found = classwise.class_scatter(written(classwise.class_products(sr), "class-products"))
     mean = F.aggregate("can_cor", F.lit(0.0), lambda s, x: s + x) / F.size("can_cor")
     return found.withColumn("can_cor_mean", mean).select(*SPLIT, *_SCATTER)
 

@@ -1,9 +1,10 @@
 """Tables that several steps read are made once: counts of the rows that a plan takes from its source."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from splitscope.operators import associations, descriptors
+from splitscope.operators import associations, descriptors, pairs
 from splitscope.queries import QUERIES, inputs
 from splitscope.sources.splits import SplitRows
 
@@ -39,8 +40,9 @@ def test_a_stored_profile_counts_its_rows_once(spark):
     assert got == sorted(map(tuple, descriptors.profiles(sr).select(*stored.columns).collect()))
 
 
-@pytest.mark.parametrize("name", ["usable_features", "rank_stability"])
-def test_queries_read_lineitem_few_times(spark, monkeypatch, name):
+# values, rows by class and results; products by class; values, rows, keys, products, classes, products and counts by class, and counts of pairs
+@pytest.mark.parametrize(("name", "most"), [("usable_features", 3), ("rank_stability", 3), ("class_scatter", 1), ("external_descriptors", 8)])
+def test_queries_read_lineitem_few_times(spark, monkeypatch, name, most):
     plain, seen = inputs.table, []
 
     def table(spark, sf_dir, name):
@@ -54,4 +56,24 @@ def test_queries_read_lineitem_few_times(spark, monkeypatch, name):
     monkeypatch.setattr(inputs, "table", table)
     QUERIES[name](spark, SF).collect()
     n = plain(spark, SF, "lineitem").count()
-    assert n <= sum(c.value for c in seen) <= 4 * n  # values, rows, classes and results
+    assert n <= sum(c.value for c in seen) <= most * n
+
+
+@pytest.mark.parametrize("p", [3, pairs.FEW + 2])
+def test_products_of_many_units_at_once(p):
+    r = np.random.default_rng(p)
+    x = r.normal(1e6, 1, (300, p))
+    x[r.random(x.shape) < 0.1] = np.nan
+    unit = np.sort(r.integers(0, 40, 300))
+    held = pairs.Moments(p)
+    for part in (np.arange(0, 300, 2), np.arange(1, 300, 2)):  # two batches
+        u = unit[part]
+        starts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        held.add([(int(k),) for k in u[starts]], starts, x[part])
+    for (u,), at in held.at.items():
+        for i, j, n, mean_i, mean_j, ss_i, ss_j, sp in zip(*held.pairs(at, at + 1), strict=True):
+            own = x[unit == u][:, [i, j]]
+            own = own[~np.isnan(own).any(1)]
+            assert n == len(own)
+            if n:
+                assert (mean_i, mean_j) == pytest.approx(own.mean(0)) and (ss_i, ss_j) == pytest.approx(own.var(0) * n, abs=1e-8) and sp == pytest.approx(np.prod(own - own.mean(0), axis=1).sum(), abs=1e-8)
