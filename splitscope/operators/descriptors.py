@@ -5,6 +5,7 @@ One row per (split, feature) - the profile - comes from the value counts of a da
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from copy import copy
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ NEAR_CONSTANT = 0.95
 
 
 RANGES = 64
+SEARCH = 8  # steps of the search for a number's range: at most 2 ** SEARCH - 1 borders
 QUARTILES = (0.25, 0.5, 0.75)
 _CELLS = ["feature", "kind", "num", "cat"]
 
@@ -91,14 +93,15 @@ def wanted(source: SplitRows | DataFrame, table: DataFrame) -> DataFrame:
 def _counted(v: Values) -> DataFrame:
     """``unit, feature, kind, split``: rows, values, distinct values, the most frequent one's count; ``d``, ``centre``: distinct numbers and the mean over all."""
     known = F.col("num").isNotNull() | F.col("cat").isNotNull()
-    total = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x)
-    w = v.weights()
-    each = lambda f: F.array(*map(f, w))
-    one = v.table.groupBy(*v.unit, "feature", "kind").agg(
-        each(F.sum).alias("n_rows"), each(lambda k: F.sum(F.when(known, k).otherwise(0))).alias("n_values"), each(lambda k: F.count(F.when(known & (k > 0), F.lit(1)))).alias("n_distinct"),
-        each(lambda k: F.max(F.when(known & (k > 0), k))).alias("top"), F.count("num").alias("d"), F.try_divide(F.sum(total * F.col("num")), F.sum(F.when(F.col("num").isNotNull(), total))).alias("centre"),
+    total = sum((F.col("k")[i] for i in range(max(1, len(v.slots)))), F.lit(0).cast("long"))
+    at = range(v.n_splits)
+    each = lambda f, c: F.array(*(f(F.col(f"{c}{s}")) for s in at))
+    rows = v.table.select(*v.unit, "feature", "kind", "num", F.when(F.col("num").isNotNull(), total).alias("all"), known.alias("known"), *(w.alias(f"w{s}") for s, w in enumerate(v.weights())))
+    rows = rows.select("*", *(F.when(F.col("known") & (F.col(f"w{s}") > 0), F.col(f"w{s}")).alias(f"v{s}") for s in at))
+    return rows.groupBy(*v.unit, "feature", "kind").agg(
+        each(F.sum, "w").alias("n_rows"), each(lambda k: F.coalesce(F.sum(k), F.lit(0).cast("long")), "v").alias("n_values"), each(F.count, "v").alias("n_distinct"),
+        each(F.max, "v").alias("top"), F.count("num").alias("d"), F.try_divide(F.sum(F.col("all") * F.col("num")), F.sum("all")).alias("centre"),
     )
-    return one
 
 
 def _per_split(v: Values, counted: DataFrame) -> DataFrame:
@@ -106,34 +109,54 @@ def _per_split(v: Values, counted: DataFrame) -> DataFrame:
     return counted.select(*v.unit, "feature", "kind", F.posexplode(F.arrays_zip(*names)).alias("split", "c")).select(*v.unit, "feature", "kind", "split", *(F.col("c")[n].alias(n) for n in names)).where("n_rows > 0")
 
 
-def _ranged(v: Values, counted: DataFrame) -> DataFrame:
-    """The numbers with the range they lie in, of about ``RANGES`` for each feature.
+def _lazy(df: DataFrame, name: str) -> DataFrame:
+    return df
 
-    The borders are the values of least hash, about ``RANGES`` of them: every executor that looks finds the same ones, and a feature with many
-    values is spread over many ranges.  Features meet their borders by joins, which Spark broadcasts or splits where one feature holds most values."""
-    numbers = v.table.where("num is not null").join(counted.select(*v.unit, "feature", "d", "centre"), [*v.unit, "feature"])
+
+def _borders(v: Values, counted: DataFrame) -> DataFrame:
+    """``unit, feature, centre, borders`` of the numeric features: the borders of about ``RANGES`` ranges, none for features with few values.
+
+    They are the values of least hash: every executor that looks finds the same ones, and a feature with many values is spread over many ranges."""
+    numeric = counted.where("kind = 'num'").select(*v.unit, "feature", "d", "centre")
     chosen = F.abs(F.xxhash64("num").cast("double")) * F.col("d") < float(2**63) * RANGES
-    borders = numbers.where((F.col("d") > 4 * RANGES) & chosen).groupBy(*v.unit, "feature").agg(F.sort_array(F.collect_list("num")).alias("borders"))
-    place = F.size(F.filter(F.coalesce("borders", F.array().cast("array<double>")), lambda b: b <= F.col("num")))
-    return numbers.join(borders, [*v.unit, "feature"], "left").withColumn("part", place).drop("borders", "d")
+    drawn = v.table.select(*v.unit, "feature", "num").where("num is not null").join(numeric.where(F.col("d") > 4 * RANGES), [*v.unit, "feature"]).where(chosen)
+    found = drawn.groupBy(*v.unit, "feature").agg(F.slice(F.sort_array(F.collect_list("num")), 1, 2**SEARCH - 1).alias("borders"))
+    return numeric.drop("d").join(found, [*v.unit, "feature"], "left").withColumn("borders", F.coalesce("borders", F.array().cast("array<double>")))
+
+
+def _ranged(v: Values, counted: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _lazy) -> DataFrame:
+    """The numbers with ``part``, the range they lie in: how many borders are at most the number, by halving."""
+    borders = keep(_borders(v, counted), "borders")
+    out = v.table.select(*v.unit, "feature", "num", "k").where("num is not null").join(borders, [*v.unit, "feature"]).withColumn("part", F.lit(0))
+    for step in (2**i for i in reversed(range(SEARCH))):
+        upto = F.col("part") + step
+        out = out.withColumn("part", F.when(F.get("borders", upto - 1) <= F.col("num"), upto).otherwise(F.col("part")))
+    return out.drop("borders")
 
 
 def _sums(v: Values, ranged: DataFrame) -> DataFrame:
     """``unit, feature, part, split``: count, power sums about the centre, extremes, zeros and the sum of inverses, added up for each place of ``k``
-    first and then for the splits that it belongs to."""
-    z = F.col("num") - F.col("centre")
-    x, n = F.col("num"), F.col("n")
-    slots = ranged.select(*v.unit, "feature", "part", "num", "centre", F.posexplode("k").alias("place", "n")).where("n > 0")
-    power = [F.sum(n * F.pow(z, F.lit(float(p)))).alias(f"s{p}") for p in (1, 2, 3, 4)]
-    own = slots.groupBy(*v.unit, "feature", "part", "place").agg(F.sum("n").alias("n"), *power, F.min(x).alias("low"), F.max(x).alias("high"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zeros"), F.sum(F.when(x > 0, n / x)).alias("inverse"), F.max("centre").alias("centre"))
-    return own.withColumn("split", F.explode(v.splits_of("place"))).groupBy(*v.unit, "feature", "part", "split").agg(*_add())
+    first and then for the splits that it belongs to.  A number comes once for each repeat, with the counts of its folds beside each other."""
+    by, x, z, zz = [*v.unit, "feature", "part"], F.col("num"), F.col("z"), F.col("zz")
+    per = len({f for _, f in v.slots}) or 1
+    repeats = F.array(*(F.struct(F.lit(i).alias("first"), *(F.col("k")[i + j].alias(f"n{j}") for j in range(per))) for i in range(0, max(1, len(v.slots)), per)))
+    rows = ranged.withColumn("z", x - F.col("centre")).select(*by, "num", "centre", "z", (z * z).alias("zz"), F.inline(repeats))
+
+    def own(j: int) -> Column:
+        n = F.col(f"n{j}")
+        power = [F.sum(n * c).alias(f"s{p}") for p, c in enumerate((z, zz, zz * z, zz * zz), 1)]
+        seen = F.when(n > 0, x)
+        return F.struct((F.first("first") + j).alias("place"), F.sum(n).alias("n"), *power, F.min(seen).alias("low"), F.max(seen).alias("high"), F.sum(F.when(x == 0, n).otherwise(0)).alias("zeros"), F.sum(F.when((x > 0) & (n > 0), n / x)).alias("inverse"))
+
+    sums = rows.groupBy(*by, "first").agg(F.array(*map(own, range(per))).alias("own"), F.max("centre").alias("centre")).select(*by, "centre", F.inline("own")).where("n > 0")
+    return sums.withColumn("split", F.explode(v.splits_of("place"))).groupBy(*by, "split").agg(*_add())
 
 
 def _add() -> list[Column]:
     return [*(F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "zeros", "inverse")), F.min("low").alias("low"), *(F.max(c).alias(c) for c in ("high", "centre"))]
 
 
-def _quartiles(v: Values, ranged: DataFrame, sums: DataFrame) -> DataFrame:
+def _quartiles(v: Values, ranged: DataFrame, sums: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``unit, feature, split, q1, mid, q3``: exact order statistics of any number of values.
 
     Counts of ranges tell in which range each place p (n - 1) lies; running counts are taken inside the ranges that hold one, for all
@@ -144,7 +167,7 @@ def _quartiles(v: Values, ranged: DataFrame, sums: DataFrame) -> DataFrame:
     places = F.array(*(F.struct(F.lit(2 * i + j).alias("which"), f((F.col("all") - 1) * p).cast("long").alias("at")) for i, p in enumerate(QUARTILES) for j, f in enumerate((F.floor, F.ceil))))
     goal = found.withColumn("goal", F.explode(places)).where((F.col("goal.at") < F.col("after")) & (F.col("goal.at") >= F.col("after") - F.col("n")))
     rest = F.struct("split", F.col("goal.which").alias("which"), (F.col("goal.at") - F.col("after") + F.col("n")).alias("rest"), F.col("all").alias("n"))
-    goals = goal.groupBy(*v.unit, "feature", "part").agg(F.collect_list(rest).alias("goals"))  # at most six for each split
+    goals = keep(goal.groupBy(*v.unit, "feature", "part").agg(F.collect_list(rest).alias("goals")), "goals")  # at most six for each split
     order = Window.partitionBy(*v.unit, "feature", "part").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = ranged.join(goals, [*v.unit, "feature", "part"]).withColumn("w", F.array(*v.weights())).withColumn("up", F.array(*(F.sum(w).over(order) for w in v.weights())))
     met = lambda g: (F.col("up")[g["split"]] > g["rest"]) & (F.col("up")[g["split"]] - F.col("w")[g["split"]] <= g["rest"])
@@ -159,33 +182,34 @@ def _quartiles(v: Values, ranged: DataFrame, sums: DataFrame) -> DataFrame:
     return values.select(*v.unit, "feature", "split", *(quartile(i, p).alias(c) for i, (p, c) in enumerate(zip(QUARTILES, names, strict=True))))
 
 
-def _outside(v: Values, ranged: DataFrame, quartiles: DataFrame) -> DataFrame:
-    """``quartiles`` with ``outside``: the values beyond 1.5 quartile ranges from them."""
-    wide = 1.5 * (F.col("q3") - F.col("q1"))
-    fence = F.struct("q1", "mid", "q3", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
-    fences = quartiles.groupBy(*v.unit, "feature").agg(F.map_from_entries(F.collect_list(F.struct("split", fence))).alias("fences"))  # one for each split
-    at = lambda s: F.try_element_at("fences", F.lit(s))
-    beyond = lambda s, w: F.sum(F.when((F.col("num") < at(s)["low"]) | (F.col("num") > at(s)["high"]), w).otherwise(0))
-    one = ranged.join(fences, [*v.unit, "feature"]).groupBy(*v.unit, "feature").agg(F.array(*(beyond(s, w) for s, w in enumerate(v.weights()))).alias("out"), F.first("fences").alias("fences"))
-    each = one.select(*v.unit, "feature", "fences", F.posexplode("out").alias("split", "outside")).withColumn("f", F.try_element_at("fences", F.col("split")))
-    return each.select(*v.unit, "feature", "split", "outside", *(F.col("f")[c].alias(c) for c in ("q1", "mid", "q3")))
+def _outside(v: Values, quartiles: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``quartiles`` with ``outside``: the values beyond 1.5 quartile ranges from them, NULL where there are none."""
+    by, wide = [*v.unit, "feature"], 1.5 * (F.col("q3") - F.col("q1"))
+    fence = F.struct((F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    fences = quartiles.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("split", fence))).alias("at"))  # one for each split
+    side = lambda c: F.array(*(F.try_element_at("at", F.lit(s))[c] for s in range(v.n_splits))).alias(c)
+    fences = keep(fences.select(*by, side("low"), side("high")), "fences")
+    far = v.table.select(*by, "num", "k").join(fences, by).where((F.col("num") < F.array_max("low")) | (F.col("num") > F.array_min("high")))
+    beyond = lambda s, w: F.sum(F.when((F.col("num") < F.col("low")[s]) | (F.col("num") > F.col("high")[s]), w).otherwise(0))
+    one = far.groupBy(*by).agg(F.array(*(beyond(s, w) for s, w in enumerate(v.weights()))).alias("out"))
+    return quartiles.join(one.select(*by, F.posexplode("out").alias("split", "outside")), [*by, "split"], "left")
 
 
-def profiles(source: SplitRows | DataFrame, shape: bool = True, v: Values | None = None) -> DataFrame:
+def profiles(source: SplitRows | DataFrame, shape: bool = True, v: Values | None = None, keep: Callable[[DataFrame, str], DataFrame] = _lazy) -> DataFrame:
     """One row per split and feature: sizes, distinct values, and with ``shape`` moments, quartiles and extremes of the numbers.
 
     ``source``: rows, or cells that name their split.  Everything comes from the value counts, which are kept for all splits at once (:class:`Values`), ``v`` if they
-    are known."""
+    are known.  ``keep``: what becomes of the small tables that the next look at the values starts from; :func:`written` makes each look one scan beside a broadcast."""
     v = values(source) if v is None else v
-    counted = _counted(v)
+    counted = keep(_counted(v), "counted") if shape else _counted(v)
     one = _per_split(v, counted)
     missing = (1 - F.col("n_values") / F.col("n_rows")).alias("missing")
     plain = ["n_rows", "n_values", "n_distinct", "top"]
     if not shape:
         return wanted(source, v.named(one).select(*SPLIT, "feature", "kind", *plain, missing))
-    ranged = _ranged(v, counted)
-    sums = _sums(v, ranged)
-    outside = _outside(v, ranged, _quartiles(v, ranged, sums))
+    ranged = _ranged(v, counted, keep)
+    sums = keep(_sums(v, ranged), "sums")
+    outside = _outside(v, keep(_quartiles(v, ranged, sums, keep), "quartiles"), keep)
     by = [*v.unit, "feature", "split"]
     total = sums.groupBy(*by).agg(*_add())
     n, d = F.col("n").cast("double"), F.try_divide(F.col("s1"), F.col("n"))
@@ -208,9 +232,9 @@ def profiles(source: SplitRows | DataFrame, shape: bool = True, v: Values | None
 def stored_profiles(source: SplitRows | DataFrame, shape: bool = True, v: Values | None = None) -> DataFrame:
     """:func:`profiles` as a table in the shared folder.  With ``shape`` the value counts are written first, as a profile reads them many times:
     rows are counted once, whatever reads the profile."""
-    if shape and v is None:
-        v = values(source).stored()
-    return written(profiles(source, shape, v), "profile")
+    if not shape:
+        return written(profiles(source, shape, v), "profile")
+    return written(profiles(source, shape, values(source).stored() if v is None else v, keep=written), "profile")
 
 
 def presence(sr: SplitRows) -> DataFrame:

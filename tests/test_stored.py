@@ -40,6 +40,17 @@ def test_a_stored_profile_counts_its_rows_once(spark):
     assert got == sorted(map(tuple, descriptors.profiles(sr).select(*stored.columns).collect()))
 
 
+def test_a_stored_profile_looks_at_its_counts_five_times(spark):
+    """For counts, borders, sums, quartiles and what lies beyond their fences."""
+    sr = SplitRows(spark.range(900).select(F.lit("s").alias("dataset"), F.lit(0).alias("repeat"), F.lit(0).alias("fold"), F.sqrt("id").alias("x")), ["x"])
+    v = descriptors.values(sr).stored()
+    v.table, seen = counted(v.table)
+    got = descriptors.stored_profiles(sr, v=v).first()
+    assert seen.value <= 5 * 900
+    x = np.sqrt(np.arange(900))
+    assert (got.q1, got.mid, got.q3) == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75])) and got.outside == 0 and got.std == pytest.approx(x.std(ddof=1))
+
+
 # values, rows by class and results; products by class; values, rows, keys, products, classes, products and counts by class, and counts of pairs
 @pytest.mark.parametrize(("name", "most"), [("usable_features", 3), ("rank_stability", 3), ("class_scatter", 1), ("external_descriptors", 8)])
 def test_queries_read_lineitem_few_times(spark, monkeypatch, name, most):
